@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op5_pii": pii.op5_pii,
     "op6_simhash": simhash.op6_simhash,
+    "op9_quality": quality.op9_quality,
 }
 
 #: DuckDB SQL; operators that SQL cannot express are held against brute force in tests/llm.

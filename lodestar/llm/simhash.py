@@ -18,8 +18,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, partitions_for, table
@@ -167,6 +168,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, first, root) for every fingerprint of ``prints``: its smallest doc_id and the smallest fingerprint of its component."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(distinct, max_bits))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs`` (doc_id, text).
 
@@ -174,13 +182,31 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits:
     doc_ids are all null has a null id. An empty table gives no rows. Other columns are ignored.
     """
     prints = cut_lineage(fingerprints(docs, words_each))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, max_bits))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = classes.select("fp", "root").join(named, "root").select("fp", "component_id")
+    found = classes(prints, max_bits)
+    named = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    member = found.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` for each component, its columns as they are: the row with the smallest doc_id.
+
+    Of rows that share this id, one with the smallest fingerprint stays. A component stays by a row with a null doc_id only
+    where it has no other. Texts move once, by id and fingerprint.
+    """
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(x, words_each) for x in texts], np.uint64).view(np.int64))
+
+    found = classes(fingerprints(docs, words_each), max_bits)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("k"))
+    kept = kept.select(F.col("k.first").alias("_id"), F.col("k.fp").alias("_kept"))
+    rows = docs.withColumn("_fp", of(F.col("text").cast("string")))
+    rows = rows.join(kept, rows.doc_id.cast("long").eqNullSafe(kept._id) & (rows._fp == kept._kept), "left_semi")
+    same = Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64("text"))
+    return rows.withColumn("_row", F.row_number().over(same)).filter("_row = 1").drop("_row", "_fp")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
