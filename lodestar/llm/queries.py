@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, simhash
+from . import packing, pii, quality, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op3_exact_top_k": vectors.op3_exact_top_k,
+    "op4_nearest": vectors.op4_nearest,
     "op5_pii": pii.op5_pii,
     "op6_simhash": simhash.op6_simhash,
     "op9_quality": quality.op9_quality,
 }
 
 #: DuckDB SQL; operators that SQL cannot express are held against brute force in tests/llm.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_exact_top_k": vectors.OP3_SQL,
+}
