@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 CAPACITY, END_ID = 2048, 1
-BLOCK_PIECES, BLOCK_BYTES, CARRY_PIECES = 16_384, 48_000_000, 512
+BLOCK_PIECES, BLOCK_BYTES, CARRY_PIECES = 4096, 16_000_000, 512
 #: Texts that hold the special token's own string, and extremely long ones, take the tokenizers library itself.
 SPECIAL, LONG_TEXT = "<|endoftext|>", 1_000_000
 
@@ -149,8 +149,8 @@ class Packer:
                     break
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(self.rows), 8192):
-            part = self.rows[i : i + 8192]
+        for i in range(0, len(self.rows), 2048):
+            part = self.rows[i : i + 2048]
             yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*part), ARROW, strict=True)], schema=ARROW)
         self.rows = []
 
@@ -174,7 +174,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_
                 packer.add(doc_id, ids.tobytes())
                 if packer.count >= BLOCK_PIECES or packer.held >= BLOCK_BYTES:
                     packer.pack(CARRY_PIECES)
-                if len(packer.rows) >= 8192:
+                if len(packer.rows) >= 2048:
                     yield from packer.batches()
         packer.pack(0)
         yield from packer.batches()
