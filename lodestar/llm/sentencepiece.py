@@ -20,16 +20,19 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-SPACE, CACHE_WORDS, CACHE_LENGTH, CELLS, UNKNOWN_PENALTY = "▁", 300_000, 64, 500_000, 10.0
+SPACE, CACHE_WORDS, CACHE_LENGTH, CELLS, UNKNOWN_PENALTY = "▁", 300_000, 64, 100_000, 10.0
+FILTER_BITS = 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,10 +46,11 @@ def _powers(n: int) -> np.ndarray:
 
 
 def _prefix_hashes(points: np.ndarray) -> np.ndarray:
-    """h[:, i]: sum of (code point + 1) * multiplier ** position over the first i characters."""
+    """h[i]: for each column the sum of (code point + 1) * multiplier ** position over the first i characters."""
+    length, n = points.shape
     with np.errstate(over="ignore"):
-        steps = (points.astype(np.uint64) + np.uint64(1)) * _powers(points.shape[1] - 1 if points.shape[1] else 0)[: points.shape[1]]
-        return np.c_[np.zeros(len(points), np.uint64), np.add.accumulate(steps, axis=1, dtype=np.uint64)]
+        steps = (points.astype(np.uint64) + np.uint64(1)) * _powers(max(0, length - 1))[:length, None]
+        return np.concatenate([np.zeros((1, n), np.uint64), np.add.accumulate(steps, axis=0, dtype=np.uint64)])
 
 
 class Pieces:
@@ -82,85 +86,106 @@ class Pieces:
                 if not model.is_unused(i):
                     usable[len(name)].append(i)
         self.scores = np.array(scores, np.float64)
+        self.sizes = [len(name) for name in names]
         self.lowest = min(self.scores[i] for ids in usable.values() for i in ids) - UNKNOWN_PENALTY
         self.longest = max(usable)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for length, ids in usable.items():
-            points = _points([names[i] for i in ids], length)
-            hashes = _prefix_hashes(points)[:, -1]
+            points = np.ascontiguousarray(_points([names[i] for i in ids], length).T)
+            hashes = _prefix_hashes(points)[-1]
             order = np.argsort(hashes, kind="stable")
-            self.by_length[length] = hashes[order], np.array(ids)[order], points[order]
+            maybe = np.zeros(1 << FILTER_BITS, bool)
+            maybe[hashes >> np.uint64(64 - FILTER_BITS)] = True
+            self.by_length[length] = hashes[order], np.array(ids, np.int32)[order], points[:, order], maybe
         inner = any(SPACE in names[i].lstrip(SPACE) for ids in usable.values() for i in ids)
         self.words = re.compile("(?s).+" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def _lookup(self, points: np.ndarray, prefix: np.ndarray, powers: np.ndarray, length: int) -> np.ndarray:
-        """Ids of the substrings of one length at all places, -1 where there is no such piece."""
-        places = points.shape[1] - length + 1
-        found = np.full((len(points), places), -1)
+        """Ids of the substrings of one length by place and word, -1 where there is no such piece."""
+        places = len(points) - length + 1
+        found = np.full((places, points.shape[1]), -1, np.int32)
         if length not in self.by_length:
             return found
-        hashes, ids, spelled = self.by_length[length]
+        hashes, ids, spelled, maybe = self.by_length[length]
         with np.errstate(over="ignore"):
-            wanted = (prefix[:, length:] - prefix[:, :places]).ravel()
             # the pieces' hashes start at power 0: take the place's power off by its inverse
-            wanted = wanted.reshape(len(points), places) * powers[:places]
+            wanted = (prefix[length:] - prefix[:places]) * powers[:places, None]
+        place, word = np.nonzero(maybe[wanted >> np.uint64(64 - FILTER_BITS)])
+        wanted = wanted[place, word]
         at = np.searchsorted(hashes, wanted)
         at[at == len(hashes)] = 0
-        row, place = np.nonzero(hashes[at] == wanted)
-        hit = at[row, place]
-        same = np.ones(len(row), bool)
+        same = hashes[at] == wanted
+        place, word, at = place[same], word[same], at[same]
+        same = np.ones(len(place), bool)
         for k in range(length):
-            same &= points[row, place + k] == spelled[hit, k]
-        found[row[same], place[same]] = ids[hit[same]]
+            same &= points[place + k, word] == spelled[k, at]
+        found[place[same], word[same]] = ids[at[same]]
         return found
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length."""
-        length = len(words[0])
-        points = _points(words, length)
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids, as int32 bytes, of words of one length."""
+        length, n_words = len(words[0]), len(words)
+        points = np.ascontiguousarray(_points(words, length).T)
         prefix = _prefix_hashes(points)
         with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-            powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(length, inverse)])
-        most = min(length, self.longest)
-        ids = {n: self._lookup(points, prefix, powers, n) for n in range(1, most + 1) if n in self.by_length or n == 1}
-        gains = {n: np.where(x >= 0, self.scores[x], self.lowest if n == 1 else -np.inf) for n, x in ids.items()}
-        best = np.full((length + 1, len(words)), -np.inf)
+            powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(length, np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))])
+        sizes = [n for n in range(min(length, self.longest), 0, -1) if n in self.by_length or n == 1]
+        ids = np.full((len(sizes), length, n_words), -1, np.int32)
+        for i, n in enumerate(sizes):
+            ids[i, : length - n + 1] = self._lookup(points, prefix, powers, n)
+        gains = np.where(ids >= 0, self.scores[ids], -np.inf)
+        np.copyto(gains[-1], self.lowest, where=ids[-1] < 0)
+        best = np.full((length + 1, n_words), -np.inf)
         best[0] = 0
-        last = np.zeros((length + 1, len(words)), np.int64)
+        last = np.zeros((length + 1, n_words), np.int8)  # the last piece's place in sizes
         for end in range(1, length + 1):
-            top, step = best[end], last[end]
-            for n in sorted(ids, reverse=True):
+            for i, n in enumerate(sizes):
                 if n <= end:
-                    score = best[end - n] + gains[n][:, end - n]
-                    better = score > top
-                    top[better] = score[better]
-                    step[better] = n
-        out: list[list[int]] = []
-        for w, word in enumerate(words):
-            end, back = length, []
-            while end > 0:
-                n = int(last[end, w])
-                end -= n
-                piece = int(ids[n][w, end])
-                back.append([piece] if piece >= 0 else self.bytes[list(word[end].encode("utf-8", "surrogatepass"))].tolist())
-            out.append([i for piece in reversed(back) for i in piece])
+                    score = best[end - n] + gains[i, end - n]
+                    better = score > best[end]
+                    np.copyto(best[end], score, where=better)
+                    np.copyto(last[end], np.int8(i), where=better)
+        step_of, column = np.array(sizes), np.arange(n_words)
+        end, steps = np.full(n_words, length), []
+        while (end > 0).any():
+            way = last[end, column]
+            begin = end - step_of[way]
+            steps.append(np.where(end > 0, ids[way, begin, column], -2))
+            end = np.where(end > 0, begin, 0)
+        table = np.ascontiguousarray(np.array(steps[::-1], np.int32).T)
+        count = (table != -2).sum(1)
+        width, spelled = table.shape[1], table.tobytes()
+        out = [spelled[4 * (w * width + width - c) : 4 * (w + 1) * width] for w, c in enumerate(count.tolist())]
+        for w in np.flatnonzero((table == -1).any(1)):
+            out[w] = self._with_bytes(words[w], table[w, width - count[w] :].tolist())
         return out
 
-    def learn(self, words: set[str]) -> dict[str, list[int]]:
+    def _with_bytes(self, word: str, pieces: list[int]) -> bytes:
+        """The ids of a word in which some characters (-1) have no piece."""
+        full, at = array("i"), 0
+        for i in pieces:
+            if i >= 0:
+                full.append(i)
+                at += self.sizes[i]
+            else:
+                full.extend(self.bytes[list(word[at].encode("utf-8", "surrogatepass"))].tolist())
+                at += 1
+        return full.tobytes()
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not in the cache."""
         groups: dict[int, list[str]] = defaultdict(list)
         for word in words:
             groups[len(word)].append(word)
-        found: dict[str, list[int]] = {}
+        found: dict[str, bytes] = {}
         for length, group in groups.items():
             step = max(1, CELLS // length)
             for i in range(0, len(group), step):
                 found.update(zip(group[i : i + step], self.segment(group[i : i + step]), strict=True))
         return found
 
-    def encode_batch(self, texts: list[str | None]) -> list[array]:
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(self.cache)
         if new:
@@ -169,18 +194,26 @@ class Pieces:
                 new = set(chain.from_iterable(split))
             self.cache.update(self.learn(new))
         get = self.cache.__getitem__
-        out = [array("i", chain.from_iterable(map(get, words))) for words in split]
+        out = [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
         for word in [w for w in new if len(w) > CACHE_LENGTH]:
             del self.cache[word]
         return out
 
     def decode(self, ids) -> str:
-        text = self.text
+        text, n = self.text, len(self.text)
+        if ids and (None in ids or not 0 <= min(ids) <= max(ids) < n):
+            ids = [i for i in ids if i is not None and 0 <= i < n]
         joined = b"".join([text[i] for i in ids]).decode("utf-8", "replace")
         return joined[1:] if joined.startswith(" ") else joined
 
 
-ROWS = 256
+ROWS = 1024
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str | None) -> Pieces:
+    """The model at ``path``, kept with its words for the worker's next tasks."""
+    return Pieces(path)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -190,13 +223,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = pieces_of(path)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 ids = pieces.encode_batch(batch.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids if len(x)]) if ends[-1] else np.zeros(0, np.int32)
+                flat = np.concatenate(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -206,11 +239,15 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, text) for rows (doc_id, ids). Null ids are an empty text; null and unknown elements are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = pieces_of(path)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                texts = [pieces.decode([i for i in ids if i is not None and 0 <= i < len(pieces.text)] if ids and None in ids else ids or []) for ids in batch.column(1).to_pylist()]
+                ids = batch.column(1).fill_null([])
+                flat = ids.flatten()
+                flat = flat.to_pylist() if flat.null_count else flat.to_numpy().tolist()
+                ends = np.cumsum([0, *pc.list_value_length(ids).to_pylist()]).tolist()
+                texts = [pieces.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
