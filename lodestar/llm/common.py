@@ -29,3 +29,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def partitions_for(rows: int, rows_each: int, at_least: int) -> int:
     """Partitions that hold about ``rows_each`` rows, never fewer than ``at_least``."""
     return max(at_least, -(-rows // rows_each))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    while name in df.columns:
+        name = "_" + name
+    return name

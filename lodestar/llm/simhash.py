@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, partitions_for, table
+from .common import cut_lineage, fresh, partitions_for, table
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 BUCKET_ROWS, TASK_ROWS = 4096, 1_000_000
@@ -201,11 +201,12 @@ def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits: int = M
 
     found = classes(fingerprints(docs, words_each), max_bits)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("k"))
-    kept = kept.select(F.col("k.first").alias("_id"), F.col("k.fp").alias("_kept"))
-    rows = docs.withColumn("_fp", of(F.col("text").cast("string")))
-    rows = rows.join(kept, rows.doc_id.cast("long").eqNullSafe(kept._id) & (rows._fp == kept._kept), "left_semi")
-    same = Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64("text"))
-    return rows.withColumn("_row", F.row_number().over(same)).filter("_row = 1").drop("_row", "_fp")
+    fp, no, own, held = (fresh(docs, name) for name in ("_fp", "_row", "_id", "_kept"))
+    kept = kept.select(F.col("k.first").alias(own), F.col("k.fp").alias(held))
+    rows = docs.withColumn(fp, of(F.col("text").cast("string")))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept[own]) & (rows[fp] == kept[held]), "left_semi")
+    same = Window.partitionBy("doc_id", fp).orderBy(F.xxhash64("text"))
+    return rows.withColumn(no, F.row_number().over(same)).filter(F.col(no) == 1).drop(no, fp)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     rows = rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf)))
     if not zero:
         rows = rows.filter(F.exists(v, lambda x: x != 0))
+    rows = rows.distinct()
     size = rows.groupBy(F.size(v).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
     return rows.filter(F.size(v) == (size["size"] if size else 0))
 
@@ -72,7 +73,7 @@ def ranked(found: DataFrame, classes: DataFrame, queries: DataFrame, asked: Data
     members = members.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     lists = members.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("hits"))
     # every query row: by its vector to the class that was searched for it
-    mine = asked.select("vec_id", "v").distinct().join(queries, "v").select(F.col("vec_id").alias("query_id"), "qid").join(lists, "qid")
+    mine = asked.join(queries, "v").select(F.col("vec_id").alias("query_id"), "qid").join(lists, "qid")
     others = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
     rows = mine.select("query_id", F.posexplode(others).alias("p", "h"))
     return rows.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), F.col("h.score").alias("score"))

@@ -1,0 +1,369 @@
+"""Operators against plain, slow versions of the same definition."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import html, packing, pii, quality, sentencepiece, simhash, vectors
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+
+
+# ---- packing ----
+
+
+def test_best_fill_is_the_largest_reachable_sum():
+    draw = random.Random(1)
+    for _ in range(200):
+        counts = {draw.randint(1, 30): draw.randint(1, 3) for _ in range(draw.randint(1, 5))}
+        room = draw.randint(0, 60)
+        pieces = [x for x, n in counts.items() for _ in range(n)]
+        sums = {sum(c) for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k)}
+        total, chosen = packing.best_fill(counts, room)
+        assert total == max(s for s in sums if s <= room)
+        assert total == sum(x * n for x, n in chosen.items()) and all(n <= counts[x] for x, n in chosen.items())
+
+
+def test_packing_round_trip(docs):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack_documents(docs).collect()
+    by_doc, by_window = {}, {}
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length > 0
+        by_doc.setdefault(r.doc_id, []).append((r.start, ids.tolist(), r.doc_tokens))
+        by_window.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for doc in docs.collect():
+        parts = sorted(by_doc[doc.doc_id])
+        ids = [i for _, p, _ in parts for i in p]
+        assert ids == [*tokenizer.encode(doc.text or "", add_special_tokens=False).ids, 1] and len(ids) == parts[0][2]
+        assert [s for s, _, _ in parts] == [sum(len(p) for _, p, _ in parts[:i]) for i in range(len(parts))]
+    for window in by_window.values():
+        window.sort()
+        assert [o for o, _ in window] == [sum(n for _, n in window[:i]) for i in range(len(window))] and sum(n for _, n in window) <= 2048
+    padding = sum(2048 - sum(n for _, n in w) for w in by_window.values())
+    assert padding < 2048 * docs.rdd.getNumPartitions()
+
+
+def test_packing_digest_is_crc32_of_the_ids(docs):
+    pieces = packing.pack_documents(docs)
+    want = {(r.doc_id, r.start): zlib.crc32(r.ids) for r in pieces.collect()}
+    assert {(r.doc_id, r.start): r.ids_crc32 for r in packing.with_digest(pieces).collect()} == want
+
+
+# ---- near duplicates ----
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps, max_bits=4):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if bin(a ^ b).count("1") <= max_bits:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {f: find(f) for f in fps}
+
+
+def test_simhash_against_all_pairs(docs):
+    rows = docs.collect()
+    fps = {r.doc_id: plain_fingerprint(r.text) for r in rows}
+    roots = plain_components(set(fps.values()))
+    first = {}
+    for i, f in fps.items():
+        first[roots[f]] = min(i, first.get(roots[f], i))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (f"{f:016x}", first[roots[f]]) for i, f in fps.items()}
+
+
+@pytest.mark.parametrize("bucket_rows", [3, 4096])
+def test_links_join_what_all_pairs_join(spark, bucket_rows):
+    draw = random.Random(5)
+    fps = set()
+    for _ in range(12):
+        f = draw.getrandbits(64)
+        for _ in range(12):
+            fps.add(f)
+            for b in draw.sample(range(64), draw.randint(1, 6)):
+                f ^= 1 << b
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows = spark.createDataFrame([(f,) for f in signed], "fp long")
+    roots = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.links(rows, 4, bucket_rows)).collect()}
+    want, got = {}, {}
+    for f, r in plain_components(fps).items():
+        want.setdefault(r, set()).add(f)
+    for f in fps:
+        got.setdefault(roots.get(f, f), set()).add(f)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(201)} | {(1000, 1000), (1001, 1000)}
+
+
+def test_block_masks_keep_every_close_pair():
+    draw = random.Random(2)
+    for count in (10, 5_000, 10**6, 10**9):
+        masks = simhash.block_masks(count, 4)
+        for _ in range(200):
+            a = draw.getrandbits(64)
+            b = a
+            for bit in draw.sample(range(64), 4):
+                b ^= 1 << bit
+            assert any(a & m == b & m for m in masks)
+
+
+# ---- personal data ----
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    d = [int(c) for c in digits[::-1]]
+    return sum(d[::2] + [2 * x // 10 + 2 * x % 10 for x in d[1::2]]) % 10 == 0
+
+
+def plain_spans(text):
+    found = []
+    for place, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            fine = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False, "card": 14 <= len(digits) <= 19 and luhn(digits or "0"), "phone": 10 <= len(digits) <= 15}
+            if fine[kind]:
+                found.append((m.start(), place, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_base_spans_against_plain_patterns(spark, docs):
+    draw = random.Random(3)
+    made = ["".join(draw.choice(["a", "b.", "@", "x@y.z", "1", "12", ".", "-", " ", "+", "(", ")", "255", "256", "4111 1111 1111 1111", "é", "_", "🦜"]) for _ in range(draw.randint(1, 40))) for _ in range(1500)]
+    made += ["9" * 50_000, "1 " * 30_000, "a" * 50_000 + "@", "+1" + "(" * 20_000, "1.2.3.4.5.6.7.8", "a@b.c_d@e.f", "a@b.c@d.e"]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").unionByName(docs.select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text"))
+    got = {r.doc_id: r.s for r in pii.find_spans(rows, None).select("doc_id", pii.spelled(F.col("base_spans")).alias("s")).collect()}
+    for r in rows.collect():
+        assert got[r.doc_id] == plain_spans(r.text), r.text[:200]
+
+
+def test_method_adds_spans_and_keeps_base_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.train(docs)).select("text", pii.spelled(F.col("base_spans")).alias("b"), pii.spelled(F.col("all_spans")).alias("a")).collect()
+    extra = 0
+    for r in found:
+        more = set(r.a.split(",")) - set(r.b.split(","))
+        assert set(r.b.split(",")) - {""} <= set(r.a.split(","))
+        extra += len(more - {""})
+        for s in more - {""}:
+            kind, a, b = s.split(":")
+            assert kind in pii.GENERATORS and re.search("[0-9@]", r.text[int(a) : int(b)])
+    assert extra > 0
+
+
+def test_boosted_trees_in_numpy_and_as_expression(spark):
+    draw = np.random.default_rng(1)
+    rows = draw.uniform(0, 10, size=(600, len(pii.FEATURES)))
+    rows[:, 0] = draw.integers(0, 3, 600)
+    labels = ((rows[:, 1] > 5) & (rows[:, 2] < 7)).astype(int)
+    trees = pii.boost(rows, labels)
+    score = trees.log_odds(rows)
+    assert ((score > 0) == labels).mean() > 0.95
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], ["i", *pii.FEATURES])
+    got = [r.s for r in frame.select("i", trees.expression(F.struct(*pii.FEATURES)).alias("s")).orderBy("i").collect()]
+    assert np.allclose(got, score)
+
+
+# ---- quality ----
+
+
+def test_quality_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality.score_documents(docs, quality.train(docs, labels)).join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 500 and sum(r.predicted == r.quality for r in held) / len(held) > 0.97
+
+
+def test_training_takes_no_held_out_label(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 3 else "!!! $$$") for i in range(60)], "doc_id long, text string")
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in held], "doc_id long, quality int")
+    assert quality.train(docs, labels) is None
+
+
+# ---- vectors ----
+
+
+def plain_top(x, ids, queries, k):
+    want = {}
+    for i in queries:
+        s = x @ x[i]
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:k]
+        want[int(ids[i])] = [(int(ids[j]), float(s[j])) for j in order]
+    return want
+
+
+def got_top(rows):
+    found = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.vec_id, float(r.score)))
+        assert r["rank"] == len(found[r.query_id])
+    return found
+
+
+@pytest.fixture(scope="module")
+def embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    frame = rows.toPandas()
+    return rows, np.array(list(frame.embedding), np.float64), frame.vec_id.to_numpy()
+
+
+def test_exact_search_equals_brute_force(embeddings):
+    rows, x, ids = embeddings
+    whole = np.floor(1024 * x)
+    assert got_top(vectors.exact_top_k(rows, 100, 10)) == plain_top(whole, ids, np.flatnonzero(ids % 100 == 0), 10)
+
+
+def test_pivots_spare_candidates_and_stay_exact():
+    draw = np.random.default_rng(0)
+    centres = draw.normal(size=(20, 8)) * 3000
+    x = np.floor(centres[draw.integers(20, size=4000)] + draw.normal(size=(4000, 8)) * 60)
+    ids, far = np.arange(4000), x[:16]
+    gaps = lambda y: np.sqrt(((y[:, None] - far) ** 2).sum(2))
+    x = np.floor(x / np.linalg.norm(x, axis=1)[:, None] * 3000)
+    done = 0
+    for q in x[:50]:
+        got, scores, n = vectors.pivot_search(q, x, ids, gaps(x), gaps(q[None])[0], (x**2).sum(1), 10)
+        want = np.lexsort((ids, -(x @ q)))[:10]
+        assert got.tolist() == want.tolist()
+        done += n
+    assert done < 0.5 * 50 * 4000
+
+
+def test_approximate_recall(embeddings):
+    rows, x, ids = embeddings
+    want, got = plain_top(x, ids, np.flatnonzero(ids % 20 == 0), 20), got_top(vectors.nearest(rows, 20, 20))
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    at = {int(i): v for i, v in zip(ids, x, strict=True)}
+    assert all(abs(at[q] @ at[i] - s) < 1e-12 for q in list(got)[:20] for i, s in got[q])
+
+
+def test_probes_come_in_order_of_probability():
+    draw = np.random.default_rng(4)
+    inside = draw.uniform(0.05, 0.45, size=(4, 2))
+    chances = np.c_[inside[:, 0] / 2, 1 - inside.sum(1) / 2, inside[:, 1] / 2]
+    every = sorted((np.prod([c[s + 1] for c, s in zip(chances, steps, strict=True)]) for steps in itertools.product((-1, 0, 1), repeat=4)), reverse=True)
+    found = vectors.probes(chances, 0.999)
+    got = [np.prod([c[dict(f).get(i, 0) + 1] for i, c in enumerate(chances)]) for f in found]
+    assert len(set(found)) == len(found) and np.allclose(got, every[: len(got)]) and sum(got) >= 0.999
+
+
+# ---- SentencePiece ----
+
+
+def test_viterbi_against_plain_dynamic_programme():
+    import public_tokenizers
+    import sentencepiece as library
+
+    model = library.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    known = {model.id_to_piece(i): model.get_score(i) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    pieces, draw = sentencepiece.Pieces(), random.Random(1)
+    raw = set(pieces.bytes.tolist())
+    texts = ["", "the cat sat", "  two  spaces ", "日本 🦜 é́", "x" * 300, "\x00\n\t", " "] + ["".join(draw.choice("abcdeht  .éß語🦜") for _ in range(draw.randint(0, 50))) for _ in range(150)]
+    for text, ids in zip(texts, pieces.encode_batch(texts), strict=True):
+        ids = ids.tolist()
+        assert pieces.decode(ids) == text
+        s = "▁" + text.replace(" ", "▁") if text else ""
+        best = [0.0] + [-np.inf] * len(s)
+        for end in range(1, len(s) + 1):
+            for begin in range(max(0, end - pieces.longest), end):
+                gain = known.get(s[begin:end], pieces.lowest if end - begin == 1 else None)
+                if gain is not None:
+                    best[end] = max(best[end], best[begin] + gain)
+        unknown = len(bytes(pieces.text[i][0] for i in ids if i in raw).decode())
+        assert abs(sum(pieces.scores[i] for i in ids if i not in raw) + unknown * pieces.lowest - best[-1]) <= 1e-9 * abs(best[-1]) + 1e-6
+
+
+def test_sentencepiece_round_trip(docs):
+    rows = sentencepiece.decode(sentencepiece.encode(docs)).collect()
+    assert {r.doc_id: r.text for r in rows} == {r.doc_id: r.text.replace("▁", " ") for r in docs.collect()}
+
+
+# ---- HTML ----
+
+
+def test_pages_of_the_tables(spark):
+    rows = html.extract(spark.read.parquet(f"{SMALL}/pages.parquet")).join(spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    for r in rows:
+        body = re.search("<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        import html as entities
+
+        plain = [re.sub(r"\s+", " ", entities.unescape(re.sub("<[^>]*>?", "", p))).strip() for p in re.split("</?(?:p|h1)>", re.sub("<br>", "\n", body))]
+        assert r.text == "\n\n".join(p for p in plain if p) and r.n_chars == len(r.text)
+
+
+def test_structure_and_repetition():
+    page = """<html><body><div class="cookie-notice">We use cookies</div><header>Site</header><main><article><header><h1>T &amp; x</h1>by me</header>
+<p>a<br>b  c<p>d <b>e</b></p><div class="share">tweet</div><ul><li>one<li>two</ul><form>f</form><section id="comments"><p>bad</p></section>
+<script>x("</p>")</script></article></main><footer>z</footer></body>"""
+    assert html.main_texts([page]) == ["T & x\n\na b c\n\nd e\n\none\n\ntwo"]
+    menu, foot = "Home About Contact Imprint Privacy Jobs", "Copyright two thousand by the example company limited all"
+    pages = [f"<body><div>{menu}</div><div><p>story {i} has words {i * 7} that are its own {i}</p></div><div>{foot}</div>" for i in range(5)]
+    assert html.main_texts([*pages, pages[0]]) == [f"story {i} has words {i * 7} that are its own {i}" for i in (0, 1, 2, 3, 4, 0)]
+
+
+def test_suffix_cover_against_all_runs():
+    draw = np.random.default_rng(7)
+    for _ in range(40):
+        streams = [draw.integers(0, 4, size=draw.integers(0, 30)) for _ in range(4)]
+        run = int(draw.integers(2, 6))
+        distinct = {s.tobytes() for s in streams}
+        got = html.suffix_cover(streams, run)
+        for s, covered in zip(streams, got, strict=True):
+            want = np.zeros(len(s), bool)
+            others = [np.frombuffer(o, s.dtype) for o in distinct if o != s.tobytes()]
+            for i in range(len(s) - run + 1):
+                if any((o[j : j + run] == s[i : i + run]).all() for o in others for j in range(len(o) - run + 1)):
+                    want[i : i + run] = True
+            assert covered.tolist() == want.tolist()
+
+
+def test_spans_digest(docs):
+    import __spark_entry__
+
+    row = __spark_entry__.queries()["op5_pii"](docs.sparkSession, SMALL).filter("n_email > 0").first()
+    text = docs.filter(F.col("doc_id") == row.doc_id).first().text
+    assert row.base_sha256 == hashlib.sha256(plain_spans(text).encode()).hexdigest()
