@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh, partitions_for, table
+from .common import cut_lineage, partitions_for, table
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 BUCKET_ROWS, TASK_ROWS = 4096, 1_000_000
@@ -90,11 +89,15 @@ def _roots(left: np.ndarray, right: np.ndarray, labels: np.ndarray) -> np.ndarra
             return labels
 
 
-def forest(cells: np.ndarray, sides: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between rows of the same cell. Each class becomes a binary tree: no node has over three edges."""
-    order = np.lexsort((fps, cells))
-    cells, fps = cells[order], fps[order]
-    values, index = np.unique(fps, return_inverse=True)
+def spanning_forest(cells: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between rows of the same cell. Each class becomes a binary tree: no node has over three edges.
+
+    fps: rows of one or more 64-bit words.
+    """
+    order = np.lexsort((*fps.T, cells))
+    cells, fps = cells[order], np.ascontiguousarray(fps[order])
+    rows = fps.view(np.dtype((np.void, fps.itemsize * fps.shape[1]))).ravel() if fps.shape[1] > 1 else fps.ravel()
+    values, index = np.unique(rows, return_inverse=True)
     labels = np.arange(len(values))
     at, step = np.arange(len(fps) - 1), 1
     held: list[np.ndarray] = []
@@ -102,7 +105,7 @@ def forest(cells: np.ndarray, sides: np.ndarray, fps: np.ndarray, max_bits: int)
     while len(at):
         at = at[at + step < len(fps)]
         at = at[cells[at] == cells[at + step]]
-        near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= max_bits]
+        near = at[np.bitwise_count(fps[at] ^ fps[at + step]).sum(1, dtype=np.int64) <= max_bits]
         if len(near):
             held.append(np.stack([index[near], index[near + step]]))
             size += len(near)
@@ -120,7 +123,8 @@ def forest(cells: np.ndarray, sides: np.ndarray, fps: np.ndarray, max_bits: int)
     place = np.arange(len(ranked)) - np.repeat(starts, sizes)
     child = np.flatnonzero(place > 0)
     parent = np.repeat(starts, sizes)[child] + (place[child] - 1) // 2
-    return values[order[child]], values[order[parent]]
+    words = values.view(np.uint64).reshape(-1, fps.shape[1])
+    return words[order[child]], words[order[parent]]
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -144,8 +148,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
         if got:
             fps = np.concatenate([x for x, _ in got]).view(np.uint64)
             cell = np.concatenate([x for _, x in got])
-            a, b = forest(cell, cell, fps, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a, b = spanning_forest(cell, fps.reshape(-1, 1), max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64).ravel()), pa.array(b.view(np.int64).ravel())], names=["a", "b"])
 
     n = partitions_for(count * len(masks), TASK_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return cells.repartition(n, "cell").mapInArrow(run, "a long, b long")
@@ -188,26 +192,5 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits:
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of ``docs`` for each component, its columns as they are: the row with the smallest doc_id.
-
-    Of rows that share this id, one with the smallest fingerprint stays. A component stays by a row with a null doc_id only
-    where it has no other. Texts move once, by id and fingerprint.
-    """
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, words_each) for x in texts], np.uint64).view(np.int64))
-
-    found = classes(fingerprints(docs, words_each), max_bits)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("k"))
-    fp, no, own, held = (fresh(docs, name) for name in ("_fp", "_row", "_id", "_kept"))
-    kept = kept.select(F.col("k.first").alias(own), F.col("k.fp").alias(held))
-    rows = docs.withColumn(fp, of(F.col("text").cast("string")))
-    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept[own]) & (rows[fp] == kept[held]), "left_semi")
-    same = Window.partitionBy("doc_id", fp).orderBy(F.xxhash64("text"))
-    return rows.withColumn(no, F.row_number().over(same)).filter(F.col(no) == 1).drop(no, fp)
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

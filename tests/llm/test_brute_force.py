@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import html, packing, pii, quality, sentencepiece, simhash, vectors
+from lodestar.llm import html, packing, pii, quality, sentencepiece, simhash, simhash_wide, vectors
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -141,6 +141,38 @@ def test_block_masks_keep_every_close_pair():
             assert any(a & m == b & m for m in masks)
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_go_and_other_texts_stay(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    rows, group = [], {}
+    for g in range(60):
+        base = [word() for _ in range(400)]
+        for c in range(4):
+            text = list(base)
+            for i in draw.sample(range(400), 3 * c):
+                text[i] = word()
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(text)))
+    rows += [(1000 + i, " ".join(word() for _ in range(draw.randint(1, 300)))) for i in range(300)]
+    near = [(a, b) for g in range(60) for a, b in itertools.combinations(range(4 * g, 4 * g + 4), 2) if len(shingles(rows[a][1]) & shingles(rows[b][1])) >= 0.85 * len(shingles(rows[a][1]) | shingles(rows[b][1]))]
+    kept = {r.doc_id for r in simhash_wide.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows if i >= 1000} <= kept and {4 * g for g in range(60)} <= kept
+    both = [(a, b) for a, b in near if a in kept and b in kept]
+    assert len(near) > 100 and len(both) <= 0.02 * len(near)
+
+
+def test_wide_fingerprint_bits_by_majority():
+    text = "the quick brown fox jumps over the lazy dog again"
+    assert simhash_wide.fingerprint(text) == simhash_wide.fingerprint(text.upper()) != simhash_wide.fingerprint(text[4:])
+    assert simhash_wide.fingerprint(None) == simhash_wide.fingerprint(" ") == bytes(32)
+    assert simhash_wide.fingerprint(" ".join([text] * 3)) != bytes(32)
+
+
 # ---- personal data ----
 
 BASE = {

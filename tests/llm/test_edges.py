@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import chat, html, packing, pii, quality, sentencepiece, simhash, vectors, warc
+from lodestar.llm import chat, html, packing, pii, quality, sentencepiece, simhash, simhash_wide, vectors, warc
 
 CLASH = "fp score length start ids base_spans all_spans held_out component_id root offset file record host rank key v rep _row _fp _kept".split()
 
@@ -48,11 +48,11 @@ def test_simhash(docs):
 
 
 def test_keep_one(docs):
-    kept = simhash.keep_one(docs)
+    kept = simhash_wide.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 4, 7] and ids.count(None) == 1
-    assert simhash.keep_one(empty(docs)).count() == 0
+    assert simhash_wide.keep_one(empty(docs)).count() == 0
 
 
 def test_pii(docs):
