@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import packing, pii, quality, simhash
+from lodestar.llm import packing, pii, quality, simhash_wide
 from lodestar.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id (of equal ids, one row)."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each SimHash component at five-word shingles and a similarity of 0.8: that with the smallest doc_id."""
+    return simhash_wide.keep_one(docs.select(*COLUMNS))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
