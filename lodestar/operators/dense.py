@@ -44,6 +44,12 @@ def hashing_entries(rows: DataFrame, key: str, dimensions: int = DIMENSIONS) ->
     return sums.select(key, "bucket", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("w"))
 
 
+def vector_entries(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, bucket, w) of dense ``vectors`` (key, vec), scaled to length one, so that any model's vectors can be searched."""
+    rows = vectors.filter("vec is not null").select(key, F.posexplode(normalized(F.col("vec"))).alias("bucket", "w"))
+    return rows.filter("w <> 0")
+
+
 def hashing_cosine(doc_entries: DataFrame, query_entries: DataFrame, digits: int = DIGITS) -> DataFrame:
     """(qid, doc, score) of documents and queries that share a bucket: a sparse product by bucket."""
     left, right = query_entries.withColumnRenamed("w", "_qw"), doc_entries

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import dense, lexical
 
+#: From rows (key, text) and the key's name to entries (key, bucket, w).
+Embedder = Callable[[DataFrame, str], DataFrame]
+
 RRF_K, DEPTH, RERANK_DEPTH, PINS, TOP_K = 60, 50, 30, 3, 8
 
 
@@ -39,23 +42,25 @@ def rerank_overlap(query_text, doc_text):
 class Corpus:
     """What retrieval reads. chunks: doc, path, start_line, end_line, text, symbol, kind (embedded: what is indexed).
 
-    nodes: graph nodes with name, qual, kind, doc, id, or None. entries: hashing vectors (doc, bucket, w), or None.
+    nodes: graph nodes with name, qual, kind, doc, id, or None. entries: vectors (doc, bucket, w), or None. embed: the function that
+    made them and makes those of questions, from rows (key, text) and the key's name.
     """
 
     chunks: DataFrame
     terms: DataFrame
     entries: DataFrame | None = None
     nodes: DataFrame | None = None
+    embed: Embedder = dense.hashing_entries
 
 
-def corpus(chunks: DataFrame, nodes: DataFrame | None = None, with_dense: bool = True) -> Corpus:
-    """Index ``chunks``: term counts, and hashing vectors unless only words are wanted."""
+def corpus(chunks: DataFrame, nodes: DataFrame | None = None, with_dense: bool = True, embed: Embedder = dense.hashing_entries) -> Corpus:
+    """Index ``chunks``: term counts, and vectors unless only words are wanted."""
     from .chunk import embed_text
 
     body = embed_text(F.col("path"), F.col("kind"), F.col("symbol"), F.col("context"), F.col("text"))
     indexed = chunks.select("doc", "symbol", body.alias("text"))
-    entries = dense.hashing_entries(indexed, "doc") if with_dense else None
-    return Corpus(chunks.withColumn("embedded", body), lexical.documents_terms(indexed), entries, nodes)
+    entries = embed(indexed, "doc") if with_dense else None
+    return Corpus(chunks.withColumn("embedded", body), lexical.documents_terms(indexed), entries, nodes, embed)
 
 
 def first_stage(source: Corpus, queries: DataFrame, mode: str, depth: int, k: int = RRF_K) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +74,7 @@ def first_stage(source: Corpus, queries: DataFrame, mode: str, depth: int, k: in
     if mode != "bm25":
         if source.entries is None:
             raise RuntimeError(f"retrieval mode {mode!r} needs vectors")
-        near = dense.hashing_cosine(source.entries, dense.hashing_entries(queries, "qid"))
+        near = dense.hashing_cosine(source.entries, source.embed(queries, "qid"))
         lists.append(lexical.top_k(near, depth).withColumns({"retriever": F.lit("dense"), "list_no": F.lit(0)}))
     if mode != "dense":
         lists.append(lexical.top_k(lexical.bm25_scores(source.terms, queries), depth).withColumns({"retriever": F.lit("bm25"), "list_no": F.lit(1)}))

@@ -227,3 +227,17 @@ def test_stream_embeds_each_chunk_once(spark, tmp_path):
         stream = spark.readStream.schema("id string, text string").json(f"{tmp_path}/in")
         logs.keep_vectors(stream, f"{tmp_path}/out", embed, f"{tmp_path}/c", "m").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
+
+
+def test_another_embedder(spark, index):
+    """Vectors of any model: here the numbers of three letters."""
+
+    def letters(rows, key):
+        count = lambda c: F.length(F.regexp_replace(F.lower("text"), f"[^{c}]", "")).cast("double")
+        return dense.vector_entries(rows.select(key, F.array(*map(count, "aol")).alias("vec")), key)
+
+    source = rank.corpus(index.chunks, embed=letters)
+    asked = spark.createDataFrame([(0, "all")], "qid long, text string")
+    rows = rank.retrieve(source, asked, mode="dense").join(index.chunks.select("doc", "text"), "doc").orderBy("pos").collect()
+    share = lambda t: (t.lower().count("a") + 2 * t.lower().count("l")) / max(1e-9, sum(t.lower().count(c) ** 2 for c in "aol") ** 0.5)
+    assert [round(share(r.text), 6) for r in rows] == sorted((round(share(r.text), 6) for r in rows), reverse=True)
