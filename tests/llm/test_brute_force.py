@@ -372,6 +372,10 @@ def test_structure_and_repetition():
 <p>a<br>b  c<p>d <b>e</b></p><div class="share">tweet</div><ul><li>one<li>two</ul><form>f</form><section id="comments"><p>bad</p></section>
 <script>x("</p>")</script></article></main><footer>z</footer></body>"""
     assert html.main_texts([page]) == ["T & x\n\na b c\n\nd e\n\none\n\ntwo"]
+    page = """<body class="has-sidebar"><div class="layout with-sidebar"><article class="post"><div class="entry-header"><h1>Title</h1><span class="byline">me</span></div><p>Body</p>
+<ol class="comment-list"><li><article class="comment-body"><p>nice</p></article></li></ol><a class="share-link" href="x">Tweet</a> tail</article><aside><article><p>teaser</p></article></aside></div>
+<div id="comments"><article><p>good</p></article></div></body>"""
+    assert html.main_texts([page]) == ["Title\n\nBody\n\ntail"]
     menu, foot = "Home About Contact Imprint Privacy Jobs", "Copyright two thousand by the example company limited all"
     pages = [f"<body><div>{menu}</div><div><p>story {i} has words {i * 7} that are its own {i}</p></div><div>{foot}</div>" for i in range(5)]
     assert html.main_texts([*pages, pages[0]]) == [f"story {i} has words {i * 7} that are its own {i}" for i in (0, 1, 2, 3, 4, 0)]
