@@ -238,6 +238,6 @@ def test_another_embedder(spark, index):
 
     source = rank.corpus(index.chunks, embed=letters)
     asked = spark.createDataFrame([(0, "all")], "qid long, text string")
-    rows = rank.retrieve(source, asked, mode="dense").join(index.chunks.select("doc", "text"), "doc").orderBy("pos").collect()
+    rows = rank.retrieve(source, asked, mode="dense").join(source.chunks.select("doc", F.col("embedded").alias("text")), "doc").orderBy("pos").collect()
     share = lambda t: (t.lower().count("a") + 2 * t.lower().count("l")) / max(1e-9, sum(t.lower().count(c) ** 2 for c in "aol") ** 0.5)
     assert [round(share(r.text), 6) for r in rows] == sorted((round(share(r.text), 6) for r in rows), reverse=True)
