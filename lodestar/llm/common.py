@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +39,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = "_" + name
     return name
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, worked out, and marked for broadcast if it has at most ``BROADCAST_ROWS`` rows of a few numbers each."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -6,7 +6,7 @@ split into blocks under several fixed orders of their bits; pairs that share a b
 Hamming distance. Beyond some distance no number of blocks can guarantee a shared one; there are so many of them that a
 pair at the threshold similarity shares one with probability ``HIT``, and a closer pair all but surely.
 
-Blocks have as many bits as number the fingerprints, 18 at least, so a bucket of unrelated texts stays small. Large
+Blocks have as many bits as leave ``PER_KEY`` unrelated fingerprints to a key, 14 at least. Large
 buckets are cut into pairs of parts as in :mod:`.simhash`, sized from an eighth of the fingerprints.
 """
 
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh, partitions_for
+from .common import cut_lineage, fresh, partitions_for, small_side
 from .simhash import BUCKET_ROWS, LOWER, SEED, TASK_ROWS, components, spanning_forest
 
-BITS, SHINGLE_WORDS, SIMILARITY, HIT, LEAST_KEY = 256, 5, 0.8, 0.98, 18
+BITS, SHINGLE_WORDS, SIMILARITY, HIT, LEAST_KEY, PER_KEY = 256, 5, 0.8, 0.98, 14, 16
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
 
 def block_plan(count: int) -> list[np.ndarray]:
     """Places of the bits of each block, for ``count`` fingerprints."""
-    width = max(LEAST_KEY, math.ceil(math.log2(max(2, count))))
+    width = max(LEAST_KEY, math.ceil(math.log2(max(2, count / PER_KEY))))
     tables = math.ceil(math.log(1 - HIT) / math.log(1 - (1 - differing(SIMILARITY)) ** width))
     draw, blocks = np.random.default_rng(SEED), []
     while len(blocks) < tables:
@@ -102,7 +102,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 prints = whole.column(0)[at : at + 2048]
-                bits = np.unpackbits(np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+                bits = np.unpackbits(_bytes(prints), axis=1, bitorder="little")
                 for t, (block, weight) in enumerate(zip(blocks, weights, strict=True)):
                     key = (bits[:, block] * weight).sum(1, dtype=np.uint64) * np.uint64(len(blocks)) + np.uint64(t)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), prints], names=["key", "fp"])
@@ -111,15 +111,14 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
     eighth = distinct.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(8)) == 0).mapInArrow(keyed, "key long, fp binary")
     large = eighth.groupBy("key").agg((8 * F.count("*")).alias("n")).filter(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts"))
     parts = F.coalesce(F.col("parts"), F.lit(1))
-    salted = rows.join(large, "key", "left").select("fp", "key", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("p"))
+    salted = rows.join(small_side(large), "key", "left").select("fp", "key", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("p"))
     pairs = salted.select("fp", "key", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     cells = pairs.select("fp", F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        got = [(_bytes(b.column(0)).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if got:
-            fps = np.frombuffer(b"".join(x for part, _ in got for x in part), np.uint64).reshape(-1, BITS // 64)
-            a, b = spanning_forest(np.concatenate([c for _, c in got]), fps, max_bits)
+            a, b = spanning_forest(np.concatenate([c for _, c in got]), np.concatenate([f for f, _ in got]), max_bits)
             spell = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([spell(a), spell(b)], names=["a", "b"])
 
@@ -127,6 +126,13 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
     return cells.repartition(n, "cell").mapInArrow(run, "a binary, b binary")
 
 
+def _bytes(prints: pa.Array) -> np.ndarray:
+    """Fingerprints as a matrix of bytes."""
+    size, (_, ends, data) = BITS // 8, prints.buffers()
+    first = np.frombuffer(ends, np.int32)[prints.offset]
+    return np.frombuffer(data, np.uint8, count=size * len(prints), offset=int(first)).reshape(-1, size).copy()
+
+
 def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``docs`` for each component, its columns as they are: the row with the smallest doc_id.
 
