@@ -122,8 +122,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
             spell = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([spell(a), spell(b)], names=["a", "b"])
 
-    n = partitions_for(count * len(blocks), TASK_ROWS // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return cells.repartition(n, "cell").mapInArrow(run, "a binary, b binary")
+    # a task joins what all its cells link, so fewer and larger tasks return fewer edges of a class that many cells hold
+    n = partitions_for(count * len(blocks), TASK_ROWS, spark.sparkContext.defaultParallelism)
+    return cells.repartition(n, "cell").coalesce(n).mapInArrow(run, "a binary, b binary")
 
 
 def _bytes(prints: pa.Array) -> np.ndarray:
