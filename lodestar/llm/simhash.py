@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, partitions_for, table
+from .common import cut_lineage, partitions_for, small_side, table
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 BUCKET_ROWS, TASK_ROWS = 4096, 1_000_000
@@ -139,7 +139,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
     rows = distinct.select("fp", tables.alias("x")).select("fp", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
     large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows).select("t", "key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts"))
     parts = F.coalesce(F.col("parts"), F.lit(1))
-    salted = rows.join(large, ["t", "key"], "left").select("fp", "t", "key", parts.alias("parts"), F.pmod(F.xxhash64("fp", "t"), parts).cast("int").alias("p"))
+    salted = rows.join(small_side(large), ["t", "key"], "left").select("fp", "t", "key", parts.alias("parts"), F.pmod(F.xxhash64("fp", "t"), parts).cast("int").alias("p"))
     pairs = salted.select("fp", "t", "key", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     cells = pairs.select("fp", F.xxhash64("t", "key", F.least("p", "q"), F.greatest("p", "q")).alias("cell"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, partitions_for, table
+from .common import cut_lineage, partitions_for, small_side, table
 
 PIVOTS, QUERY_BLOCK, ROW_BLOCK, CHUNK = 32, 2048, 8192, 512
 TABLES, WIDTH, GOAL, PER_BUCKET, BUCKET_ROWS, SAMPLE, SEED = 6, 3.0, 0.97, 64, 512, 2000, 4
@@ -326,6 +326,7 @@ def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     indexed = classes.select("rep", "v").mapInArrow(index, "key long, id long, v array<double>")
     large = indexed.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > BUCKET_ROWS).select("key", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("parts"))
+    large = small_side(large)
     parts, n_tasks = F.coalesce(F.col("parts"), F.lit(1)), partitions_for(n * TABLES, 50_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def task(salt: Column) -> Column:
