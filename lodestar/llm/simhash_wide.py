@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, fresh, partitions_for, small_side
-from .simhash import BUCKET_ROWS, LOWER, SEED, TASK_ROWS, components, spanning_forest
+from .simhash import BUCKET_ROWS, LOWER, SEED, components, spanning_forest
 
 BITS, SHINGLE_WORDS, SIMILARITY, HIT, LEAST_KEY, PER_KEY = 256, 5, 0.8, 0.98, 14, 16
+WIDE_TASK_ROWS = 300_000
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -123,7 +124,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
             yield pa.RecordBatch.from_arrays([spell(a), spell(b)], names=["a", "b"])
 
     # a task joins what all its cells link, so fewer and larger tasks return fewer edges of a class that many cells hold
-    n = partitions_for(count * len(blocks), TASK_ROWS, spark.sparkContext.defaultParallelism)
+    n = partitions_for(count * len(blocks), WIDE_TASK_ROWS, spark.sparkContext.defaultParallelism)
     return cells.repartition(n, "cell").coalesce(n).mapInArrow(run, "a binary, b binary")
 
 
