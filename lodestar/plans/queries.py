@@ -374,7 +374,7 @@ def sample_search(spark, **more):
     return sources, chunks, nodes, edges, source, store.settle(rank.retrieve(source, sample_questions(spark), all_ranks=True, **more))
 
 
-@query()
+@query(samples.values("qid, pos, symbol, reason", samples.EXPANDED))
 def graph_expand(spark, sf_dir):
     _, chunks, nodes, edges, _, ranked = sample_search(spark)
     more = graph.expand(sample_questions(spark), ranked, chunks, nodes, edges, k=2)
@@ -494,7 +494,7 @@ def latency_p50_p95(spark, sf_dir):
     return evaluate.latency(table(spark, sf_dir, "events"), "value", ["event_type"])
 
 
-@query()
+@query(samples.values("type, n, mean_added, topk_recall, topk_all, baseline_recall, baseline_all, expand_recall, expand_all", samples.TRACE))
 def trace_eval(spark, sf_dir):
     _, chunks, nodes, edges, source, ranked = sample_search(spark)
     gold = spark.createDataFrame(samples.TRACE_GOLD, "qid long, type string, targets array<struct<path:string,line:int>>")

@@ -80,6 +80,13 @@ SIMILAR = [("resolv_host", 1, "resolve_host"), ("lnk", 1, "Link")]
 QUESTIONS = [(0, "What calls resolve_host?"), (1, "How is a link opened?"), (2, "What does Link.dial call?")]
 PINS = [(0, 1, "resolve_host, connect, open_link"), (2, 1, "Link")]
 IMPACT = [(0, "connect", 1, "resolve_host", 15), (0, "main", 2, "connect", 7), (0, "Link.dial", 2, "connect", 28), (0, "app", 3, "main", 10)]
+# with two hits a question: the first question hits the group alone, the second the group and main, the third Link and main
+EXPANDED = [
+    (0, 1, "main", "main calls connect (line 7)"), (0, 2, "Link", "Link.dial calls connect (line 28)"),
+    (1, 1, "Link", "Link.dial calls connect (line 28)"), (1, 2, "retry", "decorator of resolve_host"), (1, 3, "app", "app calls main (line 10)"),
+    (2, 1, "resolve_host, connect, open_link", "called by Link.dial"), (2, 2, "Base", "inherit of Link"), (2, 3, "Root", "called by Link.dial"),
+]
+TRACE = [("callees", 1, 3.0, 0.0, 0.0, 0.5, 0.0, 1.0, 1.0), ("callers", 1, 2.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0), ("(all)", 2, 2.5, 0.0, 0.0, 0.25, 0.0, 1.0, 1.0)]
 TRACE_GOLD = [(0, "callers", [("app.py", 7), ("pkg/net.py", 28)]), (2, "callees", [("pkg/base.py", 2), ("pkg/net.py", 14)])]
 
 SECRETS = [("key gsk_abcdefgh12345 leaked", "key [API key hidden] leaked"), ("sk-ABCDEFGH_-9 and sk-short", "[API key hidden] and sk-short"), ("nothing here", "nothing here")]
