@@ -38,17 +38,30 @@ def retrieval_metrics(ranks: DataFrame) -> DataFrame:
     )
 
 
-def latency(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Upper median and 95th percentile by place in sorted order: n // 2 and min(n - 1, int(0.95 n)), from 0.
+def latency(rows: DataFrame, value: str, by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """(by, n, p50, p95): values at places n // 2 and min(n - 1, int(0.95 n)) of the sorted group, from 0.
 
-    Ranks come from a count and a range of the sorted values, not from a list of them: a hot group stays distributed up to its own sort.
+    Exact selection without sorting a group: approximate percentiles bound each place from both sides, values below the bound are
+    counted, and only the few in between (about 8 in ``accuracy``; all of a group of up to ``accuracy`` rows) are ranked.
     """
-    order = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    placed = rows.filter(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(order) - 1).alias("i"), n.alias("n"))
-    at = lambda place: F.max(F.when(F.col("i") == place, F.col(value)))
-    last = F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n")))
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(last).alias("p95"))
+    held = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    margin = 4 / accuracy
+    shares = {"p50": 0.5, "p95": 0.95}
+    ends = [max(0.0, min(1.0, p + side * margin)) for p in shares.values() for side in (-1, 1)]
+    bounds = held.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", ends, accuracy).alias("_q"))
+    small = F.col("n") <= accuracy
+    targets = F.array(
+        *(
+            F.struct(F.lit(name).alias("name"), place.alias("place"), F.get("_q", F.lit(2 * i)).alias("low"), F.get("_q", F.lit(2 * i + 1)).alias("high"))
+            for i, (name, place) in enumerate({"p50": F.floor(F.col("n") / 2), "p95": F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n")))}.items())
+        )
+    )
+    keyed = held.join(bounds.select(*by, "n", targets.alias("_t")), by)
+    below = keyed.select(*by, F.inline("_t"), "n", "_v").filter((F.col("_v") < F.col("low")) & ~small).groupBy(*by, "name").agg(F.count("*").alias("_below"))
+    near = keyed.select(*by, F.inline("_t"), "n", "_v").filter(small | F.col("_v").between(F.col("low"), F.col("high")))
+    near = near.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "name").orderBy("_v")) - 1).join(below, [*by, "name"], "left")
+    hit = near.filter(F.col("_i") + F.coalesce("_below", F.lit(0)) == F.col("place"))
+    return hit.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in shares))
 
 
 def covered(gold: DataFrame, hits: DataFrame, chunks: DataFrame, name: str) -> DataFrame:

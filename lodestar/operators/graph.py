@@ -163,59 +163,66 @@ def ancestry(bases: DataFrame, classes: DataFrame, most: int = ANCESTORS) -> Dat
     return seen.withColumn("pos", F.row_number().over(order)).select("qual", "pos", "base")
 
 
+def _suffixes(name: Column) -> Column:
+    """a.b.c, b.c and c."""
+    return T.let(F.split(name, "\\.", -1), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
+
+
 def resolve(nodes: DataFrame, refs: DataFrame, bases: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (src, dst, kind, line, how) of the references that mean exactly one definition, and their counts.
 
     nodes: id, name, qual, path, kind, cls. refs: ref, owner (a node id), name, receiver, kind, line. bases: (qual, n, base).
-    imports: (path, name). Each reference meets the definitions of its name; every rule is a column, the first rule that
-    fits any definition decides, and the edge stays if it fits one only. ``self``, ``cls`` and ``super(`` look in the owner's
-    class, then its ancestors, nearest first; a bare name means the file's own definitions, else what the file imports, else
-    the only definition that is no method and no common name; a receiver means a class of that name, else the only definition.
+    imports: (path, name). The first rule that fits any definition decides, and the edge stays if it fits one only. ``self``,
+    ``cls`` and ``super(`` look in the owner's class, then its ancestors, nearest first; a bare name means the file's own
+    definitions, else what the file imports, else the only definition that is no method and no common name; a receiver means a
+    class of that name, else the only definition.
+
+    Each rule is a table with one row a key: how many definitions have the key, and one of them. References meet these tables
+    by equality, one row each, so a name with many definitions and many references makes no pairs.
     """
-    defs = nodes.filter("kind <> 'module'").select(F.col("id").alias("dst"), "name", F.col("path").alias("d_path"), F.col("kind").alias("d_kind"), F.coalesce("cls", F.lit("")).alias("d_cls"))
+    defs = nodes.filter("kind <> 'module'").select(F.col("id").alias("dst"), "name", "path", "kind", F.coalesce("cls", F.lit("")).alias("cls"))
+    method, inside = F.col("kind") == "method", defs.filter("cls <> ''")
+
+    def rule(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), F.min("dst").alias(f"d_{name}"))
+
+    by_name = defs.groupBy("name").agg(F.count("*").alias("n_only"), F.min("dst").alias("d_only"), F.count_if(~method).alias("n_top"), F.min(F.when(~method, F.col("dst"))).alias("d_top"))
+    own = rule(inside.filter(method).withColumnRenamed("cls", "o_cls"), "self", "name", "o_cls")
+    local = rule(defs.filter(~method).withColumnRenamed("path", "o_path"), "local", "name", "o_path")
+    ending = inside.select("dst", "name", "kind", F.explode(_suffixes(F.col("cls"))).alias("end"))
+    of_class = rule(ending.withColumnRenamed("end", "receiver"), "class", "name", "receiver")
+    inherited = rule(ending.filter(method).withColumnRenamed("end", "base"), "base", "name", "base")
     owners = nodes.select(F.col("id").alias("owner"), F.col("path").alias("o_path"), F.when(F.col("kind") == "class", F.col("qual")).otherwise(F.coalesce("cls", F.lit(""))).alias("o_cls"))
-    asked = refs.join(owners, "owner")
     known = imports.select(F.col("path").alias("o_path"), "name").distinct().withColumn("imported", F.lit(True))
-    asked = asked.join(known, ["o_path", "name"], "left").withColumn("imported", F.coalesce("imported", F.lit(False)))
-    pairs = asked.join(defs, "name")
-    above = ancestry(bases, nodes.filter("kind = 'class'").select("qual", "name"))
-    above = above.select(F.col("qual").alias("o_cls"), "pos", "base")
-    recv, cls = F.col("receiver"), F.col("d_cls")
-    own = recv.isin("self", "cls")
-    upward = F.coalesce(own | recv.startswith("super("), F.lit(False))
-    method = F.col("d_kind") == "method"
-    of = lambda c, name: (c == name) | c.endswith(F.concat(F.lit("."), name))
-    climbing = pairs.filter(upward & method & (F.col("o_cls") != "")).join(above, "o_cls").filter(of(cls, F.col("base")))
-    climbing = climbing.groupBy("ref", "dst").agg(F.min("pos").alias("up"))
-    pairs = pairs.join(climbing, ["ref", "dst"], "left")
-    each = Window.partitionBy("ref")
-    pairs = pairs.withColumn("nearest", F.min("up").over(each)).withColumn("n_all", F.count("*").over(each)).withColumn("n_top", F.count_if(~method).over(each))
-    rare = ~F.col("name").isin(COMMON_NAMES)
-    bare = recv.isNull()
-    other = ~bare & ~upward
-    rules = {
-        "self": F.coalesce(own, F.lit(False)) & method & (F.col("o_cls") != "") & (cls == F.col("o_cls")),
-        "base": upward & (F.col("up") == F.col("nearest")),
-        "local": bare & ~method & (F.col("d_path") == F.col("o_path")),
-        "import": bare & F.col("imported") & ~method & (F.col("n_top") == 1),
-        "unique": bare & ~F.col("imported") & ~method & (F.col("n_top") == 1) & rare,
-        "class": other & (cls != "") & of(cls, recv),
-        "only": other & (F.col("n_all") == 1) & rare,
-    }
-    for name, rule in rules.items():
-        fits = F.coalesce(rule, F.lit(False))
-        pairs = pairs.withColumn(f"is_{name}", fits).withColumn(f"n_{name}", F.count_if(fits).over(each))
-    how, chosen, count = F.lit(None).cast("string"), F.lit(False), F.lit(0)
-    for name in reversed(rules):
-        some = F.col(f"n_{name}") > 0
-        how, chosen, count = F.when(some, F.lit("unique" if name == "only" else name)).otherwise(how), F.when(some, F.col(f"is_{name}")).otherwise(chosen), F.when(some, F.col(f"n_{name}")).otherwise(count)
-    picked = pairs.withColumns({"how": how, "chosen": chosen, "n": count})
-    sure = picked.filter("chosen and n = 1 and dst <> owner")
+    asked = refs.join(owners, "owner")
+    recv = F.col("receiver")
+    climbs = F.coalesce(recv.isin("self", "cls") | recv.startswith("super("), F.lit(False))
+    above = ancestry(bases, nodes.filter("kind = 'class'").select("qual", "name")).withColumnRenamed("qual", "o_cls")
+    up = asked.filter(climbs & (F.col("o_cls") != "")).select("ref", "name", "o_cls").join(above, "o_cls").join(inherited, ["name", "base"])
+    up = up.groupBy("ref").agg(F.min(F.struct("pos", "n_base", "d_base")).alias("u")).select("ref", "u.n_base", "u.d_base")
+    met = asked.join(by_name, "name", "left").join(own, ["name", "o_cls"], "left").join(local, ["name", "o_path"], "left")
+    met = met.join(of_class, ["name", "receiver"], "left").join(known, ["name", "o_path"], "left").join(up, "ref", "left")
+    rare, bare, imported = ~F.col("name").isin(COMMON_NAMES), recv.isNull(), F.coalesce("imported", F.lit(False))
+    one_top = F.col("n_top") == 1
+    rules = [
+        ("self", climbs & recv.isin("self", "cls") & (F.col("o_cls") != "") & (F.col("n_self") > 0), "self"),
+        ("base", climbs & (F.col("n_base") > 0), "base"),
+        ("local", bare & (F.col("n_local") > 0), "local"),
+        ("import", bare & imported & one_top, "top"),
+        ("unique", bare & ~imported & one_top & rare, "top"),
+        ("class", ~bare & ~climbs & (F.col("n_class") > 0), "class"),
+        ("unique", ~bare & ~climbs & (F.col("n_only") == 1) & rare, "only"),
+    ]
+    pick = F.lit(None).cast(f"struct<how:string,dst:{dict(nodes.dtypes)['id']},n:bigint>")
+    for how, fits, source in reversed(rules):
+        pick = F.when(F.coalesce(fits, F.lit(False)), F.struct(F.lit(how).alias("how"), F.col(f"d_{source}").alias("dst"), F.col(f"n_{source}").alias("n"))).otherwise(pick)
+    picked = met.withColumn("pick", pick)
+    kinds = nodes.select(F.col("id").alias("dst"), F.col("kind").alias("d_kind"))
+    sure = picked.filter("pick.n = 1 and pick.dst <> owner").select(F.col("owner").alias("src"), F.col("pick.dst").alias("dst"), "kind", "line", F.col("pick.how").alias("how")).join(kinds, "dst")
     kind = F.when((F.col("kind") == "call") & (F.col("d_kind") == "class"), "instantiate").otherwise(F.col("kind"))
-    edges = first_edges(sure.select(F.col("owner").alias("src"), "dst", kind.alias("kind"), "line", "how"))
-    tally = picked.groupBy("ref").agg(F.max("n").alias("n"))
-    counts = refs.join(tally, "ref", "left").agg(F.count_if(F.col("n").isNull()).alias("unresolved"), F.count_if(F.col("n").isNotNull() & (F.col("n") != 1)).alias("ambiguous"))
-    return edges, counts
+    edges = first_edges(sure.select("src", "dst", kind.alias("kind"), "line", "how"))
+    several = F.col("n_only").isNotNull() & (F.coalesce("pick.n", F.lit(0)) != 1)
+    return edges, picked.agg(F.count_if(F.col("n_only").isNull()).alias("unresolved"), F.count_if(several).alias("ambiguous"))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, counts: DataFrame) -> DataFrame:

@@ -118,8 +118,9 @@ def verbatim(passages: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame
     asked = passages.filter("text <> ''").select("qid", F.col("text").alias("passage"), split("text").alias("w"))
     keyed = asked.filter(F.size("w") >= words + 2).select("qid", "passage", F.xxhash64(F.slice("w", 2, words)).alias("key"))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(words))))
-    grams = texts.select("doc", "text", split("text").alias("w")).filter(F.size("w") >= words).select("doc", "text", F.explode(F.array_distinct(runs)).alias("key"))
-    long = grams.join(keyed, "key").filter(F.contains("text", "passage")).select("qid", "doc")
+    grams = texts.select("doc", split("text").alias("w")).filter(F.size("w") >= words).select("doc", F.explode(F.array_distinct(runs)).alias("key"))
+    met = grams.join(keyed, "key").select("qid", "doc", "passage").distinct()
+    long = met.join(texts, "doc").filter(F.contains("text", "passage")).select("qid", "doc")
     short = asked.filter(F.size("w") < words + 2).join(texts, F.contains(texts.text, F.col("passage"))).select("qid", "doc")
     return long.unionByName(short).distinct()
 

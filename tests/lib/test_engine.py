@@ -241,3 +241,39 @@ def test_another_embedder(spark, index):
     rows = rank.retrieve(source, asked, mode="dense").join(source.chunks.select("doc", F.col("embedded").alias("text")), "doc").orderBy("pos").collect()
     share = lambda t: (t.lower().count("a") + 2 * t.lower().count("l")) / max(1e-9, sum(t.lower().count(c) ** 2 for c in "aol") ** 0.5)
     assert [round(share(r.text), 6) for r in rows] == sorted((round(share(r.text), 6) for r in rows), reverse=True)
+
+
+def test_percentiles_by_selection(spark):
+    rows = spark.range(5000).selectExpr("id % 3 as g", "double((id * 7919) % 501) as v").unionByName(spark.createDataFrame([(0, None), (9, 1.5)], "g long, v double"))
+    want = {}
+    for r in rows.filter("v is not null").collect():
+        want.setdefault(r.g, []).append(r.v)
+    for accuracy in (100, 10_000):
+        got = {r.g: (r.n, r.p50, r.p95) for r in evaluate.latency(rows, "v", ["g"], accuracy).collect()}
+        assert got == {g: (len(v), sorted(v)[len(v) // 2], sorted(v)[min(len(v) - 1, int(0.95 * len(v)))]) for g, v in want.items()}
+
+
+def test_resolution_rules(spark):
+    text = """
+from other import helper, Twice
+class Twice:
+    pass
+class A:
+    def run(self): helper(); self.get(); get(); thing.get(); A.run(); unknown()
+    def get(self): return Twice()
+class B(A):
+    def go(self): self.run(); super().get(); cls.nothing()
+def get(): pass
+def outer():
+    def inner(): outer()
+    inner()
+"""
+    rows = spark.createDataFrame([("m.py", "0m.py", text), ("other.py", "0other.py", "def helper(): pass\nclass Twice: pass\n")], "path string, file_ord string, text string")
+    index = engine.build_index(rows)
+    name = lambda side: index.nodes.select(F.col("id").alias(side), F.concat("path", F.lit(":"), "qual").alias(f"{side}_name"))
+    got = {(r.src_name[5:], r.dst_name, r.kind, r.how) for r in index.edges.join(name("src"), "src").join(name("dst"), "dst").collect()}
+    assert got == {
+        ("A.run", "other.py:helper", "call", "import"), ("A.run", "m.py:A.get", "call", "self"), ("A.run", "m.py:get", "call", "local"), ("A.get", "m.py:Twice", "instantiate", "local"),
+        ("B", "m.py:A", "inherit", "local"), ("B.go", "m.py:A.run", "call", "base"), ("B.go", "m.py:A.get", "call", "base"),
+        ("outer.inner", "m.py:outer", "call", "local"), ("outer", "m.py:outer.inner", "call", "local"),
+    }
