@@ -258,7 +258,7 @@ def _fit(classes: DataFrame, k: int) -> tuple[Hashes | None, int]:
     bits = max(0, round(math.log2(n / PER_BUCKET)))
     hashes = Hashes(sample.shape[1], bits, float(longest), 1.0)
     gaps = np.sqrt(np.maximum(0, 2 - 2 * hashes.lift(sample[:200], True) @ hashes.lift(sample, False).T))
-    gaps = gaps[gaps > 1e-6]
+    gaps = gaps[np.arange(len(gaps))[:, None] != np.arange(len(sample))]  # not a vector's distance from itself
     hashes.spread = max(1e-3, float(np.quantile(gaps, min(1.0, k / n)))) if len(gaps) else 1.0
     return hashes, n
 

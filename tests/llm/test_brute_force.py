@@ -313,6 +313,17 @@ def test_approximate_recall(embeddings):
     assert all(abs(at[q] @ at[i] - s) < 1e-12 for q in list(got)[:20] for i, s in got[q])
 
 
+def test_recall_does_not_fall_with_the_table(spark):
+    """Many vectors for each neighbour asked for, and buckets that are salted."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(12_000, 16))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(np.float64)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for k in (1, 5):
+        got, want = got_top(vectors.nearest(rows, 400, k)), plain_top(x, np.arange(len(x)), np.arange(0, len(x), 400), k)
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / k for q in want]) >= 0.9
+
+
 def test_probes_come_in_order_of_probability():
     draw = np.random.default_rng(4)
     inside = draw.uniform(0.05, 0.45, size=(4, 2))
