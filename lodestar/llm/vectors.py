@@ -12,7 +12,7 @@ a grid of query blocks and candidate blocks, both of fixed size; a task holds on
 Approximate search. Each table hashes ``M`` p-stable projections into cells of ``WIDTH``; M follows the number of
 vectors. A query visits its own bucket and then perturbed ones in the order of the estimated probability that a
 neighbour fell there, until that probability adds up to the table's share of ``GOAL``. Index rows meet probes by
-bucket; buckets over ``BUCKET_ROWS`` are salted and their probes copied to every part. Each task merges the candidates
+bucket; buckets over ``BUCKET_ROWS`` and a quarter of a task's share are salted and their probes copied to every part. Each task merges the candidates
 that its buckets give a query and ranks them by exact inner products.
 """
 
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, partitions_for, small_side, table
 
 PIVOTS, QUERY_BLOCK, ROW_BLOCK, CHUNK = 32, 2048, 8192, 512
-TABLES, WIDTH, GOAL, PER_BUCKET, BUCKET_ROWS, SAMPLE, SEED = 6, 3.0, 0.97, 64, 512, 2000, 4
+SPREAD_SHARE = 0.75
+TABLES, WIDTH, GOAL, PER_BUCKET, BUCKET_ROWS, SAMPLE, SEED = 6, 3.0, 0.95, 64, 512, 2000, 4
 
 FOUND = "qid long, id long, score double"
 
@@ -258,8 +259,11 @@ def _fit(classes: DataFrame, k: int) -> tuple[Hashes | None, int]:
     bits = max(0, round(math.log2(n / PER_BUCKET)))
     hashes = Hashes(sample.shape[1], bits, float(longest), 1.0)
     gaps = np.sqrt(np.maximum(0, 2 - 2 * hashes.lift(sample[:200], True) @ hashes.lift(sample, False).T))
-    gaps = gaps[np.arange(len(gaps))[:, None] != np.arange(len(sample))]  # not a vector's distance from itself
-    hashes.spread = max(1e-3, float(np.quantile(gaps, min(1.0, k / n)))) if len(gaps) else 1.0
+    # each sampled query's distance to its k-th neighbour, leaving itself out; most queries lie below the upper quartile
+    own = np.arange(len(gaps))[:, None] == np.arange(len(sample))
+    gaps = gaps[~own].reshape(len(gaps), -1)
+    if gaps.size:
+        hashes.spread = max(1e-3, float(np.quantile(np.quantile(gaps, min(1.0, k / n), axis=1), SPREAD_SHARE)))
     return hashes, n
 
 
@@ -306,15 +310,22 @@ def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
             for i in np.flatnonzero(~is_row):
                 wanted = np.array(got.column("keys")[int(i)].as_py(), np.int64)
                 begin, end = np.searchsorted(row_keys, wanted, "left"), np.searchsorted(row_keys, wanted, "right")
-                spans = [np.arange(a, b) for a, b in zip(begin, end, strict=True) if b > a]
-                if not spans:
+                some = np.flatnonzero(end > begin)
+                if not len(some):
                     continue
-                near = np.concatenate(spans)
-                near = near[np.unique(row_ids[near], return_index=True)[1]]
-                scores = row_vectors[near] @ v[i]
-                if len(near) > k + 1:
-                    least = np.partition(scores, -(k + 1))[-(k + 1)]
+                # buckets are runs of rows: one product each, and a row can occur once in every table
+                begin, end = begin[some], end[some]
+                sizes = end - begin
+                stops = np.cumsum(sizes)
+                scores = np.empty(stops[-1])
+                for a, b, stop in zip(begin.tolist(), end.tolist(), stops.tolist(), strict=True):
+                    np.dot(row_vectors[a:b], v[i], out=scores[stop - b + a : stop])
+                near = np.repeat(begin - stops + sizes, sizes) + np.arange(stops[-1])
+                most = TABLES * (k + 1)
+                if len(near) > most:
+                    least = np.partition(scores, -most)[-most]
                     near = near[scores >= least - 1e-9 * max(1.0, abs(least))]
+                near = near[np.unique(row_ids[near], return_index=True)[1]]
                 scores = np.cumsum(row_vectors[near] * v[i], axis=1)[:, -1]
                 best = np.lexsort((row_ids[near], -scores))[: k + 1]
                 out[0].append(np.full(len(best), ids[i]))
@@ -325,9 +336,10 @@ def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
     if hashes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     indexed = classes.select("rep", "v").mapInArrow(index, "key long, id long, v array<double>")
-    large = indexed.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > BUCKET_ROWS).select("key", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("parts"))
-    large = small_side(large)
-    parts, n_tasks = F.coalesce(F.col("parts"), F.lit(1)), partitions_for(n * TABLES, 50_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_tasks = partitions_for(n * TABLES, 50_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = max(BUCKET_ROWS, n * TABLES // (4 * n_tasks))
+    large = indexed.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > most).select("key", F.ceil(F.col("rows") / most).cast("int").alias("parts"))
+    large, parts = small_side(large), F.coalesce(F.col("parts"), F.lit(1))
 
     def task(salt: Column) -> Column:
         return F.pmod(F.xxhash64("key", salt), F.lit(n_tasks)).cast("int").alias("task")

@@ -324,6 +324,17 @@ def test_recall_does_not_fall_with_the_table(spark):
         assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / k for q in want]) >= 0.9
 
 
+def test_recall_beside_a_dense_cluster(spark):
+    """A third of the vectors all but equal: they say nothing about the distances of the others."""
+    draw = np.random.default_rng(12)
+    x = draw.normal(size=(6_000, 16))
+    x[::3] = x[0] + draw.normal(size=(2_000, 16)) * 1e-4
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got, want = got_top(vectors.nearest(rows, 100, 10)), plain_top(x, np.arange(len(x)), np.arange(0, len(x), 100), 10)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_probes_come_in_order_of_probability():
     draw = np.random.default_rng(4)
     inside = draw.uniform(0.05, 0.45, size=(4, 2))
