@@ -63,17 +63,24 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
 
 
-def stem(token: Column) -> Column:
-    """Plural and verb endings off, then a closing e: decode, decoded and decoding meet."""
+def _ending_off(token: Column) -> Column:
     n = F.length(token)
-    base = (
+    return (
         F.when((n > 4) & token.endswith("ies"), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
         .when((n > 5) & token.endswith("ing"), F.substring(token, F.lit(1), n - 3))
         .when((n > 4) & token.endswith("ed"), F.substring(token, F.lit(1), n - 2))
         .when((n > 3) & token.endswith("s") & ~token.endswith("ss"), F.substring(token, F.lit(1), n - 1))
         .otherwise(token)
     )
-    return let(base, lambda b: F.when((F.length(b) > 4) & b.endswith("e"), F.substring(b, F.lit(1), F.length(b) - 1)).otherwise(b))
+
+
+def _e_off(token: Column) -> Column:
+    return F.when(token.endswith("e") & (F.length(token) > 4), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+
+
+def stem(token: Column) -> Column:
+    """Plural and verb endings off, then a closing e: decode, decoded and decoding meet."""
+    return let(_ending_off(token), _e_off)
 
 
 def parts(word: Column) -> Column:
@@ -89,11 +96,12 @@ def tokens(text: Column | str, drop_stop_words: bool = False) -> Column:
             low = F.lower(word)
             return F.when((F.size(p) > 1) | word.contains("_"), F.concat(F.array(low), F.filter(p, lambda x: x != low))).otherwise(F.array(low))
 
-        return let(parts(word), both)
+        # most words are one part, which a pattern tells sooner than their parts
+        return F.when(word.rlike("^(?:[A-Z]?[a-z]+|[A-Z]+)$"), F.array(F.lower(word))).otherwise(let(parts(word), both))
 
     found = F.flatten(F.transform(_all(_text(text), IDENTIFIER), spread))
     kept = F.filter(found, lambda t: (F.length(t) >= 2) & (~t.isin(STOP_WORDS) if drop_stop_words else F.lit(True)))
-    return F.transform(kept, stem)
+    return F.transform(F.transform(kept, _ending_off), _e_off)
 
 
 def hashing_tokens(text: Column | str) -> Column:

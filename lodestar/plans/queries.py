@@ -43,6 +43,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' term counts, worked out once and kept: what BM25 searches."""
+    return store.settle(lexical.documents_terms(docs(spark, sf_dir)))
+
+
 DOCS, ASKED = "d AS (SELECT doc_id AS doc, text FROM documents)", "q AS (SELECT item_id AS qid, text FROM benchmark)"
 DOC_TOKENS, QUERY_TOKENS = oracle.tokens("dt", "d", "doc", "text"), oracle.tokens("qt", "q", "qid", "text", stop=True)
 
@@ -91,7 +96,7 @@ def doc_lengths(spark, sf_dir):
     "SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM f CROSS JOIN n"
 )
 def term_idf(spark, sf_dir):
-    terms = lexical.documents_terms(docs(spark, sf_dir))
+    terms = doc_terms(spark, sf_dir)
     rows = lexical.postings(terms).groupBy("term").agg(F.count("*").alias("df"))
     return rows.crossJoin(F.broadcast(lexical.corpus_stats(terms))).select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
@@ -100,7 +105,7 @@ _BM25 = f"{DOCS}, {ASKED}, {DOC_TOKENS}, {QUERY_TOKENS}, {oracle.bm25('s', 'dt',
 
 
 def bm25_hits(spark, sf_dir, k=TOP):
-    return lexical.top_k(lexical.bm25_scores(lexical.documents_terms(docs(spark, sf_dir)), questions(spark, sf_dir)), k)
+    return lexical.top_k(lexical.bm25_scores(doc_terms(spark, sf_dir), questions(spark, sf_dir)), k)
 
 
 @query(f"WITH {_BM25}, {oracle.top('h', 's', TOP)} SELECT qid, doc, rank, round(score, 6) AS score FROM h")
@@ -214,7 +219,7 @@ lists AS (SELECT qid, 0 AS list_no, doc, rank, 2 AS weight FROM b UNION ALL SELE
 
 @query(f"WITH {_MULTI} SELECT qid, doc, rank, round(score, 9) AS score FROM f WHERE rank <= {TOP}")
 def multi_query_rrf(spark, sf_dir):
-    terms = lexical.documents_terms(docs(spark, sf_dir))
+    terms = doc_terms(spark, sf_dir)
     own = questions(spark, sf_dir).select((F.col("qid") * 3).alias("qid"), "text")
     all_queries = own.unionByName(halves(spark, sf_dir).select((F.col("qid") * 3 + 1 + F.col("pos")).alias("qid"), "text"))
     lists = lexical.top_k(lexical.bm25_scores(terms, all_queries), DEPTH)
