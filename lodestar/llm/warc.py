@@ -64,7 +64,7 @@ def tree(records: DataFrame) -> list[DataFrame]:
     """Levels from the leaves up; the last has the roots (place 0)."""
     levels = [cut_lineage(leaves(records))]
     for _ in range(LEVELS):
-        levels.append(parents(levels[-1]))
+        levels.append(cut_lineage(parents(levels[-1])))
     return levels
 
 
@@ -83,7 +83,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     looked, bad = [roots.groupBy("file").agg(F.count("*").alias("looked"))], roots.filter("bad").select("file", F.col("place").alias("above"))
     for level in reversed(range(LEVELS)):
         below = pair(level).withColumn("above", F.floor(F.col("place") / FANOUT)).join(bad, ["file", "above"], "left_semi")
-        below = below.select("file", "place", F.coalesce("a.start", "b.start").alias("start"), F.coalesce("a.stop", "b.stop").alias("stop"), differs.alias("bad"))
+        below = cut_lineage(below.select("file", "place", F.coalesce("a.start", "b.start").alias("start"), F.coalesce("a.stop", "b.stop").alias("stop"), differs.alias("bad")))
         looked.append(below.groupBy("file").agg(F.count("*").alias("looked")))
         bad = below.filter("bad").select("file", F.col("place").alias("above"), "start", "stop")
         if level:
