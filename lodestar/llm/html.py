@@ -1,32 +1,34 @@
-"""Operator 8: main text of web pages, by structure and a host suffix array.
+"""Operator 8: main text of web pages, by structure and the runs that a host repeats.
 
 A page becomes blocks of text in page order. Structure settles what it can: elements that hold menus, headers, footers,
 sidebars, notices, adverts, forms or comments are left out, and text inside an article (else a main) element is kept.
 Structure alone can't judge the blocks of pages without such elements, and repetition alone can't give right results:
-it would delete passages that articles share and keep footers that occur once. So the suffix array decides exactly the
-blocks that structure leaves open: the token streams of a host's pages are concatenated, their suffixes are sorted, and
-runs of at least ``RUN`` tokens that recur on distinct pages with different content are covered; an open block that is
-mostly covered is boilerplate, the others are kept whole.
-
-Scale: pages are range-partitioned by host and a hash of the page, once, as they are: a host with a third of all pages
-spreads over many tasks and small hosts stay together. A task sorts at most ``GROUP_PAGES`` pages of a host or
-``GROUP_TOKENS`` tokens at a time, whichever comes first.
+it would delete passages that articles share and keep footers that occur once. So repetition decides exactly the blocks
+that structure leaves open: runs of ``RUN`` tokens that recur on open pages of the same host with different content are
+covered; an open block that is mostly covered is boilerplate, the others are kept whole.
+
+Scale: pages with an article or main element are read where they are and never move. Of the others, each different run is
+one 64-bit hash a page; hashes are counted by host and run over all pages of the host, with partial sums before the
+shuffle, and the repeated ones are joined back, runs of more than ``SALT_ROWS`` pages in several parts. So no page's text depends on how
+the pages are dealt to tasks, and no task holds a host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut_lineage, small_side, table
 
-RUN, COVERED, GROUP_PAGES, GROUP_TOKENS = 6, 0.6, 128, 400_000
+RUN, COVERED, SALT_ROWS, OUT_ROWS = 6, 0.6, 100_000, 500
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe svg math object embed canvas audio video textarea title select option datalist".split())
@@ -104,10 +106,11 @@ def _level(name: str, marks: set[str], parent: int, zone: str) -> int:
     return max(parent, own)
 
 
-def blocks(page: str | None) -> list[tuple[str, str]]:
+def blocks(page: str | None, first: bool = False) -> list[tuple[str, str]]:
     """(zone, text) of a page in page order; zone is "article", "main" or "open". Null or markup alone: an empty list.
 
-    White space inside a block is one space, the ends are trimmed, character references are decoded.
+    White space inside a block is one space, the ends are trimmed, character references are decoded. With ``first``, reading
+    stops behind the first block of an article or main element.
     """
     text, n = page or "", len(page or "")
     found: list[tuple[str, str]] = []
@@ -121,7 +124,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 found.append((stack[-1][2], block))
             parts.clear()
 
-    while at < n:
+    while at < n and not (first and found and found[-1][0] != "open"):
         start = text.find("<", at)
         if start < 0:
             start = n
@@ -214,26 +217,89 @@ def suffix_cover(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
     return [covered[e - n - 1 : e - 1] for e, n in zip(ends, sizes, strict=True)]
 
 
+@lru_cache(1 << 16)
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def run_keys(page: list[str], host: str) -> np.ndarray:
+    """For each place in a page's tokens, from the first block to the last, the hash of the host and the run of ``RUN`` tokens there."""
+    tokens = np.array([_hash(w) for text in page for w in text.split(" ")], np.int64)
+    n = max(0, len(tokens) - RUN + 1)
+    keys = np.full(n, _hash("//" + host), np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(RUN):
+            keys = (keys ^ (keys >> 31)) * np.int64(-4658895280553007687) + tokens[k : k + n]
+    return keys
+
+
+def content_key(page: list[str]) -> int:
+    """The hash of a page's tokens: pages with the same are one page published twice."""
+    return _hash.__wrapped__(" ".join(page))
+
+
+def without_runs(page: list[str], host: str, repeated: np.ndarray) -> str:
+    """The text of an open page without the blocks that are mostly covered by ``repeated`` runs."""
+    sizes = [text.count(" ") + 1 for text in page]
+    edge = np.zeros(sum(sizes) + 1, np.int64)
+    starts = np.flatnonzero(np.isin(run_keys(page, host), repeated))
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + RUN, -1)
+    covered, ends = np.cumsum(edge) > 0, np.cumsum(sizes)
+    return "\n\n".join(text for text, n, end in zip(page, sizes, ends, strict=True) if covered[end - n : end].mean() < COVERED)
+
+
+def settled(page: str | None) -> bool:
+    """Whether structure alone decides what is the page's text."""
+    found = blocks(page, first=True)
+    return bool(found) and found[-1][0] != "open"
+
+
+def settled_text(found: list[tuple[str, str]]) -> str:
+    zone = "article" if any(zone == "article" for zone, _ in found) else "main"
+    return "\n\n".join(text for z, text in found if z == zone)
+
+
 def main_texts(pages: list[str | None]) -> list[str]:
-    """Main texts of pages of one host."""
+    """Main texts of all pages of one host."""
     found = [blocks(p) for p in pages]
-    words: dict[str, int] = {}
-    streams, where = [], []
-    for page in found:
-        ids = [[words.setdefault(w, len(words)) for w in text.split(" ")] for _, text in page]
-        streams.append(np.array([i for b in ids for i in b], np.int64))
-        where.append(np.cumsum([0, *map(len, ids)]))
-    cover = suffix_cover(streams) if len(pages) > 1 else [np.zeros(len(s), bool) for s in streams]
-    texts = []
-    for page, covered, at in zip(found, cover, where, strict=True):
-        zones = {zone for zone, _ in page}
-        settled = next((z for z in ("article", "main") if z in zones), None)
-        if settled:
-            kept = [text for zone, text in page if zone == settled]
-        else:
-            kept = [text for (_, text), a, b in zip(page, at, at[1:], strict=False) if covered[a:b].mean() < COVERED]
-        texts.append("\n\n".join(kept))
-    return texts
+    open_pages = [None if any(zone != "open" for zone, _ in page) else [text for _, text in page] for page in found]
+    distinct = {content_key(page): page for page in open_pages if page is not None}
+    keys = [np.unique(run_keys(page, "")) for page in distinct.values()]
+    runs, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
+    return [settled_text(f) if page is None else without_runs(page, "", runs[counts > 1]) for f, page in zip(found, open_pages, strict=True)]
+
+
+def _open_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text) of open pages (id, page_id, url, host, blocks): what their hosts do not repeat."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                ids, hosts, found = (c.to_pylist() for c in batch.slice(at, OUT_ROWS).columns)
+                keys = [np.unique(run_keys(page, host)) for host, page in zip(hosts, found, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(map(content_key, found), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "host", "content", "keys"]
+                )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(at, OUT_ROWS)
+                hosts, found, keys = (part.column(i).to_pylist() for i in (2, 3, 4))
+                texts = [without_runs(page, host, np.array(k or [], np.int64)) for host, page, k in zip(hosts, found, keys, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    keyed = pages.select("id", "host", "blocks").mapInArrow(hashed, "id long, host string, content long, keys array<long>")
+    one_each = keyed.groupBy("host", "content").agg(F.min("id").alias("id")).select("id", F.lit(1).alias("one"))
+    runs = keyed.join(one_each, "id", "left").select("id", "one", F.explode("keys").alias("key"))
+    repeated = runs.groupBy("key").agg(F.count("*").alias("rows"), F.count("one").alias("contents")).filter("contents > 1")
+    repeated = cut_lineage(repeated.select("key", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("parts")))
+    large = small_side(repeated.filter("parts > 1"))
+    salted = repeated.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    runs = runs.join(large, "key", "left").select("id", "key", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+    hits = runs.join(salted, ["key", "salt"]).groupBy("id").agg(F.collect_list("key").alias("keys"))
+    return pages.join(hits, "id", "left").select("page_id", "url", "host", "blocks", "keys").mapInArrow(cut, "page_id long, url string, text string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -244,33 +310,30 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    rows = rows.repartitionByRange("host", F.xxhash64("page_id", "url")).sortWithinPartitions("host")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            texts = main_texts([h[2] for h in held])
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
-            )
-            held.clear()
-            return out
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(at, OUT_ROWS)
+                found = [None if settled(page) else [text for _, text in blocks(page)] for page in part.column(2).to_pylist()]
+                part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(found, pa.list_(pa.string()))], names=["page_id", "url", "host", "blocks"])
+                yield part.filter(part.column(3).is_valid())
 
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            for i in range(batch.num_rows):
-                row = tuple(c[i].as_py() for c in columns)
-                if held and (row[3] != held[0][3] or len(held) >= GROUP_PAGES or size > 8 * GROUP_TOKENS):
-                    yield flush()
-                    size = 0
-                held.append(row)
-                size += len(row[2] or "")
-        if held:
-            yield flush()
-
-    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(at, OUT_ROWS)
+                found = [blocks(page) for page in part.column(2).to_pylist()]
+                texts = [settled_text(f) if any(zone != "open" for zone, _ in f) else None for f in found]
+                part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                yield part.filter(part.column(2).is_valid())
+
+    texts = rows.mapInArrow(closed, "page_id long, url string, text string")
+    left = rows.mapInArrow(opened, "page_id long, url string, host string, blocks array<string>")
+    left = cut_lineage(left.select(F.monotonically_increasing_id().alias("id"), "*"))
+    if not left.isEmpty():
+        texts = texts.unionByName(_open_texts(left))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

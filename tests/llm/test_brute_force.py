@@ -403,6 +403,24 @@ def test_structure_and_repetition():
     assert html.main_texts([*pages, pages[0]]) == [f"story {i} has words {i * 7} that are its own {i}" for i in (0, 1, 2, 3, 4, 0)]
 
 
+def test_repetition_is_sought_on_the_whole_host(spark):
+    # the footers of 40 kinds recur once in 40 pages, so no slice of few pages shows them; the last host has one page
+    foot = lambda i: " ".join(f"foot{i % 40}x{j}" for j in range(8))
+    rows = [(i, f"http://h.org/{i}", f"<div><p>own words of page {i} are {i * 7} here</p></div><div>{foot(i)}</div>") for i in range(400)]
+    rows += [(1000, "http://other.org/", f"<div>{foot(0)}</div>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"own words of page {i} are {i * 7} here" for i in range(400)} | {1000: foot(0)}
+    for parts in (1, 23):
+        assert {r.page_id: r.text for r in html.extract(frame.repartition(parts)).collect()} == want
+
+
+def test_large_runs_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(html, "SALT_ROWS", 3)
+    rows = [(i, "http://h.org/", f"<div>story {i} alone</div><div>Home About Contact Imprint Privacy Jobs</div>") for i in range(30)]
+    got = html.extract(spark.createDataFrame(rows * 2, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted((i, f"story {i} alone") for i in range(30) for _ in range(2))
+
+
 def test_suffix_cover_against_all_runs():
     draw = np.random.default_rng(7)
     for _ in range(40):
