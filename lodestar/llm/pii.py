@@ -5,14 +5,16 @@
    digits (keys, tokens, passwords), long digit groups, and addresses whose signs are spelt out.
 3. Each candidate gets features of its format and of its context. Boosted trees, written as CASE expressions, turn
    them into a probability. Thresholds are calibrated for each generator on rows that the trees have not seen; a
-   candidate over its threshold that touches no base span becomes a span of kind secret, number or address.
+   candidate over its threshold that touches no base span becomes a span of kind secret, number or address. So does, at
+   any score, one that is a known credential format or follows words that name a credential.
 
-The trees are trained on the driver from at most ``TRAIN_ROWS`` candidates of ``TRAIN_DOCS`` documents, chosen by hash
-of doc_id. There are no hand-made labels: a candidate is positive if it is a base span or a known credential format, or
-if the words before it name a credential; each positive is shown once more with its context hidden, so that format
-alone must do. Base spans are never dropped.
+The trees are trained on the driver from at most ``TRAIN_ROWS`` candidates of all documents: for each generator and label
+an equal share, chosen by hash, so that rare positives are not lost; copies count once. There are no hand-made labels: a
+candidate is positive if it is a base span or a known credential format, or if the words before it name a credential; each
+positive is shown once more with its context hidden, so that format alone must do. Thresholds weigh the shares by what
+they stand for. A generator with too few positives to calibrate asks for a probability of ``PRECISION``. Base spans are never dropped.
 
-Scale: a projection, no shuffle; every text is read whole. Patterns are possessive or anchored at run starts, so that
+Scale: two passes over the texts for training, which shuffle the chosen candidates alone, and a projection; every text is read whole. Patterns are possessive or anchored at run starts, so that
 they are linear in the text and need no stack on long runs.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, TRAIN_ROWS, ROUNDS, RATE, PRECISION = 6_000, 20_000, 30, 0.3, 0.99
+TRAIN_ROWS, ROUNDS, RATE, PRECISION = 20_000, 30, 0.3, 0.99
 
 # What a match may start with: the end of the match before, or a place where no run is under way. A start inside a
 # run shares the run's tail, so it can match only if the run's own start does.
@@ -160,6 +162,11 @@ def _touches(base: Column, c: Column) -> Column:
     return F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
 
 
+def _certain(c: Column) -> Column:
+    """Known credential formats, and what follows words that name a credential."""
+    return c["known"] | (c["named"] > 0)
+
+
 @dataclass(frozen=True)
 class Trees:
     """Depth-two trees (feature, cut, (feature, cut, below, above) below, the same above) on a log-odds scale."""
@@ -203,9 +210,13 @@ def _best_cut(rows: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> tuple[fl
     return best
 
 
-def boost(rows: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Trees | None:
-    """Second-order gradient boosting on two thirds of the rows, thresholds on the last third; None unless both labels occur."""
-    last = np.arange(len(rows)) % 3 == 2
+def boost(rows: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, weights: np.ndarray | None = None) -> Trees | None:
+    """Second-order gradient boosting on two thirds of the rows of each generator and label, thresholds on the last third, where
+    ``weights`` say for how many candidates a row stands. None unless both labels occur."""
+    last = np.zeros(len(rows), bool)
+    for i in range(len(GENERATORS)):
+        for label in (0, 1):
+            last[np.flatnonzero((rows[:, 0] == i) & (labels == label))[2::3]] = True
     x, y = rows[~last], labels[~last].astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -226,47 +237,69 @@ def boost(rows: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, rate: floa
         trees.append((f, max(cut, -1e9), *sides))
     found = Trees(bias, tuple(trees), {})
     score, truth, source = found.log_odds(rows[last]), labels[last], rows[last, 0]
+    stands = np.ones(len(score)) if weights is None else weights[last]
+    unsure = math.log(PRECISION / (1 - PRECISION))
     for i, kind in enumerate(GENERATORS):
         mine = source == i
         order = np.argsort(-score[mine])
-        s, hits = score[mine][order], truth[mine][order]
-        right = np.cumsum(hits) / np.arange(1, len(hits) + 1)
+        s, hits, w = score[mine][order], truth[mine][order], stands[mine][order]
+        right = np.cumsum(hits * w) / np.cumsum(w)
         good = np.flatnonzero((right >= PRECISION) & np.r_[s[1:] < s[:-1], np.ones(min(1, len(s)), bool)])
-        found.thresholds[kind] = max(0.0, float(s[good[-1]])) if len(good) and hits.sum() >= 5 else math.inf
+        if hits.sum() < 5:
+            found.thresholds[kind] = unsure
+        elif len(good):
+            found.thresholds[kind] = max(0.0, float(s[good[-1]]))
+        else:  # negatives among the best: above all of them
+            found.thresholds[kind] = max(unsure, float(np.nextafter(s[hits == 0].max(), math.inf)))
     return found
 
 
+def training_rows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and weights of candidates of all ``docs``: of each generator and label at most an equal share of ``TRAIN_ROWS``."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9]") | F.col("text").contains("@") | F.col("text").contains("at)") | F.col("text").contains("at]"))
+    rows = source.select(F.xxhash64("text").alias("t"), _base(F.col("text")).alias("base"), _candidates(F.col("text")).alias("c"))
+    rows = rows.select("t", F.explode(F.transform("c", lambda c: F.struct(c.alias("c"), (_touches(F.col("base"), c) | _certain(c)).alias("label")))).alias("x"))
+    rows = rows.select(F.xxhash64("t", "x.c.start").alias("o"), F.col("x.label").cast("int").alias("label"), *(f"x.c.{f}" for f in FEATURES))
+    sizes = {(int(r.source), r.label): max(1, r.n) for r in rows.groupBy("source", "label").agg(F.approx_count_distinct("o", 0.02).alias("n")).collect()}
+    share = TRAIN_ROWS // (2 * len(GENERATORS))
+    part = F.lit(1.0)
+    for (i, label), n in sizes.items():
+        part = F.when((F.col("source") == i) & (F.col("label") == label), F.lit(min(1.0, share / n))).otherwise(part)
+    some = rows.withColumn("u", (F.col("o") / F.lit(2.0**64) + 0.5) / part).filter("u <= 1")
+    got = some.groupBy("source", "label", "o", "u").agg(*(F.first(f).alias(f) for f in FEATURES[1:])).orderBy("u", "o", "source", "label").limit(2 * TRAIN_ROWS).collect()
+    taken: dict[tuple[int, int], list] = {}
+    for r in got:
+        taken.setdefault((int(r.source), r.label), []).append([r[f] for f in FEATURES])
+    taken = {at: mine[:share] for at, mine in sorted(taken.items())}
+    x = np.array([r for mine in taken.values() for r in mine]).reshape(-1, len(FEATURES))
+    labels = np.array([at[1] for at, mine in taken.items() for _ in mine], int)
+    return x, labels, np.array([max(1.0, sizes[at] / len(mine)) for at, mine in taken.items() for _ in mine])
+
+
 def train(docs: DataFrame) -> Trees | None:
-    """Trees from a bounded sample of ``docs`` (doc_id, text); None where the sample gives no use."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = source.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(TRAIN_DOCS).distinct()
-    some = source.join(F.broadcast(ids), "doc_id", "left_semi").filter(F.col("text").rlike("[0-9@]"))
-    rows = some.select("doc_id", _base(F.col("text")).alias("base"), _candidates(F.col("text")).alias("c"))
-    rows = rows.select("doc_id", F.explode(F.transform("c", lambda c: F.struct(c.alias("c"), (_touches(F.col("base"), c) | c["known"] | (c["named"] > 0)).alias("label")))).alias("x"))
-    order = F.xxhash64("doc_id", "x.c.start")
-    got = rows.select(order.alias("o"), "x.c.start", "x.label", *(f"x.c.{f}" for f in FEATURES)).orderBy("o", "start", *FEATURES).limit(TRAIN_ROWS).collect()
-    if not got:
-        return None
-    return boost(np.array([[r[f] for f in FEATURES] for r in got]), np.array([int(r["label"]) for r in got]))
+    """Trees from a bounded sample of the candidates of ``docs`` (doc_id, text); None where they are all alike."""
+    rows, labels, weights = training_rows(docs)
+    return boost(rows, labels, weights=weights) if len(rows) else None
 
 
 def find_spans(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """``docs`` with two more columns: ``base_spans`` and ``all_spans``, arrays of (start, place, stop, kind) by start, then kind.
 
-    Null text: no span. Empty arrays where nothing is found. Any other column is kept; one of these two names is replaced.
+    Without trees, only certain candidates join the base spans. Null text: no span. Empty arrays where nothing is found. Any other column is kept; one of these two names is replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(_SPANS)
     rows = docs.withColumn("base_spans", F.when(text.rlike("[0-9@]"), _base(text)).otherwise(none))
-    if trees is None:
-        return rows.withColumn("all_spans", F.col("base_spans"))
     places = {k: len(KINDS) + i for i, k in enumerate(GENERATORS)}
 
     def more(c: Column) -> Column:
-        least = F.lit(math.inf)
-        for kind, at in trees.thresholds.items():
-            least = F.when(c["kind"] == kind, F.lit(at)).otherwise(least)
-        return (trees.expression(c) >= least) & ~_touches(F.col("base_spans"), c)
+        chosen = _certain(c)
+        if trees is not None:
+            least = F.lit(math.inf)
+            for kind, at in trees.thresholds.items():
+                least = F.when(c["kind"] == kind, F.lit(at)).otherwise(least)
+            chosen = chosen | (trees.expression(c) >= least)
+        return chosen & ~_touches(F.col("base_spans"), c)
 
     def span(c: Column) -> Column:
         place = F.lit(len(KINDS))
