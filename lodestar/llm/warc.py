@@ -7,13 +7,15 @@ corrupt, missing or moved.
 
 Scale: record bytes are hashed where they are read and never move; what is shuffled is one digest a record, kept in the
 shared checkpoint folder, so that replicas are read once. A level is
-one grouped aggregation by (file, node number), ``FANOUT`` rows a group, so no task holds a file. Files hold a bounded
-number of records by construction of :func:`to_records`; files of other origins may be longer: ``LEVELS`` levels reach
-FANOUT ** LEVELS records.
+one grouped aggregation by (file, node number), ``FANOUT`` rows a group, so no task holds a file above its leaves. ``LEVELS``
+levels reach FANOUT ** LEVELS records; where a file of either replica has more (repeated ids, rows without one, files of
+other origins), the trees of that file get as many levels as it needs. The SQL stays at ``LEVELS``, so it holds for other files only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +62,22 @@ def parents(nodes: DataFrame) -> DataFrame:
     return grouped.select("file", F.col("above").alias("place"), "start", "stop", "digest")
 
 
-def tree(records: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves up; the last has the roots (place 0)."""
-    levels = [cut_lineage(leaves(records))]
-    for _ in range(LEVELS):
-        levels.append(cut_lineage(parents(levels[-1])))
+def levels_for(places: int) -> int:
+    """Levels above the leaves, ``LEVELS`` at least, until one node holds ``places`` of them."""
+    levels = LEVELS
+    while FANOUT**levels < places:
+        levels += 1
     return levels
 
 
+def tree(placed: DataFrame, levels: int) -> list[DataFrame]:
+    """Levels from the leaves ``placed`` up; in the last every file has one node (place 0)."""
+    found = [placed]
+    for _ in range(levels):
+        found.append(cut_lineage(parents(found[-1])))
+    return found
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Compare replicas (file, page_id, record): one row for each file of either.
 
@@ -76,25 +86,35 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     joined by commas in the order of places). Places are matched by order, so a missing record shows everything behind it in
     its file as moved. Empty tables give no rows.
     """
-    one, two = tree(primary), tree(replica)
+    placed = [cut_lineage(leaves(side)) for side in (primary, replica)]
+    levels = levels_for(max((side.agg(F.max("place")).first()[0] or 0) + 1 for side in placed))
+    one, two = (tree(side, levels) for side in placed)
     pair = lambda level: _pair(one[level], two[level])
     differs = ~F.col("a.digest").eqNullSafe(F.col("b.digest")) | ~F.col("a.start").eqNullSafe(F.col("b.start"))
-    roots = pair(LEVELS).select("file", "place", F.col("a.digest").alias("root_a"), F.col("b.digest").alias("root_b"), differs.alias("bad"))
-    looked, bad = [roots.groupBy("file").agg(F.count("*").alias("looked"))], roots.filter("bad").select("file", F.col("place").alias("above"))
-    for level in reversed(range(LEVELS)):
+    # a file's root is at the height that it needs itself, whatever other files need
+    height = F.lit(LEVELS)
+    for level in range(LEVELS, levels):
+        height = height + (F.max("place") >= FANOUT**level).cast("int")
+    heights = placed[0].select("file", "place").unionByName(placed[1].select("file", "place")).groupBy("file").agg(height.alias("height"))
+    top = lambda level: pair(level) if levels == LEVELS else pair(level).join(heights.filter(F.col("height") == level), "file", "left_semi")
+    tops = [top(level).select("file", "place", F.col("a.digest").alias("root_a"), F.col("b.digest").alias("root_b"), differs.alias("bad")) for level in range(LEVELS, levels + 1)]
+    looked, bad = [part.groupBy("file").agg(F.count("*").alias("looked")) for part in tops], tops[-1].filter("bad").select("file", F.col("place").alias("above"))
+    for level in reversed(range(levels)):
         below = pair(level).withColumn("above", F.floor(F.col("place") / FANOUT)).join(bad, ["file", "above"], "left_semi")
         below = cut_lineage(below.select("file", "place", F.coalesce("a.start", "b.start").alias("start"), F.coalesce("a.stop", "b.stop").alias("stop"), differs.alias("bad")))
         looked.append(below.groupBy("file").agg(F.count("*").alias("looked")))
         bad = below.filter("bad").select("file", F.col("place").alias("above"), "start", "stop")
         if level:
             bad = bad.select("file", "above")
+        if level >= LEVELS:
+            bad = bad.unionByName(tops[level - LEVELS].filter("bad").select("file", F.col("place").alias("above")))
     spoilt = bad.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("above", "start", "stop"))), lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string"))), ",").alias("damaged"))
     seen = looked[0]
     for part in looked[1:]:
         seen = seen.unionByName(part)
     seen = seen.groupBy("file").agg(F.sum("looked").alias("compared"))
     sizes = [side[0].groupBy("file").agg(F.count("*").alias(name)) for side, name in ((one, "records_a"), (two, "records_b"))]
-    rows = roots.select("file", "root_a", "root_b")
+    rows = reduce(DataFrame.unionByName, tops).select("file", "root_a", "root_b")
     for part in (*sizes, seen, spoilt):
         rows = rows.join(part, "file", "left")
     return rows.select("file", "root_a", "root_b", F.coalesce("records_a", F.lit(0)).alias("records_a"), F.coalesce("records_b", F.lit(0)).alias("records_b"), "compared", F.coalesce("damaged", F.lit("")).alias("damaged"))

@@ -114,6 +114,21 @@ def test_chat(spark):
     assert chat.rotate_perspectives(empty(table)).count() == 0
 
 
+def test_files_of_more_records_than_four_levels_reach(spark):
+    n = warc.FANOUT**warc.LEVELS + 5
+    big = spark.range(n).selectExpr("0L AS file", "0L AS page_id", "encode(lpad(id, 8, '0'), 'utf-8') AS record")
+    small = spark.range(3).selectExpr("1L AS file", "id AS page_id", "encode('x' || id, 'utf-8') AS record")
+    one = big.unionByName(small)
+    two = big.limit(n - 1).unionByName(small.withColumn("record", F.when(F.col("page_id") == 2, F.encode(F.lit("y2"), "utf-8")).otherwise(F.col("record"))))
+    rows = warc.audit(one, two).collect()
+    assert sorted((r.file, r.records_a, r.records_b) for r in rows) == [(0, n, n - 1), (1, 3, 3)]
+    assert all(r.root_a != r.root_b and r.damaged for r in rows)
+    # another file's size changes nothing
+    alone = warc.audit(small, two.filter("file = 1")).collect()
+    assert [r for r in rows if r.file == 1] == alone and alone[0].damaged == "4:6"
+    assert warc.audit(one, one).filter("root_a = root_b AND compared = 1 AND damaged = ''").count() == 2
+
+
 def test_html(spark):
     rows = [(1, "http://a.com/x", "<p>One</p>"), (2, None, None), (3, "no url", ""), (4, "http://a.com/y", "<article>T" + "<p>x</p>" * 3000), (None, "http://a.com/x", "<p>One</p>"), (1, "http://a.com/x", "<p>One</p>")]
     table = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"), "text", "n_chars")
