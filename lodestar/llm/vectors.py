@@ -13,7 +13,8 @@ Approximate search. Each table hashes ``M`` p-stable projections into cells of `
 vectors. A query visits its own bucket and then perturbed ones in the order of the estimated probability that a
 neighbour fell there, until that probability adds up to the table's share of ``GOAL``. Index rows meet probes by
 bucket; buckets over ``BUCKET_ROWS`` and a quarter of a task's share are salted and their probes copied to every part. Each task merges the candidates
-that its buckets give a query and ranks them by exact inner products.
+that its buckets give a query and ranks them by exact inner products. Queries whose buckets hold too few rows for a full
+list are compared with all rows, on a grid of blocks like that of the exact search.
 """
 
 from __future__ import annotations
@@ -65,10 +66,15 @@ def query_classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("v").agg(F.min("vec_id").alias("qid")).select("qid", "v")
 
 
+def top_classes(found: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, r): each query's k + 1 best class hits."""
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return found.groupBy("qid", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+
+
 def ranked(found: DataFrame, classes: DataFrame, queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) from class hits (qid, id, score): ties to the smaller id, a query's own rows left out."""
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    top = found.groupBy("qid", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    top = top_classes(found, k)
     members = top.join(classes.select(F.col("rep").alias("id"), "ids"), "id").select("qid", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     members = members.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
@@ -267,10 +273,43 @@ def _fit(classes: DataFrame, k: int) -> tuple[Hashes | None, int]:
     return hashes, n
 
 
+def all_compared(classes: DataFrame, queries: DataFrame, k: int, n: int, n_queries: int) -> DataFrame:
+    """(qid, id, score): the k + 1 best class hits, from each block of classes, of ``queries`` compared with all classes."""
+    blocks, asks = partitions_for(n, ROW_BLOCK, 1), partitions_for(n_queries, QUERY_BLOCK, 1)
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = classes.select(F.lit(False).alias("ask"), F.col("rep").alias("id"), "v", block("rep", blocks).alias("b"), each(asks).alias("a"))
+    right = queries.select(F.lit(True).alias("ask"), F.col("qid").alias("id"), "v", each(blocks).alias("b"), block("qid", asks).alias("a"))
+    cells = left.unionByName(right).select("ask", "id", "v", (F.col("b") * asks + F.col("a")).alias("cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := _gather(batches)) is None:
+            return
+        ask, ids, cell = (got.column(c).to_numpy() for c in ("ask", "id", "cell"))
+        v, ask = _matrix(got.column("v")), ask.astype(bool)
+        for c in np.unique(cell):
+            x, q = np.flatnonzero((cell == c) & ~ask), np.flatnonzero((cell == c) & ask)
+            hits = [_best(v[x], ids[x], v[i], k + 1) for i in q] if len(x) else []
+            yield _batch([np.full(len(h[0]), ids[i]) for h, i in zip(hits, q, strict=False)], [h[0] for h in hits], [h[1] for h in hits])
+
+    return cells.repartition(blocks * asks, "cell").mapInArrow(run, FOUND)
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k largest inner products, ties to the smaller id; scores are sums in component order."""
+    near, rough = np.arange(len(rows)), rows @ query
+    if len(near) > k:
+        least = np.partition(rough, -k)[-k]
+        near = near[rough >= least - 1e-9 * max(1.0, abs(least))]
+    scores = np.cumsum(rows[near] * query, axis=1)[:, -1]
+    best = np.lexsort((ids[near], -scores))[:k]
+    return ids[near[best]], scores[best]
+
+
 def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by inner product for rows whose id is divisible by ``every``.
 
-    Every usable row is indexed. Vectors null, zero or with null or non-finite components take no part, and neither do rows
+    Every usable row is indexed. A query has fewer than k rows only if there are fewer others. Vectors null, zero or with null or non-finite components take no part, and neither do rows
     without an id. Tables of up to about 90 different vectors have a single bucket and are searched whole. Empty tables give no
     rows. Ties go to the smaller id. Other columns are ignored. Scores are sums in component order, in double precision.
     """
@@ -350,6 +389,13 @@ def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
     visits = visits.groupBy("id", "task").agg(F.collect_set("key").alias("keys"))
     right = visits.join(queries.select(F.col("qid").alias("id"), "v"), "id").select("task", F.lit(None).cast("long").alias("key"), "id", "v", "keys")
     found = left.unionByName(right).repartition(n_tasks, "task").select("key", "id", "v", "keys").mapInArrow(rank, FOUND)
+    found = cut_lineage(top_classes(found, k).select("qid", "id", "score"))
+    # queries whose classes have fewer rows than a full list and the query's own row
+    rows_found = found.join(classes.select(F.col("rep").alias("id"), F.size("ids").alias("rows")), "id").groupBy("qid").agg(F.sum("rows").alias("rows"))
+    short = queries.join(rows_found, "qid", "left").filter(F.coalesce("rows", F.lit(0)) < min(k + 1, rows.count())).select("qid", "v")
+    short = cut_lineage(short)
+    if n_short := short.count():
+        found = found.unionByName(all_compared(classes, short, k, n, n_short))
     return ranked(found, classes, queries, asked, k)
 
 

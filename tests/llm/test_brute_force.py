@@ -328,6 +328,29 @@ def test_approximate_recall(embeddings):
     assert all(abs(at[q] @ at[i] - s) < 1e-12 for q in list(got)[:20] for i, s in got[q])
 
 
+def test_queries_with_empty_buckets_get_full_lists(spark):
+    """One vector is a hundred times longer, so that the lifted lengths leave the others little spread."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(8_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1] *= 100
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = got_top(vectors.nearest(rows, 20, 20))
+    assert len(got) == 400 and {len(hits) for hits in got.values()} == {20}
+
+
+def test_all_compared_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 300)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    x = np.random.default_rng(6).normal(size=(1000, 8))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    classes, asked = vectors.equal_classes(vectors.usable(rows, zero=False), 5), vectors.usable(rows, zero=False).filter("vec_id % 100 = 0")
+    queries = vectors.query_classes(asked)
+    found = vectors.all_compared(classes, queries, 5, 1000, 10)
+    want, got = plain_top(x, np.arange(1000), np.arange(0, 1000, 100), 5), got_top(vectors.ranked(found, classes, queries, asked, 5))
+    assert {q: [i for i, _ in h] for q, h in got.items()} == {q: [i for i, _ in h] for q, h in want.items()}
+
+
 def test_recall_does_not_fall_with_the_table(spark):
     """Many vectors for each neighbour asked for, and buckets that are salted."""
     draw = np.random.default_rng(11)
