@@ -4,8 +4,9 @@ A page becomes blocks of text in page order. Structure settles what it can: elem
 sidebars, notices, adverts, forms or comments are left out, and text inside an article (else a main) element is kept.
 Structure alone can't judge the blocks of pages without such elements, and repetition alone can't give right results:
 it would delete passages that articles share and keep footers that occur once. So repetition decides exactly the blocks
-that structure leaves open: runs of ``RUN`` tokens that recur on open pages of the same host with different content are
-covered; an open block that is mostly covered is boilerplate, the others are kept whole.
+that structure leaves open: runs of ``RUN`` tokens that occur on at least ``LEAST`` open pages of a host with different
+content, and on a share ``SHARE`` of all such pages, are boilerplate and are cut. All else stays: a passage that two articles share,
+and in a block the words beside a run.
 
 Scale: pages with an article or main element are read where they are and never move. Of the others, each different run is
 one 64-bit hash a page; hashes are counted by host and run over all pages of the host, with partial sums before the
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, small_side, table
 
-RUN, COVERED, SALT_ROWS, OUT_ROWS = 6, 0.6, 100_000, 500
+RUN, LEAST, SHARE, SALT_ROWS, OUT_ROWS = 6, 3, 0.025, 100_000, 500
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe svg math object embed canvas audio video textarea title select option datalist".split())
@@ -239,14 +240,28 @@ def content_key(page: list[str]) -> int:
 
 
 def without_runs(page: list[str], host: str, repeated: np.ndarray) -> str:
-    """The text of an open page without the blocks that are mostly covered by ``repeated`` runs."""
-    sizes = [text.count(" ") + 1 for text in page]
-    edge = np.zeros(sum(sizes) + 1, np.int64)
-    starts = np.flatnonzero(np.isin(run_keys(page, host), repeated))
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + RUN, -1)
-    covered, ends = np.cumsum(edge) > 0, np.cumsum(sizes)
-    return "\n\n".join(text for text, n, end in zip(page, sizes, ends, strict=True) if covered[end - n : end].mean() < COVERED)
+    """The text of an open page without ``repeated`` runs.
+
+    Runs may span blocks, as the entries of a menu are blocks of their own; a block that they cover wholly is left out. Of
+    other blocks only runs inside them are cut, so that a run which ends in a block's first words leaves them.
+    """
+    words = [text.split(" ") for text in page]
+    hits, at, kept = np.isin(run_keys(page, host), repeated), 0, []
+    hits = np.r_[np.zeros(RUN - 1, bool), hits, np.zeros(RUN - 1, bool)]  # the run at place p is hits[p + RUN - 1]
+    for block in words:
+        n = len(block)
+        if not _covered(hits[at : at + n + RUN - 1]).all():
+            inside = hits[at + RUN - 1 : at + n] if n >= RUN else hits[:0]
+            cut = _covered(np.r_[np.zeros(RUN - 1, bool), inside, np.zeros(RUN - 1, bool)]) if len(inside) else np.zeros(n, bool)
+            kept.append(" ".join(w for w, c in zip(block, cut.tolist(), strict=True) if not c))
+        at += n
+    return "\n\n".join(kept)
+
+
+def _covered(hits: np.ndarray) -> np.ndarray:
+    """Of a block's tokens, whether one of the ``RUN`` runs that hold the token is a hit; hits begin with runs before the block."""
+    total = np.r_[0, np.cumsum(hits)]
+    return total[RUN:] > total[:-RUN]
 
 
 def settled(page: str | None) -> bool:
@@ -267,7 +282,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
     distinct = {content_key(page): page for page in open_pages if page is not None}
     keys = [np.unique(run_keys(page, "")) for page in distinct.values()]
     runs, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
-    return [settled_text(f) if page is None else without_runs(page, "", runs[counts > 1]) for f, page in zip(found, open_pages, strict=True)]
+    return [settled_text(f) if page is None else without_runs(page, "", runs[counts >= max(LEAST, SHARE * len(distinct))]) for f, page in zip(found, open_pages, strict=True)]
 
 
 def _open_texts(pages: DataFrame) -> DataFrame:
@@ -291,9 +306,13 @@ def _open_texts(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     keyed = pages.select("id", "host", "blocks").mapInArrow(hashed, "id long, host string, content long, keys array<long>")
-    one_each = keyed.groupBy("host", "content").agg(F.min("id").alias("id")).select("id", F.lit(1).alias("one"))
-    runs = keyed.join(one_each, "id", "left").select("id", "one", F.explode("keys").alias("key"))
-    repeated = runs.groupBy("key").agg(F.count("*").alias("rows"), F.count("one").alias("contents")).filter("contents > 1")
+    one_each = cut_lineage(keyed.groupBy("host", "content").agg(F.min("id").alias("id")))
+    sizes = one_each.groupBy("host").agg(F.count("*").alias("pages"))
+    one_each = one_each.join(sizes, "host").select("id", "pages")
+    runs = keyed.join(one_each, "id", "left").select("id", "pages", F.explode("keys").alias("key"))
+    # a key belongs to one host, so all its pages say the same number
+    repeated = runs.groupBy("key").agg(F.count("*").alias("rows"), F.count("pages").alias("contents"), F.max("pages").alias("pages"))
+    repeated = repeated.filter(F.col("contents") >= F.greatest(F.lit(LEAST), SHARE * F.col("pages")))
     repeated = cut_lineage(repeated.select("key", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("parts")))
     large = small_side(repeated.filter("parts > 1"))
     salted = repeated.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))

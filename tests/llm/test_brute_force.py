@@ -452,6 +452,17 @@ def test_repetition_is_sought_on_the_whole_host(spark):
         assert {r.page_id: r.text for r in html.extract(frame.repartition(parts)).collect()} == want
 
 
+def test_what_two_articles_share_stays_and_runs_are_cut(spark):
+    quote, menu = "to be or not to be that is the question", "Home About Contact Imprint Privacy Jobs"
+    rows = [(i, "http://h.org/", f"<div>{menu} p{i} q</div><p>story {i} is its own</p>" + (f"<p>{quote}</p>" if i < 2 else "")) for i in range(12)]
+    rows += [(20 + i, "http://two.org/", f"<p>{quote}</p><p>{i} a b c d</p>") for i in range(2)]
+    want = {i: f"p{i} q\n\nstory {i} is its own" + (f"\n\n{quote}" if i < 2 else "") for i in range(12)}
+    want |= {20 + i: f"{quote}\n\n{i} a b c d" for i in range(2)}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(frame).collect()} == want
+    assert html.main_texts([r[2] for r in rows[:12]]) == [want[i] for i in range(12)]
+
+
 def test_large_runs_are_joined_in_parts(spark, monkeypatch):
     monkeypatch.setattr(html, "SALT_ROWS", 3)
     rows = [(i, "http://h.org/", f"<div>story {i} alone</div><div>Home About Contact Imprint Privacy Jobs</div>") for i in range(30)]
