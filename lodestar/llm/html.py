@@ -73,13 +73,16 @@ def _end(text: str, at: int) -> int:
 
 
 def _marks(attributes: str) -> set[str]:
-    """Words of an element's class, id and role that mark boilerplate; "hidden" if it is not shown."""
+    """Words of an element's class, id and role that mark boilerplate; "hidden" if it is not shown, "whole" if a name has no other words."""
     found: set[str] = set()
     if attributes.strip("/ \t\n\r"):
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id", "role"):
-                found |= MARKS.intersection(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                for one in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+                    words = _WORDS.findall(one)
+                    marked = MARKS.intersection(words)
+                    found |= marked | {"whole"} if words and len(marked) == len(set(words)) else marked
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 found.add("hidden")
     return found
@@ -108,16 +111,28 @@ def _level(name: str, marks: set[str], parent: int, zone: str) -> int:
 
 
 def blocks(page: str | None, first: bool = False) -> list[tuple[str, str]]:
+    """The blocks of :func:`_read`. On a page without article and main, wrappers that only a part of a name marks ("no-sidebar")
+    and that hold most of the page's text are read as if they had no mark."""
+    found, layouts = _read(page, first)
+    if layouts and all(zone == "open" for zone, _ in found):
+        return _read(page, first, layouts)[0]
+    return found
+
+
+def _read(page: str | None, first: bool, shown_at: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str]], frozenset[int]]:
     """(zone, text) of a page in page order; zone is "article", "main" or "open". Null or markup alone: an empty list.
 
     White space inside a block is one space, the ends are trimmed, character references are decoded. With ``first``, reading
-    stops behind the first block of an article or main element.
+    stops behind the first block of an article or main element. Marks of elements that begin at ``shown_at`` do not count.
+    Second: where weakly marked elements begin that hold most of the text outside of elements which are left out for sure.
     """
     text, n = page or "", len(page or "")
     found: list[tuple[str, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int, str]] = [("", SHOWN, "open")]  # name, how far it is left out, zone
-    at = 0
+    weak: list[tuple[int, int]] = []  # depth and start of the weakly marked elements around
+    sure = n  # the depth of the outermost element that is left out for sure
+    total, held, at = 0, {}, 0
 
     def close() -> None:
         if parts:
@@ -130,6 +145,13 @@ def blocks(page: str | None, first: bool = False) -> list[tuple[str, str]]:
         if start < 0:
             start = n
         shown = stack[-1][1] == SHOWN
+        while weak and weak[-1][0] >= len(stack):
+            weak.pop()
+        if len(stack) <= sure:
+            sure, size = n, start - at - text.count(" ", at, start)
+            total += size
+            for _, began in weak:
+                held[began] = held.get(began, 0) + size
         if start > at and shown:
             parts.append(text[at:start])
         if start == n:
@@ -161,8 +183,12 @@ def blocks(page: str | None, first: bool = False) -> list[tuple[str, str]]:
             if closing:
                 if stack[-1][0] == name:
                     stack.pop()
-            elif name not in VOID and _marks(text[tag.end() : at - 1]):
+            elif name not in VOID and (marks := _marks(text[tag.end() : at - 1])) and start not in shown_at:
                 close()
+                if marks & {"whole", "hidden"}:
+                    sure = min(sure, len(stack))
+                else:
+                    weak.append((len(stack), start))
                 stack.append((name, max(stack[-1][1], MARKED), stack[-1][2]))
         else:
             close()
@@ -173,11 +199,19 @@ def blocks(page: str | None, first: bool = False) -> list[tuple[str, str]]:
             elif name not in VOID:
                 if stack[-1][0] == "p":
                     stack.pop()
+                    sure = n if len(stack) <= sure else sure
+                    while weak and weak[-1][0] >= len(stack):
+                        weak.pop()
                 _, parent, zone = stack[-1]
                 inner = name if name in ("article", "main") and zone != "article" else zone
-                stack.append((name, _level(name, _marks(text[tag.end() : at - 1]), parent, zone), inner))
+                marks = set() if start in shown_at else _marks(text[tag.end() : at - 1])
+                if name in ASIDE or marks & {"whole", "hidden"} and name not in ("body", "html"):
+                    sure = min(sure, len(stack))
+                elif marks:
+                    weak.append((len(stack), start))
+                stack.append((name, _level(name, marks - {"whole"}, parent, zone), inner))
     close()
-    return found
+    return found, frozenset(began for began, size in held.items() if 2 * size > total)
 
 
 def suffix_cover(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:

@@ -452,6 +452,19 @@ def test_repetition_is_sought_on_the_whole_host(spark):
         assert {r.page_id: r.text for r in html.extract(frame.repartition(parts)).collect()} == want
 
 
+def test_marked_layouts_without_an_article():
+    body, menu = "<h1>Title</h1><p>some words of the page's own text</p>", '<div class="nav-menu">Home About</div><aside>more</aside>'
+    want = "Title\n\nsome words of the page's own text"
+    for wrapper in ('class="no-sidebar"', 'id="page" class="content-sidebar"', 'class="has-header-search"', 'class="layout withComments"'):
+        assert html.main_texts([f"<body><div {wrapper}>{menu}{body}</div><footer>z</footer></body>"]) == [want]
+        assert html.main_texts([f"<body><div {wrapper}><div class='page-with-menu'>{menu}{body}</div></div></body>"]) == [want]
+    assert html.main_texts([f"<body><div class='no-sidebar'><p class='notice'>n<p>{'word ' * 9}</div></body>"]) == ["word " * 8 + "word"]
+    # a part of the page is still left out by its mark, and so is what carries nothing but marks or is not shown
+    assert html.main_texts([f"<body><div class='left-sidebar'>a few</div>{body}</body>"]) == [want]
+    assert html.main_texts(["<body><div class='cookie-notice'>many words about our cookies</div><p>few</p></body>"]) == ["few"]
+    assert html.main_texts(["<body><div class='no-sidebar' style='display:none'>many words not shown</div><p>few</p></body>"]) == ["few"]
+
+
 def test_what_two_articles_share_stays_and_runs_are_cut(spark):
     quote, menu = "to be or not to be that is the question", "Home About Contact Imprint Privacy Jobs"
     rows = [(i, "http://h.org/", f"<div>{menu} p{i} q</div><p>story {i} is its own</p>" + (f"<p>{quote}</p>" if i < 2 else "")) for i in range(12)]
