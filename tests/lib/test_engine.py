@@ -66,6 +66,36 @@ def test_source_that_does_not_parse_becomes_windows(spark):
     assert [g[:4] for g in parse(spark, "def (:\n  x\n")] == [(1, 2, "", "window")]
 
 
+def test_faults_cost_only_their_statement(spark):
+    text = "x = 1\n\n\ndef f():\n    return (\n\n\nclass A:\n    def g(self):\n        y = = 2\n        return y\n\n    def h(self):\n        return f()\n\n\nprint 'old'\n"
+    rows = [(1, 1, "m", "module"), (4, 5, "f", "function"), (8, 14, "A", "class"), (17, 17, "m", "module")]
+    assert [(g[0], g[1], g[2], g[3]) for g in parse(spark, text)] == rows
+    files = spark.createDataFrame([("m.py", "0m.py", text)], "path string, file_ord string, text string")
+    defs = syntax.parse_files(files).selectExpr("inline(defs)").select("qual").collect()
+    assert [r.qual for r in defs] == ["m", "f", "A", "A.g", "A.h"]
+
+
+def test_many_faults_are_read_in_linear_time():
+    import time
+
+    began = time.time()
+    assert syntax.parsed_as_far_as_possible("print 'x' 'y' z\n" * 20_000 + "def f(): pass\n").body[-1].name == "f"
+    assert time.time() - began < 60
+
+
+def test_units_cover_a_file_like_a_plain_reading(spark):
+    """Every line with code lies in a unit, and units of definitions begin with their comments and stubs."""
+    import inspect
+
+    from lodestar.functions import text as module
+
+    source = inspect.getsource(module)
+    lines = source.split("\n")
+    rows = syntax.syntax_chunks(__import__("ast").parse(source), lines, "m", 40, 6)
+    held = {i for a, b, *_ in rows for i in range(a, b + 1)}
+    assert all(not x.strip() or x.lstrip().startswith("#") or i in held for i, x in enumerate(lines, 1))
+
+
 def test_rrf_example(spark):
     rows = spark.createDataFrame([(0, 0, d, r) for r, d in enumerate([1, 2, 3], 1)] + [(0, 1, d, r) for r, d in enumerate([3, 1, 2], 1)], "qid long, list_no int, doc long, rank int")
     got = rank.rrf(rows).orderBy("rank").collect()
