@@ -1,17 +1,25 @@
-"""Operator 8: main text of web pages, by structure and the runs that a host repeats.
+"""Operator 8: main text of web pages, by structure and by what a host repeats.
 
-A page becomes blocks of text in page order. Structure settles what it can: elements that hold menus, headers, footers,
+A page becomes blocks of text in page order. Structure says where the text is: elements that hold menus, headers, footers,
 sidebars, notices, adverts, forms or comments are left out, and text inside an article (else a main) element is kept.
-Structure alone can't judge the blocks of pages without such elements, and repetition alone can't give right results:
-it would delete passages that articles share and keep footers that occur once. So repetition decides exactly the blocks
-that structure leaves open: runs of ``RUN`` tokens that occur on at least ``LEAST`` open pages of a host with different
-content, and on a share ``SHARE`` of all such pages, are boilerplate and are cut. All else stays: a passage that two articles share,
-and in a block the words beside a run.
-
-Scale: pages with an article or main element are read where they are and never move. Of the others, each different run is
-one 64-bit hash a page; hashes are counted by host and run over all pages of the host, with partial sums before the
-shuffle, and the repeated ones are joined back, runs of more than ``SALT_ROWS`` pages in several parts. So no page's text depends on how
-the pages are dealt to tasks, and no task holds a host.
+
+Repetition is asked on every page. Each page of a host gives token streams: what structure leaves out, what it keeps, and the
+kept blocks that are mostly links. They are the host's text, and the suffixes of it, sorted by their first ``RUN`` tokens, are a
+suffix array of that depth: suffixes that agree so far are neighbours, and longer repeated substrings are chains of such runs.
+A run counts as repeated if it occurs on ``LEAST`` pages of the host with different text, and on a share ``SHARE`` of them:
+
+* on pages without article and main, where structure can't judge, repeated runs are cut and the words beside them stay;
+* kept blocks that are mostly links go if the host repeats all of them, inside articles too;
+* other kept blocks of an article go if the host's menus, footers and the like repeat all of them and ``LEAST`` articles hold
+  them too: a teaser beside other articles does not delete the article's own paragraph. Headings stay.
+
+All else stays: a passage that articles share, and in a block the words beside a run.
+
+Scale: the suffix array is dealt by prefix. Each different run is one 64-bit hash a page, counted by run with partial sums before the
+shuffle; of the text of articles only the first run of each block moves, and all runs of a block only where that first one is
+repeated in menus. Hashes that stand out are joined back, broadcast if they are few, else runs of more than ``SALT_ROWS`` pages in
+several parts. No page's text depends on how pages are dealt to tasks, and no task holds a host. Pages without a repeated run, as
+are all of most hosts, are read where they are and never move.
 """
 
 from __future__ import annotations
@@ -19,17 +27,19 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small_side, table
+from .common import BROADCAST_ROWS, cut_lineage, small_side, table
 
-RUN, LEAST, SHARE, SALT_ROWS, OUT_ROWS = 6, 3, 0.025, 100_000, 500
+RUN, LEAST, SHARE, SALT_ROWS, OUT_ROWS, PAGE_KEYS = 6, 3, 0.025, 100_000, 500, 1_000_000
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe svg math object embed canvas audio video textarea title select option datalist".split())
@@ -41,6 +51,8 @@ BLOCKS = frozenset(
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Open elements that end where another of the kind begins right inside them.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 #: Words in class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent "
@@ -48,112 +60,168 @@ MARKS = frozenset(
     "navigational newsletter notice notices notification overlay paging pagination popup promo promoted promotion recommended related reply "
     "replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-#: Those of them that hide articles inside, too.
+#: Those of them that hide articles, too.
 OTHERS_TEXT = frozenset("comment comments commentlist discussion disqus recommended related replies reply respond".split())
+#: Words beside a mark that do not change what a name says.
+NEUTRAL = frozenset("article articles box item items link links list post posts stories story".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Block(NamedTuple):
+    """One block of a page's text. shown: whether structure lets it stand. linked: whether most of it lies in links."""
+
+    text: str
+    zone: str  # article, main or open
+    shown: bool
+    heading: bool
+    linked: bool
+
+
+class Element(NamedTuple):
+    name: str
+    level: int
+    zone: str
+    inline: bool
+
+
 def _end(text: str, at: int) -> int:
     """The place after the ``>`` that closes a tag whose name ends at ``at``; quoted ones do not count. Without any, the text's end."""
     while True:
         close = text.find(">", at)
         if close < 0:
             return len(text)
-        quotes = [(q, i) for q in "\"'" if (i := text.find(q, at, close)) >= 0 and text[:i].rstrip()[-1:] == "="]
-        if not quotes:
-            return close + 1
-        quote, start = min(quotes, key=lambda x: x[1])
-        after = text.find(quote, start + 1)
+        start = min((i for q in "\"'" if (i := _opens(text, q, at, close)) >= 0), default=-1)
+        after = text.find(text[start], start + 1) if start >= 0 else -1
         if after < 0:
             return close + 1
         at = after + 1
 
 
-def _marks(attributes: str) -> set[str]:
-    """Words of an element's class, id and role that mark boilerplate; "hidden" if it is not shown, "whole" if a name has no other words."""
+def _opens(text: str, quote: str, at: int, close: int) -> int:
+    """The first ``quote`` in text[at:close] if an equals sign stands before it, else -1."""
+    i = before = text.find(quote, at, close)
+    while before > at and text[before - 1].isspace():
+        before -= 1
+    return i if i >= 0 and text[before - 1 : before] == "=" else -1
+
+
+@lru_cache(1 << 14)
+def _marks(attributes: str) -> frozenset[str]:
+    """Words of an element's class, id and role that mark boilerplate; "hidden" if it is not shown, "whole" if a name says nothing
+    else, "others" if such a name says that it is another text's."""
     found: set[str] = set()
     if attributes.strip("/ \t\n\r"):
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id", "role"):
                 for one in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
-                    words = _WORDS.findall(one)
-                    marked = MARKS.intersection(words)
-                    found |= marked | {"whole"} if words and len(marked) == len(set(words)) else marked
+                    words = set(_WORDS.findall(one))
+                    found |= MARKS & words
+                    if MARKS & words and not words - MARKS - NEUTRAL:
+                        found |= {"whole", "others"} if words & OTHERS_TEXT else {"whole"}
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 found.add("hidden")
-    return found
+    return frozenset(found)
 
 
 #: How far the text at some place is left out: not at all, but for headings (an article's own header), by a mark, by an element's name.
 SHOWN, HEADINGS, MARKED, NAMED = range(4)
 
 
-def _level(name: str, marks: set[str], parent: int, zone: str) -> int:
+def _level(name: str, marks: frozenset[str], parent: int, zone: str) -> int:
     """How far an element with these marks is left out inside a parent in ``zone``.
 
     A marked wrapper (a layout "with-sidebar") does not hide an article in it; an article that is marked itself is hidden where
-    something is left out already or inside another article, as comments are.
+    something is left out already or inside another article, as comments are, and everywhere if its mark says that it is
+    another text's (a class "related").
     """
+    words = marks - {"whole", "others"}
     if name in ("article", "main"):
-        return max(parent, MARKED) if parent == NAMED or marks and (parent or zone == "article") else SHOWN
+        if "others" in marks or parent == NAMED:
+            return NAMED
+        return max(parent, MARKED) if words and (parent or zone == "article") else SHOWN
     if name in HEADING and parent == HEADINGS:
-        return MARKED if marks - {"header"} else SHOWN
+        return MARKED if words - {"header"} else SHOWN
     inner = zone != "open"
-    if name == "header" or marks == {"header"}:
+    if name == "header" or words == {"header"}:
         own = HEADINGS if inner else NAMED if name == "header" else MARKED
     else:
-        own = NAMED if name in ASIDE or marks & OTHERS_TEXT else MARKED if marks and name not in ("body", "html") else SHOWN
+        own = NAMED if name in ASIDE or words & OTHERS_TEXT else MARKED if words and name not in ("body", "html") else SHOWN
     return max(parent, own)
 
 
-def blocks(page: str | None, first: bool = False) -> list[tuple[str, str]]:
+def blocks(page: str | None) -> list[Block]:
     """The blocks of :func:`_read`. On a page without article and main, wrappers that only a part of a name marks ("no-sidebar")
     and that hold most of the page's text are read as if they had no mark."""
-    found, layouts = _read(page, first)
-    if layouts and all(zone == "open" for zone, _ in found):
-        return _read(page, first, layouts)[0]
+    found, layouts = _read(page)
+    if layouts and all(b.zone == "open" for b in found if b.shown):
+        return _read(page, layouts)[0]
     return found
 
 
-def _read(page: str | None, first: bool, shown_at: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str]], frozenset[int]]:
-    """(zone, text) of a page in page order; zone is "article", "main" or "open". Null or markup alone: an empty list.
+def _read(page: str | None, shown_at: frozenset[int] = frozenset()) -> tuple[list[Block], frozenset[int]]:
+    """All blocks of a page in page order, and where weakly marked elements begin that hold most of the text outside of elements
+    which are left out for sure.
 
-    White space inside a block is one space, the ends are trimmed, character references are decoded. With ``first``, reading
-    stops behind the first block of an article or main element. Marks of elements that begin at ``shown_at`` do not count.
-    Second: where weakly marked elements begin that hold most of the text outside of elements which are left out for sure.
+    White space inside a block is one space, the ends are trimmed, character references are decoded. Null or markup alone: no
+    blocks. Marks of elements that begin at ``shown_at`` do not count. Phrases (button, span, a) that are left out do not split
+    the block around them; of their marks only whole names count, and links are hidden by such names alone.
     """
     text, n = page or "", len(page or "")
-    found: list[tuple[str, str]] = []
+    found: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, str]] = [("", SHOWN, "open")]  # name, how far it is left out, zone
+    aside: list[str] = []
+    stack = [Element("", SHOWN, "open", False)]
+    names: Counter[str] = Counter()
     weak: list[tuple[int, int]] = []  # depth and start of the weakly marked elements around
     sure = n  # the depth of the outermost element that is left out for sure
+    links = linked = written = 0  # open links; characters of this block in links, and in all
     total, held, at = 0, {}, 0
 
     def close() -> None:
-        if parts:
-            if block := _SPACE.sub(" ", entities.unescape("".join(parts))).strip():
-                found.append((stack[-1][2], block))
-            parts.clear()
+        nonlocal linked, written
+        for kept, pieces in ((True, parts), (False, aside)):
+            if pieces:
+                if words := _SPACE.sub(" ", entities.unescape("".join(pieces))).strip():
+                    found.append(Block(words, stack[-1].zone, kept, stack[-1].name in HEADING, kept and 2 * linked > written))
+                pieces.clear()
+        linked = written = 0
+
+    def push(name: str, level: int, zone: str, inline: bool) -> None:
+        stack.append(Element(name, level, zone, inline))
+        names[name] += 1
+
+    def cut(depth: int) -> None:
+        nonlocal sure
+        for e in stack[depth:]:
+            names[e.name] -= 1
+        del stack[depth:]
+        sure = n if len(stack) <= sure else sure
+        while weak and weak[-1][0] >= len(stack):
+            weak.pop()
+
+    def place(name: str) -> int:
+        """Where the innermost open element of that name lies."""
+        return next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name)
 
-    while at < n and not (first and found and found[-1][0] != "open"):
+    while at < n:
         start = text.find("<", at)
         if start < 0:
             start = n
-        shown = stack[-1][1] == SHOWN
-        while weak and weak[-1][0] >= len(stack):
-            weak.pop()
+        shown = stack[-1].level == SHOWN
         if len(stack) <= sure:
-            sure, size = n, start - at - text.count(" ", at, start)
+            size = start - at - text.count(" ", at, start)
             total += size
             for _, began in weak:
                 held[began] = held.get(began, 0) + size
-        if start > at and shown:
-            parts.append(text[at:start])
+        if start > at:
+            (parts if shown else aside).append(text[at:start])
+            if shown:
+                size = start - at - text.count(" ", at, start)
+                written, linked = written + size, linked + size * (links > 0)
         if start == n:
             break
         if text.startswith("<!--", start):
@@ -166,8 +234,7 @@ def _read(page: str | None, first: bool, shown_at: frozenset[int] = frozenset())
             continue
         tag = _TAG.match(text, start)
         if not tag:
-            if shown:
-                parts.append("<")
+            (parts if shown else aside).append("<")
             at = start + 1
             continue
         name, closing = tag[2].lower(), bool(tag[1])
@@ -177,79 +244,71 @@ def _read(page: str | None, first: bool, shown_at: frozenset[int] = frozenset())
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
                 at = n if end is None else end.end()
         elif name == "br":
-            if shown:
-                parts.append("\n")
+            (parts if shown else aside).append("\n")
         elif name not in BLOCKS:
+            if name == "a":
+                links = 0 if closing else 1
             if closing:
-                if stack[-1][0] == name:
-                    stack.pop()
-            elif name not in VOID and (marks := _marks(text[tag.end() : at - 1])) and start not in shown_at:
-                close()
-                if marks & {"whole", "hidden"}:
+                # only the phrases inside one that is left out are on the stack
+                if stack[-1].inline and names[name] and stack[place(name)].inline:
+                    cut(place(name))
+            elif name not in VOID:
+                marks = frozenset() if start in shown_at else _marks(text[tag.end() : at - 1])
+                if name in ASIDE or marks & {"whole", "hidden"}:
                     sure = min(sure, len(stack))
-                else:
-                    weak.append((len(stack), start))
-                stack.append((name, max(stack[-1][1], MARKED), stack[-1][2]))
+                    push(name, max(stack[-1].level, NAMED if name in ASIDE else MARKED), stack[-1].zone, True)
+                elif stack[-1].inline:
+                    push(name, stack[-1].level, stack[-1].zone, True)
         else:
             close()
             if closing:
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if names[name]:
+                    cut(place(name))
             elif name not in VOID:
-                if stack[-1][0] == "p":
-                    stack.pop()
-                    sure = n if len(stack) <= sure else sure
-                    while weak and weak[-1][0] >= len(stack):
-                        weak.pop()
-                _, parent, zone = stack[-1]
-                inner = name if name in ("article", "main") and zone != "article" else zone
-                marks = set() if start in shown_at else _marks(text[tag.end() : at - 1])
+                outer = len(stack)
+                while stack[outer - 1].inline:
+                    outer -= 1
+                if stack[outer - 1].name == "p":
+                    cut(outer - 1)
+                while stack[-1].name in ENDS.get(name, ()):
+                    cut(len(stack) - 1)
+                parent = stack[-1]
+                zone = name if name in ("article", "main") and parent.zone != "article" else parent.zone
+                marks = frozenset() if start in shown_at else _marks(text[tag.end() : at - 1])
                 if name in ASIDE or marks & {"whole", "hidden"} and name not in ("body", "html"):
                     sure = min(sure, len(stack))
                 elif marks:
                     weak.append((len(stack), start))
-                stack.append((name, _level(name, marks - {"whole"}, parent, zone), inner))
+                push(name, _level(name, marks, parent.level, parent.zone), zone, False)
     close()
     return found, frozenset(began for began, size in held.items() if 2 * size > total)
 
 
-def suffix_cover(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """For each page's tokens which of them lie in a run of ``run`` or more tokens that occurs in another stream as well.
+class Page(NamedTuple):
+    """A page's blocks as the method sees them: kept ones, whether they stand open (no article, no main), and the rest."""
 
-    Suffixes of the concatenation are sorted by prefix doubling to the depth of ``run``; neighbours that agree that far share
-    the run. Equal streams count as one: a page that is published twice is not boilerplate.
-    """
-    seen: dict[bytes, int] = {}
-    owner = [seen.setdefault(s.tobytes(), len(seen)) for s in streams]
-    sizes = [len(s) for s in streams]
-    total = sum(sizes) + len(streams)
-    tokens, page = np.empty(total, np.int64), np.empty(total, np.int64)
-    at = 0
-    for i, s in enumerate(streams):
-        tokens[at : at + len(s)] = s
-        tokens[at + len(s)] = -1 - i
-        page[at : at + len(s) + 1] = owner[i]
-        at += len(s) + 1
-    rank = np.unique(tokens, return_inverse=True)[1]
-    depth = 1
-    while depth < run:
-        step = min(depth, run - depth)
-        ahead = np.zeros(total, np.int64)
-        ahead[: total - step] = rank[step:] + 1
-        rank = np.unique(rank * (total + 1) + ahead, return_inverse=True)[1]
-        depth += step
-    order = np.argsort(rank, kind="stable")
-    low, high = np.full(rank.max(initial=0) + 1, total), np.full(rank.max(initial=0) + 1, -1)
-    np.minimum.at(low, rank[order], page[order])
-    np.maximum.at(high, rank[order], page[order])
-    start = (low < high)[rank]
-    edge = np.zeros(total + run, np.int64)
-    np.add.at(edge, np.flatnonzero(start), 1)
-    np.add.at(edge, np.flatnonzero(start) + run, -1)
-    covered = np.cumsum(edge)[:total] > 0
-    ends = np.cumsum(np.array(sizes, np.int64) + 1)
-    return [covered[e - n - 1 : e - 1] for e, n in zip(ends, sizes, strict=True)]
+    kept: list[Block]
+    open: bool
+    rest: list[Block]
+
+
+def read_page(page: str | None) -> Page:
+    found = blocks(page)
+    zones = {b.zone for b in found if b.shown}
+    zone = next((z for z in ("article", "main") if z in zones), "open")
+    return Page([b for b in found if b.shown and b.zone == zone], zone == "open", [b for b in found if not b.shown or b.zone != zone])
+
+
+def link_groups(kept: list[Block]) -> list[list[int]]:
+    """Places of kept blocks that are mostly links, neighbours together: entries of one list are blocks of their own."""
+    groups: list[list[int]] = []
+    for i, b in enumerate(kept):
+        if b.linked and not b.heading:
+            if groups and groups[-1][-1] == i - 1:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+    return groups
 
 
 @lru_cache(1 << 16)
@@ -257,9 +316,9 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def run_keys(page: list[str], host: str) -> np.ndarray:
-    """For each place in a page's tokens, from the first block to the last, the hash of the host and the run of ``RUN`` tokens there."""
-    tokens = np.array([_hash(w) for text in page for w in text.split(" ")], np.int64)
+def run_keys(texts: list[str], host: str) -> np.ndarray:
+    """For each place in the tokens of ``texts``, one after the other, the hash of the host and the run of ``RUN`` tokens there."""
+    tokens = np.array([_hash(w) for text in texts for w in text.split(" ")], np.int64)
     n = max(0, len(tokens) - RUN + 1)
     keys = np.full(n, _hash("//" + host), np.int64)
     with np.errstate(over="ignore"):
@@ -268,91 +327,137 @@ def run_keys(page: list[str], host: str) -> np.ndarray:
     return keys
 
 
-def content_key(page: list[str]) -> int:
-    """The hash of a page's tokens: pages with the same are one page published twice."""
-    return _hash.__wrapped__(" ".join(page))
+class Evidence(NamedTuple):
+    """Run keys of one page. own: of an open page's kept text. chrome: of what is left out, and of blocks of links. links: of the
+    latter alone. firsts: the first run of each other kept block of an article."""
 
+    content: int
+    open: bool
+    own: np.ndarray
+    chrome: np.ndarray
+    links: np.ndarray
+    firsts: np.ndarray
 
-def without_runs(page: list[str], host: str, repeated: np.ndarray) -> str:
-    """The text of an open page without ``repeated`` runs.
 
-    Runs may span blocks, as the entries of a menu are blocks of their own; a block that they cover wholly is left out. Of
-    other blocks only runs inside them are cut, so that a run which ends in a block's first words leaves them.
-    """
-    words = [text.split(" ") for text in page]
-    hits, at, kept = np.isin(run_keys(page, host), repeated), 0, []
-    hits = np.r_[np.zeros(RUN - 1, bool), hits, np.zeros(RUN - 1, bool)]  # the run at place p is hits[p + RUN - 1]
-    for block in words:
-        n = len(block)
-        if not _covered(hits[at : at + n + RUN - 1]).all():
-            inside = hits[at + RUN - 1 : at + n] if n >= RUN else hits[:0]
-            cut = _covered(np.r_[np.zeros(RUN - 1, bool), inside, np.zeros(RUN - 1, bool)]) if len(inside) else np.zeros(n, bool)
-            kept.append(" ".join(w for w, c in zip(block, cut.tolist(), strict=True) if not c))
-        at += n
-    return "\n\n".join(kept)
+def evidence(html: str | None, host: str) -> Evidence:
+    page = read_page(html)
+    texts = [b.text for b in page.kept]
+    nothing = np.zeros(0, np.int64)
+    links = np.unique(np.concatenate([nothing, *(run_keys([texts[i] for i in group], host) for group in link_groups(page.kept))]))
+    chrome = np.union1d(run_keys([b.text for b in page.rest], host), links)
+    own = np.unique(run_keys(texts, host)) if page.open else nothing
+    firsts = nothing if page.open else np.unique(np.concatenate([nothing, *(run_keys([" ".join(b.text.split(" ", RUN)[:RUN])], host) for b in page.kept if not b.heading and not b.linked)]))
+    # pages with one text are one page published twice
+    return Evidence(_hash.__wrapped__(" ".join(texts)), page.open, own, chrome, links, firsts)
 
 
 def _covered(hits: np.ndarray) -> np.ndarray:
-    """Of a block's tokens, whether one of the ``RUN`` runs that hold the token is a hit; hits begin with runs before the block."""
-    total = np.r_[0, np.cumsum(hits)]
+    """For each token whether one of the ``RUN`` runs that hold it is a hit; hits[p] is the run that begins at token p."""
+    total = np.r_[0, np.cumsum(np.r_[np.zeros(RUN - 1, bool), hits, np.zeros(RUN - 1, bool)])]
     return total[RUN:] > total[:-RUN]
 
 
-def settled(page: str | None) -> bool:
-    """Whether structure alone decides what is the page's text."""
-    found = blocks(page, first=True)
-    return bool(found) and found[-1][0] != "open"
-
-
-def settled_text(found: list[tuple[str, str]]) -> str:
-    zone = "article" if any(zone == "article" for zone, _ in found) else "main"
-    return "\n\n".join(text for z, text in found if z == zone)
-
-
-def main_texts(pages: list[str | None]) -> list[str]:
-    """Main texts of all pages of one host."""
-    found = [blocks(p) for p in pages]
-    open_pages = [None if any(zone != "open" for zone, _ in page) else [text for _, text in page] for page in found]
-    distinct = {content_key(page): page for page in open_pages if page is not None}
-    keys = [np.unique(run_keys(page, "")) for page in distinct.values()]
-    runs, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
-    return [settled_text(f) if page is None else without_runs(page, "", runs[counts >= max(LEAST, SHARE * len(distinct))]) for f, page in zip(found, open_pages, strict=True)]
-
-
-def _open_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of open pages (id, page_id, url, host, blocks): what their hosts do not repeat."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                ids, hosts, found = (c.to_pylist() for c in batch.slice(at, OUT_ROWS).columns)
-                keys = [np.unique(run_keys(page, host)) for host, page in zip(hosts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(map(content_key, found), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "host", "content", "keys"]
-                )
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(at, OUT_ROWS)
-                hosts, found, keys = (part.column(i).to_pylist() for i in (2, 3, 4))
-                texts = [without_runs(page, host, np.array(k or [], np.int64)) for host, page, k in zip(hosts, found, keys, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    keyed = pages.select("id", "host", "blocks").mapInArrow(hashed, "id long, host string, content long, keys array<long>")
-    one_each = cut_lineage(keyed.groupBy("host", "content").agg(F.min("id").alias("id")))
-    sizes = one_each.groupBy("host").agg(F.count("*").alias("pages"))
-    one_each = one_each.join(sizes, "host").select("id", "pages")
-    runs = keyed.join(one_each, "id", "left").select("id", "pages", F.explode("keys").alias("key"))
-    # a key belongs to one host, so all its pages say the same number
-    repeated = runs.groupBy("key").agg(F.count("*").alias("rows"), F.count("pages").alias("contents"), F.max("pages").alias("pages"))
-    repeated = repeated.filter(F.col("contents") >= F.greatest(F.lit(LEAST), SHARE * F.col("pages")))
-    repeated = cut_lineage(repeated.select("key", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("parts")))
-    large = small_side(repeated.filter("parts > 1"))
-    salted = repeated.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    runs = runs.join(large, "key", "left").select("id", "key", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
-    hits = runs.join(salted, ["key", "salt"]).groupBy("id").agg(F.collect_list("key").alias("keys"))
-    return pages.join(hits, "id", "left").select("page_id", "url", "host", "blocks", "keys").mapInArrow(cut, "page_id long, url string, text string")
+def without_runs(page: Page, host: str, bulk: np.ndarray, chrome: np.ndarray, shared: np.ndarray) -> str:
+    """A page's text without what its host repeats: runs of open pages (bulk), of left-out text and link lists (chrome), and first
+    runs of blocks that articles share with left-out text (shared).
+
+    On open pages runs may span blocks, as the entries of a menu are blocks of their own; a block that they cover wholly is left
+    out. Of other blocks only runs inside them are cut, so that a run which ends in a block's first words leaves them.
+    """
+    texts = [b.text for b in page.kept]
+    words = [t.split(" ") for t in texts]
+    gone: set[int] = set()
+    for group in link_groups(page.kept):
+        covered, at = _covered(np.isin(run_keys([texts[i] for i in group], host), chrome)), 0
+        for i in group:
+            if covered[at : at + len(words[i])].all() and len(covered):
+                gone.add(i)
+            at += len(words[i])
+    if not page.open:
+        for i, b in enumerate(page.kept):
+            if not b.heading and not b.linked and len(words[i]) >= RUN:
+                keys = run_keys([texts[i]], host)
+                if np.isin(keys[:1], shared).all() and _covered(np.isin(keys, chrome)).all():
+                    gone.add(i)
+        return "\n\n".join(t for i, t in enumerate(texts) if i not in gone)
+    hits, at, kept = np.isin(run_keys(texts, host), bulk), 0, []
+    around = _covered(hits) if len(hits) else np.zeros(sum(map(len, words)), bool)
+    for i, block in enumerate(words):
+        n = len(block)
+        if i not in gone and not around[at : at + n].all():
+            inside = hits[at : at + n - RUN + 1] if n >= RUN else hits[:0]
+            drop = _covered(inside) if len(inside) else np.zeros(n, bool)
+            kept.append(" ".join(w for w, c in zip(block, drop.tolist(), strict=True) if not c))
+        at += n
+    return "\n\n".join(kept)
+
+
+def _batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in frames:
+        for at in range(0, batch.num_rows, OUT_ROWS):
+            yield batch.slice(at, OUT_ROWS)
+
+
+def _read_evidence(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longs = pa.list_(pa.int64())
+    for part in _batches(frames):
+        pages, hosts = part.column("html").to_pylist(), part.column("host").to_pylist()
+        found = [evidence(page, host) for page, host in zip(pages, hosts, strict=True)]
+        lists = [pa.array([getattr(e, name) for e in found], longs) for name in ("own", "chrome", "links", "firsts")]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("pk"), part.column("hk"), pa.array([e.content for e in found], pa.int64()), pa.array([e.open for e in found], pa.bool_()), *lists],
+            names=["pk", "hk", "content", "open", "own", "chrome", "links", "firsts"],
+        )
+
+
+def _read_texts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _batches(frames):
+        texts = ["\n\n".join(b.text for b in read_page(page).kept) for page in part.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _read_runs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pk, keys): all runs of the kept text, across blocks and so inside each of them."""
+    for part in _batches(frames):
+        keys = [np.unique(run_keys([b.text for b in read_page(page).kept], host)) for page, host in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("pk"), pa.array(keys, pa.list_(pa.int64()))], names=["pk", "keys"])
+
+
+def _cut_texts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _batches(frames):
+        columns = [part.column(name).to_pylist() for name in ("html", "host", "bulk", "chrome", "shared")]
+        texts = [without_runs(read_page(page), host, *(np.array(k or [], np.int64) for k in keys)) for page, host, *keys in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def repeated_runs(marks: DataFrame) -> DataFrame:
+    """(key, bulk, chrome, shared, rows) of runs that a host repeats, from the evidence of all pages."""
+    arrays = F.struct("own", "chrome", "firsts")
+    one_each = marks.groupBy("hk", "open", "content").agg(F.min(arrays).alias("e")).select("hk", "open", "e.*")
+    one_each = cut_lineage(one_each)
+    sizes = small_side(one_each.groupBy("hk").agg(F.count_if("open").alias("open_pages"), F.count("*").alias("pages")))
+    kind = lambda name, n: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(n).alias("kind")))
+    runs = one_each.select("hk", F.inline(F.concat(kind("own", 0), kind("chrome", 1), kind("firsts", 2))))
+    of = lambda n: F.count_if(F.col("kind") == n)
+    # a key belongs to one host
+    counted = runs.groupBy("key").agg(F.min("hk").alias("hk"), of(0).alias("n_own"), of(1).alias("n_chrome"), of(2).alias("n_first"))
+    counted = counted.filter(F.greatest("n_own", "n_chrome") >= LEAST).join(sizes, "hk")
+    enough = lambda n, pages: F.col(n) >= F.greatest(F.lit(LEAST), SHARE * F.col(pages))
+    chrome = enough("n_chrome", "pages")
+    flags = counted.select("key", enough("n_own", "open_pages").alias("bulk"), chrome.alias("chrome"), (chrome & (F.col("n_first") >= LEAST)).alias("shared"))
+    return cut_lineage(flags.filter("bulk or chrome"))
+
+
+def joined(runs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``runs`` (pk, key, ...) that are ``repeated``: by broadcast if those are few, else keys of many rows in parts."""
+    if repeated.count() <= BROADCAST_ROWS:
+        return runs.join(F.broadcast(repeated), "key")
+    rows = runs.join(repeated.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("rows"))
+    large = small_side(rows.filter(F.col("rows") > SALT_ROWS).select("key", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    salted = repeated.join(large, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    dealt = runs.join(large, "key", "left").withColumn("salt", F.pmod(F.xxhash64("pk"), parts).cast("int")).drop("parts")
+    return dealt.join(salted, ["key", "salt"]).drop("salt")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -363,29 +468,27 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(at, OUT_ROWS)
-                found = [None if settled(page) else [text for _, text in blocks(page)] for page in part.column(2).to_pylist()]
-                part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(found, pa.list_(pa.string()))], names=["page_id", "url", "host", "blocks"])
-                yield part.filter(part.column(3).is_valid())
-
-    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(at, OUT_ROWS)
-                found = [blocks(page) for page in part.column(2).to_pylist()]
-                texts = [settled_text(f) if any(zone != "open" for zone, _ in f) else None for f in found]
-                part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-                yield part.filter(part.column(2).is_valid())
-
-    texts = rows.mapInArrow(closed, "page_id long, url string, text string")
-    left = rows.mapInArrow(opened, "page_id long, url string, host string, blocks array<string>")
-    left = cut_lineage(left.select(F.monotonically_increasing_id().alias("id"), "*"))
-    if not left.isEmpty():
-        texts = texts.unionByName(_open_texts(left))
+    # equal rows share a key; two others that did would only be offered each other's runs, which they do not hold
+    rows = rows.select("*", F.xxhash64("page_id", "url", "html").alias("pk"), F.xxhash64("host").alias("hk"))
+    arrays = ", ".join(f"{name} array<long>" for name in ("own", "chrome", "links", "firsts"))
+    marks = cut_lineage(rows.mapInArrow(_read_evidence, f"pk long, hk long, content long, open boolean, {arrays}"))
+    repeated = repeated_runs(marks)
+    kind = lambda name, n: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(n).alias("kind")))
+    asked = marks.select("pk", F.inline(F.concat(kind("own", "bulk"), kind("links", "chrome"), kind("firsts", "shared"))))
+    met = joined(asked, repeated).filter("case kind when 'bulk' then bulk when 'chrome' then chrome else shared end")
+    met = cut_lineage(met.select("pk").distinct())
+    n_met = met.count()
+    schema = "page_id long, url string, text string"
+    if not n_met:
+        texts = rows.mapInArrow(_read_texts, schema)
+    else:
+        few = F.broadcast(met) if n_met <= PAGE_KEYS else met
+        texts = rows.join(few, "pk", "left_anti").mapInArrow(_read_texts, schema)
+        cut = rows.join(few, "pk", "left_semi")
+        runs = cut.dropDuplicates(["pk"]).mapInArrow(_read_runs, "pk long, keys array<long>").select("pk", F.explode("keys").alias("key"))
+        of = lambda name: F.collect_list(F.when(F.col(name), F.col("key"))).alias(name)
+        keys = joined(runs, repeated).groupBy("pk").agg(of("bulk"), of("chrome"), of("shared"))
+        texts = texts.unionByName(cut.join(keys, "pk", "left").mapInArrow(_cut_texts, schema))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 

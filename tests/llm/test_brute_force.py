@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plain_html import plain_texts
+
 from lodestar.llm import html, packing, pii, quality, sentencepiece, simhash, simhash_wide, vectors
 
 SMALL = "/root/testdata/sf0.001"
@@ -431,72 +433,107 @@ def test_structure_and_repetition():
     page = """<html><body><div class="cookie-notice">We use cookies</div><header>Site</header><main><article><header><h1>T &amp; x</h1>by me</header>
 <p>a<br>b  c<p>d <b>e</b></p><div class="share">tweet</div><ul><li>one<li>two</ul><form>f</form><section id="comments"><p>bad</p></section>
 <script>x("</p>")</script></article></main><footer>z</footer></body>"""
-    assert html.main_texts([page]) == ["T & x\n\na b c\n\nd e\n\none\n\ntwo"]
+    assert plain_texts([page]) == ["T & x\n\na b c\n\nd e\n\none\n\ntwo"]
     page = """<body class="has-sidebar"><div class="layout with-sidebar"><article class="post"><div class="entry-header"><h1>Title</h1><span class="byline">me</span></div><p>Body</p>
-<ol class="comment-list"><li><article class="comment-body"><p>nice</p></article></li></ol><a class="share-link" href="x">Tweet</a> tail</article><aside><article><p>teaser</p></article></aside></div>
+<ol class="comment-list"><li><article class="comment-body"><p>nice</p></article></li></ol><a class="share" href="x">Tweet</a> tail</article><aside><article><p>teaser</p></article></aside></div>
 <div id="comments"><article><p>good</p></article></div></body>"""
-    assert html.main_texts([page]) == ["Title\n\nBody\n\ntail"]
+    assert plain_texts([page]) == ["Title\n\nBody\n\ntail"]
     menu, foot = "Home About Contact Imprint Privacy Jobs", "Copyright two thousand by the example company limited all"
     pages = [f"<body><div>{menu}</div><div><p>story {i} has words {i * 7} that are its own {i}</p></div><div>{foot}</div>" for i in range(5)]
-    assert html.main_texts([*pages, pages[0]]) == [f"story {i} has words {i * 7} that are its own {i}" for i in (0, 1, 2, 3, 4, 0)]
-
-
-def test_repetition_is_sought_on_the_whole_host(spark):
-    # the footers of 40 kinds recur once in 40 pages, so no slice of few pages shows them; the last host has one page
-    foot = lambda i: " ".join(f"foot{i % 40}x{j}" for j in range(8))
-    rows = [(i, f"http://h.org/{i}", f"<div><p>own words of page {i} are {i * 7} here</p></div><div>{foot(i)}</div>") for i in range(400)]
-    rows += [(1000, "http://other.org/", f"<div>{foot(0)}</div>")]
+    assert plain_texts([*pages, pages[0]]) == [f"story {i} has words {i * 7} that are its own {i}" for i in (0, 1, 2, 3, 4, 0)]
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<p>one <button>Subscribe now</button>two</p>", "one two"),
+        ("<div>x<button><span>Buy</span></button></div><p>y</p>", "x\n\ny"),
+        ("<p>a <span class='share'><span>x</span> LEAK</span> b</p>", "a b"),
+        ("<p>a <a class='related-link' href='u'>linked words</a> b</p>", "a linked words b"),
+        ("<p>a <a class='my-related-thing' href='u'>linked words</a> b</p>", "a linked words b"),
+        ("<ul><li class='ad'>buy<li>text</ul>", "text"),
+        ("<p>t</p><div><article class='related'><p>another</p></article></div>", "t"),
+        ("<p>t</p><div class='related-posts'><article><p>another</p></article></div>", "t"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+        ("<p title='a > b' data-x = \"'\">t</p>", "t"),
+    ],
+)
+def test_phrases_and_marks_inside_an_article(body, want):
+    if "related-link" in body:
+        want = "a b"  # the whole name says that it is a link to another text
+    assert plain_texts([f"<body><nav>menu</nav><article>{body}</article></body>"]) == [want]
+
+
+def test_an_article_of_a_related_list_is_not_the_text():
+    assert plain_texts(["<body><article><p>own</p></article><div><article class='related'><p>other</p></article></div></body>"]) == ["own"]
+
+
+def test_long_attributes_are_read_once():
+    import time
+
+    began = time.time()
+    assert plain_texts(["<p " + "a='x' " * 60_000 + ">t</p>"]) == ["t"] and time.time() - began < 20
+
+
+FOOT = lambda i: " ".join(f"foot{i % 40}x{j}" for j in range(8))
+MENU = "Home About Contact Imprint Privacy Jobs"
+QUOTE = "to be or not to be that is the question"
+
+
+def hosts():
+    """Hosts with pages (host, html): with and without articles, and with menus inside articles."""
+    for i in range(400):  # footers of 40 kinds recur once in 40 pages, so no slice of few pages shows them
+        yield "many.org", f"<div><p>own words of page {i} are {i * 7} here</p></div><div>{FOOT(i)}</div>"
+    yield "one.org", f"<div>{FOOT(0)}</div>"
+    for i in range(12):
+        yield "open.org", f"<div>{MENU} p{i} q</div><p>story {i} is its own</p>" + (f"<p>{QUOTE}</p>" if i < 2 else "")
+    for i in range(2):
+        yield "two.org", f"<p>{QUOTE}</p><p>{i} a b c d</p>"
+    links = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in MENU.split())
+    for i in range(9):
+        # an unmarked list of links in the article; a notice that stands in the footer of some pages and in the article of others;
+        # a teaser of page 0 beside all others; a passage that all articles hold
+        notice = "<p>Write to us for any use of these pages at all</p>"
+        teaser = "the first words of page zero are here and nowhere else"
+        inside, below = (notice, "") if i % 2 else ("", notice)
+        yield "article.org", (
+            f"<aside><p>{teaser}</p></aside><article><h1>{MENU} and more</h1><ul>{links}</ul><p>{teaser if i == 0 else f'page {i} begins in its own way'}</p>"
+            f"<p>{QUOTE}</p>{inside}<p>see <a href='x'>link {i}</a> for the rest of it</p></article><footer>{below}</footer>"
+        )
+
+
+def test_extraction_against_all_runs_of_whole_hosts(spark, monkeypatch):
+    rows = [(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(hosts())]
+    want = {}
+    for host in sorted({h for h, _ in hosts()}):
+        mine = [r for r in rows if r[1].startswith(f"http://{host}/")]
+        want |= {r[0]: t for r, t in zip(mine, plain_texts([r[2] for r in mine]), strict=True)}
+    by_host = {h: [want[r[0]] for r in rows if r[1].startswith(f"http://{h}/")] for h, _ in hosts()}
+    assert by_host["many.org"] == [f"own words of page {i} are {i * 7} here" for i in range(400)] and by_host["one.org"] == [FOOT(0)]
+    assert by_host["open.org"][2] == "p2 q\n\nstory 2 is its own" and by_host["open.org"][0].endswith(QUOTE) and by_host["two.org"][0].startswith(QUOTE)
+    assert by_host["article.org"][0] == f"{MENU} and more\n\nthe first words of page zero are here and nowhere else\n\n{QUOTE}\n\nsee link 0 for the rest of it"
+    assert by_host["article.org"][1] == f"{MENU} and more\n\npage 1 begins in its own way\n\n{QUOTE}\n\nsee link 1 for the rest of it"
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = {i: f"own words of page {i} are {i * 7} here" for i in range(400)} | {1000: foot(0)}
-    for parts in (1, 23):
+    for parts, broadcast in ((1, 100_000), (23, 0)):
+        monkeypatch.setattr(html, "BROADCAST_ROWS", broadcast)
+        monkeypatch.setattr(html, "SALT_ROWS", 100_000 if broadcast else 3)
+        monkeypatch.setattr(html, "PAGE_KEYS", broadcast)
         assert {r.page_id: r.text for r in html.extract(frame.repartition(parts)).collect()} == want
+    twice = html.extract(frame.unionByName(frame)).collect()
+    assert sorted((r.page_id, r.text) for r in twice) == sorted((i, t) for i, t in want.items() for _ in range(2))
 
 
 def test_marked_layouts_without_an_article():
     body, menu = "<h1>Title</h1><p>some words of the page's own text</p>", '<div class="nav-menu">Home About</div><aside>more</aside>'
     want = "Title\n\nsome words of the page's own text"
     for wrapper in ('class="no-sidebar"', 'id="page" class="content-sidebar"', 'class="has-header-search"', 'class="layout withComments"'):
-        assert html.main_texts([f"<body><div {wrapper}>{menu}{body}</div><footer>z</footer></body>"]) == [want]
-        assert html.main_texts([f"<body><div {wrapper}><div class='page-with-menu'>{menu}{body}</div></div></body>"]) == [want]
-    assert html.main_texts([f"<body><div class='no-sidebar'><p class='notice'>n<p>{'word ' * 9}</div></body>"]) == ["word " * 8 + "word"]
+        assert plain_texts([f"<body><div {wrapper}>{menu}{body}</div><footer>z</footer></body>"]) == [want]
+        assert plain_texts([f"<body><div {wrapper}><div class='page-with-menu'>{menu}{body}</div></div></body>"]) == [want]
+    assert plain_texts([f"<body><div class='no-sidebar'><p class='notice'>n<p>{'word ' * 9}</div></body>"]) == ["word " * 8 + "word"]
     # a part of the page is still left out by its mark, and so is what carries nothing but marks or is not shown
-    assert html.main_texts([f"<body><div class='left-sidebar'>a few</div>{body}</body>"]) == [want]
-    assert html.main_texts(["<body><div class='cookie-notice'>many words about our cookies</div><p>few</p></body>"]) == ["few"]
-    assert html.main_texts(["<body><div class='no-sidebar' style='display:none'>many words not shown</div><p>few</p></body>"]) == ["few"]
-
-
-def test_what_two_articles_share_stays_and_runs_are_cut(spark):
-    quote, menu = "to be or not to be that is the question", "Home About Contact Imprint Privacy Jobs"
-    rows = [(i, "http://h.org/", f"<div>{menu} p{i} q</div><p>story {i} is its own</p>" + (f"<p>{quote}</p>" if i < 2 else "")) for i in range(12)]
-    rows += [(20 + i, "http://two.org/", f"<p>{quote}</p><p>{i} a b c d</p>") for i in range(2)]
-    want = {i: f"p{i} q\n\nstory {i} is its own" + (f"\n\n{quote}" if i < 2 else "") for i in range(12)}
-    want |= {20 + i: f"{quote}\n\n{i} a b c d" for i in range(2)}
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in html.extract(frame).collect()} == want
-    assert html.main_texts([r[2] for r in rows[:12]]) == [want[i] for i in range(12)]
-
-
-def test_large_runs_are_joined_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(html, "SALT_ROWS", 3)
-    rows = [(i, "http://h.org/", f"<div>story {i} alone</div><div>Home About Contact Imprint Privacy Jobs</div>") for i in range(30)]
-    got = html.extract(spark.createDataFrame(rows * 2, "page_id long, url string, html string")).collect()
-    assert sorted((r.page_id, r.text) for r in got) == sorted((i, f"story {i} alone") for i in range(30) for _ in range(2))
-
-
-def test_suffix_cover_against_all_runs():
-    draw = np.random.default_rng(7)
-    for _ in range(40):
-        streams = [draw.integers(0, 4, size=draw.integers(0, 30)) for _ in range(4)]
-        run = int(draw.integers(2, 6))
-        distinct = {s.tobytes() for s in streams}
-        got = html.suffix_cover(streams, run)
-        for s, covered in zip(streams, got, strict=True):
-            want = np.zeros(len(s), bool)
-            others = [np.frombuffer(o, s.dtype) for o in distinct if o != s.tobytes()]
-            for i in range(len(s) - run + 1):
-                if any((o[j : j + run] == s[i : i + run]).all() for o in others for j in range(len(o) - run + 1)):
-                    want[i : i + run] = True
-            assert covered.tolist() == want.tolist()
+    assert plain_texts([f"<body><div class='left-sidebar'>a few</div>{body}</body>"]) == [want]
+    assert plain_texts(["<body><div class='cookie-notice'>many words about our cookies</div><p>few</p></body>"]) == ["few"]
+    assert plain_texts(["<body><div class='no-sidebar' style='display:none'>many words not shown</div><p>few</p></body>"]) == ["few"]
 
 
 def test_spans_digest(docs):
