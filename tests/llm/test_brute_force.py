@@ -305,20 +305,68 @@ def test_exact_search_equals_brute_force(embeddings):
     assert got_top(vectors.exact_top_k(rows, 100, 10)) == plain_top(whole, ids, np.flatnonzero(ids % 100 == 0), 10)
 
 
-def test_pivots_spare_candidates_and_stay_exact():
+def test_pivots_spare_candidates_and_stay_exact(embeddings):
     draw = np.random.default_rng(0)
-    centres = draw.normal(size=(20, 8)) * 3000
-    x = np.floor(centres[draw.integers(20, size=4000)] + draw.normal(size=(4000, 8)) * 60)
-    ids, far = np.arange(4000), x[:16]
-    gaps = lambda y: np.sqrt(((y[:, None] - far) ** 2).sum(2))
-    x = np.floor(x / np.linalg.norm(x, axis=1)[:, None] * 3000)
-    done = 0
-    for q in x[:50]:
-        got, scores, n = vectors.pivot_search(q, x, ids, gaps(x), gaps(q[None])[0], (x**2).sum(1), 10)
-        want = np.lexsort((ids, -(x @ q)))[:10]
-        assert got.tolist() == want.tolist()
-        done += n
-    assert done < 0.5 * 50 * 4000
+    tight = draw.normal(size=(20, 64))[draw.integers(20, size=4000)] + draw.normal(size=(4000, 64)) * 0.1
+    thin = draw.normal(size=(4000, 64)) * np.linspace(1, 0.01, 64)  # most of the length in few directions, as real embeddings have
+    for x, most in ((np.floor(tight * 3000), 0.1), (np.floor(thin * 3000), 0.05), (np.floor(embeddings[1][:4000] * 1024), 0.5), (np.floor(draw.normal(size=(900, 3)) * 50), 0.1)):
+        ids, reps = draw.permutation(len(x)), np.arange(len(x))
+        pivots = vectors.PivotTable(x[::2], vectors.PIVOTS)
+        places = pivots.places(pivots.distances(x))
+        limits = places @ places.T
+        largest = (x**2).sum(1).max()
+        assert (limits + pivots.rounding(largest) >= x @ x.T).all()
+        # never looser than what any single pivot says
+        gaps = pivots.distances(x)
+        for p in range(gaps.shape[1]):
+            triangle = (gaps[:50, :1] ** 2 + gaps[:, 0] ** 2 - (gaps[:50, p : p + 1] - gaps[:, p]) ** 2) / 2
+            assert (limits[:50] <= triangle + 1e-4 * largest).all()
+        done = 0
+        for i in range(50):
+            at, scores, n = vectors.pivot_search(x[i], x, ids, reps, limits[i], 10, slack=pivots.rounding(largest))
+            want = np.lexsort((ids, -(x @ x[i])))[:10]
+            assert at.tolist() == want.tolist() and scores.tolist() == (x @ x[i])[want].tolist()
+            done += n
+        assert done <= max(most * 50 * len(x), 50 * vectors.CHUNK)
+
+
+def test_large_whole_numbers_are_exact(spark):
+    draw = np.random.default_rng(3)
+    for size, biggest in ((8, 3e5), (8, 9e8), (3, 2.0)):
+        x = np.floor(draw.normal(size=(300, size)) * biggest)
+        x = np.clip(x, -1.2e9, 1.2e9)
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate((x / 1024).tolist())], "vec_id long, embedding array<double>")
+        whole = [[int(c) for c in v] for v in x]
+        want = {}
+        for q in range(0, 300, 100):
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q)
+            want[q] = [(i, -s) for s, i in scores[:10]]
+        got = {}
+        for r in sorted(vectors.exact_top_k(rows, 100, 10).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == want
+    with pytest.raises(OverflowError):
+        vectors.exact_top_k(spark.createDataFrame([(0, [1e7, 1e7]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"), 100, 10)
+
+
+def test_exact_search_over_many_blocks(spark, monkeypatch):
+    """Blocks that fall by their bound, several query blocks, several groups of summaries, repeated rows and two lengths."""
+    for name, value in (("ROW_BLOCK", 50), ("QUERY_BLOCK", 7), ("SUMMARY_BLOCK", 4), ("CHUNK", 5)):
+        monkeypatch.setattr(vectors, name, value)
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(12, 6))[draw.integers(12, size=900)] * 4 + draw.normal(size=(900, 6)) * 0.2
+    x[::3] = x[0]
+    rows = [(i % 700, v) for i, v in enumerate(x.tolist())] + [(1000 + i, [float(i), 1.0]) for i in range(30)] + [(0, x[0].tolist())]
+    got = {}
+    for r in vectors.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows]
+    want = {}
+    for at, (q, v) in enumerate(whole):
+        if q % 20 == 0:
+            scores = sorted((-int(v @ w), i) for j, (i, w) in enumerate(whole) if j != at and len(w) == len(v))[:4]
+            want.setdefault(q, []).extend((rank, i, -s) for rank, (s, i) in enumerate(scores, 1))
+    assert {q: sorted(h) for q, h in got.items()} == {q: sorted(h) for q, h in want.items()}
 
 
 def test_approximate_recall(embeddings):
@@ -346,7 +394,8 @@ def test_all_compared_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
     x = np.random.default_rng(6).normal(size=(1000, 8))
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    classes, asked = vectors.equal_classes(vectors.usable(rows, zero=False), 5), vectors.usable(rows, zero=False).filter("vec_id % 100 = 0")
+    rows = vectors.cut_lineage(vectors.usable(rows, zero=False))
+    classes, asked = vectors.equal_classes(rows, 5), rows.filter("vec_id % 100 = 0")
     queries = vectors.query_classes(asked)
     found = vectors.all_compared(classes, queries, 5, 1000, 10)
     want, got = plain_top(x, np.arange(1000), np.arange(0, 1000, 100), 5), got_top(vectors.ranked(found, classes, queries, asked, 5))
@@ -364,6 +413,28 @@ def test_recall_does_not_fall_with_the_table(spark):
         assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / k for q in want]) >= 0.9
 
 
+def test_visited_buckets_stay_bounded_as_the_table_grows():
+    """Buckets grow instead of their number: a query names at most PROBES a table on average, whatever the number of vectors."""
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for n in (50_000, 1_000_000, 100_000_000):
+        hashes = vectors.fit_hashes(x, n, 1.0, 20)
+        assert np.mean([len(k) for k in hashes.probe_keys(x[:16])]) <= vectors.PROBES * vectors.TABLES
+
+
+def test_recall_with_salted_buckets_and_two_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(vectors, "LARGE_BUCKETS", 300)
+    draw = np.random.default_rng(13)
+    x, y = draw.normal(size=(3_000, 16)), draw.normal(size=(200, 5))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(10_000 + i, v) for i, v in enumerate(y.tolist())], "vec_id long, embedding array<double>")
+    got = got_top(vectors.nearest(rows, 100, 10))
+    want = plain_top(x, np.arange(3_000), np.arange(0, 3_000, 100), 10) | plain_top(y, np.arange(10_000, 10_200), np.arange(0, 200, 100), 10)
+    assert set(got) == set(want)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_recall_beside_a_dense_cluster(spark):
     """A third of the vectors all but equal: they say nothing about the distances of the others."""
     draw = np.random.default_rng(12)
@@ -491,8 +562,8 @@ def hosts():
         yield "two.org", f"<p>{QUOTE}</p><p>{i} a b c d</p>"
     links = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in MENU.split())
     for i in range(9):
-        # an unmarked list of links in the article; a notice that stands in the footer of some pages and in the article of others;
-        # a teaser of page 0 beside all others; a passage that all articles hold
+        # an unmarked list of links in the article, which goes; a sentence that stands in the footer of some pages and in the article
+        # of others, a teaser of page 0 beside all others, and a passage that all articles hold stay
         notice = "<p>Write to us for any use of these pages at all</p>"
         teaser = "the first words of page zero are here and nowhere else"
         inside, below = (notice, "") if i % 2 else ("", notice)
@@ -511,8 +582,9 @@ def test_extraction_against_all_runs_of_whole_hosts(spark, monkeypatch):
     by_host = {h: [want[r[0]] for r in rows if r[1].startswith(f"http://{h}/")] for h, _ in hosts()}
     assert by_host["many.org"] == [f"own words of page {i} are {i * 7} here" for i in range(400)] and by_host["one.org"] == [FOOT(0)]
     assert by_host["open.org"][2] == "p2 q\n\nstory 2 is its own" and by_host["open.org"][0].endswith(QUOTE) and by_host["two.org"][0].startswith(QUOTE)
+    notice = "Write to us for any use of these pages at all"
     assert by_host["article.org"][0] == f"{MENU} and more\n\nthe first words of page zero are here and nowhere else\n\n{QUOTE}\n\nsee link 0 for the rest of it"
-    assert by_host["article.org"][1] == f"{MENU} and more\n\npage 1 begins in its own way\n\n{QUOTE}\n\nsee link 1 for the rest of it"
+    assert by_host["article.org"][1] == f"{MENU} and more\n\npage 1 begins in its own way\n\n{QUOTE}\n\n{notice}\n\nsee link 1 for the rest of it"
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     for parts, broadcast in ((1, 100_000), (23, 0)):
         monkeypatch.setattr(html, "BROADCAST_ROWS", broadcast)
