@@ -8,7 +8,8 @@
 4. Rows meet by (table, key). A bucket over ``BUCKET_ROWS`` is cut into salted parts and every pair of parts becomes a
    task of its own, so that no task grows with a bucket. Inside a task keys are sorted, neighbours at distance 1, 2, ...
    in the same bucket are verified by Hamming distance, and only a spanning forest of the links leaves the task.
-5. Components of the forest: minimum labels with pointer jumping; each round is cut by a checkpoint.
+5. Components of the forest: minimum labels with pointer jumping; each round is cut by a checkpoint. A label is the smallest doc_id
+   with its fingerprint, so components are never grouped.
 """
 
 from __future__ import annotations
@@ -155,30 +156,26 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
     return cells.repartition(n, "cell").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node of the connected component.
+def components(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(node, label) for every node of ``edges`` (a, b): label is the smallest (rank, node) of the connected component.
 
-    Each round takes the smallest label among the neighbours, then the label of that label. It ends when no label changes.
+    ranks: (node, rank) of all nodes. Each round takes the smallest label among the neighbours, then the label of that label. It
+    ends when no label changes. Labels carry what is asked of a component, so nothing is ever grouped by component; the joins by
+    label have large keys on one side alone, which adaptive execution splits.
     """
     both = cut_lineage(edges.filter(F.col("a") != F.col("b")).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
+    labels = cut_lineage(ranks.join(both.select(F.col("a").alias("node")).distinct(), "node").select("node", F.struct("rank", "node").alias("label")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        low = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("low"))
-        over = labels.select(F.col("node").alias("low"), F.col("root").alias("over"))
-        step = cut_lineage(low.join(over, "low").select("node", F.least("low", "over").alias("new"), (F.least("low", "over") != F.col("root")).alias("moved")))
-        labels = step.select("node", F.col("new").alias("root"))
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        low = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
+        over = labels.select(F.col("node").alias("at"), F.col("label").alias("over"))
+        new = F.least("low", "over")
+        step = cut_lineage(low.join(over, F.col("low.node") == F.col("at")).select("node", new.alias("label"), (new != F.col("label")).alias("moved")))
+        labels = step.select("node", "label")
         if step.filter("moved").isEmpty():
             return labels
 
 
-def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, first, root) for every fingerprint of ``prints``: its smallest doc_id and the smallest fingerprint of its component."""
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, max_bits))
-    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs`` (doc_id, text).
 
@@ -186,9 +183,10 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits:
     doc_ids are all null has a null id. An empty table gives no rows. Other columns are ignored.
     """
     prints = cut_lineage(fingerprints(docs, words_each))
-    found = classes(prints, max_bits)
-    named = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = found.select("fp", "root").join(named, "root").select("fp", "component_id")
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    ranks = distinct.select(F.col("fp").alias("node"), F.struct(F.col("first").isNull().alias("none"), "first").alias("rank"))
+    found = components(links(distinct, max_bits), ranks)
+    member = cut_lineage(distinct.join(found, distinct.fp == found.node, "left").select("fp", F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("label.rank.first")).alias("component_id")))
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

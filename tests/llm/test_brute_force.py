@@ -117,7 +117,8 @@ def test_links_join_what_all_pairs_join(spark, bucket_rows):
                 f ^= 1 << b
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     rows = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.links(rows, 4, bucket_rows)).collect()}
+    ranks = rows.select(F.col("fp").alias("node"), F.lit(0).alias("rank"))
+    roots = {r.node % (1 << 64): r.label.node % (1 << 64) for r in simhash.components(simhash.links(rows, 4, bucket_rows), ranks).collect()}
     want, got = {}, {}
     for f, r in plain_components(fps).items():
         want.setdefault(r, set()).add(f)
@@ -128,7 +129,8 @@ def test_links_join_what_all_pairs_join(spark, bucket_rows):
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
-    assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(201)} | {(1000, 1000), (1001, 1000)}
+    ranks = spark.range(2000).select(F.col("id").alias("node"), (-F.col("id")).alias("rank"))
+    assert {(r.node, r.label.node) for r in simhash.components(edges, ranks).collect()} == {(i, 200) for i in range(201)} | {(1000, 1001), (1001, 1001)}
 
 
 def test_block_masks_keep_every_close_pair():
@@ -168,6 +170,59 @@ def test_near_copies_go_and_other_texts_stay(spark):
     assert len(near) > 100 and len(both) <= 0.02 * len(near)
 
 
+def test_closest_forest_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash_wide, "HELD_PAIRS", 50)
+    draw = np.random.default_rng(3)
+    for _ in range(20):
+        fps = draw.integers(0, 4, size=(40, 4)).astype(np.uint64)
+        cells = draw.integers(0, 3, size=40)
+        a, b = simhash_wide.closest_forest(cells, fps, 3)
+        bits = lambda x, y: int(np.bitwise_count(x ^ y).sum())
+        names = {f.tobytes(): i for i, f in enumerate(np.unique(fps, axis=0))}
+        pairs = sorted({(bits(fps[i], fps[j]), *sorted((names[fps[i].tobytes()], names[fps[j].tobytes()]))) for i in range(40) for j in range(i) if cells[i] == cells[j] and 0 < bits(fps[i], fps[j]) <= 3})
+        root = list(range(len(names)))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        total = count = 0
+        for length, x, y in pairs:
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                total, count = total + length, count + 1
+        assert len(a) == count and sum(bits(x, y) for x, y in zip(a, b, strict=True)) == total
+        assert all((bits(x, y), *sorted((names[x.tobytes()], names[y.tobytes()]))) in pairs for x, y in zip(a, b, strict=True))
+
+
+def test_sketches_give_the_shingle_similarity():
+    draw = random.Random(4)
+    for size in (0, 1, 4, 7, 300, 900, 6000):
+        base = [f"w{draw.randrange(10_000)}" for _ in range(size)]
+        for share in (0, 0.01, 0.03, 0.1, 1):
+            other = [f"v{draw.randrange(10_000)}" if draw.random() < share else w for w in base]
+            a, b = shingles(" ".join(base)), shingles(" ".join(other))
+            want = len(a & b) / max(1, len(a | b))
+            got = simhash_wide.similarity(simhash_wide.sketch(" ".join(base)), simhash_wide.sketch(" ".join(other)))
+            assert abs(got - want) < (1e-9 if size < 1000 else 0.05)
+
+
+def test_pairs_below_the_threshold_do_not_link(spark):
+    draw = random.Random(18)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for _ in range(80):
+        base = [word() for _ in range(300)]
+        rows.append((len(rows), " ".join(base)))
+        for at in draw.sample(range(2, 298), draw.randint(8, 12)):
+            base[at] = word()
+        rows.append((len(rows), " ".join(base)))
+    kept = {r.doc_id for r in simhash_wide.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = [len(shingles(rows[i][1]) & shingles(rows[i + 1][1])) / len(shingles(rows[i][1]) | shingles(rows[i + 1][1])) for i in range(0, 160, 2)]
+    assert all(i * 2 + 1 in kept for i, j in enumerate(alike) if j < 0.8) and sum(j < 0.8 for j in alike) > 40
+
+
 def test_wide_fingerprint_bits_by_majority():
     text = "the quick brown fox jumps over the lazy dog again"
     assert simhash_wide.fingerprint(text) == simhash_wide.fingerprint(text.upper()) != simhash_wide.fingerprint(text[4:])

@@ -2,7 +2,6 @@
 
 import itertools
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,21 +35,32 @@ def test_rejected_documents_go(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    rows = {r.doc_id: np.frombuffer(simhash_wide.fingerprint(r.text), np.uint64) for r in stages[1].collect()}
-    root = {i: i for i in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in itertools.combinations(sorted(rows), 2):
-        if np.bitwise_count(rows[a] ^ rows[b]).sum() <= simhash_wide.MAX_BITS:
+    """All pairs by the similarity of their five-word shingles: whatever goes is linked to what stays, and few links are missed."""
+    rows = {r.doc_id: set(simhash_wide.shingle_hashes(r.text).tolist()) for r in stages[1].collect()}
+    holds, shared = {}, {}
+    for i, held in rows.items():
+        for h in held:
+            holds.setdefault(h, []).append(i)
+    for ids in holds.values():
+        for pair in itertools.combinations(sorted(ids), 2):
+            shared[pair] = shared.get(pair, 0) + 1
+
+    def first_of_each(least):
+        root = {i: i for i in rows}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        empty = sorted(i for i in rows if not rows[i])
+        for a, b in [*zip(empty, empty[1:], strict=False), *(p for p, n in shared.items() if n >= least * (len(rows[p[0]]) + len(rows[p[1]]) - n))]:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    want = {i for i in rows if find(i) == i}
+        return {i for i in rows if find(i) == i}
+
     got = {r.doc_id for r in stages[2].collect()}
-    assert want <= got and len(got - want) <= 0.01 * len(rows)
+    assert first_of_each(0.77) <= got and len(got - first_of_each(0.8)) <= 0.005 * len(rows)
 
 
 def test_spans_are_replaced(stages):
