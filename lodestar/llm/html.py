@@ -3,23 +3,22 @@
 A page becomes blocks of text in page order. Structure says where the text is: elements that hold menus, headers, footers,
 sidebars, notices, adverts, forms or comments are left out, and text inside an article (else a main) element is kept.
 
-Repetition is asked on every page. Each page of a host gives token streams: what structure leaves out, what it keeps, and the
-kept blocks that are mostly links. They are the host's text, and the suffixes of it, sorted by their first ``RUN`` tokens, are a
-suffix array of that depth: suffixes that agree so far are neighbours, and longer repeated substrings are chains of such runs.
-A run counts as repeated if it occurs on ``LEAST`` pages of the host with different text, and on a share ``SHARE`` of them:
+Repetition is asked on every page. Each page of a host gives token streams: its lists of links, kept or left out, and where it
+has neither article nor main, all that structure lets stand. They are the host's text, and the suffixes of it, sorted by their
+first ``RUN`` tokens, are a suffix array of that depth: suffixes that agree so far are neighbours, and longer repeated substrings
+are chains of such runs. A run counts as repeated if it occurs on ``LEAST`` pages of the host with different text, and on a share
+``SHARE`` of them:
 
 * on pages without article and main, where structure can't judge, repeated runs are cut and the words beside them stay;
-* kept blocks that are mostly links go if the host repeats all of them, inside articles too;
-* other kept blocks of an article go if the host's menus, footers and the like repeat all of them and ``LEAST`` articles hold
-  them too: a teaser beside other articles does not delete the article's own paragraph. Headings stay.
+* blocks that are mostly links go if the host repeats all of them, inside articles too.
 
-All else stays: a passage that articles share, and in a block the words beside a run.
+All else stays: a passage that articles share, and in a block the words beside a run. Prose inside an article is never cut by
+repetition, even where menus and footers hold the same sentence: articles quote, and hosts reuse their sentences.
 
 Scale: the suffix array is dealt by prefix. Each different run is one 64-bit hash a page, counted by run with partial sums before the
-shuffle; of the text of articles only the first run of each block moves, and all runs of a block only where that first one is
-repeated in menus. Hashes that stand out are joined back, broadcast if they are few, else runs of more than ``SALT_ROWS`` pages in
-several parts. No page's text depends on how pages are dealt to tasks, and no task holds a host. Pages without a repeated run, as
-are all of most hosts, are read where they are and never move.
+shuffle; the prose of articles never moves. Hashes that stand out are joined back, broadcast if they are few, else runs of more than
+``SALT_ROWS`` pages in several parts. No page's text depends on how pages are dealt to tasks, and no task holds a host. Pages without
+a repeated run are read where they are and never move.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut_lineage, small_side, table
@@ -67,7 +66,6 @@ NEUTRAL = frozenset("article articles box item items link links list post posts
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"\s+")
 
 
 class Block(NamedTuple):
@@ -93,6 +91,8 @@ def _end(text: str, at: int) -> int:
         close = text.find(">", at)
         if close < 0:
             return len(text)
+        if close == at:
+            return close + 1
         start = min((i for q in "\"'" if (i := _opens(text, q, at, close)) >= 0), default=-1)
         after = text.find(text[start], start + 1) if start >= 0 else -1
         if after < 0:
@@ -103,9 +103,11 @@ def _end(text: str, at: int) -> int:
 def _opens(text: str, quote: str, at: int, close: int) -> int:
     """The first ``quote`` in text[at:close] if an equals sign stands before it, else -1."""
     i = before = text.find(quote, at, close)
+    if i < 0:
+        return -1
     while before > at and text[before - 1].isspace():
         before -= 1
-    return i if i >= 0 and text[before - 1 : before] == "=" else -1
+    return i if text[before - 1 : before] == "=" else -1
 
 
 @lru_cache(1 << 14)
@@ -178,17 +180,17 @@ def _read(page: str | None, shown_at: frozenset[int] = frozenset()) -> tuple[lis
     names: Counter[str] = Counter()
     weak: list[tuple[int, int]] = []  # depth and start of the weakly marked elements around
     sure = n  # the depth of the outermost element that is left out for sure
-    links = linked = written = 0  # open links; characters of this block in links, and in all
+    links = 0
+    linked, written = [0, 0], [0, 0]  # characters of this block in links, and in all: left out, and shown
     total, held, at = 0, {}, 0
 
     def close() -> None:
-        nonlocal linked, written
         for kept, pieces in ((True, parts), (False, aside)):
             if pieces:
-                if words := _SPACE.sub(" ", entities.unescape("".join(pieces))).strip():
-                    found.append(Block(words, stack[-1].zone, kept, stack[-1].name in HEADING, kept and 2 * linked > written))
+                if words := " ".join(entities.unescape("".join(pieces)).split()):
+                    found.append(Block(words, stack[-1].zone, kept, stack[-1].name in HEADING, 2 * linked[kept] > written[kept]))
                 pieces.clear()
-        linked = written = 0
+                linked[kept] = written[kept] = 0
 
     def push(name: str, level: int, zone: str, inline: bool) -> None:
         stack.append(Element(name, level, zone, inline))
@@ -219,9 +221,9 @@ def _read(page: str | None, shown_at: frozenset[int] = frozenset()) -> tuple[lis
                 held[began] = held.get(began, 0) + size
         if start > at:
             (parts if shown else aside).append(text[at:start])
-            if shown:
-                size = start - at - text.count(" ", at, start)
-                written, linked = written + size, linked + size * (links > 0)
+            size = start - at - text.count(" ", at, start)
+            written[shown] += size
+            linked[shown] += size * links
         if start == n:
             break
         if text.startswith("<!--", start):
@@ -299,10 +301,10 @@ def read_page(page: str | None) -> Page:
     return Page([b for b in found if b.shown and b.zone == zone], zone == "open", [b for b in found if not b.shown or b.zone != zone])
 
 
-def link_groups(kept: list[Block]) -> list[list[int]]:
-    """Places of kept blocks that are mostly links, neighbours together: entries of one list are blocks of their own."""
+def link_groups(found: list[Block]) -> list[list[int]]:
+    """Places of blocks that are mostly links, neighbours together: entries of one list are blocks of their own."""
     groups: list[list[int]] = []
-    for i, b in enumerate(kept):
+    for i, b in enumerate(found):
         if b.linked and not b.heading:
             if groups and groups[-1][-1] == i - 1:
                 groups[-1].append(i)
@@ -328,27 +330,26 @@ def run_keys(texts: list[str], host: str) -> np.ndarray:
 
 
 class Evidence(NamedTuple):
-    """Run keys of one page. own: of an open page's kept text. chrome: of what is left out, and of blocks of links. links: of the
-    latter alone. firsts: the first run of each other kept block of an article."""
+    """Run keys of one page. own: of an open page's kept text. menus: of its lists of links. links: of those that structure keeps."""
 
     content: int
     open: bool
     own: np.ndarray
-    chrome: np.ndarray
+    menus: np.ndarray
     links: np.ndarray
-    firsts: np.ndarray
+
+
+def _list_keys(found: list[Block], host: str) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(run_keys([found[i].text for i in group], host) for group in link_groups(found))]))
 
 
 def evidence(html: str | None, host: str) -> Evidence:
     page = read_page(html)
     texts = [b.text for b in page.kept]
-    nothing = np.zeros(0, np.int64)
-    links = np.unique(np.concatenate([nothing, *(run_keys([texts[i] for i in group], host) for group in link_groups(page.kept))]))
-    chrome = np.union1d(run_keys([b.text for b in page.rest], host), links)
-    own = np.unique(run_keys(texts, host)) if page.open else nothing
-    firsts = nothing if page.open else np.unique(np.concatenate([nothing, *(run_keys([" ".join(b.text.split(" ", RUN)[:RUN])], host) for b in page.kept if not b.heading and not b.linked)]))
+    links = _list_keys(page.kept, host)
+    own = np.unique(run_keys(texts, host)) if page.open else links[:0]
     # pages with one text are one page published twice
-    return Evidence(_hash.__wrapped__(" ".join(texts)), page.open, own, chrome, links, firsts)
+    return Evidence(_hash.__wrapped__(" ".join(texts)), page.open, own, np.union1d(_list_keys(page.rest, host), links), links)
 
 
 def _covered(hits: np.ndarray) -> np.ndarray:
@@ -357,9 +358,8 @@ def _covered(hits: np.ndarray) -> np.ndarray:
     return total[RUN:] > total[:-RUN]
 
 
-def without_runs(page: Page, host: str, bulk: np.ndarray, chrome: np.ndarray, shared: np.ndarray) -> str:
-    """A page's text without what its host repeats: runs of open pages (bulk), of left-out text and link lists (chrome), and first
-    runs of blocks that articles share with left-out text (shared).
+def without_runs(page: Page, host: str, bulk: np.ndarray, menus: np.ndarray) -> str:
+    """A page's text without what its host repeats: runs of open pages (bulk), and of lists of links (menus).
 
     On open pages runs may span blocks, as the entries of a menu are blocks of their own; a block that they cover wholly is left
     out. Of other blocks only runs inside them are cut, so that a run which ends in a block's first words leaves them.
@@ -368,17 +368,12 @@ def without_runs(page: Page, host: str, bulk: np.ndarray, chrome: np.ndarray, sh
     words = [t.split(" ") for t in texts]
     gone: set[int] = set()
     for group in link_groups(page.kept):
-        covered, at = _covered(np.isin(run_keys([texts[i] for i in group], host), chrome)), 0
+        covered, at = _covered(np.isin(run_keys([texts[i] for i in group], host), menus)), 0
         for i in group:
-            if covered[at : at + len(words[i])].all() and len(covered):
+            if len(covered) and covered[at : at + len(words[i])].all():
                 gone.add(i)
             at += len(words[i])
     if not page.open:
-        for i, b in enumerate(page.kept):
-            if not b.heading and not b.linked and len(words[i]) >= RUN:
-                keys = run_keys([texts[i]], host)
-                if np.isin(keys[:1], shared).all() and _covered(np.isin(keys, chrome)).all():
-                    gone.add(i)
         return "\n\n".join(t for i, t in enumerate(texts) if i not in gone)
     hits, at, kept = np.isin(run_keys(texts, host), bulk), 0, []
     around = _covered(hits) if len(hits) else np.zeros(sum(map(len, words)), bool)
@@ -403,10 +398,10 @@ def _read_evidence(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for part in _batches(frames):
         pages, hosts = part.column("html").to_pylist(), part.column("host").to_pylist()
         found = [evidence(page, host) for page, host in zip(pages, hosts, strict=True)]
-        lists = [pa.array([getattr(e, name) for e in found], longs) for name in ("own", "chrome", "links", "firsts")]
+        lists = [pa.array([getattr(e, name) for e in found], longs) for name in ("own", "menus", "links")]
         yield pa.RecordBatch.from_arrays(
             [part.column("pk"), part.column("hk"), pa.array([e.content for e in found], pa.int64()), pa.array([e.open for e in found], pa.bool_()), *lists],
-            names=["pk", "hk", "content", "open", "own", "chrome", "links", "firsts"],
+            names=["pk", "hk", "content", "open", "own", "menus", "links"],
         )
 
 
@@ -416,36 +411,34 @@ def _read_texts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def _read_runs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pk, keys): all runs of the kept text, across blocks and so inside each of them."""
-    for part in _batches(frames):
-        keys = [np.unique(run_keys([b.text for b in read_page(page).kept], host)) for page, host in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("pk"), pa.array(keys, pa.list_(pa.int64()))], names=["pk", "keys"])
-
-
 def _cut_texts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _batches(frames):
-        columns = [part.column(name).to_pylist() for name in ("html", "host", "bulk", "chrome", "shared")]
+        columns = [part.column(name).to_pylist() for name in ("html", "host", "bulk", "menus")]
         texts = [without_runs(read_page(page), host, *(np.array(k or [], np.int64) for k in keys)) for page, host, *keys in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
+def _kinds(**arrays: str) -> Column:
+    """Rows (key, kind) of array columns; their names are the kinds."""
+
+    def rows(kind: str, name: str) -> Column:
+        return F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
+
+    return F.inline(F.concat(*(rows(kind, name) for kind, name in arrays.items())))
+
+
 def repeated_runs(marks: DataFrame) -> DataFrame:
-    """(key, bulk, chrome, shared, rows) of runs that a host repeats, from the evidence of all pages."""
-    arrays = F.struct("own", "chrome", "firsts")
-    one_each = marks.groupBy("hk", "open", "content").agg(F.min(arrays).alias("e")).select("hk", "open", "e.*")
+    """(key, bulk, menus) of runs that a host repeats, from the evidence of all pages."""
+    one_each = marks.groupBy("hk", "open", "content").agg(F.min(F.struct("own", "menus")).alias("e")).select("hk", "open", "e.*")
     one_each = cut_lineage(one_each)
     sizes = small_side(one_each.groupBy("hk").agg(F.count_if("open").alias("open_pages"), F.count("*").alias("pages")))
-    kind = lambda name, n: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(n).alias("kind")))
-    runs = one_each.select("hk", F.inline(F.concat(kind("own", 0), kind("chrome", 1), kind("firsts", 2))))
-    of = lambda n: F.count_if(F.col("kind") == n)
+    runs = one_each.select("hk", _kinds(bulk="own", menus="menus"))
+    of = lambda kind: F.count_if(F.col("kind") == kind)
     # a key belongs to one host
-    counted = runs.groupBy("key").agg(F.min("hk").alias("hk"), of(0).alias("n_own"), of(1).alias("n_chrome"), of(2).alias("n_first"))
-    counted = counted.filter(F.greatest("n_own", "n_chrome") >= LEAST).join(sizes, "hk")
+    counted = runs.groupBy("key").agg(F.min("hk").alias("hk"), of("bulk").alias("n_bulk"), of("menus").alias("n_menus"))
+    counted = counted.filter(F.greatest("n_bulk", "n_menus") >= LEAST).join(sizes, "hk")
     enough = lambda n, pages: F.col(n) >= F.greatest(F.lit(LEAST), SHARE * F.col(pages))
-    chrome = enough("n_chrome", "pages")
-    flags = counted.select("key", enough("n_own", "open_pages").alias("bulk"), chrome.alias("chrome"), (chrome & (F.col("n_first") >= LEAST)).alias("shared"))
-    return cut_lineage(flags.filter("bulk or chrome"))
+    return cut_lineage(counted.select("key", enough("n_bulk", "open_pages").alias("bulk"), enough("n_menus", "pages").alias("menus")).filter("bulk or menus"))
 
 
 def joined(runs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -470,25 +463,20 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     # equal rows share a key; two others that did would only be offered each other's runs, which they do not hold
     rows = rows.select("*", F.xxhash64("page_id", "url", "html").alias("pk"), F.xxhash64("host").alias("hk"))
-    arrays = ", ".join(f"{name} array<long>" for name in ("own", "chrome", "links", "firsts"))
+    arrays = ", ".join(f"{name} array<long>" for name in ("own", "menus", "links"))
     marks = cut_lineage(rows.mapInArrow(_read_evidence, f"pk long, hk long, content long, open boolean, {arrays}"))
     repeated = repeated_runs(marks)
-    kind = lambda name, n: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(n).alias("kind")))
-    asked = marks.select("pk", F.inline(F.concat(kind("own", "bulk"), kind("links", "chrome"), kind("firsts", "shared"))))
-    met = joined(asked, repeated).filter("case kind when 'bulk' then bulk when 'chrome' then chrome else shared end")
-    met = cut_lineage(met.select("pk").distinct())
+    met = joined(marks.select("pk", _kinds(bulk="own", menus="links")), repeated).filter("case kind when 'bulk' then bulk else menus end")
+    met = cut_lineage(met.groupBy("pk").agg(F.collect_set(F.when(F.col("kind") == "bulk", F.col("key"))).alias("bulk"), F.collect_set(F.when(F.col("kind") == "menus", F.col("key"))).alias("menus")))
     n_met = met.count()
     schema = "page_id long, url string, text string"
     if not n_met:
         texts = rows.mapInArrow(_read_texts, schema)
     else:
-        few = F.broadcast(met) if n_met <= PAGE_KEYS else met
-        texts = rows.join(few, "pk", "left_anti").mapInArrow(_read_texts, schema)
-        cut = rows.join(few, "pk", "left_semi")
-        runs = cut.dropDuplicates(["pk"]).mapInArrow(_read_runs, "pk long, keys array<long>").select("pk", F.explode("keys").alias("key"))
-        of = lambda name: F.collect_list(F.when(F.col(name), F.col("key"))).alias(name)
-        keys = joined(runs, repeated).groupBy("pk").agg(of("bulk"), of("chrome"), of("shared"))
-        texts = texts.unionByName(cut.join(keys, "pk", "left").mapInArrow(_cut_texts, schema))
+        named = met.select("pk")
+        named = F.broadcast(named) if n_met <= PAGE_KEYS else named
+        texts = rows.join(named, "pk", "left_anti").mapInArrow(_read_texts, schema)
+        texts = texts.unionByName(rows.join(named, "pk", "left_semi").join(met, "pk").mapInArrow(_cut_texts, schema))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 

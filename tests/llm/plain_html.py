@@ -18,44 +18,40 @@ def marked(tokens, repeated):
     return out
 
 
+def list_grams(found):
+    return {g for group in html.link_groups(found) for g in grams([found[i].text for i in group])}
+
+
 def plain_texts(pages):
     """Main texts of all pages of one host."""
     read = [html.read_page(p) for p in pages]
-    groups = [[[p.kept[i].text for i in g] for g in html.link_groups(p.kept)] for p in read]
     copies = defaultdict(list)
-    for at, p in enumerate(read):
-        chrome = {*grams([b.text for b in p.rest]), *(g for texts in groups[at] for g in grams(texts))}
+    for p in read:
         own = {*grams([b.text for b in p.kept])} if p.open else set()
-        firsts = set() if p.open else {g for b in p.kept if not b.heading and not b.linked for g in grams([b.text])[:1]}
-        copies[p.open, " ".join(b.text for b in p.kept)].append((own, chrome, firsts))
-    counts = [defaultdict(int) for _ in range(3)]
-    for (_, _), found in copies.items():
-        assert all(f[1] == found[0][1] for f in found), "the copies in these tests have equal menus"
+        copies[p.open, " ".join(b.text for b in p.kept)].append((own, list_grams(p.kept) | list_grams(p.rest)))
+    counts = [defaultdict(int) for _ in range(2)]
+    for found in copies.values():
+        assert all(f == found[0] for f in found), "the copies in these tests have equal menus"
         for count, keys in zip(counts, found[0], strict=True):
             for k in keys:
                 count[k] += 1
     n_open, n = sum(is_open for is_open, _ in copies), len(copies)
     bulk = {k for k, c in counts[0].items() if c >= max(html.LEAST, html.SHARE * n_open)}
-    chrome = {k for k, c in counts[1].items() if c >= max(html.LEAST, html.SHARE * n)}
-    shared = {k for k in chrome if counts[2][k] >= html.LEAST}
-    return [_text(p, bulk, chrome, shared) for p in read]
+    menus = {k for k, c in counts[1].items() if c >= max(html.LEAST, html.SHARE * n)}
+    return [_text(p, bulk, menus) for p in read]
 
 
-def _text(p, bulk, chrome, shared):
+def _text(p, bulk, menus):
     gone = set()
     for group in html.link_groups(p.kept):
         tokens = [w for i in group for w in p.kept[i].text.split(" ")]
-        cover, at = marked(tokens, chrome), 0
+        cover, at = marked(tokens, menus), 0
         for i in group:
             size = len(p.kept[i].text.split(" "))
             if all(cover[at : at + size]):
                 gone.add(i)
             at += size
     if not p.open:
-        for i, b in enumerate(p.kept):
-            first = grams([b.text])[:1]
-            if not b.heading and not b.linked and first and first[0] in shared and all(marked(b.text.split(" "), chrome)):
-                gone.add(i)
         return "\n\n".join(b.text for i, b in enumerate(p.kept) if i not in gone)
     cover, at, kept = marked([w for b in p.kept for w in b.text.split(" ")], bulk), 0, []
     for i, b in enumerate(p.kept):
