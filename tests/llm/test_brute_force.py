@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plain_html import plain_texts
 
-from lodestar.llm import html, packing, pii, quality, sentencepiece, simhash, simhash_wide, vectors
+from lodestar.llm import chat, html, packing, pii, quality, sentencepiece, simhash, simhash_wide, vectors
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -230,6 +230,48 @@ def test_wide_fingerprint_bits_by_majority():
     assert simhash_wide.fingerprint(" ".join([text] * 3)) != bytes(32)
 
 
+# ---- chat ----
+
+
+def plain_rotation(rows):
+    said = {}
+    for conv, turn, role, text in rows:
+        speaker = (role or "").strip().lower() or "unknown"
+        said.setdefault(conv, []).append((turn is not None, turn or 0, speaker, hashlib.md5((text or "").encode()).hexdigest(), text or "", turn))
+    out = set()
+    for conv, turns in said.items():
+        turns.sort(key=lambda t: t[:5])
+        for seat in sorted({t[2] for t in turns} - {"system"}) or [None]:
+            at, seen = 0, {}
+            for _, _, speaker, _, text, turn in turns:
+                own = speaker == seat
+                role = "system" if speaker == "system" else "assistant" if own else "user"
+                name = speaker if role == "user" else None
+                head = f"<|im_start|>{role}{f' name={name}' if name else ''}\n"
+                segment = f"{head}{text}<|im_end|>\n"
+                seq = seen[turn, speaker, text] = seen.get((turn, speaker, text), -1) + 1
+                out.add((conv, seat, turn, seq, role, name, segment, at, at + len(head) if own else None, at + len(segment) if own else None))
+                at += len(segment)
+    return out
+
+
+@pytest.mark.parametrize("tasks", ["1", "7"])
+def test_rotation_of_conversations_of_any_size(spark, tasks):
+    draw = random.Random(6)
+    rows = [(1, draw.choice([None, 3, i]), draw.choice(["User", "bot", "Ann ", "system", None, ""]), draw.choice(["hi", None, "", "a longer one", f"text {i}"])) for i in range(700)]
+    rows += [(None, i, draw.choice("ab"), f"x{i}") for i in range(40)] + [(0, None, "a", "zero")] * 30 + [(5, i, "system", "s") for i in range(3)]
+    rows += [(10 + i, j, "ab"[j % 2], "€ é") for i in range(60) for j in range(3)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        got = [tuple(r) for r in chat.rotate_perspectives(frame.repartition(5)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = plain_rotation(rows)
+    assert len(got) == len(set(got)) == len(want) and set(got) == want
+
+
 # ---- personal data ----
 
 BASE = {
