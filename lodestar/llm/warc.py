@@ -1,15 +1,15 @@
 """Operator 10: Merkle fixity audit of WARC replicas.
 
-Records are ordered by file and offset; each one's SHA-256 is a leaf over its offset range. Every ``FANOUT`` neighbours
-form a node: its digest covers its children's ranges and digests, up to one root a file. Two replicas are compared by
-their roots; only below roots that differ the children are compared, level by level, down to the records that are
-corrupt, missing or moved.
+Records are keyed by file and id; each one's SHA-256 is a leaf. The records of an id form a slot, ``FANOUT`` neighbouring slots a
+node, and so on up to one root a file. A node's digest covers its children's places, digests and the lengths of their offset
+ranges in order, so a record that is lost or added changes its own branch and no other, although everything behind it moves.
+Two replicas are compared by their roots; only below roots that differ the children are compared, level by level, down to the
+records that are corrupt, lost or added. Offsets follow on the way down, from the lengths of the siblings before.
 
 Scale: record bytes are hashed where they are read and never move; what is shuffled is one digest a record, kept in the
-shared checkpoint folder, so that replicas are read once. A level is
-one grouped aggregation by (file, node number), ``FANOUT`` rows a group, so no task holds a file above its leaves. ``LEVELS``
-levels reach FANOUT ** LEVELS records; where a file of either replica has more (repeated ids, rows without one, files of
-other origins), the trees of that file get as many levels as it needs. The SQL stays at ``LEVELS``, so it holds for other files only.
+shared checkpoint folder, so that replicas are read once. A slot's digest is the hash of sums over its leaves' digests, which
+combine before the shuffle, so an id that a third of all records share is no large group; every level above groups
+``FANOUT`` nodes. Both replicas go up the tree together, and findings are rows of their own, so nothing grows with a file.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
 
-FANOUT, LEVELS, FILE_PAGES = 8, 4, 256
+FANOUT, LEVELS, FILE_PAGES = 8, 3, 256
+#: Hex digits of a digest that are summed as one number, and how many such numbers there are.
+DIGITS, PARTS = 15, 4
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -46,83 +48,83 @@ def to_records(pages: DataFrame) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, place, page_id, start, stop, digest): records in the order of page_id and digest, with their offset ranges."""
+    """(file, slot, page_id, digest, size, copies): equal records with one id are one leaf with its copies.
+
+    A slot is the id's place in its file; records without an id take one by their digest.
+    """
     hashed = records.select("file", "page_id", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy(F.asc_nulls_first("page_id"), "digest", "size")
-    stop = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = hashed.withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn("stop", stop)
-    return placed.select("file", "place", "page_id", (F.col("stop") - F.col("size")).alias("start"), "stop", "digest")
+    hashed = hashed.withColumn("slot", F.pmod(F.coalesce("page_id", F.xxhash64("digest")), F.lit(FILE_PAGES)))
+    return hashed.groupBy("file", "slot", "page_id", "digest", "size").agg(F.count("*").alias("copies"))
 
 
-def parents(nodes: DataFrame) -> DataFrame:
-    """The level above ``nodes`` (file, place, start, stop, digest)."""
-    child = F.struct("place", F.concat_ws(":", F.col("start").cast("string"), F.col("stop").cast("string"), "digest").alias("d"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda c: c["d"]), ",")
-    grouped = nodes.groupBy("file", F.floor(F.col("place") / FANOUT).alias("above")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sha2(joined, 256).alias("digest"))
-    return grouped.select("file", F.col("above").alias("place"), "start", "stop", "digest")
+def slots(found: DataFrame) -> DataFrame:
+    """(file, node, a, b) of leaves with their replica (``side``): size, records and digest of each slot in either, null where it has none."""
+    copies = F.col("copies")
+    number = lambda i: F.conv(F.substring("digest", 1 + DIGITS * i, DIGITS), 16, 10).cast("long").cast("decimal(38,0)")
+    sums = [F.sum(number(i) * copies).cast("decimal(38,0)").cast("string") for i in range(PARTS)]
+    records, size = F.sum(copies), F.sum(F.col("size") * copies)
+    digest = F.sha2(F.concat_ws(":", *sums, records.cast("string"), size.cast("string")), 256)
+    each = found.groupBy("file", F.col("slot").alias("node"), "side").agg(F.struct(size.alias("size"), records.alias("records"), digest.alias("digest")).alias("n"))
+    return each.groupBy("file", "node").agg(*(F.max(F.when(F.col("side") == side, F.col("n"))).alias(side) for side in "ab"))
 
 
-def levels_for(places: int) -> int:
-    """Levels above the leaves, ``LEVELS`` at least, until one node holds ``places`` of them."""
-    levels = LEVELS
-    while FANOUT**levels < places:
-        levels += 1
-    return levels
+def parents(nodes: DataFrame) -> DataFrame:
+    """The level above ``nodes`` (file, node, a, b)."""
 
+    def joined(side: str) -> Column:
+        n = F.col(side)
+        child = F.when(n.isNotNull(), F.struct("node", F.concat_ws(":", F.col("node").cast("string"), n["size"].cast("string"), n["digest"]).alias("d")))
+        listed = F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda c: c["d"]), ",")
+        found = F.struct(F.sum(n["size"]).alias("size"), F.sum(n["records"]).alias("records"), F.sha2(listed, 256).alias("digest"))
+        return F.when(F.count(n) > 0, found).alias(side)
 
-def tree(placed: DataFrame, levels: int) -> list[DataFrame]:
-    """Levels from the leaves ``placed`` up; in the last every file has one node (place 0)."""
-    found = [placed]
-    for _ in range(levels):
-        found.append(cut_lineage(parents(found[-1])))
-    return found
+    return nodes.groupBy("file", F.floor(F.col("node") / FANOUT).alias("above")).agg(joined("a"), joined("b")).withColumnRenamed("above", "node")
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Compare replicas (file, page_id, record): one row for each file of either.
+    """Compare replicas (file, page_id, record): one row for each finding, and one for each file without any.
 
-    Columns: file, root_a, root_b (null where a replica lacks the file), records_a, records_b, compared (node pairs looked
-    at), damaged (start:stop of every record, by the first replica's range if it has it, that differs, is missing or was added,
-    joined by commas in the order of places). Places are matched by order, so a missing record shows everything behind it in
-    its file as moved. Empty tables give no rows.
+    Columns: file, root_a, root_b (null where a replica lacks the file), records_a, records_b, compared (pairs of nodes and leaves looked
+    at), and of a finding page_id, start, stop (the offset range of that id's records in the replica that has it), record (its
+    SHA-256), copies (how many more that replica has) and state: "lost" if the first replica has it, "added" if the second has.
+    A changed record is both under one id. State is "intact" on the row of a file without findings. Records are
+    ordered by id in a file; equal records count by their number. Empty tables give no rows.
     """
-    placed = [cut_lineage(leaves(side)) for side in (primary, replica)]
-    levels = levels_for(max((side.agg(F.max("place")).first()[0] or 0) + 1 for side in placed))
-    one, two = (tree(side, levels) for side in placed)
-    pair = lambda level: _pair(one[level], two[level])
-    differs = ~F.col("a.digest").eqNullSafe(F.col("b.digest")) | ~F.col("a.start").eqNullSafe(F.col("b.start"))
-    # a file's root is at the height that it needs itself, whatever other files need
-    height = F.lit(LEVELS)
-    for level in range(LEVELS, levels):
-        height = height + (F.max("place") >= FANOUT**level).cast("int")
-    heights = placed[0].select("file", "place").unionByName(placed[1].select("file", "place")).groupBy("file").agg(height.alias("height"))
-    top = lambda level: pair(level) if levels == LEVELS else pair(level).join(heights.filter(F.col("height") == level), "file", "left_semi")
-    tops = [top(level).select("file", "place", F.col("a.digest").alias("root_a"), F.col("b.digest").alias("root_b"), differs.alias("bad")) for level in range(LEVELS, levels + 1)]
-    looked, bad = [part.groupBy("file").agg(F.count("*").alias("looked")) for part in tops], tops[-1].filter("bad").select("file", F.col("place").alias("above"))
-    for level in reversed(range(levels)):
-        below = pair(level).withColumn("above", F.floor(F.col("place") / FANOUT)).join(bad, ["file", "above"], "left_semi")
-        below = cut_lineage(below.select("file", "place", F.coalesce("a.start", "b.start").alias("start"), F.coalesce("a.stop", "b.stop").alias("stop"), differs.alias("bad")))
-        looked.append(below.groupBy("file").agg(F.count("*").alias("looked")))
-        bad = below.filter("bad").select("file", F.col("place").alias("above"), "start", "stop")
-        if level:
-            bad = bad.select("file", "above")
-        if level >= LEVELS:
-            bad = bad.unionByName(tops[level - LEVELS].filter("bad").select("file", F.col("place").alias("above")))
-    spoilt = bad.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("above", "start", "stop"))), lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string"))), ",").alias("damaged"))
-    seen = looked[0]
-    for part in looked[1:]:
-        seen = seen.unionByName(part)
-    seen = seen.groupBy("file").agg(F.sum("looked").alias("compared"))
-    sizes = [side[0].groupBy("file").agg(F.count("*").alias(name)) for side, name in ((one, "records_a"), (two, "records_b"))]
-    rows = reduce(DataFrame.unionByName, tops).select("file", "root_a", "root_b")
-    for part in (*sizes, seen, spoilt):
-        rows = rows.join(part, "file", "left")
-    return rows.select("file", "root_a", "root_b", F.coalesce("records_a", F.lit(0)).alias("records_a"), F.coalesce("records_b", F.lit(0)).alias("records_b"), "compared", F.coalesce("damaged", F.lit("")).alias("damaged"))
-
-
-def _pair(a: DataFrame, b: DataFrame) -> DataFrame:
-    side = lambda df, name: df.select("file", "place", F.struct("start", "stop", "digest").alias(name))
-    return side(a, "a").join(side(b, "b"), ["file", "place"], "full")
+    sides = [leaves(side).withColumn("side", F.lit(name)) for side, name in ((primary, "a"), (replica, "b"))]
+    found = cut_lineage(sides[0].unionByName(sides[1]))
+    levels = [cut_lineage(slots(found))]
+    for _ in range(LEVELS):
+        levels.append(cut_lineage(parents(levels[-1])))
+    differs = ~F.col("a.digest").eqNullSafe(F.col("b.digest"))
+    zero = F.lit(0).cast("long")
+    looked, bad = [levels[-1].select("file")], levels[-1].filter(differs).select("file", "node", zero.alias("start_a"), zero.alias("start_b"))
+    for level in reversed(levels[:-1]):
+        above = bad.withColumnsRenamed({"node": "above", "start_a": "from_a", "start_b": "from_b"})
+        below = level.withColumn("above", F.floor(F.col("node") / FANOUT)).join(above, ["file", "above"])
+        before = Window.partitionBy("file", "above").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        starts = [(F.col(f"from_{s}") + F.coalesce(F.sum(F.col(s)["size"]).over(before), zero)).alias(f"start_{s}") for s in "ab"]
+        below = cut_lineage(below.select("file", "node", "a", "b", *starts))
+        looked.append(below.select("file"))
+        bad = below.filter(differs)
+        if level is not levels[0]:
+            bad = bad.select("file", "node", "start_a", "start_b")
+    ranges = bad.select("file", F.col("node").alias("slot"), *(F.struct(F.col(f"start_{s}").alias("start"), (F.col(f"start_{s}") + F.col(s)["size"]).alias("stop")).alias(s) for s in "ab"))
+    more = F.sum(F.when(F.col("side") == "a", F.col("copies")).otherwise(-F.col("copies")))
+    pairs = found.join(ranges.select("file", "slot"), ["file", "slot"], "left_semi").groupBy("file", "slot", "page_id", "digest").agg(more.alias("more"))
+    pairs = cut_lineage(pairs)
+    looked.append(pairs.select("file"))
+    lost = F.col("more") > 0
+    range_of = F.when(lost, F.col("a")).otherwise(F.col("b"))
+    findings = pairs.filter("more <> 0").join(ranges, ["file", "slot"]).select(
+        "file", "page_id", range_of["start"].alias("start"), range_of["stop"].alias("stop"), F.col("digest").alias("record"),
+        F.abs("more").alias("copies"), F.when(lost, F.lit("lost")).otherwise(F.lit("added")).alias("state"),
+    )
+    compared = reduce(DataFrame.unionByName, looked).groupBy("file").agg(F.count("*").alias("compared"))
+    count = lambda side: F.coalesce(F.col(side)["records"], zero).alias(f"records_{side}")
+    files = levels[-1].select("file", F.col("a.digest").alias("root_a"), F.col("b.digest").alias("root_b"), count("a"), count("b"))
+    files = cut_lineage(files.join(compared, "file"))
+    intact = files.filter("root_a <=> root_b").withColumn("state", F.lit("intact"))
+    return files.join(findings, "file").unionByName(intact, allowMissingColumns=True)
 
 
 def flip_byte(record: Column, fault: Column) -> Column:
@@ -132,33 +134,40 @@ def flip_byte(record: Column, fault: Column) -> Column:
 
 
 def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit all pages, as WARC records, against a replica in which records with some ids carry one other byte."""
+    """Audit all pages, as WARC records, against a replica in which records with some ids carry one other byte, some are lost and
+    some are there twice."""
     primary = to_records(table(spark, sf_dir, "pages"))
-    fault = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2) == "0a", F.lit(False))
-    return audit(primary, primary.withColumn("record", flip_byte(F.col("record"), fault)))
+    code = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2), F.lit(""))
+    kept = primary.filter(code != "0b").withColumn("record", flip_byte(F.col("record"), code == "0a"))
+    return audit(primary, kept.unionByName(primary.filter(code == "0c")))
 
 
 def _sql() -> str:
-    side = lambda s, last: f"""{s} AS (SELECT file, page_id, strlen(r) AS size, sha256(r) AS digest FROM (SELECT file, page_id, {last} AS r FROM records)),
-{s}p AS (SELECT *, row_number() OVER w - 1 AS place, sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
-  FROM {s} WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest, size)),
-{s}0 AS (SELECT file, place, (stop - size)::BIGINT AS start, stop::BIGINT AS stop, digest FROM {s}p)"""
-    above = lambda s, k: f"""{s}{k} AS (SELECT file, place // {FANOUT} AS place, min(start) AS start, max(stop) AS stop,
-  sha256(string_agg(start || ':' || stop || ':' || digest, ',' ORDER BY place)) AS digest FROM {s}{k - 1} GROUP BY file, place // {FANOUT})"""
-    pair = lambda k: f"""c{k} AS (SELECT file, place, a.digest AS da, b.digest AS db, coalesce(a.start, b.start) AS start, coalesce(a.stop, b.stop) AS stop,
-  a.digest IS DISTINCT FROM b.digest OR a.start IS DISTINCT FROM b.start AS bad FROM a{k} a FULL JOIN b{k} b USING (file, place))"""
-    down = lambda k: f"""d{k} AS (SELECT c.* FROM c{k} c SEMI JOIN (SELECT file, place AS up FROM d{k + 1} WHERE bad) u ON c.file = u.file AND c.place // {FANOUT} = u.up)"""
     record = "'WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: ' || coalesce(url, '') || '\r\nWARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>\r\nContent-Length: ' || strlen(coalesce(html, '')) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n'"
-    parts = [f"records AS (SELECT floor(page_id / {FILE_PAGES})::BIGINT AS file, page_id, {record} AS r FROM pages)", side("a", "r")]
-    parts.append(side("b", "CASE WHEN substr(md5(page_id::VARCHAR), 1, 2) = '0a' THEN left(r, length(r) - 1) || chr(9) ELSE r END"))
+    sums = " || ':' || ".join(f"sum(('0x' || substr(digest, {1 + DIGITS * i}, {DIGITS}))::BIGINT::HUGEINT * copies)::VARCHAR" for i in range(PARTS))
+    leaf = lambda s, rows: f"""{s}l AS (SELECT file, page_id % {FILE_PAGES} AS slot, page_id, sha256(r) AS digest, strlen(r) AS size, count(*) AS copies FROM ({rows}) GROUP BY ALL),
+{s}0 AS (SELECT file, slot AS node, sum(size * copies)::BIGINT AS size, sum(copies)::BIGINT AS records,
+  sha256({sums} || ':' || sum(copies)::BIGINT || ':' || sum(size * copies)::BIGINT) AS digest FROM {s}l GROUP BY file, slot)"""
+    above = lambda s, k: f"""{s}{k} AS (SELECT file, node // {FANOUT} AS node, sum(size)::BIGINT AS size, sum(records)::BIGINT AS records,
+  sha256(string_agg(node || ':' || size || ':' || digest, ',' ORDER BY node)) AS digest FROM {s}{k - 1} GROUP BY file, node // {FANOUT})"""
+    pair = lambda k: f"""c{k} AS (SELECT file, node, a.digest AS da, b.digest AS db, a.size AS za, b.size AS zb, a.records AS na, b.records AS nb,
+  a.digest IS DISTINCT FROM b.digest AS bad FROM a{k} a FULL JOIN b{k} b USING (file, node))"""
+    start = lambda s: f"(u.s{s} + coalesce(sum(c.z{s}) OVER w, 0))::BIGINT AS s{s}"
+    down = lambda k: f"""d{k} AS (SELECT c.*, {start('a')}, {start('b')} FROM c{k} c JOIN d{k + 1} u ON u.bad AND c.file = u.file AND c.node // {FANOUT} = u.node
+  WINDOW w AS (PARTITION BY c.file, c.node // {FANOUT} ORDER BY c.node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+    parts = [f"records AS (SELECT floor(page_id / {FILE_PAGES})::BIGINT AS file, page_id, {record} AS r, substr(md5(page_id::VARCHAR), 1, 2) AS code FROM pages)"]
+    parts += [leaf("a", "SELECT file, page_id, r FROM records")]
+    parts += [leaf("b", "SELECT file, page_id, CASE WHEN code = '0a' THEN left(r, length(r) - 1) || chr(9) ELSE r END AS r FROM records WHERE code <> '0b' UNION ALL SELECT file, page_id, r FROM records WHERE code = '0c'")]
     parts += [above(s, k) for s in "ab" for k in range(1, LEVELS + 1)] + [pair(k) for k in range(LEVELS + 1)]
-    parts += [f"d{LEVELS} AS (SELECT * FROM c{LEVELS})"] + [down(k) for k in reversed(range(LEVELS))]
-    looked = " UNION ALL ".join(f"SELECT file FROM d{k}" for k in range(LEVELS + 1))
+    parts += [f"d{LEVELS} AS (SELECT *, 0::BIGINT AS sa, 0::BIGINT AS sb FROM c{LEVELS})"] + [down(k) for k in reversed(range(LEVELS))]
+    parts += ["""met AS (SELECT file, slot, page_id, digest, sum(copies)::BIGINT AS more FROM (SELECT * EXCLUDE (copies), copies FROM al UNION ALL SELECT * EXCLUDE (copies), -copies FROM bl)
+  SEMI JOIN (SELECT file, node AS slot FROM d0 WHERE bad) USING (file, slot) GROUP BY ALL)"""]
+    looked = " UNION ALL ".join([*(f"SELECT file FROM d{k}" for k in range(LEVELS + 1)), "SELECT file FROM met"])
     return f"""WITH {", ".join(parts)}, looked AS (SELECT file, count(*) AS compared FROM ({looked}) GROUP BY file),
-spoilt AS (SELECT file, string_agg(start || ':' || stop, ',' ORDER BY place) AS damaged FROM d0 WHERE bad GROUP BY file),
-na AS (SELECT file, count(*) AS records_a FROM a0 GROUP BY file), nb AS (SELECT file, count(*) AS records_b FROM b0 GROUP BY file)
-SELECT r.file, r.da AS root_a, r.db AS root_b, coalesce(records_a, 0) AS records_a, coalesce(records_b, 0) AS records_b, compared, coalesce(damaged, '') AS damaged
-FROM d{LEVELS} r LEFT JOIN na USING (file) LEFT JOIN nb USING (file) LEFT JOIN looked USING (file) LEFT JOIN spoilt USING (file)"""
+finding AS (SELECT x.file, page_id, CASE WHEN more > 0 THEN sa ELSE sb END AS start, CASE WHEN more > 0 THEN sa + za ELSE sb + zb END AS stop, digest AS record, abs(more) AS copies,
+  CASE WHEN more > 0 THEN 'lost' ELSE 'added' END AS state FROM met x JOIN d0 d ON d.bad AND x.file = d.file AND x.slot = d.node WHERE more <> 0)
+SELECT r.file, r.da AS root_a, r.db AS root_b, coalesce(r.na, 0) AS records_a, coalesce(r.nb, 0) AS records_b, compared, page_id, start, stop, record, copies, coalesce(state, 'intact') AS state
+FROM d{LEVELS} r JOIN looked USING (file) LEFT JOIN finding f ON f.file = r.file"""
 
 
 OP10_SQL = _sql()

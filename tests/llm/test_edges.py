@@ -115,19 +115,53 @@ def test_chat(spark):
     assert chat.rotate_perspectives(empty(table)).count() == 0
 
 
-def test_files_of_more_records_than_four_levels_reach(spark):
-    n = warc.FANOUT**warc.LEVELS + 5
+def plain_findings(one, two):
+    """(file, page_id, start, stop, record, copies, state) by counting records, and by adding up lengths in the order of ids."""
+    import hashlib
+    from collections import Counter
+
+    sides = []
+    for rows in (one, two):
+        size = Counter()
+        for file, page, record in rows:
+            size[file, page % warc.FILE_PAGES] += len(record)
+        starts, at = {}, Counter()
+        for file, slot in sorted(size):
+            starts[file, slot] = at[file]
+            at[file] += size[file, slot]
+        sides.append((Counter((f, p, hashlib.sha256(r).hexdigest()) for f, p, r in rows), {k: (v, v + size[k]) for k, v in starts.items()}))
+    (a, at_a), (b, at_b) = sides
+    lost = {(f, p, *at_a[f, p % warc.FILE_PAGES], d, n, "lost") for (f, p, d), n in (a - b).items()}
+    return lost | {(f, p, *at_b[f, p % warc.FILE_PAGES], d, n, "added") for (f, p, d), n in (b - a).items()}
+
+
+def test_audit_locates_what_was_lost_added_and_changed(spark):
+    one = [(f, 256 * f + i, f"record {i} of {f}".encode()) for f in range(4) for i in range(200)] + [(1, 256 + 7, b"again")] * 3 + [(9, 256 * 9, b"alone")]
+    two = [r for r in one if r[1] != 256 + 20 and r[0] != 9]  # one record among 200 lost, and a file
+    two.remove((1, 256 + 7, b"again"))
+    two = [(f, p, r + b"!" if p in (512, 512 + 199, 77) else r) for f, p, r in two] + [(2, 512 + 255, b"new"), (8, 256 * 8 + 3, b"new file")]
+    frames = [spark.createDataFrame(rows, "file long, page_id long, record binary") for rows in (one, two)]
+    rows = warc.audit(*frames).collect()
+    assert {(r.file, r.page_id, r.start, r.stop, r.record, r.copies, r.state) for r in rows if r.state != "intact"} == plain_findings(one, two)
+    assert [(r.file, r.page_id, r.root_a == r.root_b, r.compared) for r in rows if r.state == "intact"] == [(3, None, True, 1)]
+    by_file = {r.file: r for r in rows}
+    assert (by_file[1].records_a, by_file[1].records_b, by_file[9].root_b, by_file[8].root_a) == (203, 201, None, None)
+    # one bad branch in each of three levels, not everything behind the lost record
+    assert by_file[0].compared < 30 and len(rows) == 1 + len(plain_findings(one, two))
+
+
+def test_files_of_many_records_with_one_id(spark):
+    n = 5_000
     big = spark.range(n).selectExpr("0L AS file", "0L AS page_id", "encode(lpad(id, 8, '0'), 'utf-8') AS record")
     small = spark.range(3).selectExpr("1L AS file", "id AS page_id", "encode('x' || id, 'utf-8') AS record")
     one = big.unionByName(small)
-    two = big.limit(n - 1).unionByName(small.withColumn("record", F.when(F.col("page_id") == 2, F.encode(F.lit("y2"), "utf-8")).otherwise(F.col("record"))))
-    rows = warc.audit(one, two).collect()
-    assert sorted((r.file, r.records_a, r.records_b) for r in rows) == [(0, n, n - 1), (1, 3, 3)]
-    assert all(r.root_a != r.root_b and r.damaged for r in rows)
+    two = big.filter("record <> encode('00000042', 'utf-8')").unionByName(small.withColumn("record", F.when(F.col("page_id") == 2, F.encode(F.lit("y2"), "utf-8")).otherwise(F.col("record"))))
+    rows = sorted(warc.audit(one, two).collect(), key=lambda r: (r.file, r.state))
+    assert [(r.file, r.records_a, r.records_b, r.start, r.stop, r.copies, r.state) for r in rows] == [(0, n, n - 1, 0, 8 * n, 1, "lost"), (1, 3, 3, 4, 6, 1, "added"), (1, 3, 3, 4, 6, 1, "lost")]
     # another file's size changes nothing
-    alone = warc.audit(small, two.filter("file = 1")).collect()
-    assert [r for r in rows if r.file == 1] == alone and alone[0].damaged == "4:6"
-    assert warc.audit(one, one).filter("root_a = root_b AND compared = 1 AND damaged = ''").count() == 2
+    alone = sorted(warc.audit(small, two.filter("file = 1")).collect(), key=lambda r: r.state)
+    assert [r for r in rows if r.file == 1] == alone
+    assert warc.audit(one, one).filter("root_a = root_b AND compared = 1 AND state = 'intact' AND start IS NULL").count() == 2
 
 
 def test_html(spark):
@@ -144,9 +178,9 @@ def test_warc(spark):
     table = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"), "digest", "place")
     records = warc.to_records(table)
     same = warc.audit(records, records).collect()
-    assert len(same) == 3 and all(r.damaged == "" and r.root_a == r.root_b for r in same)
+    assert len(same) == 3 and all(r.state == "intact" and r.root_a == r.root_b for r in same)
     lost = warc.audit(records, warc.to_records(table.filter("page_id = 300"))).collect()
-    assert sum(r.root_b is None for r in lost) == 2 and sum(r.damaged != "" for r in lost) == 2
+    assert {r.file for r in lost if r.root_b is None} == {r.file for r in lost if r.state == "lost"} and sum(r.copies or 0 for r in lost) == 4
     assert warc.audit(empty(records), empty(records)).count() == 0
 
 
