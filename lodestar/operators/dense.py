@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lexical import counted
+from ..functions import words
+from . import scan
 
-DIMENSIONS, QUERY_CHUNK, DIGITS = 1024, 4096, 6
+DIMENSIONS, DIGITS = 1024, 6
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,78 +27,83 @@ def normalized(v: Column) -> Column:
 
 
 def hashing_entries(rows: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, bucket, w): the hashing embedder's non-zero entries for ``rows`` (key, text).
-
-    A token's MD5 gives bucket and sign; sums are damped by the logarithm and scaled to length one. Counting is done in
-    the row, so that the shuffle by (key, bucket) has one row for each different token.
-    """
-    digits = int(math.log2(dimensions) + 3) // 4 + 1
-    terms = rows.select(key, F.explode(counted(T.hashing_tokens("text"))).alias("t"))
-    code = F.md5(F.col("t.term").cast("binary"))
-    # the last hex digits hold the number modulo any power of two; digit 16 holds bit 64
-    bucket = F.conv(F.substring(code, 33 - digits, digits), 16, 10).cast("int") % dimensions
-    sign = F.when(F.conv(F.substring(code, 16, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    sums = terms.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("t.tf") * sign).alias("v")).filter("v <> 0")
-    sums = sums.withColumn("w", F.signum("v") * F.log1p(F.abs("v")))
-    norm = Window.partitionBy(key)
-    return sums.select(key, "bucket", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("w"))
+    """(key, bucket, w): the hashing embedder's vectors of ``rows`` (key, text), one row each with the arrays of their non-zero entries."""
+    return words.hashing_vectors(rows, key, dimensions)
 
 
 def vector_entries(vectors: DataFrame, key: str) -> DataFrame:
     """(key, bucket, w) of dense ``vectors`` (key, vec), scaled to length one, so that any model's vectors can be searched."""
-    rows = vectors.filter("vec is not null").select(key, F.posexplode(normalized(F.col("vec"))).alias("bucket", "w"))
-    return rows.filter("w <> 0")
+    rows = vectors.filter("vec is not null").select(key, normalized(F.col("vec")).alias("v"))
+    places = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("bucket"), x.alias("w"))), lambda e: e["w"] != 0)
+    return rows.select(key, places.alias("e")).select(key, F.col("e.bucket").alias("bucket"), F.col("e.w").alias("w"))
+
+
+def _dense(rows: int, size: int, owner: np.ndarray, bucket: np.ndarray, w: np.ndarray) -> np.ndarray:
+    matrix = np.zeros((rows, size))
+    matrix[owner, bucket] = w
+    return matrix
+
+
+def cosine_top_k(entries: DataFrame, queries: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
+    """(qid, doc, score, rank): the k nearest of ``entries`` (doc, bucket, w) for each of ``queries`` (qid, bucket, w) that share a bucket."""
+
+    def scorer(asked: list[Row]) -> scan.Scorer:
+        size = max((max(r.bucket) + 1 for r in asked if r.bucket), default=1)
+        owner = np.repeat(np.arange(len(asked)), [len(r.bucket) for r in asked])
+        q = _dense(len(asked), size, owner, np.array([b for r in asked for b in r.bucket], np.int64), np.array([w for r in asked for w in r.w]))
+        held = (q != 0).astype(np.float32)
+
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            bucket, w = batch.column("bucket"), batch.column("w")
+            at, value = bucket.flatten().to_numpy(), w.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), bucket.value_lengths().to_numpy())
+            known = at < size
+            d = _dense(batch.num_rows, size, owner[known], at[known], value[known])
+            shares = (d != 0).astype(np.float32) @ held.T > 0
+            return np.where(shares, np.round(d @ q.T, digits), -np.inf)
 
+        return score
 
-def hashing_cosine(doc_entries: DataFrame, query_entries: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """(qid, doc, score) of documents and queries that share a bucket: a sparse product by bucket."""
-    left, right = query_entries.withColumnRenamed("w", "_qw"), doc_entries
-    return left.join(right, "bucket").groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("_qw")), digits).alias("score"))
+    return scan.top_k(entries, queries, k, scorer)
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
     """(qid, doc, score, rank): the k largest inner products of ``queries`` (qid, vec) with all ``vectors`` (doc, vec).
 
-    The table is scanned once for each ``QUERY_CHUNK`` queries. A chunk travels to the tasks as one matrix of that many rows
-    at most (hash-dealt, and split further where it is larger); each task multiplies block by block and returns k rows a query.
-    Rows without a vector take no part; vectors of another length than the queries' take none either.
+    Rows without an id or a vector take no part; a query meets vectors of its own length.
     """
     asked = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).filter("qid is not null and vec is not null")
-    chunks = max(1, math.ceil(asked.count() / QUERY_CHUNK))
     rows = vectors.select("doc", F.col("vec").cast("array<double>").alias("vec")).filter("doc is not null and vec is not null")
-    found = None
-    for c in range(chunks):
-        held = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == c).collect()
-        for at in range(0, len(held), QUERY_CHUNK):
-            part = _scan(rows, held[at : at + QUERY_CHUNK], k, digits)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, doc long, score double, rank int")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
-def _scan(rows: DataFrame, held: list, k: int, digits: int) -> DataFrame:
-    size = len(held[0].vec)
-    ids = np.array([r.qid for r in held], np.int64)
-    matrix = np.array([r.vec for r in held if len(r.vec) == size], np.float64)
-    ids = np.array([r.qid for r in held if len(r.vec) == size], np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def scorer(chunk: list[Row]) -> scan.Scorer:
+        sizes = np.array([len(r.vec) for r in chunk])
+        matrices = {n: np.array([r.vec for r in chunk if len(r.vec) == n], np.float64) for n in set(sizes.tolist())}
+
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            lengths, out = batch.column("vec").value_lengths().to_numpy(), np.full((batch.num_rows, len(chunk)), -np.inf)
+            for n, matrix in matrices.items():
+                of = np.flatnonzero(lengths == n)
+                if len(of):
+                    v = batch.column("vec").take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(len(of), n)
+                    out[np.ix_(of, sizes == n)] = np.round(v @ matrix.T, digits)
+            return out
+
+        return score
+
+    return scan.top_k(rows, asked, k, scorer)
+
+
+def encoded(rows: DataFrame, key: str, model: str, prefix: str = "", batch: int = 64) -> DataFrame:
+    """(key, vec) of ``rows`` (key, text) by a sentence encoder that is loaded from ``model`` once a task; prefix: put before every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
-        docs, scores = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            for at in range(0, len(flat), 2048):
-                s = np.round(q @ flat[at : at + 2048].T, digits)
-                d = batch.column(0)[at : at + 2048].to_numpy()
-                docs, scores = np.c_[docs, np.broadcast_to(d, s.shape)], np.c_[scores, s]
-                order = np.lexsort((docs, -scores), axis=1)[:, :k]
-                docs, scores = np.take_along_axis(docs, order, 1), np.take_along_axis(scores, order, 1)
-        if docs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, docs.shape[1])), pa.array(docs.ravel()), pa.array(scores.ravel())], names=["qid", "doc", "score"])
-
-    return rows.filter(F.size("vec") == size).mapInArrow(run, "qid long, doc long, score double")
+        from sentence_transformers import SentenceTransformer
+
+        encoder = SentenceTransformer(model)
+        for part in batches:
+            texts = [prefix + (t or "") for t in part.column(1).to_pylist()]
+            vectors = encoder.encode(texts, batch_size=batch, normalize_embeddings=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))], names=[key, "vec"])
+
+    source = rows.select(key, F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, vec array<float>")

@@ -1,36 +1,26 @@
-"""BM25 as relations: postings, document lengths, scores."""
+"""BM25: term counts in the documents' rows, weights of terms, scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import words
+from . import scan
 
 K1, B, SYMBOL_BOOST, DIGITS = 1.2, 0.75, 3, 8
 
 
-def counted(tokens: Column) -> Column:
-    """array<struct<term, tf>>: an array's elements with how often each occurs, counted inside the row."""
-
-    def runs(a: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.element_at(a, i) != F.get(a, i)))
-        return T.let(ends, lambda e: F.transform(e, lambda i, k: F.struct(F.element_at(a, i).alias("term"), (i - F.coalesce(F.when(k > 0, F.get(e, k - 1)), F.lit(0))).alias("tf"))))
-
-    empty = F.array().cast("array<struct<term:string,tf:int>>")
-    return T.let(F.sort_array(tokens), lambda a: F.when(F.size(a) == 0, empty).otherwise(runs(a)))
-
-
 def documents_terms(docs: DataFrame, symbol_boost: int = SYMBOL_BOOST) -> DataFrame:
     """(doc, dl, terms) for ``docs`` (doc, text, and symbol if it has one): counts stay in the row, so nothing is shuffled.
 
     A symbol's tokens count ``symbol_boost`` times more, in the counts and in the length.
     """
-    found = T.tokens("text")
-    if "symbol" in docs.columns:
-        found = F.concat(found, F.flatten(F.array_repeat(T.tokens("symbol"), symbol_boost)))
-    rows = docs.select("doc", found.alias("tokens"))
-    return rows.select("doc", F.size("tokens").alias("dl"), counted(F.col("tokens")).alias("terms"))
+    return words.counted_terms(docs, "doc", symbol_boost)
 
 
 def postings(terms: DataFrame) -> DataFrame:
@@ -52,21 +42,48 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(terms: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc, score) for documents that share a term with a query; scores are rounded to ``DIGITS`` places.
+def weights(terms: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, terms): the different terms of each query that some document has, as array<struct<term, idf>>."""
+    asked = query_terms(queries)
+    held = postings(terms).join(asked.select("term").distinct(), "term", "left_semi")
+    found = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats(terms)))
+    rows = asked.join(found.select("term", idf(F.col("n"), F.col("df")).alias("idf")), "term")
+    return rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
+
 
-    Only postings of terms that some query asks for leave the scan; sums are combined before the shuffle by (qid, doc).
+def bm25_top_k(terms: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc, score, rank): the k best of the documents that share a term with a query; scores are rounded to ``DIGITS`` places.
+
+    The counts lie in the documents' rows, so a row is scored where it is, against a chunk of weighted queries.
     """
-    asked = query_terms(queries)
-    wanted = postings(terms).join(asked.select("term").distinct(), "term", "left_semi")
-    weights = wanted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats(terms)))
-    weights = weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    weighted = asked.join(weights, "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return wanted.join(weighted, "term").groupBy("qid", "doc").agg(F.round(F.sum(part), DIGITS).alias("score"))
-
-
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """(qid, doc, score, rank): the k best of each query, ties to the smaller doc."""
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    mean = corpus_stats(terms).first()["avgdl"] or 1.0
+
+    def scorer(asked: list[Row]) -> scan.Scorer:
+        by_term: dict[str, list[int]] = {}
+        idfs: dict[str, float] = {}
+        for i, r in enumerate(asked):
+            for t in r.terms:
+                by_term.setdefault(t.term, []).append(i)
+                idfs[t.term] = t.idf
+        names, weight = pa.array(list(by_term), pa.string()), np.array(list(idfs.values()))
+        sizes = np.array([len(x) for x in by_term.values()], np.int64)
+        starts, wanting = np.cumsum(sizes) - sizes, np.array([q for x in by_term.values() for q in x], np.int64)
+
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            held = batch.column("terms")
+            flat = held.flatten()
+            at = pc.index_in(flat.field("term"), value_set=names)
+            met = at.is_valid().to_numpy(zero_copy_only=False)
+            at = at.drop_null().to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())[met]
+            tf, dl = flat.field("tf").to_numpy()[met], batch.column("dl").to_numpy()[doc]
+            part = weight[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+            copies = sizes[at]
+            row = np.repeat(np.arange(len(at)), copies)
+            query = wanting[starts[at][row] + np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)]
+            sums = np.bincount(doc[row] * len(asked) + query, part[row], batch.num_rows * len(asked)).reshape(-1, len(asked))
+            return np.where(sums > 0, np.round(sums, DIGITS), -np.inf)
+
+        return score
+
+    return scan.top_k(terms.select("doc", "dl", "terms"), weights(terms, queries), k, scorer)

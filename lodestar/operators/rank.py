@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import dense, lexical
 
-#: From rows (key, text) and the key's name to entries (key, bucket, w).
+#: From rows (key, text) and the key's name to vectors (key, bucket, w): arrays of the places and values of their entries.
 Embedder = Callable[[DataFrame, str], DataFrame]
 
 RRF_K, DEPTH, RERANK_DEPTH, PINS, TOP_K = 60, 50, 30, 3, 8
@@ -32,10 +33,40 @@ def rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     return rank_within(fused, ["qid"], F.desc("score"), "seen", "doc").drop("seen")
 
 
-def rerank_overlap(query_text, doc_text):
-    """Share of a query's different tokens that a document has."""
-    wanted = F.array_distinct(T.tokens(query_text, drop_stop_words=True))
-    return F.size(F.array_intersect(wanted, T.tokens(doc_text))) / F.greatest(F.size(wanted), F.lit(1))
+#: Scores candidates (qid, doc, question) of a corpus: the same rows with ``score``.
+Reranker = Callable[["DataFrame", "Corpus"], DataFrame]
+
+
+def by_overlap(rows: DataFrame, source: Corpus) -> DataFrame:
+    """Share of a question's different tokens that a chunk has, from the terms that the index holds."""
+    held = source.terms.select("doc", F.transform("terms", lambda t: t["term"]).alias("_held"))
+    wanted = rows.select("qid", "question").distinct().select("qid", F.array_distinct(T.tokens("question", drop_stop_words=True)).alias("_wanted"))
+    both = rows.join(wanted, "qid").join(held, "doc")
+    share = F.size(F.array_intersect("_wanted", "_held")) / F.greatest(F.size("_wanted"), F.lit(1))
+    return both.withColumn("score", share).drop("_held", "_wanted")
+
+
+def by_columns(score: Callable[[Column, Column], Column]) -> Reranker:
+    """A reranker from a function of two text columns, the question and what is indexed of the chunk."""
+
+    def run(rows: DataFrame, source: Corpus) -> DataFrame:
+        return rows.join(source.chunks.select("doc", "embedded"), "doc").withColumn("score", score(F.col("question"), F.col("embedded"))).drop("embedded")
+
+    return run
+
+
+def cross_encoder(model: str, batch: int = 32) -> Reranker:
+    """A reranker by a cross-encoder that is loaded from ``model`` once a task and scores pairs in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from sentence_transformers import CrossEncoder
+
+        encoder = CrossEncoder(model)
+        for questions, texts in pairs:
+            yield pd.Series(encoder.predict(list(zip(questions, texts, strict=True)), batch_size=batch)).astype(float)
+
+    return by_columns(score)
 
 
 @dataclass(frozen=True)
@@ -43,7 +74,7 @@ class Corpus:
     """What retrieval reads. chunks: doc, path, start_line, end_line, text, symbol, kind (embedded: what is indexed).
 
     nodes: graph nodes with name, qual, kind, doc, id, or None. entries: vectors (doc, bucket, w), or None. embed: the function that
-    made them and makes those of questions, from rows (key, text) and the key's name.
+    makes those of questions like them, from rows (key, text) and the key's name.
     """
 
     chunks: DataFrame
@@ -74,10 +105,10 @@ def first_stage(source: Corpus, queries: DataFrame, mode: str, depth: int, k: in
     if mode != "bm25":
         if source.entries is None:
             raise RuntimeError(f"retrieval mode {mode!r} needs vectors")
-        near = dense.hashing_cosine(source.entries, source.embed(queries, "qid"))
-        lists.append(lexical.top_k(near, depth).withColumns({"retriever": F.lit("dense"), "list_no": F.lit(0)}))
+        near = dense.cosine_top_k(source.entries, source.embed(queries, "qid"), depth)
+        lists.append(near.withColumns({"retriever": F.lit("dense"), "list_no": F.lit(0)}))
     if mode != "dense":
-        lists.append(lexical.top_k(lexical.bm25_scores(source.terms, queries), depth).withColumns({"retriever": F.lit("bm25"), "list_no": F.lit(1)}))
+        lists.append(lexical.bm25_top_k(source.terms, queries, depth).withColumns({"retriever": F.lit("bm25"), "list_no": F.lit(1)}))
     rankings = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     rankings = rankings.select("qid", "retriever", "list_no", "doc", "rank")
     return rrf(rankings, k), rankings
@@ -105,13 +136,13 @@ def symbol_pins(questions: DataFrame, table: DataFrame, most: int = PINS) -> Dat
 
 
 def retrieve(
-    source: Corpus, questions: DataFrame, k: int = TOP_K, mode: str = "hybrid", rewrites: DataFrame | None = None, rerank: Callable | None = None,
+    source: Corpus, questions: DataFrame, k: int = TOP_K, mode: str = "hybrid", rewrites: DataFrame | None = None, rerank: Reranker | None = None,
     pins: bool = True, depth: int = DEPTH, rerank_depth: int = RERANK_DEPTH, rrf_k: int = RRF_K, all_ranks: bool = False,
 ) -> DataFrame:
     """Hits (qid, pos, doc, score, detail) for a batch of ``questions`` (qid, text, and k if each has its own).
 
-    rewrites: (qid, pos, text), each ranked by itself and fused with the question's own ranking, which counts twice. rerank: a
-    function of two text columns (question, indexed text) that scores the first ``rerank_depth`` places. Pinned definitions come
+    rewrites: (qid, pos, text), each ranked by itself and fused with the question's own ranking, which counts twice. rerank:
+    scores the first ``rerank_depth`` places. Pinned definitions come
     first (not in dense mode). detail: ranks of the question itself in each retriever (null if absent), whether it is a
     pin, its reranked place. ``all_ranks`` keeps every place, numbered by ``pos``.
     """
@@ -130,8 +161,8 @@ def retrieve(
     if rerank is not None:
         count = pinned.groupBy("qid").agg(F.count("*").alias("pins"))
         rest = rest.join(count, "qid", "left").withColumn("near", F.col("rank") <= F.lit(rerank_depth) - F.coalesce("pins", F.lit(0)))
-        near = rest.filter("near").join(questions.select("qid", F.col("text").alias("_q")), "qid").join(source.chunks.select("doc", "embedded"), "doc")
-        near = near.select("qid", "doc", F.round(rerank(F.col("_q"), F.col("embedded")), 12).alias("score"), F.col("rank").alias("_r"))
+        near = rest.filter("near").select("qid", "doc", F.col("rank").alias("_r")).join(questions.select("qid", F.col("text").alias("question")), "qid")
+        near = rerank(near, source).select("qid", "doc", F.round("score", 12).alias("score"), "_r")
         near = rank_within(near, ["qid"], F.desc("score"), "_r").withColumn("reranked", F.col("rank")).drop("_r")
         tail = rest.filter("not near").select("qid", "doc", "score", "rank", F.lit(None).cast("int").alias("reranked"))
         rest = near.select("qid", "doc", "score", "rank", "reranked").unionByName(tail)

@@ -135,14 +135,14 @@ def rewrite(questions: DataFrame, generator: Generator, settings: Settings | Non
     return generator(asked).select("qid", F.posexplode(T.rewrites("text")).alias("pos", "text"))
 
 
-def search(index: Index, questions: DataFrame, settings: Settings | None = None, rewrites: DataFrame | None = None, rerank: Callable | None = None, all_ranks: bool = False) -> DataFrame:
+def search(index: Index, questions: DataFrame, settings: Settings | None = None, rewrites: DataFrame | None = None, rerank: rank.Reranker | None = None, all_ranks: bool = False) -> DataFrame:
     """Hits (qid, pos, doc, score, detail) of ``questions`` (qid, text)."""
     s = settings or Settings()
-    scorer = (rerank or rank.rerank_overlap) if s.rerank or rerank else None
+    scorer = (rerank or rank.by_overlap) if s.rerank or rerank else None
     return rank.retrieve(index.corpus, questions, s.top_k, s.mode, rewrites if s.rewrite else None, scorer, s.pins, s.depth, s.rerank_depth, s.rrf_k, all_ranks)
 
 
-def gather(index: Index, questions: DataFrame, settings: Settings | None = None, rewrites: DataFrame | None = None, rerank: Callable | None = None) -> DataFrame:
+def gather(index: Index, questions: DataFrame, settings: Settings | None = None, rewrites: DataFrame | None = None, rerank: rank.Reranker | None = None) -> DataFrame:
     """(qid, pos, doc, score, detail, reason): hits, and behind them what the graph adds."""
     s = settings or Settings()
     ranked = store.settle(search(index, questions, s, rewrites, rerank, all_ranks=True))

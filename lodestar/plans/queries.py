@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, cite, context, dense, evaluate, graph, lexical, rank, syntax
+from ..operators import chunk, cite, context, dense, evaluate, graph, lexical, rank, scan, syntax
 from ..sources import files, store
 from ..streaming import logs
 from . import oracle, samples
@@ -48,6 +48,17 @@ def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.settle(lexical.documents_terms(docs(spark, sf_dir)))
 
 
+def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as chunks, each defining the symbol that its source and id make."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.concat_ws("_", F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string")).alias("symbol"))
+    return rows.select("*", F.concat(F.lit("doc/"), F.col("doc").cast("string")).alias("path"), F.lit(1).alias("start_line"), F.size(T.lines("text")).alias("end_line"), F.lit("function").alias("kind"), F.lit("").alias("context"))
+
+
+def doc_corpus(spark: SparkSession, sf_dir: str) -> rank.Corpus:
+    """The documents as a corpus that BM25 searches by their text alone."""
+    return rank.Corpus(doc_chunks(spark, sf_dir).withColumn("embedded", F.col("text")), doc_terms(spark, sf_dir))
+
+
 DOCS, ASKED = "d AS (SELECT doc_id AS doc, text FROM documents)", "q AS (SELECT item_id AS qid, text FROM benchmark)"
 DOC_TOKENS, QUERY_TOKENS = oracle.tokens("dt", "d", "doc", "text"), oracle.tokens("qt", "q", "qid", "text", stop=True)
 
@@ -105,7 +116,7 @@ _BM25 = f"{DOCS}, {ASKED}, {DOC_TOKENS}, {QUERY_TOKENS}, {oracle.bm25('s', 'dt',
 
 
 def bm25_hits(spark, sf_dir, k=TOP):
-    return lexical.top_k(lexical.bm25_scores(doc_terms(spark, sf_dir), questions(spark, sf_dir)), k)
+    return lexical.bm25_top_k(doc_terms(spark, sf_dir), questions(spark, sf_dir), k)
 
 
 @query(f"WITH {_BM25}, {oracle.top('h', 's', TOP)} SELECT qid, doc, rank, round(score, 6) AS score FROM h")
@@ -113,23 +124,6 @@ def bm25_topk(spark, sf_dir):
     return bm25_hits(spark, sf_dir).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
 
 
-def verbatim(passages: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
-    """(qid, doc) of ``texts`` (doc, text) that hold a passage (qid, text) literally.
-
-    Both meet by a run of ``words`` words inside the passage, whose ends cannot be cut by what stands around it; then
-    the whole passage is looked for. Passages too short for such a run are compared with every text, few as they are.
-    """
-    split = lambda c: F.split(c, "\\s", -1)
-    asked = passages.filter("text <> ''").select("qid", F.col("text").alias("passage"), split("text").alias("w"))
-    keyed = asked.filter(F.size("w") >= words + 2).select("qid", "passage", F.xxhash64(F.slice("w", 2, words)).alias("key"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(words))))
-    grams = texts.select("doc", split("text").alias("w")).filter(F.size("w") >= words).select("doc", F.explode(F.array_distinct(runs)).alias("key"))
-    met = grams.join(keyed, "key").select("qid", "doc", "passage").distinct()
-    long = met.join(texts, "doc").filter(F.contains("text", "passage")).select("qid", "doc")
-    short = asked.filter(F.size("w") < words + 2).join(texts, F.contains(texts.text, F.col("passage"))).select("qid", "doc")
-    return long.unionByName(short).distinct()
-
-
 _GOLD = "g AS (SELECT q.qid, d.doc FROM q JOIN d ON contains(d.text, q.text))"
 _METRICS = """r AS (SELECT g.qid, min(h.rank) AS rank FROM g LEFT JOIN h ON h.qid = g.qid AND h.doc = g.doc GROUP BY g.qid)
 SELECT '{name}' AS system, count(*) AS n, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(sum(coalesce(1.0 / rank, 0)) / count(*), 6) AS mrr,
@@ -144,7 +138,7 @@ def scored(name: str, hits: DataFrame, gold: DataFrame) -> DataFrame:
 
 @query(f"WITH {_BM25}, {oracle.top('h', 's', TOP)}, {_GOLD}, {_METRICS.format(name='bm25')}")
 def bm25_recall(spark, sf_dir):
-    return scored("bm25", bm25_hits(spark, sf_dir), verbatim(questions(spark, sf_dir), docs(spark, sf_dir)))
+    return scored("bm25", bm25_hits(spark, sf_dir), scan.sharing(questions(spark, sf_dir), docs(spark, sf_dir)))
 
 
 # ---- vectors ----
@@ -167,20 +161,21 @@ def dense_topk(spark, sf_dir):
 def knn_label_hit_rate(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "label")
     others = dense_hits(spark, sf_dir, TOP + 1).filter("qid <> doc").select("qid", "doc", "score")
-    hits = lexical.top_k(others, TOP).join(labels, "doc").join(labels.select(F.col("doc").alias("qid"), F.col("label").alias("asked")), "qid")
+    hits = rank.rank_within(others, ["qid"], F.desc("score"), "doc").filter(F.col("rank") <= TOP).join(labels, "doc").join(labels.select(F.col("doc").alias("qid"), F.col("label").alias("asked")), "qid")
     return hits.groupBy(F.col("asked").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("asked") == hits.label).cast("int")), 6).alias("hit_rate"))
 
 
 @query(f"WITH {DOCS}, {oracle.hashing('e', 'd', 'doc', 'text')} SELECT doc, bucket, round(w, 6) AS w FROM e")
 def hashing_vectors(spark, sf_dir):
-    return dense.hashing_entries(docs(spark, sf_dir), "doc").select("doc", "bucket", F.round("w", 6).alias("w"))
+    rows = dense.hashing_entries(docs(spark, sf_dir), "doc").select("doc", F.inline(F.arrays_zip("bucket", "w")))
+    return rows.select("doc", F.col("bucket"), F.round("w", 6).alias("w"))
 
 
 _COSINE = f"{oracle.hashing('de', 'd', 'doc', 'text')}, {oracle.hashing('qe', 'q', 'qid', 'text')}, cs AS (SELECT qid, doc, round(sum(de.w * qe.w), 6) AS score FROM qe JOIN de USING (bucket) GROUP BY ALL)"
 
 
 def cosine_hits(spark, sf_dir, k=TOP):
-    return lexical.top_k(dense.hashing_cosine(dense.hashing_entries(docs(spark, sf_dir), "doc"), dense.hashing_entries(questions(spark, sf_dir), "qid")), k)
+    return dense.cosine_top_k(dense.hashing_entries(docs(spark, sf_dir), "doc"), dense.hashing_entries(questions(spark, sf_dir), "qid"), k)
 
 
 @query(f"WITH {DOCS}, {ASKED}, {_COSINE}, {oracle.top('h', 'cs', TOP)} SELECT qid, doc, rank, score FROM h")
@@ -219,13 +214,8 @@ lists AS (SELECT qid, 0 AS list_no, doc, rank, 2 AS weight FROM b UNION ALL SELE
 
 @query(f"WITH {_MULTI} SELECT qid, doc, rank, round(score, 9) AS score FROM f WHERE rank <= {TOP}")
 def multi_query_rrf(spark, sf_dir):
-    terms = doc_terms(spark, sf_dir)
-    own = questions(spark, sf_dir).select((F.col("qid") * 3).alias("qid"), "text")
-    all_queries = own.unionByName(halves(spark, sf_dir).select((F.col("qid") * 3 + 1 + F.col("pos")).alias("qid"), "text"))
-    lists = lexical.top_k(lexical.bm25_scores(terms, all_queries), DEPTH)
-    no = F.col("qid") % 3
-    lists = lists.select(F.floor(F.col("qid") / 3).alias("qid"), no.alias("list_no"), "doc", "rank", F.when(no == 0, 2).otherwise(1).alias("weight"))
-    return rank.rrf(lists).filter(F.col("rank") <= TOP).select("qid", "doc", "rank", F.round("score", 9).alias("score"))
+    hits = rank.retrieve(doc_corpus(spark, sf_dir), questions(spark, sf_dir), TOP, "bm25", halves(spark, sf_dir), pins=False)
+    return hits.select("qid", "doc", F.col("pos").alias("rank"), F.round("score", 9).alias("score"))
 
 
 @query(
@@ -234,12 +224,8 @@ o AS (SELECT b.qid, b.doc, b.rank AS first, round(len(list_intersect(qs.ts, ds.t
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS rank FROM o) SELECT qid, doc, rank, round(score, 9) AS score FROM r WHERE rank <= {TOP}"""
 )
 def overlap_rerank(spark, sf_dir):
-    near = bm25_hits(spark, sf_dir, rank.RERANK_DEPTH).select("qid", "doc", F.col("rank").alias("first"))
-    wanted = questions(spark, sf_dir).select("qid", F.array_distinct(T.tokens("text", drop_stop_words=True)).alias("q"))
-    own = lexical.documents_terms(docs(spark, sf_dir)).select("doc", F.transform("terms", lambda t: t["term"]).alias("d"))
-    rows = near.join(wanted, "qid").join(own, "doc").select("qid", "doc", "first", F.round(F.size(F.array_intersect("q", "d")) / F.greatest(F.size("q"), F.lit(1)), 12).alias("score"))
-    best = rank.rank_within(rows, ["qid"], F.desc("score"), "first").filter(F.col("rank") <= TOP)
-    return best.select("qid", "doc", "rank", F.round("score", 9).alias("score"))
+    hits = rank.retrieve(doc_corpus(spark, sf_dir), questions(spark, sf_dir), TOP, "bm25", rerank=rank.by_overlap, pins=False)
+    return hits.select("qid", "doc", F.col("pos").alias("rank"), F.round("score", 9).alias("score"))
 
 
 BUDGET = 1500
@@ -489,7 +475,7 @@ SELECT coalesce(type, '(all)') AS type, count(*) AS n, round(avg(CASE WHEN rank
 )
 def eval_by_type(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang")
-    gold = verbatim(questions(spark, sf_dir), docs(spark, sf_dir)).join(langs, "doc")
+    gold = scan.sharing(questions(spark, sf_dir), docs(spark, sf_dir)).join(langs, "doc")
     ranks = gold.join(bm25_hits(spark, sf_dir).select("qid", "doc", "rank"), ["qid", "doc"], "left").groupBy("qid").agg(F.coalesce(F.max("lang"), F.lit("none")).alias("type"), F.min("rank").alias("rank"))
     return evaluate.retrieval_metrics(ranks)
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import chunk, context, dense, evaluate, graph, rank, syntax
+from lodestar.operators import chunk, context, dense, evaluate, graph, lexical, rank, scan, syntax
 from lodestar.plans import engine, prompts, samples
 from lodestar.sources import files, store
 from lodestar.streaming import logs
@@ -190,10 +190,56 @@ def test_line_numbers(spark):
 
 
 def test_dense_search_with_more_queries_than_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(dense, "QUERY_CHUNK", 3)
+    monkeypatch.setattr(scan, "CHUNK", 3)
+    monkeypatch.setattr(scan, "ROWS", 4)
     rows = spark.createDataFrame([(i, [float(i % 5), float(i)]) for i in range(20)] + [(99, None), (98, [1.0])], "doc long, vec array<float>")
     got = dense.exact_top_k(rows, rows.filter("doc < 8").withColumnRenamed("doc", "qid"), 2).collect()
     assert len(got) == 16 and {r.doc for r in got if r["rank"] == 1 and r.qid == 7} == {19}
+    named = rows.withColumn("doc", F.concat(F.lit("n"), F.lpad("doc", 2, "0")))
+    asked = named.filter("doc < 'n08'").withColumnRenamed("doc", "qid")
+    assert sorted((int(r.qid[1:]), int(r.doc[1:]), r["rank"], r.score) for r in dense.exact_top_k(named, asked, 2).collect()) == sorted((r.qid, r.doc, r["rank"], r.score) for r in got)
+
+
+def test_tasks_keep_the_best_of_each_query(spark, monkeypatch):
+    draw = __import__("numpy").random.default_rng(1)
+    for _ in range(20):
+        best = scan.Best(5, 3)
+        best.limit = 7
+        scores = draw.integers(0, 6, size=(40, 5)).astype(float)
+        scores[draw.random((40, 5)) < 0.3] = -float("inf")
+        for at in range(0, 40, 6):
+            best.add(draw.permutation(40)[:0], scores[:0])
+            best.add(__import__("numpy").arange(at, min(at + 6, 40)), scores[at : at + 6])
+        got = sorted(zip(*(x.tolist() for x in best.reduce()), strict=True))
+        want = sorted((q, d, scores[d, q]) for q in range(5) for d in sorted((d for d in range(40) if scores[d, q] >= 0), key=lambda d, q=q: (-scores[d, q], d))[:3])
+        assert got == want
+
+
+def test_passages_in_texts(spark, monkeypatch):
+    monkeypatch.setattr(scan, "CHUNK", 2)
+    passages = spark.createDataFrame([(0, "b c"), (1, "é"), (2, ""), (3, None), (4, "b c"), (5, "abc")], "qid long, text string")
+    texts = spark.createDataFrame([("x", "a b c d"), ("y", "café b c"), ("z", None), ("w", "ab c")], "doc string, text string")
+    want = {(0, "x"), (4, "x"), (0, "y"), (4, "y"), (1, "y"), (0, "w"), (4, "w")}
+    assert {tuple(r) for r in scan.sharing(passages, texts).collect()} == want
+    for find in (scan.finder(["b c", "é", "b c"]),):
+        assert find("xb cé") == {0, 1, 2} and find("none") == set()
+
+
+def test_words_of_tables_equal_the_column_functions(spark):
+    from lodestar.functions import text as T
+    from lodestar.functions import words
+
+    odd = [("HTTPServer parseURLs __init__ x1Y2 caches decoding Used classes _ a A9b snake_case_Names", "MyClass.run"), (None, None), ("", ""), ("é ties flies ing's being", "x")]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(odd)], "doc long, text string, symbol string")
+    rows = rows.unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") + 100).alias("doc"), "text", F.lit("parseURL_of").alias("symbol")))
+    tokens = F.concat(T.tokens("text"), F.flatten(F.array_repeat(T.tokens("symbol"), 3)))
+    want = {r.doc: sorted(r.t) for r in rows.select("doc", tokens.alias("t")).collect()}
+    got = {r.doc: (r.dl, [t.term for t in r.terms for _ in range(t.tf)]) for r in lexical.documents_terms(rows).collect()}
+    assert got == {d: (len(t), t) for d, t in want.items()}
+    plain = {r.doc: sorted(r.t) for r in rows.select("doc", T.hashing_tokens("text").alias("t")).collect()}
+    for r in rows.collect():
+        found = words.counts(r.text, words.Memo(words.hashing_tokens))
+        assert sorted(found.elements()) == plain[r.doc]
 
 
 def test_ancestry_survives_cycles(spark):
