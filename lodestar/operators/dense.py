@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from ..functions import words
 from . import scan
 
 DIMENSIONS, DIGITS = 1024, 6
+# Fixed value: what questions begin with for this family of models.
+QUESTION_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -93,6 +97,33 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = DI
     return scan.top_k(rows, asked, k, scorer)
 
 
+@dataclass(frozen=True)
+class Embedder:
+    """A model of texts: what turns documents and questions (key, text) into vectors (key, bucket, w), given the key's name."""
+
+    name: str
+    documents: Callable[[DataFrame, str], DataFrame]
+    questions: Callable[[DataFrame, str], DataFrame]
+
+
+def hashing(dimensions: int = DIMENSIONS) -> Embedder:
+    embed = partial(hashing_entries, dimensions=dimensions)
+    return Embedder(f"hashing-{dimensions}", embed, embed)
+
+
+def sentence_encoder(model: str, prefix: str | None = None) -> Embedder:
+    """A sentence encoder by its path; prefix: what its questions begin with (the models that need one have it by default)."""
+    if prefix is None:
+        prefix = QUESTION_PREFIX if model.startswith("BAAI/bge") else ""
+    embed = lambda before: lambda rows, key: vector_entries(encoded(rows, key, model, before), key)
+    return Embedder(model, embed(""), embed(prefix))
+
+
+def embedder(name: str) -> Embedder:
+    """The embedder that a setting or an index names: "hashing-<dimensions>", or the path of a sentence encoder."""
+    return hashing(int(name.removeprefix("hashing-"))) if name.startswith("hashing-") else sentence_encoder(name)
+
+
 def encoded(rows: DataFrame, key: str, model: str, prefix: str = "", batch: int = 64) -> DataFrame:
     """(key, vec) of ``rows`` (key, text) by a sentence encoder that is loaded from ``model`` once a task; prefix: put before every text."""
 

@@ -118,6 +118,27 @@ def validate_gold(gold: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("qid", F.coalesce(missing, bad).alias("problem")).filter("problem is not null")
 
 
+def is_trace(gold: DataFrame) -> bool:
+    """Whether a gold set asks for several targets a question."""
+    return not gold.filter(F.size("targets") > 1).isEmpty()
+
+
+def stored(metrics: DataFrame, kind: str) -> DataFrame:
+    """Metrics of one kind in the columns of stored results."""
+    if kind == "retrieval":
+        whole = metrics.filter(F.col("type") == ALL).drop("type")
+        one = F.struct("n", "recall", "mrr", "hit1")
+        types = metrics.filter(F.col("type") != ALL).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", one.alias("m")))))).alias("by_type"))
+        return whole.crossJoin(F.broadcast(types))
+    if kind == "trace":
+        whole = metrics.filter(F.col("type") == ALL)
+        variants = [F.struct(F.lit(v).alias("variant"), F.col(f"{v}_recall").alias("target_recall"), F.col(f"{v}_all").alias("all_found")) for v in ("topk", "baseline", "expand")]
+        return whole.select("n", "mean_added", F.inline(F.array(*variants)))
+    if kind == "answers":
+        return metrics
+    raise ValueError(f"no results of kind {kind!r}")
+
+
 def report(results: DataFrame, kind: str, gold: str | None = None) -> DataFrame:
     """Stored results of one kind (retrieval, trace, answers), of one gold set if it is named; rows without a kind are retrieval."""
     rows = results.filter(F.coalesce("kind", F.lit("retrieval")) == kind)

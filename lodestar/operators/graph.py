@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import settle
 
-SEEDS, EXTRA, DEPTH, ANCESTORS = 3, 4, 3, 16
+SEEDS, EXTRA, DEPTH = 3, 4, 3
+#: Characters of names by how much they are used; any fixed order gives the same results.
+BY_USE = "etaoinsrl_dcupmhgfybvwkxqzj0123456789"
 
 # Names that too many types have for one definition to be meant.
 COMMON_NAMES = """
@@ -40,38 +43,62 @@ def find(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
     return hits.withColumn("best", F.min("tier").over(best)).filter("tier = best").select("qid", "id", "tier")
 
 
+def _rarest(name: Column) -> Column:
+    """The characters of a name that :func:`similar` blocks by: the k-th of its kind counts as another, later ones are rarer."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    place = lambda c, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c))
+    ordered = F.sort_array(F.transform(chars, lambda c, i: F.struct((-place(c, i)).alias("k"), (-F.position(c, F.lit(BY_USE))).alias("use"), c.alias("c"))))
+    n = F.length(name)
+    return F.transform(F.slice(ordered, F.lit(1), n - F.ceil(3 * n / 7).cast("int") + 1), lambda t: F.concat(t["c"], t["k"].cast("string")))
+
+
 def similar(nodes: DataFrame, symbols: DataFrame, n: int = 5) -> DataFrame:
     """(qid, pos, name): known names that look like a symbol, by difflib's ratio, then those that contain it or lie in it.
 
-    The different names are dealt over tasks and compared with the symbols there; each task returns its ``n`` best a symbol.
-    ``symbols`` (qid, symbol) is a set of questions asked at once: it is collected.
+    A ratio of 0.6 between lengths a and b needs 0.3 (a + b) common characters, so b is 3 a / 7 at least and 3 a / 7 characters are
+    common. Names and symbols therefore meet by one of their rarest characters: with the first a - 3 a / 7 + 1 of each in one order of
+    rarity, no pair is missed. Pairs are bounded again by the counts of their characters before the ratio itself is worked out.
+    Containment meets by a run of three characters. Different symbols are compared once, however often they are asked for, and
+    neither side is collected.
     """
     import difflib
 
     import pandas as pd
 
-    asked = [(r.qid, r.s) for r in symbols.select("qid", F.lower(F.element_at(F.split(_symbol(F.col("symbol")), "\\.", -1), -1)).alias("s")).collect()]
-    names = nodes.filter("kind <> 'module'").groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("name"))
+    low = F.lower(F.element_at(F.split(_symbol(F.col("symbol")), "\\.", -1), -1))
+    asked = symbols.select("qid", low.alias("s")).filter("s <> ''")
+    names = nodes.filter("kind <> 'module'").groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("name")).withColumn("size", F.length("low"))
+    wanted = asked.select("s").distinct().withColumn("size", F.length("s"))
+    close = F.col("size").between(3 * F.col("_size") / 7, 7 * F.col("_size") / 3)
+    alike = wanted.select("s", F.col("size").alias("_size"), F.explode(_rarest(F.col("s"))).alias("c")).join(names.select("low", "name", "size", F.explode(_rarest(F.col("low"))).alias("c")), "c")
+    alike = alike.filter(close).select("s", "low", "name").distinct()
+    # what contains a symbol or lies in it shares a run of characters with it; names of two characters or less have none
+    grams = lambda c: F.explode(F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array(F.lit(""))))
+    first = wanted.filter("size >= 4").select("s", F.substring("s", 1, 3).alias("g")).join(names.select("low", "name", grams(F.col("low")).alias("g")).distinct(), "g").filter(F.contains("low", "s"))
+    inner = names.filter("size > 0").withColumn("g", F.when(F.col("size") >= 3, F.substring("low", 1, 3)).otherwise(F.lit("")))
+    both = wanted.filter("size >= 4").select("s", grams(F.col("s")).alias("g")).unionByName(wanted.filter("size >= 4").select("s", F.lit("").alias("g"))).distinct()
+    inside = both.join(inner, "g").filter(F.contains("s", "low"))
+    held = first.select("s", "low", "name").unionByName(inside.select("s", "low", "name")).distinct().withColumn("kind", F.lit(1))
+    pairs = alike.withColumn("kind", F.lit(0)).unionByName(held)
 
     def run(frames):
+        match = difflib.SequenceMatcher()
         for frame in frames:
             rows = []
-            for qid, s in asked:
-                match = difflib.SequenceMatcher()
-                match.set_seq2(s)
-                for low, name in zip(frame.low, frame.name, strict=True):
-                    match.set_seq1(low)
-                    near = match.real_quick_ratio() >= 0.6 and match.quick_ratio() >= 0.6 and match.ratio()
-                    if near and near >= 0.6:
-                        rows.append((qid, name, low, 0, -near))
-                    elif len(s) >= 4 and (s in low or low in s):
-                        rows.append((qid, name, low, 1, 0.0))
-            yield pd.DataFrame(rows, columns=["qid", "name", "low", "kind", "order"])
-
-    found = names.mapInPandas(run, "qid long, name string, low string, kind int, order double")
+            for s, known, name, kind in frame[["s", "low", "name", "kind"]].itertuples(index=False):
+                match.set_seqs(known, s)
+                near = match.real_quick_ratio() >= 0.6 and match.quick_ratio() >= 0.6 and match.ratio() >= 0.6
+                if kind == 0 and near:
+                    rows.append((s, name, known, 0, -match.ratio()))
+                elif kind == 1 and not near:
+                    rows.append((s, name, known, 1, 0.0))
+            yield pd.DataFrame(rows, columns=["s", "name", "low", "kind", "order"])
+
+    found = pairs.mapInPandas(run, "s string, name string, low string, kind int, order double")
     # equal ratios: difflib names the larger word first; containment keeps the order of the sorted names
-    by = Window.partitionBy("qid").orderBy("kind", "order", F.when(F.col("kind") == 0, F.col("low")).desc_nulls_last(), "name")
-    return found.withColumn("pos", F.row_number().over(by)).filter(F.col("pos") <= n).select("qid", "pos", "name")
+    by = Window.partitionBy("s").orderBy("kind", "order", F.when(F.col("kind") == 0, F.col("low")).desc_nulls_last(), "name")
+    best = found.withColumn("pos", F.row_number().over(by)).filter(F.col("pos") <= n)
+    return asked.join(best, "s").select("qid", "pos", "name")
 
 
 def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -142,23 +169,21 @@ def suggestions(nodes: DataFrame, edges: DataFrame, most: int = 2) -> DataFrame:
     return ranked.select(F.row_number().over(Window.orderBy(F.desc("n"), "id")).alias("pos"), "qual", "n")
 
 
-def ancestry(bases: DataFrame, classes: DataFrame, most: int = ANCESTORS) -> DataFrame:
+def ancestry(bases: DataFrame, classes: DataFrame) -> DataFrame:
     """(qual, pos, base): names of all base classes of each class, nearest first.
 
     bases: (qual, n, base), the n-th base that a class names. classes: (qual, name). A base is followed to every class that has
-    it as qualified or short name; one join a level, each base once. Levels end when nothing is added, at ``most`` at the latest:
-    deeper hierarchies do not occur in practice and cycles end by themselves.
+    it as qualified or short name; one join a level, each base once, until nothing is added. Each level is written before the
+    next, so that a deep hierarchy does not plan all levels at once; cycles end by themselves.
     """
     names = classes.select(F.explode(F.array_distinct(F.array("qual", "name"))).alias("base"), F.col("qual").alias("of"))
-    seen = bases.select("qual", "base", F.array("n").alias("turn")).groupBy("qual", "base").agg(F.min("turn").alias("turn"))
-    front = seen
-    for _ in range(most):
-        further = bases.select(F.col("qual").alias("of"), F.col("n").alias("_n"), F.col("base").alias("_b"))
-        new = front.join(names, "base").join(further, "of").select("qual", F.col("_b").alias("base"), F.concat("turn", F.array("_n")).alias("turn"))
-        new = new.groupBy("qual", "base").agg(F.min("turn").alias("turn")).join(seen.select("qual", "base"), ["qual", "base"], "left_anti")
-        if new.isEmpty():
-            break
-        seen, front = seen.unionByName(new), new
+    further = bases.select(F.col("qual").alias("of"), F.col("n").alias("_n"), F.col("base").alias("_b"))
+    step = settle(names.join(further, "of").select("base", "_n", "_b"))
+    seen = front = settle(bases.select("qual", "base", F.array("n").alias("turn")).groupBy("qual", "base").agg(F.min("turn").alias("turn")))
+    while not front.isEmpty():
+        new = front.join(step, "base").select("qual", F.col("_b").alias("base"), F.concat("turn", F.array("_n")).alias("turn"))
+        front = settle(new.groupBy("qual", "base").agg(F.min("turn").alias("turn")).join(seen.select("qual", "base"), ["qual", "base"], "left_anti"))
+        seen = settle(seen.unionByName(front))
     order = Window.partitionBy("qual").orderBy(F.size("turn"), "turn", "base")
     return seen.withColumn("pos", F.row_number().over(order)).select("qual", "pos", "base")
 

@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import settle
 from . import dense, lexical
-
-#: From rows (key, text) and the key's name to vectors (key, bucket, w): arrays of the places and values of their entries.
-Embedder = Callable[[DataFrame, str], DataFrame]
+from .chunk import embed_text
 
 RRF_K, DEPTH, RERANK_DEPTH, PINS, TOP_K = 60, 50, 30, 3, 8
 
@@ -73,25 +72,26 @@ def cross_encoder(model: str, batch: int = 32) -> Reranker:
 class Corpus:
     """What retrieval reads. chunks: doc, path, start_line, end_line, text, symbol, kind (embedded: what is indexed).
 
-    nodes: graph nodes with name, qual, kind, doc, id, or None. entries: vectors (doc, bucket, w), or None. embed: the function that
-    makes those of questions like them, from rows (key, text) and the key's name.
+    nodes: graph nodes with name, qual, kind, doc, id, or None. entries: vectors (doc, bucket, w) that ``embedder`` made, or None.
     """
 
     chunks: DataFrame
     terms: DataFrame
     entries: DataFrame | None = None
     nodes: DataFrame | None = None
-    embed: Embedder = dense.hashing_entries
+    embedder: dense.Embedder = dense.hashing()
 
 
-def corpus(chunks: DataFrame, nodes: DataFrame | None = None, with_dense: bool = True, embed: Embedder = dense.hashing_entries) -> Corpus:
-    """Index ``chunks``: term counts, and vectors unless only words are wanted."""
-    from .chunk import embed_text
+def embedded(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with what is indexed of each."""
+    return chunks.withColumn("embedded", embed_text(F.col("path"), F.col("kind"), F.col("symbol"), F.col("context"), F.col("text")))
 
-    body = embed_text(F.col("path"), F.col("kind"), F.col("symbol"), F.col("context"), F.col("text"))
-    indexed = chunks.select("doc", "symbol", body.alias("text"))
-    entries = embed(indexed, "doc") if with_dense else None
-    return Corpus(chunks.withColumn("embedded", body), lexical.documents_terms(indexed), entries, nodes, embed)
+
+def corpus(chunks: DataFrame, nodes: DataFrame | None = None, with_dense: bool = True, embedder: dense.Embedder | None = None) -> Corpus:
+    """Index ``chunks``: term counts, and vectors unless only words are wanted."""
+    embedder, whole = embedder or dense.hashing(), embedded(chunks)
+    indexed = whole.select("doc", "symbol", F.col("embedded").alias("text"))
+    return Corpus(whole, lexical.documents_terms(indexed), embedder.documents(indexed, "doc") if with_dense else None, nodes, embedder)
 
 
 def first_stage(source: Corpus, queries: DataFrame, mode: str, depth: int, k: int = RRF_K) -> tuple[DataFrame, DataFrame]:
@@ -105,12 +105,13 @@ def first_stage(source: Corpus, queries: DataFrame, mode: str, depth: int, k: in
     if mode != "bm25":
         if source.entries is None:
             raise RuntimeError(f"retrieval mode {mode!r} needs vectors")
-        near = dense.cosine_top_k(source.entries, source.embed(queries, "qid"), depth)
+        near = dense.cosine_top_k(source.entries, source.embedder.questions(queries, "qid"), depth)
         lists.append(near.withColumns({"retriever": F.lit("dense"), "list_no": F.lit(0)}))
     if mode != "dense":
         lists.append(lexical.bm25_top_k(source.terms, queries, depth).withColumns({"retriever": F.lit("bm25"), "list_no": F.lit(1)}))
+    # a few rows a query, read again and again by what follows
+    lists = [settle(part.select("qid", "retriever", "list_no", "doc", "rank")) for part in lists]
     rankings = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
-    rankings = rankings.select("qid", "retriever", "list_no", "doc", "rank")
     return rrf(rankings, k), rankings
 
 
@@ -155,9 +156,9 @@ def retrieve(
         own = fused.select("qid", F.lit(0).cast("long").alias("list_no"), "doc", "rank", F.lit(2).alias("weight"))
         fused = rrf(own.unionByName(lists.withColumn("list_no", F.col("list_no").cast("long"))), rrf_k)
     schema = "qid long, doc long, pin int"
-    pinned = symbol_pins(questions, symbol_table(source.chunks, source.nodes)) if pins and mode != "dense" else source.chunks.sparkSession.createDataFrame([], schema)
+    pinned = settle(symbol_pins(questions, symbol_table(source.chunks, source.nodes))) if pins and mode != "dense" else source.chunks.sparkSession.createDataFrame([], schema)
     rest = fused.join(pinned.select("qid", "doc"), ["qid", "doc"], "left_anti")
-    rest = rank_within(rest.withColumnRenamed("rank", "_r"), ["qid"], "_r").drop("_r")
+    rest = settle(rank_within(rest.withColumnRenamed("rank", "_r"), ["qid"], "_r").drop("_r"))
     if rerank is not None:
         count = pinned.groupBy("qid").agg(F.count("*").alias("pins"))
         rest = rest.join(count, "qid", "left").withColumn("near", F.col("rank") <= F.lit(rerank_depth) - F.coalesce("pins", F.lit(0)))

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
+from datetime import UTC, datetime
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, cite, context, evaluate, graph, rank, syntax
+from ..operators import chunk, cite, context, dense, evaluate, graph, rank, syntax
 from ..sources import files, store
 from . import prompts
 
 PREFIX = "LODESTAR_"
+#: Bounds on what a question may ask for: hits, and characters of its text.
+MOST_HITS, LONGEST = 20, 1000
 
 
 @dataclass(frozen=True)
@@ -86,29 +90,62 @@ def cached(generator: Generator, cache: DataFrame, model: str, temperature: floa
 
 @dataclass(frozen=True)
 class Index:
+    """What questions are asked of. vectors: (id, model, bucket, w), one row a chunk, or None; reused: how many of them an earlier
+    index had."""
+
     sources: DataFrame
     chunks: DataFrame
     corpus: rank.Corpus
     nodes: DataFrame | None
     edges: DataFrame | None
     stats: DataFrame
+    vectors: DataFrame | None = None
+    reused: int = 0
 
     def save(self, folder: str, settings: Settings) -> None:
-        """Tables first, the mark of completeness last. An index without a graph removes an older one's."""
-        meta = {"model": settings.model, "chunker": settings.chunker, "chunk_lines": settings.chunk_lines, "max_lines": settings.max_lines}
-        store.save_index(folder, meta, sources=self.sources, chunks=self.chunks, terms=self.corpus.terms, entries=self.corpus.entries, nodes=self.nodes, edges=self.edges)
+        """Write the index as the newest version in ``folder``; the mark of completeness comes last."""
+        meta = {"model": self.corpus.embedder.name, "chunker": settings.chunker, "chunk_lines": settings.chunk_lines, "chunk_overlap": settings.chunk_overlap, "max_lines": settings.max_lines}
+        meta |= self.stats.first().asDict() | {"n_embedded": self.vectors.count() - self.reused if self.vectors is not None else 0, "built_at": datetime.now(UTC).isoformat(timespec="seconds")}
+        store.save_index(folder, meta, sources=self.sources, chunks=self.chunks, terms=self.corpus.terms, vectors=self.vectors, nodes=self.nodes, edges=self.edges)
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> Index:
+    def load(cls, spark: SparkSession, folder: str, embedder: dense.Embedder | None = None) -> Index:
+        """The newest version in ``folder``. Questions are embedded by the model that made the vectors, which the index names; another
+        ``embedder`` is a ValueError."""
         t = store.load_index(spark, folder)
-        body = chunk.embed_text(F.col("path"), F.col("kind"), F.col("symbol"), F.col("context"), F.col("text"))
-        corpus = rank.Corpus(t["chunks"].withColumn("embedded", body), t["terms"], t.get("entries"), t.get("nodes"))
-        return cls(spark.read.parquet(f"{folder}/sources"), t["chunks"], corpus, t.get("nodes"), t.get("edges"), chunk.index_stats(t["chunks"]))
+        model = t["meta"].first()["model"]
+        embedder = embedder or dense.embedder(model)
+        if embedder.name != model:
+            raise ValueError(f"the index was built with {model!r}, not with {embedder.name!r}")
+        vectors = t.get("vectors")
+        corpus = rank.Corpus(rank.embedded(t["chunks"]), t["terms"], _entries(t["chunks"], vectors), t.get("nodes"), embedder)
+        return cls(t["sources"], t["chunks"], corpus, t.get("nodes"), t.get("edges"), chunk.index_stats(t["chunks"]), vectors)
+
+
+def _entries(chunks: DataFrame, vectors: DataFrame | None) -> DataFrame | None:
+    return None if vectors is None else chunks.select("id", "doc").join(vectors.select("id", "bucket", "w"), "id").select("doc", "bucket", "w")
+
+
+def embed_chunks(chunks: DataFrame, previous: Index | None, embedder: dense.Embedder) -> tuple[DataFrame, int]:
+    """(id, model, bucket, w) for ``chunks``, and how many are the previous index's: only chunks whose id it lacks, or all if another
+    model made its vectors, are embedded."""
+    new, known = store.stale(rank.embedded(chunks), previous.vectors if previous else None, embedder.name)
+    columns = ["id", F.lit(embedder.name).alias("model"), "bucket", "w"]
+    made = embedder.documents(new.select("id", F.col("embedded").alias("text")).dropDuplicates(["id"]), "id").select(*columns)
+    made = store.settle(made)
+    if known is None:
+        return made, 0
+    known = store.settle(known.select("id", "model", "bucket", "w"))
+    return made.unionByName(known), known.count()
 
 
-def build_index(sources: DataFrame, settings: Settings | None = None) -> Index:
-    """Index ``sources`` (path, file_ord, text): one parse a file gives chunks, definitions and references."""
+def build_index(sources: DataFrame, settings: Settings | None = None, previous: Index | None = None, embedder: dense.Embedder | None = None) -> Index:
+    """Index ``sources`` (path, file_ord, text): one parse a file gives chunks, definitions and references.
+
+    previous: an index whose vectors are used again for chunks that did not change. embedder: else the one that ``settings.model`` names.
+    """
     settings = settings or Settings()
+    embedder = embedder or dense.embedder(settings.model)
     parsed = None
     if settings.chunker == "syntax":
         python = sources.filter(F.col("path").endswith(".py") | F.col("path").endswith(".ipynb"))
@@ -116,17 +153,27 @@ def build_index(sources: DataFrame, settings: Settings | None = None) -> Index:
     chunks = syntax.numbered(syntax.chunk_files(sources, parsed, settings.chunk_lines, settings.chunk_overlap))
     if chunks.isEmpty():
         raise ValueError("nothing to index: no source has any text")
-    nodes = edges = None
+    nodes = edges = vectors = None
+    reused = 0
     if parsed is not None:
         nodes = syntax.definitions(parsed, chunks)
         edges, _ = graph.resolve(nodes, syntax.references(parsed, nodes), syntax.bases(nodes), syntax.imports(sources))
         edges = store.settle(edges)
-    return Index(sources, chunks, rank.corpus(chunks, nodes, settings.mode != "bm25"), nodes, edges, chunk.index_stats(chunks))
+    if settings.mode != "bm25":
+        vectors, reused = embed_chunks(chunks, previous, embedder)
+    corpus = replace(rank.corpus(chunks, nodes, False, embedder), entries=_entries(chunks, vectors))
+    return Index(sources, chunks, corpus, nodes, edges, chunk.index_stats(chunks), vectors, reused)
 
 
-def index_tree(spark: SparkSession, root: str, settings: Settings | None = None) -> Index:
+def index_tree(spark: SparkSession, root: str, settings: Settings | None = None, previous: Index | None = None, embedder: dense.Embedder | None = None) -> Index:
     settings = settings or Settings()
-    return build_index(files.read_tree(spark, root, list(settings.exclude)), settings)
+    return build_index(files.read_tree(spark, root, list(settings.exclude)), settings, previous, embedder)
+
+
+def askable(questions: DataFrame) -> DataFrame:
+    """``questions`` (qid, text) that can be asked: trimmed, not empty, of at most ``LONGEST`` characters."""
+    rows = questions.withColumn("text", T.strip(F.coalesce("text", F.lit(""))))
+    return rows.filter((F.col("text") != "") & (F.length("text") <= LONGEST))
 
 
 def rewrite(questions: DataFrame, generator: Generator, settings: Settings | None = None) -> DataFrame:
@@ -136,8 +183,9 @@ def rewrite(questions: DataFrame, generator: Generator, settings: Settings | Non
 
 
 def search(index: Index, questions: DataFrame, settings: Settings | None = None, rewrites: DataFrame | None = None, rerank: rank.Reranker | None = None, all_ranks: bool = False) -> DataFrame:
-    """Hits (qid, pos, doc, score, detail) of ``questions`` (qid, text)."""
+    """Hits (qid, pos, doc, score, detail) of ``questions`` (qid, text), 1 to ``MOST_HITS`` each."""
     s = settings or Settings()
+    s = replace(s, top_k=min(max(s.top_k, 1), MOST_HITS))
     scorer = (rerank or rank.by_overlap) if s.rerank or rerank else None
     return rank.retrieve(index.corpus, questions, s.top_k, s.mode, rewrites if s.rewrite else None, scorer, s.pins, s.depth, s.rerank_depth, s.rrf_k, all_ranks)
 
@@ -160,16 +208,21 @@ def answer(index: Index, questions: DataFrame, generator: Generator, settings: S
     """Answers (qid, question, text, repaired, draft, used, report, draft_report) checked against what was shown.
 
     A draft that fails the check is repaired once by ``repairer`` (the same generator if none is given) and replaced if the
-    revision is better.
+    revision is better. Questions that cannot be asked have no answer. prompt_id and prompt_hash name the draft's prompt; t_retrieve,
+    t_generate and t_total are the batch's seconds a question.
     """
     s = settings or Settings()
+    questions = store.settle(askable(questions))
+    began, n = time.monotonic(), max(1, questions.count())
     hits = store.settle(gather(index, questions, s, rewrites))
+    found = time.monotonic()
     packed = context.assemble(hits, index.chunks, s.budget, s.line_numbers)
     shown = packed.select("qid", F.posexplode("used").alias("pos", "doc")).join(index.chunks, "doc")
     first = shown.filter("pos = 0").select("qid", chunk.citation(F.col("path"), F.col("start_line"), F.least(F.col("start_line") + 2, F.col("end_line"))).alias("example"))
     ready = questions.select("qid", F.col("text").alias("question")).join(packed, "qid", "left").join(first, "qid", "left")
     asked = prompts.requests(ready, s.answer_prompt, question=F.col("question"), context=F.coalesce("context", F.lit("")), example=F.coalesce("example", F.lit("path:start-end")))
     drafts = store.settle(generator(asked).select("qid", T.normalize_citations("text").alias("text")))
+    written = time.monotonic()
     reports = store.settle(cite.check_answers(drafts, shown, s.broad_lines))
     final, final_reports = drafts.withColumn("repaired", F.lit(False)), reports
     if s.strict:
@@ -188,7 +241,11 @@ def answer(index: Index, questions: DataFrame, generator: Generator, settings: S
         final_reports = reports.join(better.select("qid"), "qid", "left_anti").unionByName(revised_reports.join(better.select("qid"), "qid", "left_semi"))
     packs = lambda r, name: r.select("qid", F.struct(*[c for c in r.columns if c != "qid"]).alias(name))
     rows = questions.select("qid", F.col("text").alias("question")).join(final, "qid").join(drafts.select("qid", F.col("text").alias("draft")), "qid")
-    return rows.join(packed.select("qid", "used"), "qid", "left").join(packs(final_reports, "report"), "qid").join(packs(reports, "draft_report"), "qid")
+    rows = rows.join(packed.select("qid", "used"), "qid", "left").join(packs(final_reports, "report"), "qid").join(packs(reports, "draft_report"), "qid")
+    prompt = prompts.load(s.answer_prompt)
+    rows = store.settle(rows.select("*", F.lit(prompt.id).alias("prompt_id"), F.lit(prompt.hash).alias("prompt_hash")))
+    each = {"t_retrieve": found - began, "t_generate": written - found, "t_total": time.monotonic() - began}
+    return rows.select("*", *(F.lit(round(seconds / n, 6)).alias(name) for name, seconds in each.items()))
 
 
 def events(answers: DataFrame) -> DataFrame:
@@ -202,8 +259,11 @@ def events(answers: DataFrame) -> DataFrame:
 
 
 def run_log(answers: DataFrame, settings: Settings, folder: str) -> None:
-    """Append answers to the run log."""
-    rows = answers.select(F.current_timestamp().alias("ts"), "qid", "question", F.lit(settings.model).alias("model"), F.col("report.n_citations").alias("n_citations"), F.size("report.invalid").alias("invalid"), "repaired")
+    """Append answers to the run log, with their prompts, citations and times."""
+    rows = answers.select(
+        F.current_timestamp().alias("ts"), "qid", "question", F.lit(settings.model).alias("model"), "prompt_id", "prompt_hash", F.coalesce(F.size("used"), F.lit(0)).alias("n_used"),
+        F.col("report.n_citations").alias("n_citations"), F.size("report.invalid").alias("invalid"), "repaired", "t_retrieve", "t_generate", "t_total",
+    )
     store.append_log(rows, folder)
 
 
@@ -256,5 +316,57 @@ def evaluate_trace(index: Index, gold: DataFrame, settings: Settings | None = No
 
 def evaluate_any(index: Index, gold: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Trace metrics for gold with several targets a question, retrieval metrics for any other."""
-    several = not gold.filter(F.size("targets") > 1).isEmpty()
-    return evaluate_trace(index, gold, settings) if several else evaluate_retrieval(index, gold, settings)
+    return evaluate_trace(index, gold, settings) if evaluate.is_trace(gold) else evaluate_retrieval(index, gold, settings)
+
+
+def evaluate_answers(index: Index, gold: DataFrame, generator: Generator, settings: Settings | None = None, rewrites: DataFrame | None = None) -> DataFrame:
+    """One row of answer metrics: the engine answers the questions of ``gold`` (qid, question, type, targets) and checks what it cites."""
+    answers = answer(index, gold.select("qid", F.col("question").alias("text")), generator, settings, rewrites)
+    return evaluate.answer_metrics(gold, answers.select("qid", "text", "repaired"), answers.select("qid", "report.*"))
+
+
+def result_rows(metrics: DataFrame, kind: str, gold: str, settings: Settings | None = None, label: str = "") -> DataFrame:
+    """Metrics as rows that :func:`keep_results` appends and :func:`lodestar.sources.files.read_results` reads: one of kind retrieval (types as JSON) or
+    answers, one for each variant of kind trace."""
+    s = settings or Settings()
+    head = {"ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "label": F.lit(label), "kind": F.lit(kind), "gold": F.lit(gold), "k": F.lit(s.top_k), "chunker": F.lit(s.chunker)}
+    head |= {"mode": F.lit(s.mode), "symbol_pin": F.lit(s.pins), "rerank": F.lit(s.rerank), "rewrite": F.lit(s.rewrite)}
+    return evaluate.stored(metrics, kind).select(*(c.alias(n) for n, c in head.items()), "*")
+
+
+def keep_results(rows: DataFrame, folder: str) -> None:
+    """Append :func:`result_rows` to the results in ``folder``."""
+    store.append_log(rows, folder)
+
+
+def report(results: DataFrame, gold: str | None = None) -> dict[str, DataFrame]:
+    """Stored results as three tables, by kind, oldest first; of one gold set if it is named."""
+    head = ["ts", "label", "gold", "k", "chunker", "mode", "symbol_pin", "rerank", "rewrite"]
+    columns = {
+        "retrieval": ["n", "recall", "mrr", "hit1", "by_type"],
+        "trace": ["variant", "n", "mean_added", "target_recall", "all_found"],
+        "answers": ["n", "gold_cited", "valid_rate", "claims_cited", "unsupported_per_answer", "mean_width", "repaired"],
+    }
+    return {kind: evaluate.report(results, kind, gold).select(*head, *names).orderBy("ts", *(["variant"] if kind == "trace" else [])) for kind, names in columns.items()}
+
+
+def graph_view(index: Index, symbols: DataFrame, depth: int | None = None, most: int = 5) -> DataFrame:
+    """(qid, symbol, pos, qual, path, line, callers, callees, n_nodes, n_files, similar): the first ``most`` definitions of each of
+    ``symbols`` (qid, symbol) with what calls it, what it calls and how much depends on it; a symbol without any has one row
+    with names like it."""
+    found = graph.find(index.nodes, symbols).join(index.nodes.select("id", "qual", "path", "line"), "id")
+    found = rank.rank_within(found, ["qid"], "path", "line").filter(F.col("rank") <= most).withColumnRenamed("rank", "pos")
+    keyed = store.settle(found.select(F.monotonically_increasing_id().alias("at"), "*"))
+    starts = keyed.select(F.col("at").alias("qid"), "id")
+    name = lambda side: index.nodes.select(F.col("id").alias(side), "qual")
+    listed = lambda edges, side, to: edges.join(name(side), side).groupBy("qid").agg(F.sort_array(F.collect_set("qual")).alias(to))
+    parts = [listed(graph.callers(index.edges, starts), "src", "callers"), listed(graph.callees(index.edges, starts), "dst", "callees"), graph.affected(graph.impact(index.edges, starts, depth or graph.DEPTH), index.nodes)]
+    rows = keyed.drop("id", "tier")
+    for part in parts:
+        rows = rows.join(part.withColumnRenamed("qid", "at"), "at", "left")
+    lost = symbols.join(found.select("qid").distinct(), "qid", "left_anti")
+    names = graph.similar(index.nodes, lost).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("s")).select("qid", F.col("s.name").alias("similar"))
+    none = F.array().cast("array<string>")
+    rows = symbols.join(rows.drop("at"), "qid", "left").join(names, "qid", "left")
+    lists = {c: F.coalesce(c, none) for c in ("callers", "callees", "similar")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_nodes", "n_files")}
+    return rows.withColumns(lists).select("qid", "symbol", "pos", "qual", "path", "line", "callers", "callees", "n_nodes", "n_files", "similar").orderBy("qid", "pos")

@@ -1,24 +1,18 @@
-"""Versioned prompts. A prompt's id and hash go into the run log."""
+"""Versioned prompts: files with a head, a [system] and a [user] section. A prompt's id and hash go into the run log."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-TEXTS = {
-    "answer_v1": (
-        "You explain source code. Say only what the numbered excerpts show and cite the lines for every statement that names code, as [path:first-last].",
-        "{context}\n\nQuestion: {question}\n\nWrite a short answer. Put code names in backticks and cite like this: [{example}]. If the excerpts do not show it, write that you could not find it.",
-    ),
-    "answer_plain_v1": ("You explain source code from excerpts.", "{context}\n\nQuestion: {question}\n\nAnswer briefly and name your sources like this: [{example}]."),
-    "rewrite_v1": ("You turn questions into searches over source code.", "Question: {question}\n\nGive three searches, one a line, in the words that code would use."),
-    "repair_v1": ("You correct the citations of an answer and change nothing else that is right.", "Your answer:\n{draft}\n\nIt has these faults:\n{problems}\n\nWrite it again without them."),
-}
+FOLDER = Path(__file__).resolve().parent.parent / "prompts"
 
 
 @dataclass(frozen=True)
@@ -26,16 +20,26 @@ class Prompt:
     id: str
     system: str
     user: str
+    hash: str
 
-    @property
-    def hash(self) -> str:
-        return hashlib.sha1(f"{self.system}\n{self.user}".encode()).hexdigest()[:10]
 
+def names(folder: Path = FOLDER) -> list[str]:
+    return sorted(p.stem for p in folder.glob("*.md"))
 
-def load(name: str) -> Prompt:
-    if name not in TEXTS:
-        raise KeyError(f"no prompt {name!r}; there are {', '.join(sorted(TEXTS))}")
-    return Prompt(name, *TEXTS[name])
+
+def parse(name: str, raw: str) -> Prompt:
+    """A prompt from its file's text; the hash is of all of it, so any edit is another prompt."""
+    body = re.sub(r"\A---\n.*?\n---\n", "", raw, flags=re.S)
+    sections = dict(zip(*[iter(re.split(r"(?m)^\[(system|user)\]\n", body)[1:])] * 2, strict=True))
+    if set(sections) != {"system", "user"}:
+        raise ValueError(f"prompt {name!r} needs one [system] and one [user] section")
+    return Prompt(name, sections["system"].strip(), sections["user"].strip(), hashlib.sha1(raw.encode()).hexdigest()[:10])
+
+
+def load(name: str, folder: Path = FOLDER) -> Prompt:
+    if name not in names(folder):
+        raise KeyError(f"no prompt {name!r}; there are {', '.join(names(folder))}")
+    return parse(name, (folder / f"{name}.md").read_text(encoding="utf-8"))
 
 
 def requests(rows: DataFrame, name: str, **values: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import store
 
 # Folders that hold no sources.
 EXCLUDED_DIRS = (".git", "__pycache__", ".venv", "venv", "node_modules", "build", "dist", ".tox", ".mypy_cache")
@@ -80,21 +81,27 @@ def notebook_text(raw: str | Column) -> Column:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, question, type, targets) from JSON lines; blank lines and // comments are skipped, single targets become lists."""
-    lines = spark.read.text(path).filter((T.strip(F.col("value")) != "") & ~F.ltrim("value").startswith("//"))
+    """(qid, question, type, targets) from JSON lines; blank lines and // comments are skipped, single targets become lists.
+
+    Lines are numbered in their order, so equal lines are questions of their own.
+    """
+    lines = spark.read.text(path).withColumn("qid", F.monotonically_increasing_id()).filter((T.strip(F.col("value")) != "") & ~F.ltrim("value").startswith("//"))
     schema = "question string, type string, path string, line int, targets array<struct<path:string,line:int>>"
-    got = lines.select(F.from_json("value", schema).alias("g"), F.xxhash64("value").alias("qid")).select("qid", "g.*")
+    got = store.settle(lines.select(F.from_json("value", schema).alias("g"), "qid").select("qid", "g.*"))
     single = F.array(F.struct("path", "line"))
     return got.select("qid", "question", F.coalesce("type", F.lit("semantic")).alias("type"), F.coalesce("targets", single).alias("targets"))
 
 
+RESULTS = (
+    "ts string, label string, kind string, gold string, k int, chunker string, mode string, symbol_pin boolean, rerank boolean, rewrite boolean, recall double, mrr double, hit1 double, "
+    "n int, latency_ms struct<p50:double,p95:double>, by_type string, variant string, mean_added double, target_recall double, all_found double, gold_cited double, valid_rate double, "
+    "claims_cited double, unsupported_per_answer double, mean_width double, repaired int"
+)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Stored evaluation results; ``by_type`` holds numbers in old rows and objects in new ones, so it stays JSON text."""
-    return spark.read.schema(
-        "ts string, label string, kind string, gold string, k int, chunker string, mode string, symbol_pin boolean, rerank boolean, rewrite boolean, recall double, mrr double, hit1 double, "
-        "n int, latency_ms struct<p50:double,p95:double>, by_type string, variant string, mean_added double, target_recall double, all_found double, gold_cited double, valid_rate double, "
-        "claims_cited double, unsupported_per_answer double, mean_width double, repaired int"
-    ).json(path)
+    return spark.read.schema(RESULTS).json(path)
 
 
 def file_lines(files: DataFrame, path: str, most: int = 20_000) -> DataFrame:

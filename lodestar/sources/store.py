@@ -3,43 +3,85 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("chunks", "terms", "entries", "nodes", "edges")
-
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written into the cluster's shared checkpoint folder and read from there, so that ids given once stay."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(context.master))
     return df.checkpoint(eager=True)
 
 
+def _local_folder(master: str) -> str:
+    """A folder of this machine, which only a session on this machine can share."""
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="lodestar-checkpoint-")
+
+
+class _Folder:
+    """A folder in whatever file system its path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.files.listStatus(self.path)) if self.files.exists(self.path) else []
+
+    def delete(self) -> None:
+        self.files.delete(self.path, True)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the complete versions of an index, the newest last: those whose mark is written."""
+    return [n for n in _Folder(spark, f"{folder}/marks").names() if n.startswith("v") and "_SUCCESS" in _Folder(spark, f"{folder}/marks/{n}").names()]
+
+
 def save_index(folder: str, meta: dict, **tables: DataFrame | None) -> None:
-    """Write an index: its tables first, ``meta`` last, which marks it complete. Tables that are None are removed."""
+    """Write an index as a new version beside the one that is there: its tables first, its mark with ``meta`` last.
+
+    Until the mark is written the older version is the index, so a save that fails loses nothing, and an index can be saved where it
+    was loaded from. The version before stays for its readers; those before that are deleted.
+    """
     spark = next(t for t in tables.values() if t is not None).sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for name in ("meta", *tables):
-        place = path(f"{folder}/{name}")
-        if name == "meta" or tables[name] is None:
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    for name, rows in tables.items():
+    older = _versions(spark, folder)
+    number = int(older[-1][1:9]) + 1 if older else 1
+    name = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+    for table, rows in tables.items():
         if rows is not None:
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.createDataFrame([{k: str(v) for k, v in meta.items()}]).coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+            rows.write.parquet(f"{folder}/versions/{name}/{table}")
+    spark.createDataFrame([{k: str(v) for k, v in meta.items()}]).coalesce(1).write.json(f"{folder}/marks/{name}")
+    for kind in ("marks", "versions"):
+        for old in _Folder(spark, f"{folder}/{kind}").names():
+            if old not in (name, *older[-1:]) and old[:9] < name[:9]:
+                _Folder(spark, f"{folder}/{kind}/{old}").delete()
 
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Tables of a complete index and its ``meta``; without the mark a FileNotFoundError."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    there = lambda name: (p := path(f"{folder}/{name}")).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    if not there("meta"):
+    """Tables of the newest complete version of an index and its ``meta``; without any a FileNotFoundError."""
+    found = _versions(spark, folder)
+    if not found:
         raise FileNotFoundError(f"no complete index in {folder}")
-    return {"meta": spark.read.json(f"{folder}/meta")} | {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES if there(name)}
+    tables = _Folder(spark, f"{folder}/versions/{found[-1]}").names()
+    return {"meta": spark.read.json(f"{folder}/marks/{found[-1]}")} | {name: spark.read.parquet(f"{folder}/versions/{found[-1]}/{name}") for name in tables}
+
+
+def workspace(spark: SparkSession, root: str) -> DataFrame:
+    """(id, name, folder, model, n_chunks, built_at) of the complete indexes in the folders of ``root``."""
+    rows = []
+    for name in _Folder(spark, root).names():
+        if found := _versions(spark, f"{root}/{name}"):
+            meta = spark.read.json(f"{root}/{name}/marks/{found[-1]}").first().asDict()
+            rows.append((name, f"{root}/{name}", meta.get("model"), int(meta.get("n_chunks") or 0), meta.get("built_at")))
+    listed = spark.createDataFrame(rows, "name string, folder string, model string, n_chunks long, built_at string")
+    return catalog(listed).select("id", "name", "folder", "model", "n_chunks", "built_at")
 
 
 def append_log(rows: DataFrame, folder: str) -> None:
@@ -47,10 +89,10 @@ def append_log(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").json(folder)
 
 
-def stale(chunks: DataFrame, previous: DataFrame | None, model: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks to embed, and vectors (id, model, vec) of the previous index that can be used again: equal id and model."""
+def stale(chunks: DataFrame, previous: DataFrame | None, model: str) -> tuple[DataFrame, DataFrame | None]:
+    """Chunks to embed, and vectors (id, model, ...) of the previous index that can be used again: equal id and model."""
     if previous is None:
-        return chunks, chunks.sparkSession.createDataFrame([], "id string, model string, vec array<float>")
+        return chunks, None
     known = previous.filter(F.col("model") == model)
     return chunks.join(known.select("id"), "id", "left_anti"), known.join(chunks.select("id").distinct(), "id", "left_semi")
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-RUN_SCHEMA = "ts timestamp, qid long, question string, model string, n_citations int, invalid int, repaired boolean, t_retrieve double, t_total double"
+RUN_SCHEMA = (
+    "ts timestamp, qid long, question string, model string, prompt_id string, prompt_hash string, n_used int, n_citations int, invalid int, repaired boolean, "
+    "t_retrieve double, t_generate double, t_total double"
+)
 
 
 def read_runs(spark: SparkSession, folder: str, files_each: int = 64) -> DataFrame:

@@ -126,12 +126,17 @@ def test_rewrites_add_hits(spark, index):
     assert engine.search(index, asked, settings, more).count() > 0
 
 
-def test_answer_with_repair(spark, index):
+def test_answer_with_repair(spark, index, tmp_path):
     asked = spark.createDataFrame([(0, "What calls resolve_host?"), (1, "How is a link opened?")], "qid long, text string")
     drafts = spark.createDataFrame([(0, "`resolve_host` is called by `connect` 【pkg/net.py:14-15】."), (1, "It uses `open_link` [no.py:1-2].")], "qid long, text string")
     fixes = spark.createDataFrame([(1, "It uses `open_link` [pkg/net.py:18-19].")], "qid long, text string")
     got = {r.qid: r for r in engine.answer(index, asked, engine.canned(drafts), repairer=engine.canned(fixes)).collect()}
     assert got[0].report.ok and not got[0].repaired and "[pkg/net.py:14-15]" in got[0].text
+    assert got[0].t_total >= got[0].t_retrieve > 0 and got[0].prompt_id == "answer_v1" and len(got[0].prompt_hash) == 10
+    engine.run_log(engine.answer(index, asked, engine.canned(drafts), repairer=engine.canned(fixes)), engine.Settings(), f"{tmp_path}/log")
+    logged = spark.read.schema(logs.RUN_SCHEMA).json(f"{tmp_path}/log")
+    row = logs.run_metrics(logged).first()
+    assert (row.n, row.repaired) == (2, 1) and row.mean_s > 0 and logged.filter("n_used > 0 and prompt_hash is not null").count() == 2
     assert got[1].repaired and got[1].report.ok and not got[1].draft_report.ok and got[1].draft_report.invalid == ["no.py:1-2"]
 
 
@@ -164,6 +169,57 @@ def test_save_and_load(spark, index, tmp_path):
         engine.Index.load(spark, f"{tmp_path}/none")
 
 
+def test_a_loaded_index_can_be_saved_over_itself(spark, index, tmp_path):
+    folder, settings = f"{tmp_path}/i", engine.Settings()
+    index.save(folder, settings)
+    for _ in range(3):
+        engine.Index.load(spark, folder).save(folder, settings)
+    again = engine.Index.load(spark, folder)
+    asked = spark.createDataFrame([(0, "resolve_host before the link address")], "qid long, text string")
+    assert [tuple(r) for r in engine.search(again, asked).collect()] == [tuple(r) for r in engine.search(index, asked).collect()]
+    assert len(list((tmp_path / "i" / "versions").iterdir())) == 2
+    with pytest.raises(ValueError, match="hashing-1024"):
+        engine.Index.load(spark, folder, dense.hashing(64))
+
+
+def test_a_save_that_fails_leaves_the_older_index(spark, index, tmp_path):
+    folder = f"{tmp_path}/i"
+    index.save(folder, engine.Settings())
+    broken = index.chunks.withColumn("text", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        store.save_index(folder, {"model": "x"}, sources=index.sources, chunks=broken)
+    assert engine.Index.load(spark, folder).chunks.count() == index.chunks.count()
+
+
+def test_only_changed_chunks_are_embedded_again(spark, tmp_path):
+    plain, seen = dense.hashing(64), []
+
+    def counting(rows, key):
+        seen.append(rows.count())
+        return plain.documents(rows, key)
+
+    counted = dense.Embedder("hashing-64", counting, plain.questions)
+    files_of = lambda edit: spark.createDataFrame([(f"f{i}.py", f"{i}", f"def name{i}():\n    return {i}\n" + (edit if i == 3 else "")) for i in range(6)], "path string, file_ord string, text string")
+    settings = engine.Settings(model="hashing-64")
+    first = engine.build_index(files_of(""), settings, embedder=counted)
+    first.save(f"{tmp_path}/i", settings)
+    loaded = engine.Index.load(spark, f"{tmp_path}/i")
+    again = engine.build_index(files_of("\n\ndef more():\n    return name1()\n"), settings, loaded, counted)
+    assert seen == [6, 1] and again.reused == 6 - 1 + (again.chunks.count() - 6) * 0
+    other = engine.build_index(files_of(""), settings, again, dense.Embedder("hashing-64b", counting, plain.questions))
+    assert other.reused == 0 and seen == [6, 1, 6]
+    plainly = dense.hashing_entries(rank.embedded(again.chunks).select("doc", F.col("embedded").alias("text")), "doc", 64)
+    assert sorted(map(tuple, again.corpus.entries.collect())) == sorted(map(tuple, plainly.collect()))
+
+
+def test_workspace(spark, index, tmp_path):
+    for name in ("one", "One"):
+        index.save(f"{tmp_path}/{name}", engine.Settings())
+    (tmp_path / "half").mkdir()
+    rows = store.workspace(spark, str(tmp_path)).orderBy("folder").collect()
+    assert [(r.id, r.name, r.model) for r in rows] == [("one", "One", "hashing-1024"), ("one-2", "one", "hashing-1024")] and rows[0].n_chunks == index.chunks.count()
+
+
 def test_metrics(spark, index):
     gold = spark.createDataFrame([(0, "resolve_host", "name", [("pkg/net.py", 9)]), (1, "zzzz", "other", [("app.py", 4)])], "qid long, question string, type string, targets array<struct<path:string,line:int>>")
     got = {r.type: r for r in engine.evaluate_any(index, gold, engine.Settings(mode="bm25")).collect()}
@@ -179,6 +235,150 @@ def test_gold_file(spark, tmp_path):
     assert got == [("a", "semantic", [("p", 3)]), ("b", "t", [("q", 1)])]
 
 
+def test_equal_gold_lines_are_questions_of_their_own(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text('{"question": "a", "path": "p", "line": 3}\n' * 3)
+    assert len({r.qid for r in files.read_gold(spark, str(tmp_path / "g.jsonl")).collect()}) == 3
+
+
+def test_results_are_kept_and_reported(spark, index, tmp_path):
+    gold = spark.createDataFrame([(0, "resolve_host", "name", [("pkg/net.py", 9)]), (1, "zzzz", "other", [("app.py", 4)])], "qid long, question string, type string, targets array<struct<path:string,line:int>>")
+    settings = engine.Settings(mode="bm25", top_k=2)
+    engine.keep_results(engine.result_rows(engine.evaluate_any(index, gold, settings), "retrieval", "eval/a.jsonl", settings, "first"), f"{tmp_path}/r")
+    trace = gold.withColumn("targets", F.concat("targets", "targets")).withColumn("question", F.lit("What calls resolve_host?"))
+    engine.keep_results(engine.result_rows(engine.evaluate_any(index, trace, settings), "trace", "eval/b.jsonl", settings), f"{tmp_path}/r")
+    answers = engine.canned(spark.createDataFrame([(0, "`resolve_host` looks it up [pkg/net.py:9-11]."), (1, "Nothing.")], "qid long, text string"))
+    engine.keep_results(engine.result_rows(engine.evaluate_answers(index, gold, answers, settings), "answers", "eval/a.jsonl", settings), f"{tmp_path}/r")
+    tables = engine.report(files.read_results(spark, f"{tmp_path}/r"))
+    kept = tables["retrieval"].first()
+    assert (kept.label, kept.k, kept["mode"], kept.n, kept.recall) == ("first", 2, "bm25", 2, 0.5) and '"name":{"n":1' in kept.by_type
+    assert [r.variant for r in tables["trace"].collect()] == ["baseline", "expand", "topk"]
+    assert tables["answers"].first().gold_cited == 0.5 and tables["answers"].first().n == 2
+    assert engine.report(files.read_results(spark, f"{tmp_path}/r"), "b")["retrieval"].count() == 0
+
+
+def test_a_model_behind_an_address(spark):
+    """Both wire formats, a request that is put off, one that fails, and a key that does not leak."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from lodestar.plans import models
+
+    seen = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            user = body["messages"][1]["content"]
+            seen.append((self.path, user))
+            if user == "later" and seen.count((self.path, user)) == 1:
+                self.send_response(429)
+                self.send_header("Retry-After", "0.1s")
+                self.end_headers()
+                return
+            if user == "bad":
+                self.send_response(400)
+                self.end_headers()
+                self.wfile.write(b"wrong key sk-abcdefgh12345 or secret-key")
+                return
+            self.send_response(200)
+            self.end_headers()
+            for word in ("re: ", user):
+                chat = {"message": {"content": word}} if self.path == "/api/chat" else {"choices": [{"delta": {"content": word}}]}
+                self.wfile.write((json.dumps(chat) if self.path == "/api/chat" else "data: " + json.dumps(chat)).encode() + b"\n\n")
+            self.wfile.write(b"" if self.path == "/api/chat" else b"data: [DONE]\n")
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        rows = spark.createDataFrame([(0, "s", "now"), (1, "s", "later"), (2, "s", "bad")], "qid long, system string, user string")
+        for provider in ("openai", "ollama"):
+            seen.clear()
+            lost = []
+            ask = models.generator(models.Model(url, "m", provider, "secret-key", tasks=2), lambda f: lost.extend(f.collect()))
+            assert {r.qid: r.text for r in ask(rows).collect()} == {0: "re: now", 1: "re: later"}
+            assert [(r.qid, r.status) for r in lost] == [(2, 400)] and "secret" not in lost[0].message and "sk-" not in lost[0].message
+            assert len(seen) == 4
+        gone = models.generator(models.Model("http://127.0.0.1:1", "m", seconds=1), lambda f: lost.extend(f.collect()))
+        assert gone(rows).count() == 0 and lost[-1].status == 0
+    finally:
+        server.shutdown()
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from lodestar.__main__ import run
+
+    tables = []
+    call = lambda *words: run(spark, [*map(str, words)], lambda df: tables.append(df.collect()))
+    folder = tmp_path / "i"
+    assert call("index", folder, tree, "-x", "tests/*") == 0 and tables[-1][0].reused == 0
+    assert call("index", folder, tree, "-x", "tests/*") == 0 and tables[-1][0].reused == tables[-1][0].n_chunks
+    call("search", folder, "where", "is", "resolve_host", "-k", "2")
+    assert 1 <= len(tables[-1]) <= 2 and tables[-1][0].path == "pkg/net.py"
+    call("callers", folder, "connect")
+    assert [r.qual for r in tables[-1]] == ["main", "Link.dial"]
+    call("impact", folder, "connect", "-d", "1")
+    assert {r.qual for r in tables[-1]} == {"main", "Link.dial"}
+    call("show", folder, "reset")
+    assert [(r.qual, r.n_nodes) for r in tables[-1]] == [("Root.reset", 4), ("Base.reset", 0)]
+    call("show", folder, "resolv_host")
+    assert tables[-1][0].qual is None and tables[-1][0].similar == ["resolve_host"]
+    (tmp_path / "g.jsonl").write_text('{"question": "resolve_host", "path": "pkg/net.py", "line": 9}\n')
+    call("eval", folder, tmp_path / "g.jsonl", "--save", tmp_path / "r", "--label", "x")
+    call("report", tmp_path / "r")
+    assert tables[-3][0].label == "x" and tables[-2] == tables[-1] == []
+    assert call("check-gold", folder, tmp_path / "g.jsonl") == 0
+    call("indexes", tmp_path)
+    assert tables[-1][0].name == "i"
+    call("prompts")
+    assert {"answer_v1", "answer_v4", "repair_v1"} <= {r.prompt for r in tables[-1]}
+    assert call("ask", folder, "why") == 2
+
+
+def test_questions_that_cannot_be_asked(spark, index):
+    rows = spark.createDataFrame([(0, " where "), (1, " "), (2, None), (3, "x" * 1001)], "qid long, text string")
+    assert [tuple(r) for r in engine.askable(rows).collect()] == [(0, "where")]
+    many = engine.search(index, rows.limit(1), engine.Settings(top_k=500, mode="dense"))
+    assert many.count() <= engine.MOST_HITS
+
+
+def test_prompt_files(tmp_path):
+    raw = "---\nid: p\n---\n[system]\nBe {kind}.\n\n[user]\nAsk\n{question}\n"
+    (tmp_path / "p.md").write_text(raw)
+    p = prompts.load("p", tmp_path)
+    assert (p.system, p.user) == ("Be {kind}.", "Ask\n{question}") and prompts.parse("p", raw + " ").hash != p.hash
+    with pytest.raises(ValueError, match="section"):
+        prompts.parse("q", "[system]\nx")
+
+
+def test_similar_names_equal_difflib(spark):
+    import difflib
+    import random
+
+    draw = random.Random(3)
+    names = sorted({"".join(draw.choice("abcde_") for _ in range(draw.randint(1, 9))) for _ in range(300)})
+    asked = [draw.choice(names)[:-1] + draw.choice("xyab") for _ in range(60)] + ["a", "abc", "abcd", "zzzzz"]
+    nodes = spark.createDataFrame([(n, "function") for n in names], "name string, kind string")
+    got = {}
+    for r in graph.similar(nodes, spark.createDataFrame(list(enumerate(asked)), "qid long, symbol string")).collect():
+        got.setdefault(r.qid, {})[r.pos] = r.name
+    for i, s in enumerate(asked):
+        near = difflib.get_close_matches(s, names, 300, 0.6)
+        inside = [n for n in names if n not in near and len(s) >= 4 and (s in n or n in s)]
+        assert [got.get(i, {}).get(p) for p in range(1, 1 + len((near + inside)[:5]))] == (near + inside)[:5], s
+
+
+def test_ancestry_of_a_deep_chain(spark):
+    bases = spark.createDataFrame([(f"C{i}", 0, f"C{i + 1}") for i in range(40)], "qual string, n int, base string")
+    classes = spark.createDataFrame([(f"C{i}", f"C{i}") for i in range(41)], "qual string, name string")
+    got = [r.base for r in graph.ancestry(bases, classes).filter("qual = 'C0'").orderBy("pos").collect()]
+    assert got == [f"C{i}" for i in range(1, 41)]
+
+
 def test_greedy_fit_takes_the_first_and_skips(spark):
     fit = lambda costs: spark.range(1).select(context.greedy_fit(F.array(*map(F.lit, costs)).cast("array<long>"), 10).alias("v")).first().v
     assert fit([20, 5, 6]) == [1] and fit([4, 7, 6]) == [1, 3] and fit([10, 1]) == [1]
@@ -312,7 +512,7 @@ def test_another_embedder(spark, index):
         count = lambda c: F.length(F.regexp_replace(F.lower("text"), f"[^{c}]", "")).cast("double")
         return dense.vector_entries(rows.select(key, F.array(*map(count, "aol")).alias("vec")), key)
 
-    source = rank.corpus(index.chunks, embed=letters)
+    source = rank.corpus(index.chunks, embedder=dense.Embedder("letters", letters, letters))
     asked = spark.createDataFrame([(0, "all")], "qid long, text string")
     rows = rank.retrieve(source, asked, mode="dense").join(source.chunks.select("doc", F.col("embedded").alias("text")), "doc").orderBy("pos").collect()
     share = lambda t: (t.lower().count("a") + 2 * t.lower().count("l")) / max(1e-9, sum(t.lower().count(c) ** 2 for c in "aol") ** 0.5)
