@@ -7,18 +7,28 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, ROW_GROUP = 100_000, 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take long to work on: a small one in fewer files than there are cores is dealt over them, as a file may be
+    one row group, which one task reads whatever its splits."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * ROW_GROUP and len(rows.inputFiles()) < cores else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only a session without any (a local test) gets one of its own."""
+    """The folder in ``spark.checkpoint.dir``; only a session on this machine alone (a test) gets one of its own."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
     return named or context.getCheckpointDir()
 

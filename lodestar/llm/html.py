@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut_lineage, small_side, table
+from .common import BROADCAST_ROWS, cut_lineage, small_side, spread_table
 
 RUN, LEAST, SHARE, SALT_ROWS, OUT_ROWS, PAGE_KEYS = 6, 3, 0.025, 100_000, 500, 1_000_000
 
@@ -481,4 +481,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(spread_table(spark, sf_dir, "pages"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_table
 
 CAPACITY, END_ID = 2048, 1
 BLOCK_PIECES, BLOCK_BYTES, CARRY_PIECES = 4096, 16_000_000, 512
@@ -187,4 +187,4 @@ def with_digest(pieces: DataFrame) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_digest(pack_documents(table(spark, sf_dir, "documents")))
+    return with_digest(pack_documents(spread_table(spark, sf_dir, "documents")))

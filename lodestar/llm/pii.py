@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS, ROUNDS, RATE, PRECISION = 20_000, 30, 0.3, 0.99
@@ -331,7 +331,7 @@ def redact(text: Column, spans: Column) -> Column:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts of the base kinds, digest of the base spans, all spans."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_spans(docs, train(docs))
     counts = [F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]  # noqa: B023
     return found.select("doc_id", *counts, F.sha2(spelled(F.col("base_spans")), 256).alias("base_sha256"), spelled(F.col("all_spans")).alias("spans"))

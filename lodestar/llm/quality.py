@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_table, table
 
 SAMPLE_ROWS, PAIRS, RIDGE, THRESHOLD, SEED = 20_000, 60_000, 1e-3, 0.7, 9
 
@@ -144,5 +144,5 @@ def _series(values):
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_table
 
 SPACE, CACHE_WORDS, CACHE_LENGTH, CELLS, UNKNOWN_PENALTY = "▁", 300_000, 64, 100_000, 10.0
 FILTER_BITS = 18
@@ -255,5 +255,5 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, and the checksum of the text that they decode to."""
-    back = decode(encode(table(spark, sf_dir, "documents")))
+    back = decode(encode(spread_table(spark, sf_dir, "documents")))
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))

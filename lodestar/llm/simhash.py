@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, partitions_for, small_side, table
+from .common import cut_lineage, partitions_for, small_side, spread_table
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 BUCKET_ROWS, TASK_ROWS = 4096, 1_000_000
@@ -191,4 +191,4 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread_table(spark, sf_dir, "documents"))

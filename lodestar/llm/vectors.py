@@ -242,11 +242,14 @@ def _exact(rows: DataFrame, size: int, every: int, k: int, most: int) -> DataFra
 
     measure = lambda df, schema: df.mapInArrow(measured, f"{schema}, v array<double>, gaps array<double>, near int")
     held = cut_lineage(measure(classes.select("rep", "id", "v"), "rep long, id long"))
-    # at most one block for each pivot more than the rows need
-    sizes = {r.near: -(-r["count"] // ROW_BLOCK) for r in held.groupBy("near").count().collect()}
-    starts, blocks = {}, 0
-    for near, parts in sorted(sizes.items()):
-        starts[near], blocks = (blocks, parts), blocks + parts
+    # one row a pivot: pivots of few rows share a block, those of many have several
+    starts, blocks, room = {}, 0, 0
+    for near, size_of in sorted((r.near, r["count"]) for r in held.groupBy("near").count().collect()):
+        if size_of <= room:
+            starts[near], room = (blocks - 1, 1), room - size_of
+        else:
+            parts = -(-size_of // ROW_BLOCK)
+            starts[near], blocks, room = (blocks, parts), blocks + parts, ROW_BLOCK - size_of if parts == 1 else 0
     starts = spark.createDataFrame([(near, *x) for near, x in starts.items()], "near int, first int, parts int")
     held = held.join(F.broadcast(starts), "near").select("rep", "id", "v", "gaps", (F.col("first") + F.pmod(F.xxhash64("rep"), "parts")).cast("int").alias("block"))
     held = cut_lineage(held.repartition(partitions_for(n, 2 * ROW_BLOCK, 1), "block"))
@@ -320,6 +323,9 @@ def _exact(rows: DataFrame, size: int, every: int, k: int, most: int) -> DataFra
         cells = left.unionByName(right).withColumn("cell", F.col("block") * asks + F.col("a"))
         return _one_cell_each(cells, blocks * asks).mapInArrow(search, FOUND.format(number))
 
+    if blocks <= 1:
+        found = compare(wanted.select("qid", F.lit(0).alias("block")), wanted.withColumn("beat", F.lit(-math.inf)))
+        return ranked(found, classes, queries, asked, k).withColumn("score", F.col("score").cast("long"))
     first = pairs(wanted.select("*", F.lit(None).cast("double").alias("beat"), F.lit(None).cast("int").alias("first")), False)
     first = cut_lineage(first.groupBy("qid").agg(F.max_by("block", F.struct("promise", "block")).alias("block")))
     begun = cut_lineage(compare(first, wanted.withColumn("beat", F.lit(-math.inf))))
