@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import packing, pii, quality, simhash_wide
-from lodestar.llm.common import table
+from lodestar.llm.common import spread_table, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared checkpoint folder and read again."""
     from lodestar.llm.common import shared_folder
 
-    docs, root = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, root = spread_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
