@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import chunk, cite, context, dense, evaluate, graph, lexical, rank, scan, syntax
 from ..sources import files, store
 from ..streaming import logs
-from . import oracle, samples
+from . import engine, oracle, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return files.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ c AS (SELECT doc_id, chunk_no::INTEGER AS chunk_no, (chunk_no * {SIZE - OVERLAP}
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    source = files.spread(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text"))
     return chunk.fixed_windows(source, SIZE, OVERLAP)
 
 
@@ -228,6 +228,35 @@ def overlap_rerank(spark, sf_dir):
     return hits.select("qid", "doc", F.col("pos").alias("rank"), F.round("score", 9).alias("score"))
 
 
+_SYMBOLS = "sy AS (SELECT doc_id AS doc, coalesce(source, 'none') || '_' || doc_id AS text FROM documents)"
+_BOOSTED = f"""{DOCS}, {ASKED}, {_SYMBOLS}, {DOC_TOKENS}, {QUERY_TOKENS}, {oracle.tokens('st', 'sy', 'doc', 'text')},
+bt AS (SELECT doc, term FROM dt UNION ALL SELECT doc, term FROM st CROSS JOIN range({lexical.SYMBOL_BOOST})), {oracle.bm25('s', 'bt', 'qt', 'd')}"""
+
+
+@query(f"WITH {_BOOSTED}, {oracle.top('h', 's', TOP)} SELECT qid, doc, rank, round(score, 6) AS score FROM h")
+def bm25_symbols(spark, sf_dir):
+    """BM25 over documents with symbols, whose tokens count threefold."""
+    terms = store.settle(lexical.documents_terms(doc_chunks(spark, sf_dir)))
+    return lexical.bm25_top_k(terms, questions(spark, sf_dir), TOP).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {DOCS}, {_SYMBOLS}, {DOC_TOKENS}, q AS (SELECT item_id AS qid, b.text || ' ' || sy.text AS text, sy.doc AS pin FROM benchmark b JOIN sy ON sy.doc = item_id), {QUERY_TOKENS}, {oracle.bm25('s', 'dt', 'qt', 'd')}, {oracle.top('b', 's', DEPTH)},
+fr AS (SELECT b.qid, b.doc, row_number() OVER (PARTITION BY b.qid ORDER BY b.rank) AS first FROM b JOIN q USING (qid) WHERE b.doc <> q.pin),
+qs AS (SELECT qid, list(DISTINCT term) AS ts FROM qt GROUP BY qid), ds AS (SELECT doc, list(DISTINCT term) AS ts FROM dt GROUP BY doc),
+o AS (SELECT fr.*, round(len(list_intersect(qs.ts, ds.ts)) / greatest(len(qs.ts), 1)::DOUBLE, 12) AS score FROM fr JOIN qs USING (qid) JOIN ds USING (doc) WHERE first <= {rank.RERANK_DEPTH - 1}),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS re FROM o), best AS (SELECT qid, max(score) FILTER (re = 1) AS top FROM r GROUP BY qid)
+SELECT qid, 1 AS pos, pin AS doc, true AS symbol, NULL::INTEGER AS rerank, round(coalesce(top + 1, 1.0), 9) AS score FROM q LEFT JOIN best USING (qid)
+UNION ALL SELECT qid, re + 1, doc, false, re, round(score, 9) FROM r WHERE re < {TOP}"""
+)
+def pinned_rerank(spark, sf_dir):
+    """Passages that also name one document's symbol: it is pinned, and the other hits are reranked behind it."""
+    source = doc_corpus(spark, sf_dir)
+    named = questions(spark, sf_dir).join(source.chunks.select(F.col("doc").alias("qid"), "symbol"), "qid").select("qid", F.concat_ws(" ", "text", "symbol").alias("text"))
+    hits = rank.retrieve(source, named, TOP, "bm25", rerank=rank.by_overlap)
+    return hits.select("qid", "pos", "doc", F.col("detail.symbol").alias("symbol"), F.col("detail.rerank").alias("rerank"), F.round("score", 9).alias("score"))
+
+
 BUDGET = 1500
 
 
@@ -307,6 +336,64 @@ def edge_dedup_first(spark, sf_dir):
     return graph.first_edges(links(spark, sf_dir)).select("src", "dst", "line")
 
 
+@query(
+    """SELECT 'order:' || o_orderkey AS qual, p.pos, CASE p.pos WHEN 1 THEN 'customer:' || o_custkey WHEN 2 THEN 'nation:' || c_nationkey ELSE 'region:' || n_regionkey END AS base
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey CROSS JOIN (VALUES (1), (2), (3)) p(pos)"""
+)
+def fk_ancestry(spark, sf_dir):
+    """What every order descends from, through customer and nation to region."""
+    edges = foreign_keys(spark, sf_dir).filter(~F.col("src").startswith("supplier:"))
+    bases = edges.select(F.col("src").alias("qual"), F.lit(0).alias("n"), F.col("dst").alias("base"))
+    names = edges.select(F.col("dst").alias("qual")).distinct().select("qual", F.col("qual").alias("name"))
+    return graph.ancestry(bases, names).filter(F.col("qual").startswith("order:")).select("qual", "pos", "base")
+
+
+def table_sources(spark, sf_dir) -> DataFrame:
+    """Python files that the tables make: a class for each region, a class and a maker for each nation, a function for each customer."""
+    of = lambda name: table(spark, sf_dir, name)
+    text = lambda pattern, *cols: F.format_string(pattern, *cols)
+    region = of("region").select(text("region_%d.py", "r_regionkey").alias("path"), text("class R%d:\n    def run(self):\n        return self.rest()\n\n    def rest(self):\n        return 1\n", "r_regionkey").alias("text"))
+    nation = of("nation").select(
+        text("nation_%d.py", "n_nationkey").alias("path"),
+        text("from region_%d import R%d\n\n\nclass N%d(R%d):\n    def go(self):\n        return self.run()\n\n\ndef make_%d():\n    return N%d()\n", *["n_regionkey"] * 2, "n_nationkey", "n_regionkey", *["n_nationkey"] * 2).alias("text"),
+    )
+    customer = of("customer").select(text("customer_%d.py", "c_custkey").alias("path"), text("from nation_%d import make_%d\n\n\ndef of_%d():\n    return make_%d().go()\n", "c_nationkey", "c_nationkey", "c_custkey", "c_nationkey").alias("text"))
+    rows = region.unionByName(nation).unionByName(customer)
+    return rows.withColumn("file_ord", files.walk_order(F.col("path")))
+
+
+def table_graph(spark, sf_dir):
+    sources = table_sources(spark, sf_dir)
+    parsed = store.settle(syntax.parse_files(sources))
+    chunks = syntax.numbered(syntax.chunk_files(sources, parsed))
+    nodes = syntax.definitions(parsed, chunks)
+    return sources, chunks, nodes, parsed
+
+
+@query(
+    """SELECT 'R' || r_regionkey || '.run' AS src, 'R' || r_regionkey || '.rest' AS dst, 'call' AS kind, 3 AS line, 'self' AS how FROM region
+UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'inherit', 4, 'import' FROM nation
+UNION ALL SELECT 'N' || n_nationkey || '.go', 'R' || n_regionkey || '.run', 'call', 6, 'base' FROM nation
+UNION ALL SELECT 'make_' || n_nationkey, 'N' || n_nationkey, 'instantiate', 10, 'local' FROM nation
+UNION ALL SELECT 'of_' || c_custkey, 'make_' || c_nationkey, 'call', 5, 'import' FROM customer"""
+)
+def table_call_graph(spark, sf_dir):
+    """References of files that the tables make: ``make().go()`` has many definitions of go, so that call is dropped."""
+    sources, _, nodes, parsed = table_graph(spark, sf_dir)
+    edges, _ = graph.resolve(nodes, syntax.references(parsed, nodes), syntax.bases(nodes), syntax.imports(sources))
+    name = lambda side: nodes.select(F.col("id").alias(side), F.col("qual").alias(f"{side}_name"))
+    return edges.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "kind", "line", "how")
+
+
+@query(
+    """SELECT 'region_' || r_regionkey || '.py' AS path, 1 AS start_line, 6 AS end_line, 'R' || r_regionkey AS symbol, 'class' AS kind FROM region
+UNION ALL SELECT 'nation_' || n_nationkey || '.py', p.a, p.b, p.s || CASE WHEN p.a > 1 THEN n_nationkey::VARCHAR ELSE 'nation_' || n_nationkey END, p.k FROM nation CROSS JOIN (VALUES (1, 1, '', 'module'), (4, 6, 'N', 'class'), (9, 10, 'make_', 'function')) p(a, b, s, k)
+UNION ALL SELECT 'customer_' || c_custkey || '.py', p.a, p.b, p.s || CASE WHEN p.a > 1 THEN c_custkey::VARCHAR ELSE 'customer_' || c_custkey END, p.k FROM customer CROSS JOIN (VALUES (1, 1, '', 'module'), (4, 5, 'of_', 'function')) p(a, b, s, k)"""
+)
+def table_syntax_chunks(spark, sf_dir):
+    return table_graph(spark, sf_dir)[1].select("path", "start_line", "end_line", "symbol", "kind")
+
+
 def sample_graph(spark):
     """The sample sources as files, chunks, nodes and edges."""
     sources = spark.createDataFrame(samples.FILES, "path string, text string").withColumn("file_ord", files.walk_order(F.col("path")))
@@ -465,9 +552,89 @@ def repair_choice(spark, sf_dir):
     return cite.choose_repairs(cite.check_answers(drafts, shown), cite.check_answers(revisions, shown))
 
 
+_CITED = f"""{_WINDOWS}, shown AS (SELECT doc_id AS qid, chunk_no, path || '.txt' AS path, start_line AS a, end_line AS b FROM c WHERE chunk_no < 2 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+said AS (SELECT doc_id AS qid, doc_id % 7 + 1 AS first, doc_id % 7 + 1 + doc_id % 31 AS last, ls, CASE WHEN doc_id % 3 = 0 THEN 'absent_name' ELSE regexp_extract(array_to_string(ls, chr(10)), '[A-Za-z_][A-Za-z0-9_]{{2,}}') END AS name FROM l),
+inside AS (SELECT said.qid, max((a <= first AND last <= b)::INTEGER) AS one, count(*) FILTER (b >= first AND a <= last) AS n_over, min(a) FILTER (b >= first AND a <= last) AS low, max(b) FILTER (b >= first AND a <= last) AS high
+  FROM said JOIN shown USING (qid) GROUP BY said.qid)"""
+
+
+def cited_documents(spark, sf_dir):
+    """An answer about each document, which names a word and cites lines, and the first two windows of the document as what it was shown."""
+    rows = windows(spark, sf_dir).filter("chunk_no < 2").select(F.col("doc_id").alias("qid"), F.col("chunk_no").alias("pos"), F.concat("path", F.lit(".txt")).alias("path"), "start_line", "end_line", "text", F.lit("").alias("symbol"))
+    d = table(spark, sf_dir, "documents").filter("text <> ''")
+    first = F.col("doc_id") % 7 + 1
+    name = F.when(F.col("doc_id") % 3 == 0, F.lit("absent_name")).otherwise(F.regexp_extract(F.array_join(T.lines("text"), "\n"), "[A-Za-z_][A-Za-z0-9_]{2,}", 0))
+    text = F.format_string("`%s` is in [doc/%d.txt:%d-%d].", name, "doc_id", first, first + F.col("doc_id") % 31)
+    return d.select(F.col("doc_id").alias("qid"), text.alias("text")), rows
+
+
+@query(f"WITH {_CITED} SELECT qid, 1 AS n_citations, CASE WHEN coalesce(one, 0) = 1 THEN '' ELSE 'doc/' || qid || '.txt:' || first || '-' || last END AS invalid FROM said LEFT JOIN inside USING (qid)")
+def citation_ranges_documents(spark, sf_dir):
+    return cite.check_ranges(*cited_documents(spark, sf_dir)).select("qid", "n_citations", F.array_join("invalid", "; ").alias("invalid"))
+
+
+@query(
+    f"""WITH {_CITED}, v AS (SELECT said.*, coalesce(one, 0) = 1 OR (coalesce(n_over, 0) > 0 AND low <= first + {cite.GAP} AND greatest(first, high + 1) + {cite.GAP} > last) AS ok,
+  array_to_string(ls[greatest(first, coalesce(low, first)) : least(last, CASE WHEN one = 1 THEN last ELSE coalesce(high, last) END)], chr(10)) AS body FROM said LEFT JOIN inside USING (qid)),
+t AS (SELECT qid, ok, length(name) >= 3 AND name NOT IN ({', '.join(f"'{w}'" for w in T.NOT_NAMES)}) AS claim, contains(body, name) AS held FROM v)
+SELECT qid, (NOT ok)::INTEGER AS n_invalid, claim::INTEGER AS n_claims, (claim AND ok AND NOT held)::INTEGER AS n_unsupported, 3 * (NOT ok)::INTEGER + 2 * (claim AND ok AND NOT held)::INTEGER AS penalty FROM t"""
+)
+def citation_strict_documents(spark, sf_dir):
+    reports = cite.check_answers(*cited_documents(spark, sf_dir))
+    return reports.select("qid", F.size("invalid").alias("n_invalid"), "n_claims", F.size("unsupported").alias("n_unsupported"), "penalty")
+
+
 # ---- evaluation ----
 
 
+@query(
+    f"""WITH {_BM25}, {oracle.top('h', 's', TOP)}, {_GOLD}, r AS (SELECT q.qid, min(h.rank) AS rank FROM q LEFT JOIN g USING (qid) LEFT JOIN h ON h.qid = g.qid AND h.doc = g.doc GROUP BY q.qid)
+SELECT CASE WHEN GROUPING(t) = 1 THEN '(all)' ELSE t END AS type, count(*) AS n, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(sum(coalesce(1.0 / rank, 0)) / count(*), 6) AS mrr,
+  round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1 FROM (SELECT *, CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS t FROM r) GROUP BY ROLLUP (t)"""
+)
+def first_hit_metrics(spark, sf_dir):
+    """Gold targets are the first lines of the documents that hold a passage."""
+    held = passage_gold(spark, sf_dir)
+    hits = bm25_hits(spark, sf_dir).select("qid", F.col("rank").alias("pos"), "doc")
+    return evaluate.retrieval_metrics(evaluate.first_ranks(held, hits, doc_chunks(spark, sf_dir)))
+
+
+def passage_gold(spark, sf_dir) -> DataFrame:
+    """(qid, type, targets) of all passages; a passage that no document holds has no target."""
+    held = scan.sharing(questions(spark, sf_dir), docs(spark, sf_dir))
+    target = F.struct(F.concat(F.lit("doc/"), F.col("doc").cast("string")).alias("path"), F.lit(1).alias("line"))
+    held = held.groupBy("qid").agg(F.collect_list(target).alias("targets"))
+    none = F.array().cast("array<struct<path:string,line:int>>")
+    return questions(spark, sf_dir).join(held, "qid", "left").select("qid", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("type"), F.coalesce("targets", none).alias("targets"))
+
+
+@query(
+    f"""WITH {_BM25}, {oracle.top('h', 's', 8)}, {_GOLD}, t AS (SELECT g.qid, count(*) AS n, count(*) FILTER (h.rank <= 4) AS topk, count(h.rank) AS baseline, count(*) FILTER (h.rank <= 4 OR h.doc % 2 = 0) AS expand
+  FROM g LEFT JOIN h ON h.qid = g.qid AND h.doc = g.doc GROUP BY g.qid),
+a AS (SELECT qid, count(*) FILTER (rank > 4 AND doc % 2 = 0) AS added FROM h GROUP BY qid), r AS (SELECT * FROM t LEFT JOIN a USING (qid))
+SELECT 'passage' AS type, count(*) AS n, round(avg(coalesce(added, 0)), 6) AS mean_added, {', '.join(f"round(avg({v} / n), 6) AS {v}_recall, round(avg((n = {v})::INTEGER), 6) AS {v}_all" for v in ('topk', 'baseline', 'expand'))} FROM r"""
+)
+def trace_documents(spark, sf_dir):
+    """Trace metrics where an expansion adds the even ones of the next four documents."""
+    gold = passage_gold(spark, sf_dir).filter(F.size("targets") > 0).withColumn("type", F.lit("passage"))
+    ranked = store.settle(bm25_hits(spark, sf_dir, 8))
+    hits = ranked.filter(F.col("rank") <= 4)
+    more = ranked.filter((F.col("rank") <= 4) | (F.col("doc") % 2 == 0))
+    return evaluate.trace_metrics(gold, doc_chunks(spark, sf_dir), hits, ranked, more).filter(F.col("type") != evaluate.ALL)
+
+
+@query(
+    f"""WITH {_LINES}, t AS (SELECT doc_id, doc_id % 60 AS line, 'doc/' || doc_id || CASE WHEN doc_id % 11 = 0 THEN '/gone' ELSE '' END AS path, ls FROM documents LEFT JOIN l USING (doc_id))
+SELECT doc_id AS qid, CASE WHEN doc_id % 11 = 0 THEN 'missing file ' || path ELSE path || ':' || line || ' is out of range or blank' END AS problem FROM t
+WHERE doc_id % 11 = 0 OR line < 1 OR ls IS NULL OR line > len(ls) OR regexp_matches(ls[line], '^[\s\x1c-\x1f\x85\xA0]*$')"""
+)
+def gold_validation_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    target = F.struct(F.concat(path, F.when(F.col("doc_id") % 11 == 0, F.lit("/gone")).otherwise("")).alias("path"), (F.col("doc_id") % 60).cast("int").alias("line"))
+    return evaluate.validate_gold(rows.select(F.col("doc_id").alias("qid"), F.lit("why").alias("type"), F.array(target).alias("targets")), rows.select(path.alias("path"), "text"))
+
+
 @query(
     f"""WITH {_BM25}, {oracle.top('h', 's', TOP)}, {_GOLD}, r AS (SELECT g.qid, coalesce(max(documents.lang), 'none') AS type, min(h.rank) AS rank FROM g JOIN documents ON doc_id = g.doc LEFT JOIN h ON h.qid = g.qid AND h.doc = g.doc GROUP BY g.qid)
 SELECT coalesce(type, '(all)') AS type, count(*) AS n, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(sum(coalesce(1.0 / rank, 0)) / count(*), 6) AS mrr,
@@ -514,16 +681,20 @@ def gold_validation(spark, sf_dir):
 # ---- stores and streams ----
 
 
-@query(
-    f"WITH {_WINDOWS}, k AS (SELECT doc_id, substr(sha1(path || ':' || start_line || '-' || end_line || ':' || text), 1, 16) AS id FROM c WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '') "
-    "SELECT CASE WHEN doc_id % 10 = 0 THEN 'embed' ELSE 'reuse' END AS action, count(*) AS n FROM k GROUP BY 1"
-)
+_BEFORE = _WINDOWS.replace("FROM documents WHERE text <> ''", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || chr(10) || 'an old last line' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0) WHERE text <> ''")
+_IDS = "SELECT substr(sha1(path || ':' || start_line || '-' || end_line || ':' || text), 1, 16) AS id FROM c WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''"
+
+
+@query(f"SELECT CASE WHEN b.id IS NULL THEN 'embed' ELSE 'reuse' END AS action, count(*) AS n FROM (WITH {_WINDOWS} {_IDS}) n LEFT JOIN (SELECT DISTINCT id FROM (WITH {_BEFORE} {_IDS})) b ON b.id = n.id GROUP BY 1")
 def incremental_reindex(spark, sf_dir):
-    """The previous index lacks every tenth document; only its chunks are to be embedded."""
-    now = windows(spark, sf_dir).select("doc_id", "id")
-    before = now.filter(F.pmod("doc_id", F.lit(10)) != 0).select("id", F.lit("hashing-1024").alias("model"), F.array().cast("array<float>").alias("vec"))
-    new, old = store.stale(now, before, "hashing-1024")
-    return new.select(F.lit("embed").alias("action")).unionByName(old.select(F.lit("reuse").alias("action"))).groupBy("action").agg(F.count("*").alias("n"))
+    """The previous index has every tenth document with another last line and lacks every seventh; changed and new chunks are embedded."""
+    rows = files.spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file_ord"), F.coalesce("text", F.lit("")).alias("text"))
+    older = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("\nan old last line"))).otherwise(F.col("text"))
+    settings = engine.Settings(chunker="fixed", chunk_lines=SIZE, chunk_overlap=OVERLAP, mode="dense")
+    before = engine.build_index(rows.filter("doc_id % 7 <> 0").withColumn("text", older).drop("doc_id"), settings)
+    now = engine.build_index(rows.drop("doc_id"), settings, before)
+    actions = [("reuse", now.reused), ("embed", now.vectors.count() - now.reused)]
+    return spark.createDataFrame([a for a in actions if a[1]], "action string, n long")
 
 
 @query("SELECT event_type AS model, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS repaired, sum(event_id % 5) AS citations, round(avg(value), 6) AS mean_s FROM events GROUP BY event_type")

@@ -90,8 +90,8 @@ TRACE = [("callees", 1, 3.0, 0.0, 0.0, 0.5, 0.0, 1.0, 1.0), ("callers", 1, 2.0,
 TRACE_GOLD = [(0, "callers", [("app.py", 7), ("pkg/net.py", 28)]), (2, "callees", [("pkg/base.py", 2), ("pkg/net.py", 14)])]
 
 SECRETS = [("key gsk_abcdefgh12345 leaked", "key [API key hidden] leaked"), ("sk-ABCDEFGH_-9 and sk-short", "[API key hidden] and sk-short"), ("nothing here", "nothing here")]
-REWRITE_ANSWER = '1. missing schema error\n- `InvalidURL` raised\n* MISSING SCHEMA ERROR\nline 2: prepend scheme\nx\n• "get adapter"'
-REWRITES = [(0, 0, "missing schema error"), (0, 1, "InvalidURL` raised"), (0, 2, "prepend scheme")]
+REWRITE_ANSWER = '1) open a listening port\n\u2022 `Listener` bind address\n* OPEN A LISTENING PORT\nLINE 4: "accept loop"\nno\n- backlog size'
+REWRITES = [(0, 0, "open a listening port"), (0, 1, "Listener` bind address"), (0, 2, "accept loop")]
 NOTEBOOK = json.dumps(
     {
         "cells": [

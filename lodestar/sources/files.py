@@ -10,7 +10,15 @@ from . import store
 
 # Folders that hold no sources.
 EXCLUDED_DIRS = (".git", "__pycache__", ".venv", "venv", "node_modules", "build", "dist", ".tox", ".mypy_cache")
-SUFFIXES, MAX_BYTES, MAX_NOTEBOOK_BYTES = (".py", ".ipynb"), 500_000, 20_000_000
+SUFFIXES, MAX_BYTES, MAX_NOTEBOOK_BYTES, ROW_GROUP = (".py", ".ipynb"), 500_000, 20_000_000, 128 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose rows take long to work on: a small one in fewer files than there are cores is dealt over them, as a file may be
+    one row group, which one task reads whatever its splits."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size < cores * ROW_GROUP and len(scan.inputFiles()) < cores else scan
 
 
 def walk_order(path: Column) -> Column:
