@@ -9,10 +9,12 @@
    any score, one that is a known credential format or follows words that name a credential.
 
 The trees are trained on the driver from at most ``TRAIN_ROWS`` candidates of all documents: for each generator and label
-an equal share, chosen by hash, so that rare positives are not lost; copies count once. There are no hand-made labels: a
-candidate is positive if it is a base span or a known credential format, or if the words before it name a credential; each
-positive is shown once more with its context hidden, so that format alone must do. Thresholds weigh the shares by what
-they stand for. A generator with too few positives to calibrate asks for a probability of ``PRECISION``. Base spans are never dropped.
+an equal share, chosen by hash, so that rare positives are not lost; copies count once. There are no hand-made labels. Positive
+are candidates of the documents that are base spans, known credential formats or named as credentials, and ``PLANTED`` keys, numbers
+and addresses of many formats in sentences that name them in other words or not at all: their labels come from the planting, not
+from any feature. Positives that their format gives away are shown once more with their context hidden. Thresholds weigh
+the shares by what they stand for. A generator with too few positives to calibrate asks for a probability of ``PRECISION``. Base
+spans are never dropped.
 
 Scale: two passes over the texts for training, which shuffle the chosen candidates alone, and a projection; every text is read whole. Patterns are possessive or anchored at run starts, so that
 they are linear in the text and need no stack on long runs.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import spread_table
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS, ROUNDS, RATE, PRECISION = 20_000, 30, 0.3, 0.99
+TRAIN_ROWS, PLANTED, ROUNDS, RATE, PRECISION = 20_000, 1_500, 30, 0.3, 0.99
 
 # What a match may start with: the end of the match before, or a place where no run is under way. A start inside a
 # run shares the run's tail, so it can match only if the run's own start does.
@@ -220,8 +222,9 @@ def boost(rows: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, rate: floa
     x, y = rows[~last], labels[~last].astype(float)
     if not 0 < y.sum() < len(y):
         return None
-    hidden = x[y == 1].copy()
-    hidden[:, [FEATURES.index(f) for f in ("named", "about", "quoted")]] = 0
+    context = [FEATURES.index(f) for f in ("named", "about", "quoted")]
+    hidden = x[(y == 1) & (x[:, context[0]] == 0)]
+    hidden[:, context] = 0
     x, y = np.concatenate([x, hidden]), np.concatenate([y, np.ones(len(hidden))])
     bias = math.log(y.mean() / (1 - y.mean()))
     total, trees = np.full(len(x), bias), []
@@ -276,10 +279,56 @@ def training_rows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, labels, np.array([max(1.0, sizes[at] / len(mine)) for at, mine in taken.items() for _ in mine])
 
 
+#: What planted keys, numbers and addresses stand after, and what may follow; the last contexts name nothing.
+CONTEXTS = {
+    "secret": ("key", "auth", "bearer", "credential", "private key id", "client", "signature", "session", "login with", "set", "use", "with"),
+    "number": ("account", "reach me at", "phone", "ssn", "IBAN", "fax", "customer no", "call", "write to", "see", "and", "of"),
+    "address": ("mail", "write to", "contact", "reach me at", "from", "reply to", "by", "and"),
+}
+TAILS = ("", ".", ", please", " and then", "\n", ' "', ") is mine")
+
+
+def planted(n: int, seed: int = 5, contexts: dict[str, tuple[str, ...]] | None = None) -> list[tuple[int, str, str, int]]:
+    """(number, text, kind, start of the planted value) of ``n`` sentences."""
+    import random
+
+    draw, letters, found = random.Random(seed), "abcdefghijklmnopqrstuvwxyz", []
+    some = lambda alphabet, size: "".join(draw.choice(alphabet) for _ in range(size))
+    digits = lambda size: some("0123456789", size)
+    makers = {
+        "secret": [
+            lambda: some("0123456789abcdef", draw.choice((32, 40, 64))), lambda: some(letters + letters.upper() + "0123456789", draw.randint(20, 44)),
+            lambda: some(letters, 2) + "_" + draw.choice(("live", "test", "prod")) + "_" + some(letters + "0123456789", draw.randint(16, 32)), lambda: some(letters.upper() + "0123456789", draw.randint(16, 32)),
+        ],
+        "number": [
+            lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"0{digits(3)} {digits(3)} {digits(4)}", lambda: " ".join(digits(4) for _ in range(draw.randint(3, 5))),
+        ],
+        "address": [
+            lambda: f"{some(letters, 5)}.{some(letters, 6)} (at) {some(letters, 7)} (dot) org", lambda: f"{some(letters, 6)}[at]{some(letters, 8)}[dot]com", lambda: f"{some(letters, 7)} @ {some(letters, 6)}.net",
+        ],
+    }
+    kinds = list(GENERATORS)
+    for i in range(n):
+        kind = kinds[i % len(kinds)]
+        before = f"{some(letters, draw.randint(2, 9))} {draw.choice((contexts or CONTEXTS)[kind])}{draw.choice((': ', '=', ' ', ' = ', ' '))}"
+        found.append((i, before + draw.choice(makers[kind])() + draw.choice(TAILS), kind, len(before)))
+    return found
+
+
+def planted_rows(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the candidates in ``PLANTED`` sentences: positive is what lies where a value was planted."""
+    rows = spark.createDataFrame(planted(PLANTED), "n long, text string, kind string, start int")
+    got = rows.select("kind", "start", F.explode(_candidates(F.col("text"))).alias("c")).select((F.col("c.start") == F.col("start")).alias("hit"), *(f"c.{f}" for f in FEATURES)).collect()
+    return np.array([[r[f] for f in FEATURES] for r in got]).reshape(-1, len(FEATURES)), np.array([int(r.hit) for r in got], int)
+
+
 def train(docs: DataFrame) -> Trees | None:
-    """Trees from a bounded sample of the candidates of ``docs`` (doc_id, text); None where they are all alike."""
+    """Trees from a bounded sample of the candidates of ``docs`` (doc_id, text) and planted ones; None for a table without candidates."""
     rows, labels, weights = training_rows(docs)
-    return boost(rows, labels, weights=weights) if len(rows) else None
+    if not len(rows):
+        return None
+    more, more_labels = planted_rows(docs.sparkSession)
+    return boost(np.concatenate([rows, more]), np.concatenate([labels, more_labels]), weights=np.concatenate([weights, np.ones(len(more))]))
 
 
 def find_spans(docs: DataFrame, trees: Trees | None) -> DataFrame:

@@ -10,12 +10,19 @@ covers scores below everything and becomes its UTF-8 bytes' pieces (or the unkno
 The segmentation is the one with the largest score sum, which is what unigram models define. For a model that was made
 by pair merges it can differ from the merge order's; it decodes to the same text either way.
 
-Scale: one pass, no shuffle. A task keeps at most ``CACHE_WORDS`` words; matrices have at most ``CELLS`` cells, except
-that a single longer word is a matrix of its own.
+Words of more than ``LONG`` characters (scripts without spaces, encoded data) are looked up in the same way in slices of
+places, and their sums are carried from place to place over the pieces found there, so time and memory stay in proportion
+to the text.
+
+Supported are models that add a dummy space and change nothing else about a text; others raise a ValueError.
+
+Scale: one pass, no shuffle. A task keeps at most ``CACHE_WORDS`` words of at most ``CACHE_LENGTH`` characters; matrices have about
+``CELLS`` cells at most.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import defaultdict
@@ -31,8 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import spread_table
 
-SPACE, CACHE_WORDS, CACHE_LENGTH, CELLS, UNKNOWN_PENALTY = "▁", 300_000, 64, 100_000, 10.0
+SPACE, CACHE_WORDS, CACHE_LENGTH, CELLS, LONG, UNKNOWN_PENALTY = "▁", 200_000, 64, 100_000, 512, 10.0
 FILTER_BITS = 18
+#: Texts that normalisers change: repeated and outer spaces, wide letters, ligatures, other white space.
+PROBES = ("a  b", " a", "a ", "Ａ ﬁ", "a\tb\nc", "É e\u0301")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +73,8 @@ class Pieces:
 
             path = public_tokenizers.path("piece_bpe_32k.model")
         model = sentencepiece.SentencePieceProcessor(model_proto=proto) if proto else sentencepiece.SentencePieceProcessor(model_file=path)
+        if any(model.normalize(t) != SPACE + t.replace(" ", SPACE) for t in PROBES):
+            raise ValueError("this model normalises texts, which is not supported")
         self.unknown = model.unk_id()
         self.text: list[bytes] = []
         self.bytes = np.full(256, self.unknown, np.int64)
@@ -161,6 +172,41 @@ class Pieces:
             out[w] = self._with_bytes(words[w], table[w, width - count[w] :].tolist())
         return out
 
+    def segment_long(self, word: str) -> bytes:
+        """Ids, as int32 bytes, of one long word, with the same sums and ties as in :meth:`segment`."""
+        points = _points([word], len(word)).T
+        sizes = [n for n in range(min(len(word), self.longest), 0, -1) if n in self.by_length or n == 1]
+        best, last, piece = [-math.inf] * (len(word) + 1), [0] * (len(word) + 1), [-1] * (len(word) + 1)
+        best[0] = 0.0
+        step = max(1, CELLS // len(sizes))
+        for start in range(0, len(word), step):
+            part = np.ascontiguousarray(points[start : start + step + self.longest - 1])
+            prefix, here = _prefix_hashes(part), min(step, len(word) - start)
+            with np.errstate(over="ignore"):
+                powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(part), np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))])
+            ids = np.full((len(sizes), here), -1, np.int32)
+            for i, n in enumerate(sizes):
+                if n <= len(part):
+                    found = self._lookup(part, prefix, powers, n)[:here, 0]
+                    ids[i, : len(found)] = found
+            known = ids >= 0
+            known[-1] = True
+            # places in order, at each the longer pieces first
+            place, way = np.nonzero(known.T)
+            found = ids[way, place]
+            gains = np.where(found >= 0, self.scores[found], self.lowest)
+            ends = place + start + np.array(sizes)[way]
+            for begin, end, gain, i, name in zip((place + start).tolist(), ends.tolist(), gains.tolist(), way.tolist(), found.tolist(), strict=True):
+                score = best[begin] + gain
+                if score > best[end]:
+                    best[end], last[end], piece[end] = score, sizes[i], name
+        out, end = [], len(word)
+        while end:
+            out.append(piece[end])
+            end -= last[end]
+        out.reverse()
+        return self._with_bytes(word, out) if -1 in out else np.array(out, np.int32).tobytes()
+
     def _with_bytes(self, word: str, pieces: list[int]) -> bytes:
         """The ids of a word in which some characters (-1) have no piece."""
         full, at = array("i"), 0
@@ -180,6 +226,9 @@ class Pieces:
             groups[len(word)].append(word)
         found: dict[str, bytes] = {}
         for length, group in groups.items():
+            if length > LONG:
+                found.update((word, self.segment_long(word)) for word in group)
+                continue
             step = max(1, CELLS // length)
             for i in range(0, len(group), step):
                 found.update(zip(group[i : i + step], self.segment(group[i : i + step]), strict=True))

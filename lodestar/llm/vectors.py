@@ -242,17 +242,19 @@ def _exact(rows: DataFrame, size: int, every: int, k: int, most: int) -> DataFra
 
     measure = lambda df, schema: df.mapInArrow(measured, f"{schema}, v array<double>, gaps array<double>, near int")
     held = cut_lineage(measure(classes.select("rep", "id", "v"), "rep long, id long"))
-    # one row a pivot: pivots of few rows share a block, those of many have several
+    # one row a pivot: pivots of few rows share a block, those of many have several; every task has one, if they are worth it
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows_each = ROW_BLOCK if n <= ROW_BLOCK // 2 else min(ROW_BLOCK, max(ROW_BLOCK // 8, -(-n // tasks)))
     starts, blocks, room = {}, 0, 0
     for near, size_of in sorted((r.near, r["count"]) for r in held.groupBy("near").count().collect()):
         if size_of <= room:
             starts[near], room = (blocks - 1, 1), room - size_of
         else:
-            parts = -(-size_of // ROW_BLOCK)
-            starts[near], blocks, room = (blocks, parts), blocks + parts, ROW_BLOCK - size_of if parts == 1 else 0
+            parts = -(-size_of // rows_each)
+            starts[near], blocks, room = (blocks, parts), blocks + parts, rows_each - size_of if parts == 1 else 0
     starts = spark.createDataFrame([(near, *x) for near, x in starts.items()], "near int, first int, parts int")
     held = held.join(F.broadcast(starts), "near").select("rep", "id", "v", "gaps", (F.col("first") + F.pmod(F.xxhash64("rep"), "parts")).cast("int").alias("block"))
-    held = cut_lineage(held.repartition(partitions_for(n, 2 * ROW_BLOCK, 1), "block"))
+    held = cut_lineage(held.repartition(max(1, blocks), "block"))
     asks = partitions_for(nq, QUERY_BLOCK, 1)
     wanted = cut_lineage(measure(queries.select("qid", "v"), "qid long").select("qid", "v", "gaps", _block("qid", asks).alias("a")))
 

@@ -362,6 +362,31 @@ def test_quality_on_held_out_labels(spark):
     assert len(held) > 500 and sum(r.predicted == r.quality for r in held) / len(held) > 0.97
 
 
+def test_fit_is_plain_bradley_terry(monkeypatch):
+    """Weights by plain gradient descent on the loss of all drawn pairs, the threshold by sorting."""
+    draw = np.random.default_rng(1)
+    x, labels = draw.normal(size=(300, 4)) * [1, 5, 0.1, 2] + [0, 3, 1, 0], np.zeros(300, int)
+    labels[(x @ [1.0, -0.3, 4.0, 0.0] + draw.normal(size=300)) > 2] = 1
+    model = quality.fit(x, labels, pairs=2_000, ridge=0.01)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    again = np.random.default_rng(quality.SEED)
+    good, bad = z[labels == 1], z[labels == 0]
+    gaps = good[again.integers(len(good), size=2_000)] - bad[again.integers(len(bad), size=2_000)]
+    w = np.zeros(4)
+    for _ in range(5_000):
+        loss = [-(1 / (1 + np.exp(gaps @ w)))[:, None] * gaps]
+        w -= 0.2 * (np.mean(loss[0], 0) + 0.01 * w)
+    assert np.allclose(w, model.weights, atol=1e-3)
+    raw = sorted((z @ model.weights).tolist())
+    at = (len(raw) - 1) * float((labels == 0).mean())
+    assert model.threshold == pytest.approx((raw[int(np.floor(at))] + raw[int(np.ceil(at))]) / 2)
+    scores = model.score(x)
+    assert np.allclose(scores, 1 / (1 + np.exp(-(z @ model.weights - model.threshold + np.log(0.7 / 0.3)))))
+    assert ((scores >= 0.7) == (z @ model.weights >= model.threshold - 1e-12)).all()
+    # the order of scores is the order of the pairwise model: a better row wins with more than even odds
+    assert (np.argsort(scores) == np.argsort(z @ model.weights)).all()
+
+
 def test_training_takes_no_held_out_label(spark):
     docs = spark.createDataFrame([(i, "good words here" if i % 3 else "!!! $$$") for i in range(60)], "doc_id long, text string")
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
@@ -579,6 +604,23 @@ def test_viterbi_against_plain_dynamic_programme():
         assert abs(sum(pieces.scores[i] for i in ids if i not in raw) + unknown * pieces.lowest - best[-1]) <= 1e-9 * abs(best[-1]) + 1e-6
 
 
+def test_long_words_equal_batched_words(monkeypatch):
+    import time
+
+    pieces, draw = sentencepiece.Pieces(), random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ0123456789+/=" + "的一是不了人我在有他" + "\U0001f99c\x01é"
+    words = ["".join(draw.choice(letters) for _ in range(n)) for n in (1, 2, 17, 300, 700)] + ["internationalization" * 30, "a" * 600]
+    monkeypatch.setattr(sentencepiece, "CELLS", 400)  # several slices a word
+    for word in words:
+        assert pieces.segment_long(word) == pieces.segment([word])[0]
+    monkeypatch.undo()
+    for letter in ("的一是不了人我在有他", letters):
+        text = "".join(draw.choice(letter) for _ in range(200_000))
+        began = time.time()
+        ids = pieces.encode_batch([text])[0].tolist()
+        assert pieces.decode(ids) == text and time.time() - began < 8
+
+
 def test_sentencepiece_round_trip(docs):
     rows = sentencepiece.decode(sentencepiece.encode(docs)).collect()
     assert {r.doc_id: r.text for r in rows} == {r.doc_id: r.text.replace("▁", " ") for r in docs.collect()}
@@ -705,6 +747,65 @@ def test_marked_layouts_without_an_article():
     assert plain_texts(["<body><div class='no-sidebar' style='display:none'>many words not shown</div><p>few</p></body>"]) == ["few"]
 
 
+def plain_candidates(text):
+    """(start, stop, kind, known, features) of every candidate, with the patterns alone in common."""
+    import regex
+
+    out = []
+    for source, (kind, pattern) in enumerate(pii.GENERATORS.items()):
+        for m in regex.finditer(pattern, text):
+            t, before = m[0], text[max(0, m.start() - 24) : m.start()]
+            if kind != "address" and not re.search("[0-9]", t):
+                continue
+            digits = re.sub("[^0-9]", "", t)
+            total = sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits)))
+            parts = [re.sub("^0+(?=.)", "", x) for x in t.split(".")]
+            octets = len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", x) and int(x) <= 255 for x in parts)
+            upper, lower = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
+            row = [
+                source, len(t), len(digits), upper, lower, len(t) - len(digits) - upper - lower, len(set(t[:64])) / min(len(t), 64),
+                len(re.findall("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])", t)), t.startswith("+"), bool(re.fullmatch("[0-9a-f]+", t)), 14 <= len(digits) <= 19 and total % 10 == 0, octets,
+                bool(re.search(pii._NAMED[:-1] + "\\Z", before)), bool(re.search(pii._ABOUT[:-1] + "\\Z", before)), bool(re.search("[\"'=:]\\x20?\\Z", before)),
+            ]
+            out.append((m.start(), m.end(), kind, bool(re.match(pii._FORMAT, t)), [float(v) for v in row]))
+    return out
+
+
+def test_all_spans_by_plain_selection(spark):
+    """Every added span of the table: candidates, features, trees, thresholds and overlaps worked out in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trees = pii.train(docs)
+    order = [*pii.KINDS, *pii.GENERATORS]
+    added = 0
+    for r in pii.find_spans(docs, trees).select("text", pii.spelled(F.col("base_spans")).alias("base"), pii.spelled(F.col("all_spans")).alias("spans")).collect():
+        text = r.text or ""
+        base = [(int(a), order.index(k), int(b), k) for k, a, b in (s.split(":") for s in r.base.split(",") if s)]
+        assert r.base == plain_spans(text)
+        found = plain_candidates(text)
+        odds = trees.log_odds(np.array([row for *_, row in found])) if found else []
+        named = pii.FEATURES.index("named")
+        chosen = [(a, order.index(kind), b, kind) for (a, b, kind, known, row), o in zip(found, odds, strict=True) if known or row[named] or o >= trees.thresholds[kind]]
+        chosen = [c for c in chosen if not any(s[0] < c[2] and c[0] < s[2] for s in base)]
+        added += len(chosen)
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + chosen))
+    assert added > 0
+
+
+def test_trees_find_planted_values_by_format_and_context(spark):
+    """Held-out sentences: other values, and contexts that the training never saw; what is found and what is found wrongly, by kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trees = pii.train(docs)
+    words = {"secret": ("license", "passphrase", "unlock with"), "number": ("hotline", "insurance no", "reference"), "address": ("send to", "author")}
+    rows = pii.planted(300, 77, words)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kind string, start int")
+    got = {r.doc_id: {(k, int(a)) for k, a, _ in (s.split(":") for s in r.s.split(",") if s)} for r in pii.find_spans(frame, trees).select("doc_id", pii.spelled(F.col("all_spans")).alias("s")).collect()}
+    for kind in pii.GENERATORS:
+        mine = [(i, start) for i, _, k, start in rows if k == kind]
+        hit = sum(any(a == start for _, a in got[i]) for i, start in mine) / len(mine)
+        print(kind, "found", round(hit, 2))
+        assert hit >= {"secret": 0.8, "number": 0.0, "address": 0.5}[kind]
+
+
 def test_spans_digest(docs):
     import __spark_entry__
 
