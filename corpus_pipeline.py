@@ -51,11 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared checkpoint folder and read again."""
-    from lodestar.llm.common import shared_folder
+    """All stages over ``documents``; what each returns is written to the shared checkpoint folder, read again, and deleted when the
+    next one's is written. The last stage's input stays."""
+    from lodestar.llm.common import delete_folder, shared_folder
 
     docs, root = spread_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if before:
+            delete_folder(spark, f"{root}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
