@@ -34,7 +34,15 @@ CALLER_WORDING = (
     "(?i)\\b(calls?|called|callers?|uses?|used|usages?|invok\\w*|depend\\w*|breaks?|impact\\w*|affect\\w*|referenc\\w*|"
     "protected|wrapped|decorated|subclass\\w*|inherit\\w*)\\b"
 )
+# What keys look like and what replaces them; list marks before a search; repository addresses; import statements;
+# what a Windows path may not hold.
 HIDDEN_KEY = "[API key hidden]"
+KEY = "gsk_[A-Za-z0-9]{8,}|sk-[A-Za-z0-9_-]{8,}"
+LIST_MARK = "(?i)^\\s*(?:[-*•]|[0-9]+[.):]|line\\s*[0-9]+\\s*:)\\s*"
+REPOSITORY = "^https://github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?$"
+IMPORT = "(?m)^\\s*(?:from\\s+\\S+\\s+)?import\\s+(.+)$"
+WINDOWS_BAD = '[<>:"|?*\\\\\\x00-\\x1f]'
+WINDOWS_RESERVED = "(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\\..*)?$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -179,7 +187,7 @@ def intent(question: Column | str) -> Column:
 
 def imported_names(text: Column | str) -> Column:
     """Names that import statements bring into a file."""
-    lists = _all(_text(text), "(?m)^\\s*(?:from\\s+\\S+\\s+)?import\\s+(.+)$", 1)
+    lists = _all(_text(text), IMPORT, 1)
     items = F.flatten(F.transform(lists, lambda x: F.split(F.translate(x, "()", "  "), ",", -1)))
     words = F.filter(F.transform(items, strip), lambda x: x != "")
     return F.array_distinct(F.transform(words, lambda x: F.element_at(F.split(F.element_at(F.split(x, "\\s+", -1), -1), "\\.", -1), -1)))
@@ -187,10 +195,8 @@ def imported_names(text: Column | str) -> Column:
 
 def rewrites(answer: Column | str, most: int = 3) -> Column:
     """Search queries listed in a model's answer, one a line: bullets, numbers and quotes off, repeats out, the first ``most``."""
-    lead = "(?i)^\\s*(?:[-*•]|[0-9]+[.):]|line\\s*[0-9]+\\s*:)\\s*"
-
     def clean(x: Column) -> Column:
-        q = strip(F.regexp_replace(x, lead, ""))
+        q = strip(F.regexp_replace(x, LIST_MARK, ""))
         q = F.regexp_replace(F.regexp_replace(q, '^"+|"+$', ""), "^`+|`+$", "")
         return strip(q)
 
@@ -205,7 +211,7 @@ def scrub_keys(message: Column | str, key: Column | str | None = None) -> Column
     if key is not None:
         k = _text(key)
         m = F.when(k == "", m).otherwise(F.replace(m, k, F.lit(HIDDEN_KEY)))
-    return F.regexp_replace(m, "gsk_[A-Za-z0-9]{8,}|sk-[A-Za-z0-9_-]{8,}", HIDDEN_KEY)
+    return F.regexp_replace(m, KEY, HIDDEN_KEY)
 
 
 def slug(text: Column | str) -> Column:
@@ -216,9 +222,8 @@ def slug(text: Column | str) -> Column:
 
 def repository_name(url: Column | str) -> Column:
     """owner/name of a repository address, null if it is none."""
-    pattern = "^https://github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?$"
     u = strip(_text(url))
-    return F.when(u.rlike(pattern), F.concat_ws("/", F.regexp_extract(u, pattern, 1), F.regexp_extract(u, pattern, 2)))
+    return F.when(u.rlike(REPOSITORY), F.concat_ws("/", F.regexp_extract(u, REPOSITORY, 1), F.regexp_extract(u, REPOSITORY, 2)))
 
 
 def gold_name(path: Column | str) -> Column:
@@ -256,9 +261,7 @@ def matches_any(path: Column | str, globs: list[str]) -> Column:
 
 def windows_safe(path: Column | str) -> Column:
     """Whether every component of a relative path can be created on Windows, within 239 characters in all."""
-    bad = '[<>:"|?*\\\\\\x00-\\x1f]'
-    reserved = "(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\\..*)?$"
-    fine = lambda p: (p != "") & ~p.rlike(bad) & ~p.rlike(reserved) & ~p.rlike("[ .]$")
+    fine = lambda p: (p != "") & ~p.rlike(WINDOWS_BAD) & ~p.rlike(WINDOWS_RESERVED) & ~p.rlike("[ .]$")
     return F.forall(F.split(_text(path), "/", -1), fine) & (F.length(_text(path)) < 240)
 
 
