@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import spread_table
 
-SPACE, CACHE_WORDS, CACHE_LENGTH, CELLS, LONG, UNKNOWN_PENALTY = "▁", 200_000, 64, 100_000, 512, 10.0
+SPACE, CACHE_WORDS, CACHE_LENGTH, CELLS, LONG, UNKNOWN_PENALTY = "▁", 300_000, 64, 100_000, 512, 10.0
 FILTER_BITS = 18
 #: Texts that normalisers change: repeated and outer spaces, wide letters, ligatures, other white space.
 PROBES = ("a  b", " a", "a ", "Ａ ﬁ", "a\tb\nc", "É e\u0301")
