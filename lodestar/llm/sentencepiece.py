@@ -16,14 +16,15 @@ to the text.
 
 Supported are models that add a dummy space and change nothing else about a text; others raise a ValueError.
 
-Scale: one pass, no shuffle. A task keeps at most ``CACHE_WORDS`` words of at most ``CACHE_LENGTH`` characters; matrices have about
-``CELLS`` cells at most.
+Scale: one pass, no shuffle. Between batches a worker keeps at most ``CACHE_BYTES`` of words of at most ``CACHE_LENGTH`` characters with
+their ids; matrices have about ``CELLS`` cells at most.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import spread_table
 
-SPACE, CACHE_WORDS, CACHE_LENGTH, CELLS, LONG, UNKNOWN_PENALTY = "▁", 300_000, 64, 100_000, 512, 10.0
+SPACE, CACHE_BYTES, ENTRY_BYTES, CACHE_LENGTH, CELLS, LONG, UNKNOWN_PENALTY = "▁", 48 << 20, 104, 64, 100_000, 512, 10.0
 FILTER_BITS = 18
 #: Texts that normalisers change: repeated and outer spaces, wide letters, ligatures, other white space.
 PROBES = ("a  b", " a", "a ", "Ａ ﬁ", "a\tb\nc", "É e\u0301")
@@ -111,6 +112,7 @@ class Pieces:
         inner = any(SPACE in names[i].lstrip(SPACE) for ids in usable.values() for i in ids)
         self.words = re.compile("(?s).+" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _lookup(self, points: np.ndarray, prefix: np.ndarray, powers: np.ndarray, length: int) -> np.ndarray:
         """Ids of the substrings of one length by place and word, -1 where there is no such piece."""
@@ -238,14 +240,16 @@ class Pieces:
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(self.cache)
         if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache = {}
-                new = set(chain.from_iterable(split))
             self.cache.update(self.learn(new))
         get = self.cache.__getitem__
         out = [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
-        for word in [w for w in new if len(w) > CACHE_LENGTH]:
-            del self.cache[word]
+        for word in new:
+            if len(word) > CACHE_LENGTH:
+                del self.cache[word]
+            else:
+                self.held += sys.getsizeof(word) + sys.getsizeof(get(word)) + ENTRY_BYTES
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
         return out
 
     def decode(self, ids) -> str:

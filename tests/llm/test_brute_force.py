@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -581,6 +583,17 @@ def test_probes_come_in_order_of_probability():
 # ---- SentencePiece ----
 
 
+def test_word_cache_is_bounded_by_bytes(monkeypatch):
+    draw, kept, small = random.Random(4), sentencepiece.Pieces(), sentencepiece.Pieces()
+    monkeypatch.setattr(sentencepiece, "CACHE_BYTES", 4096)
+    for _ in range(20):
+        texts = [" ".join("".join(draw.choices("abé語", k=draw.randint(1, 90))) for _ in range(9)) for _ in range(3)]
+        got = [ids.tolist() for ids in small.encode_batch(texts)]
+        small_size = sum(map(sys.getsizeof, chain.from_iterable(small.cache.items())))
+        assert small_size <= small.held <= 4096 and all(len(w) <= sentencepiece.CACHE_LENGTH for w in small.cache)
+        assert got == [kept.encode_batch([t])[0].tolist() for t in texts]
+
+
 def test_viterbi_against_plain_dynamic_programme():
     import public_tokenizers
     import sentencepiece as library
