@@ -626,7 +626,7 @@ def trace_documents(spark, sf_dir):
 @query(
     f"""WITH {_LINES}, t AS (SELECT doc_id, doc_id % 60 AS line, 'doc/' || doc_id || CASE WHEN doc_id % 11 = 0 THEN '/gone' ELSE '' END AS path, ls FROM documents LEFT JOIN l USING (doc_id))
 SELECT doc_id AS qid, CASE WHEN doc_id % 11 = 0 THEN 'missing file ' || path ELSE path || ':' || line || ' is out of range or blank' END AS problem FROM t
-WHERE doc_id % 11 = 0 OR line < 1 OR ls IS NULL OR line > len(ls) OR regexp_matches(ls[line], '^[\s\x1c-\x1f\x85\xA0]*$')"""
+WHERE doc_id % 11 = 0 OR line < 1 OR ls IS NULL OR line > len(ls) OR regexp_matches(ls[line], '^[\\s\x1c-\x1f\x85\xA0]*$')"""
 )
 def gold_validation_documents(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
