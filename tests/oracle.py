@@ -19,7 +19,7 @@ def _plain(v):
 
 
 def compare(spark, query, sql, folder):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"max_temp_directory_size": "2GB", "memory_limit": "8GB"})
     for name in TABLES:
         path = f"{folder}/{name}.parquet"
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
