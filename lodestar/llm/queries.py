@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, packing, pii, quality, sentencepiece, simhash, vectors, warc
+from . import chat, clusters, collocation, html, packing, pii, quality, sentencepiece, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": html.op8_html,
     "op9_quality": quality.op9_quality,
     "op10_warc_audit": warc.op10_warc_audit,
+    "op12_clusters": clusters.op12_clusters,
+    "op13_collocations": collocation.op13_collocations,
 }
 
 #: DuckDB SQL; operators that SQL cannot express are held against brute force in tests/llm.
@@ -26,4 +28,6 @@ SQL: dict[str, str] = {
     "op2_chat_rotation": chat.OP2_SQL,
     "op3_exact_top_k": vectors.OP3_SQL,
     "op10_warc_audit": warc.OP10_SQL,
+    "op12_clusters": clusters.OP12_SQL,
+    "op13_collocations": collocation.OP13_SQL,
 }
