@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, partitions_for, spread_table
 
 LEAST, TOP, COVER, SCORE = 10, 2000, 50, 1_000_000
-SLICE, HELD, TABLE, PART_WORDS, HOT = 16 << 20, 400_000, 1 << 19, 2_000_000, 500_000
+SLICE, HELD, TABLE, PART_WORDS, HOT = 8 << 20, 400_000, 1 << 19, 2_000_000, 500_000
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _SEPARATORS + b"\t", bytes(range(97, 123)) + b"\n" * len(_SEPARATORS) + b" ")
@@ -212,6 +212,7 @@ def routed(texts: DataFrame, table, parts: int, hot: int) -> DataFrame:
             part = (np.r_[home, crc][pivot] + (code % share.astype(np.uint64)).astype(np.int64)) % parts
             rows, part, count = merged(rows, part, code)
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+            found: list[tuple[int, bytes, list[bytes]]] = []
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
                 some = rows[:, start:end]
                 extra = np.unique(some[some > n])
@@ -219,7 +220,9 @@ def routed(texts: DataFrame, table, parts: int, hot: int) -> DataFrame:
                     some = np.where(some > n, n + 1 + np.searchsorted(extra, some), some)
                 block = packed(np.concatenate([some.ravel(), count[start:end]]))
                 named = [lang + b" " + others[i - n - 1] for i in extra.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([part[start]], pa.int32()), pa.array([block], pa.binary()), pa.array([named], pa.list_(pa.binary()))], names=["part", "fragments", "words"])
+                found.append((int(part[start]), block, named))
+            kinds = [pa.int32(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=["part", "fragments", "words"])
 
     return texts.mapInArrow(run, "part int, fragments binary, words array<binary>")
 
@@ -272,11 +275,11 @@ def phrases(routes: DataFrame, table, parts: int, hot: int, least: int) -> DataF
         for batch in batches:
             for data, words in zip(batch.column("fragments"), batch.column("words"), strict=True):
                 block = unpacked(data.as_py()).reshape(6, -1)
+                some = block[:5].astype(np.int64)
                 if len(words):
-                    number = np.array([others.setdefault(w, n + 1 + len(others)) for w in words.as_py()], np.uint32)
-                    block = np.where(block > n, np.r_[number, 0][np.minimum(block - (n + 1), len(number))], block)
-                    block[5] = unpacked(data.as_py()).reshape(6, -1)[5]
-                rows.append(block[:5])
+                    number = np.array([others.setdefault(w, n + 1 + len(others)) for w in words.as_py()])
+                    some = np.where(some > n, number[np.maximum(some - (n + 1), 0)], some)
+                rows.append(some)
                 counts.append(block[5])
         if not rows:
             return

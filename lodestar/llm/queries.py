@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, clusters, collocation, html, packing, pii, quality, sentencepiece, simhash, vectors, warc
+from . import chat, clusters, collocation, html, language_model, packing, pii, quality, sentencepiece, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": html.op8_html,
     "op9_quality": quality.op9_quality,
     "op10_warc_audit": warc.op10_warc_audit,
+    "op11_language_model": language_model.op11_language_model,
     "op12_clusters": clusters.op12_clusters,
     "op13_collocations": collocation.op13_collocations,
 }
