@@ -1,18 +1,18 @@
-"""BM25: term counts in the documents' rows, weights of terms, scores."""
+"""BM25: term counts in the documents' rows, terms of queries, search."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words
-from . import scan
+from . import inverted
+from .inverted import DIGITS, K1, B, idf, postings
 
-K1, B, SYMBOL_BOOST, DIGITS = 1.2, 0.75, 3, 8
+__all__ = ["B", "DIGITS", "K1", "SYMBOL_BOOST", "bm25_top_k", "corpus_stats", "documents_terms", "idf", "postings", "query_terms"]
+
+SYMBOL_BOOST = 3
 
 
 def documents_terms(docs: DataFrame, symbol_boost: int = SYMBOL_BOOST) -> DataFrame:
@@ -23,11 +23,6 @@ def documents_terms(docs: DataFrame, symbol_boost: int = SYMBOL_BOOST) -> DataFr
     return words.counted_terms(docs, "doc", symbol_boost)
 
 
-def postings(terms: DataFrame) -> DataFrame:
-    """(term, doc, tf, dl): one row for each term of each document."""
-    return terms.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid, term): the different terms of ``queries`` (qid, text), stop words out."""
     return queries.select("qid", F.explode(F.array_distinct(T.tokens("text", drop_stop_words=True))).alias("term"))
@@ -38,52 +33,11 @@ def corpus_stats(terms: DataFrame) -> DataFrame:
     return terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.ln(1 + (n - df + 0.5) / (df + 0.5))
-
-
-def weights(terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, terms): the different terms of each query that some document has, as array<struct<term, idf>>."""
-    asked = query_terms(queries)
-    held = postings(terms).join(asked.select("term").distinct(), "term", "left_semi")
-    found = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats(terms)))
-    rows = asked.join(found.select("term", idf(F.col("n"), F.col("df")).alias("idf")), "term")
-    return rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
-
+def bm25_top_k(terms: DataFrame | inverted.Inverted, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc, score, rank): the k best of the documents that share a term with a query (qid, text); scores are rounded to
+    ``DIGITS`` places.
 
-def bm25_top_k(terms: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc, score, rank): the k best of the documents that share a term with a query; scores are rounded to ``DIGITS`` places.
-
-    The counts lie in the documents' rows, so a row is scored where it is, against a chunk of weighted queries.
+    terms: an inverted index, or documents' term counts, which are inverted for this search.
     """
-    mean = corpus_stats(terms).first()["avgdl"] or 1.0
-
-    def scorer(asked: list[Row]) -> scan.Scorer:
-        by_term: dict[str, list[int]] = {}
-        idfs: dict[str, float] = {}
-        for i, r in enumerate(asked):
-            for t in r.terms:
-                by_term.setdefault(t.term, []).append(i)
-                idfs[t.term] = t.idf
-        names, weight = pa.array(list(by_term), pa.string()), np.array(list(idfs.values()))
-        sizes = np.array([len(x) for x in by_term.values()], np.int64)
-        starts, wanting = np.cumsum(sizes) - sizes, np.array([q for x in by_term.values() for q in x], np.int64)
-
-        def score(batch: pa.RecordBatch) -> np.ndarray:
-            held = batch.column("terms")
-            flat = held.flatten()
-            at = pc.index_in(flat.field("term"), value_set=names)
-            met = at.is_valid().to_numpy(zero_copy_only=False)
-            at = at.drop_null().to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())[met]
-            tf, dl = flat.field("tf").to_numpy()[met], batch.column("dl").to_numpy()[doc]
-            part = weight[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
-            copies = sizes[at]
-            row = np.repeat(np.arange(len(at)), copies)
-            query = wanting[starts[at][row] + np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)]
-            sums = np.bincount(doc[row] * len(asked) + query, part[row], batch.num_rows * len(asked)).reshape(-1, len(asked))
-            return np.where(sums > 0, np.round(sums, DIGITS), -np.inf)
-
-        return score
-
-    return scan.top_k(terms.select("doc", "dl", "terms"), weights(terms, queries), k, scorer)
+    index = terms if isinstance(terms, inverted.Inverted) else inverted.invert(terms)
+    return inverted.top_k(index, query_terms(queries), k, k1, b)

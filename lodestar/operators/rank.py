@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.store import settle
-from . import dense, lexical
+from . import dense, inverted, lexical
 from .chunk import embed_text
 
 RRF_K, DEPTH, RERANK_DEPTH, PINS, TOP_K = 60, 50, 30, 3, 8
@@ -73,6 +73,7 @@ class Corpus:
     """What retrieval reads. chunks: doc, path, start_line, end_line, text, symbol, kind (embedded: what is indexed).
 
     nodes: graph nodes with name, qual, kind, doc, id, or None. entries: vectors (doc, bucket, w) that ``embedder`` made, or None.
+    postings: the inverted index of ``terms``, or None: it is then made for each search.
     """
 
     chunks: DataFrame
@@ -80,6 +81,7 @@ class Corpus:
     entries: DataFrame | None = None
     nodes: DataFrame | None = None
     embedder: dense.Embedder = dense.hashing()
+    postings: inverted.Inverted | None = None
 
 
 def embedded(chunks: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def first_stage(source: Corpus, queries: DataFrame, mode: str, depth: int, k: in
         near = dense.cosine_top_k(source.entries, source.embedder.questions(queries, "qid"), depth)
         lists.append(near.withColumns({"retriever": F.lit("dense"), "list_no": F.lit(0)}))
     if mode != "dense":
-        lists.append(lexical.bm25_top_k(source.terms, queries, depth).withColumns({"retriever": F.lit("bm25"), "list_no": F.lit(1)}))
+        lists.append(lexical.bm25_top_k(source.postings or source.terms, queries, depth).withColumns({"retriever": F.lit("bm25"), "list_no": F.lit(1)}))
     # a few rows a query, read again and again by what follows
     lists = [settle(part.select("qid", "retriever", "list_no", "doc", "rank")) for part in lists]
     rankings = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
@@ -148,6 +150,8 @@ def retrieve(
     pin, its reranked place. ``all_ranks`` keeps every place, numbered by ``pos``.
     """
     depth = max(k, depth, rerank_depth if rerank else 0)
+    if mode != "dense" and source.postings is None and rewrites is not None:
+        source = replace(source, postings=inverted.invert(source.terms))
     fused, rankings = first_stage(source, questions.select("qid", "text"), mode, depth, rrf_k)
     if rewrites is not None:
         again = rewrites.select(F.concat_ws(":", "qid", "pos").alias("qid"), F.col("qid").alias("of"), "pos", "text")

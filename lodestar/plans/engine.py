@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, cite, context, dense, evaluate, graph, rank, syntax
+from ..operators import chunk, cite, context, dense, evaluate, graph, inverted, lexical, rank, syntax
 from ..sources import files, store
 from . import prompts
 
@@ -91,7 +91,7 @@ def cached(generator: Generator, cache: DataFrame, model: str, temperature: floa
 @dataclass(frozen=True)
 class Index:
     """What questions are asked of. vectors: (id, model, bucket, w), one row a chunk, or None; reused: how many of them an earlier
-    index had."""
+    index had. parsed: what one parse of each file gave, and imported: the names that files import, both None without a graph."""
 
     sources: DataFrame
     chunks: DataFrame
@@ -101,12 +101,16 @@ class Index:
     stats: DataFrame
     vectors: DataFrame | None = None
     reused: int = 0
+    parsed: DataFrame | None = None
+    imported: DataFrame | None = None
 
     def save(self, folder: str, settings: Settings) -> None:
         """Write the index as the newest version in ``folder``; the mark of completeness comes last."""
         meta = {"model": self.corpus.embedder.name, "chunker": settings.chunker, "chunk_lines": settings.chunk_lines, "chunk_overlap": settings.chunk_overlap, "max_lines": settings.max_lines}
         meta |= self.stats.first().asDict() | {"n_embedded": self.vectors.count() - self.reused if self.vectors is not None else 0, "built_at": datetime.now(UTC).isoformat(timespec="seconds")}
-        store.save_index(folder, meta, sources=self.sources, chunks=self.chunks, terms=self.corpus.terms, vectors=self.vectors, nodes=self.nodes, edges=self.edges)
+        postings = inverted.compact(self.corpus.postings or inverted.invert(self.corpus.terms))
+        more = {"blocks": postings.blocks, "block_stats": inverted.told(postings), "parsed": self.parsed, "imported": self.imported}
+        store.save_index(folder, meta, sources=self.sources, chunks=self.chunks, terms=self.corpus.terms, vectors=self.vectors, nodes=self.nodes, edges=self.edges, **more)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, embedder: dense.Embedder | None = None) -> Index:
@@ -118,8 +122,9 @@ class Index:
         if embedder.name != model:
             raise ValueError(f"the index was built with {model!r}, not with {embedder.name!r}")
         vectors = t.get("vectors")
-        corpus = rank.Corpus(rank.embedded(t["chunks"]), t["terms"], _entries(t["chunks"], vectors), t.get("nodes"), embedder)
-        return cls(t["sources"], t["chunks"], corpus, t.get("nodes"), t.get("edges"), chunk.index_stats(t["chunks"]), vectors)
+        postings = inverted.loaded(t["blocks"], t["block_stats"]) if "blocks" in t else None
+        corpus = rank.Corpus(rank.embedded(t["chunks"]), t["terms"], _entries(t["chunks"], vectors), t.get("nodes"), embedder, postings)
+        return cls(t["sources"], t["chunks"], corpus, t.get("nodes"), t.get("edges"), chunk.index_stats(t["chunks"]), vectors, 0, t.get("parsed"), t.get("imported"))
 
 
 def _entries(chunks: DataFrame, vectors: DataFrame | None) -> DataFrame | None:
@@ -153,16 +158,61 @@ def build_index(sources: DataFrame, settings: Settings | None = None, previous:
     chunks = syntax.numbered(syntax.chunk_files(sources, parsed, settings.chunk_lines, settings.chunk_overlap))
     if chunks.isEmpty():
         raise ValueError("nothing to index: no source has any text")
-    nodes = edges = vectors = None
+    nodes = edges = vectors = imported = None
     reused = 0
     if parsed is not None:
-        nodes = syntax.definitions(parsed, chunks)
-        edges, _ = graph.resolve(nodes, syntax.references(parsed, nodes), syntax.bases(nodes), syntax.imports(sources))
-        edges = store.settle(edges)
+        imported = store.settle(syntax.imports(sources))
+        nodes, edges = resolved(parsed, chunks, imported)
     if settings.mode != "bm25":
         vectors, reused = embed_chunks(chunks, previous, embedder)
     corpus = replace(rank.corpus(chunks, nodes, False, embedder), entries=_entries(chunks, vectors))
-    return Index(sources, chunks, corpus, nodes, edges, chunk.index_stats(chunks), vectors, reused)
+    if settings.mode != "dense":
+        terms = store.settle(corpus.terms)
+        corpus = replace(corpus, terms=terms, postings=inverted.invert(terms))
+    return Index(sources, chunks, corpus, nodes, edges, chunk.index_stats(chunks), vectors, reused, parsed, imported)
+
+
+def resolved(parsed: DataFrame, chunks: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph, from what the parses of files gave."""
+    nodes = syntax.definitions(parsed, chunks)
+    edges, _ = graph.resolve(nodes, syntax.references(parsed, nodes), syntax.bases(nodes), imported)
+    return nodes, store.settle(edges)
+
+
+def update_index(index: Index, changed: DataFrame, settings: Settings | None = None) -> Index:
+    """``index`` after a change of some sources, ``changed`` (path, file_ord, text): new and edited ones, and with null text deleted ones.
+
+    Only changed texts are read: they are chunked, parsed, counted and embedded. Terms change by signed differences
+    (:func:`inverted.update`); names are resolved again from the stored parses, as a changed file may change what others mean.
+    Hits, graph and counts equal those of an index built anew, but for chunk numbers: new chunks are numbered behind the older ones.
+    """
+    settings, embedder = settings or Settings(), index.corpus.embedder
+    changed = store.settle(changed)
+    paths, present = changed.select("path").distinct(), changed.filter("text is not null")
+    without = lambda rows: rows.join(paths, "path", "left_anti")
+    sources = without(index.sources).unionByName(present.select(*index.sources.columns))
+    parsed = fresh = imported = nodes = edges = None
+    if index.parsed is not None:
+        python = present.filter(F.col("path").endswith(".py") | F.col("path").endswith(".ipynb"))
+        fresh = store.settle(syntax.parse_files(python, settings.max_lines, settings.min_lines))
+        parsed = store.settle(without(index.parsed).unionByName(fresh))
+        imported = store.settle(without(index.imported).unionByName(syntax.imports(present)))
+    after = (index.chunks.agg(F.max("doc")).first()[0] or 0) + 1
+    made = syntax.numbered(syntax.chunk_files(present, fresh, settings.chunk_lines, settings.chunk_overlap))
+    made = store.settle(made.withColumn("doc", F.col("doc") + after).select(*index.chunks.columns))
+    gone = store.settle(index.chunks.join(paths, "path", "left_semi").select("doc"))
+    chunks = store.settle(without(index.chunks).unionByName(made))
+    if parsed is not None:
+        nodes, edges = resolved(parsed, chunks, imported)
+    terms, postings = index.corpus.terms, index.corpus.postings
+    added = lexical.documents_terms(rank.embedded(made).select("doc", "symbol", F.col("embedded").alias("text")))
+    if postings is not None:
+        added = store.settle(added)
+        postings = inverted.update(postings, store.settle(terms.join(gone, "doc", "left_semi")), added)
+    terms = terms.join(gone, "doc", "left_anti").unionByName(added)
+    vectors, reused = (None, 0) if index.vectors is None else embed_chunks(chunks, index, embedder)
+    corpus = rank.Corpus(rank.embedded(chunks), terms, _entries(chunks, vectors), nodes, embedder, postings)
+    return Index(sources, chunks, corpus, nodes, edges, chunk.index_stats(chunks), vectors, reused, parsed, imported)
 
 
 def index_tree(spark: SparkSession, root: str, settings: Settings | None = None, previous: Index | None = None, embedder: dense.Embedder | None = None) -> Index:

@@ -113,6 +113,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_lines(files: DataFrame, path: str, most: int = 20_000) -> DataFrame:
-    """(line_no, line) of one file's first ``most`` lines."""
-    rows = files.filter(F.col("path") == path).select(F.posexplode(F.slice(T.lines("text"), 1, most)).alias("i", "line"))
+    """(line_no, line) of one file; a file of more than ``most`` lines is an error when it is read."""
+    lines = T.lines("text")
+    shown = F.when(F.size(lines) > most, F.raise_error(F.concat(F.lit("too many lines to show: "), F.col("path")))).otherwise(lines)
+    rows = files.filter(F.col("path") == path).select(F.posexplode(shown).alias("i", "line"))
     return rows.select((F.col("i") + 1).alias("line_no"), "line")

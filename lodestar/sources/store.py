@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written into the cluster's shared checkpoint folder and read from there, so that ids given once stay."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(context.master))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a session on this machine alone gets one of its own."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or _local_folder(context.master))
+    return named or context.getCheckpointDir()
+
+
 def _local_folder(master: str) -> str:
     """A folder of this machine, which only a session on this machine can share."""
     if not master.startswith("local"):
@@ -25,6 +30,13 @@ def _local_folder(master: str) -> str:
     return tempfile.mkdtemp(prefix="lodestar-checkpoint-")
 
 
+def by_shelf(rows: DataFrame) -> DataFrameWriter:
+    """A writer of ``rows`` (shelf, ...) in one folder a shelf, sorted in their files by the columns that follow, so that a reader of some
+    shelves reads no others, and skips what the statistics of a file rule out."""
+    first = [c for c in rows.columns if c != "shelf"][:2]
+    return rows.repartition("shelf").sortWithinPartitions("shelf", *first).write.partitionBy("shelf")
+
+
 class _Folder:
     """A folder in whatever file system its path names."""
 
@@ -39,6 +51,11 @@ class _Folder:
         self.files.delete(self.path, True)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    place = _Folder(spark, path)
+    return place.files.exists(place.path) and place.files.getFileStatus(place.path).isFile()
+
+
 def _versions(spark: SparkSession, folder: str) -> list[str]:
     """Names of the complete versions of an index, the newest last: those whose mark is written."""
     return [n for n in _Folder(spark, f"{folder}/marks").names() if n.startswith("v") and "_SUCCESS" in _Folder(spark, f"{folder}/marks/{n}").names()]
@@ -56,7 +73,7 @@ def save_index(folder: str, meta: dict, **tables: DataFrame | None) -> None:
     name = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
     for table, rows in tables.items():
         if rows is not None:
-            rows.write.parquet(f"{folder}/versions/{name}/{table}")
+            (by_shelf(rows) if "shelf" in rows.columns else rows.write).parquet(f"{folder}/versions/{name}/{table}")
     spark.createDataFrame([{k: str(v) for k, v in meta.items()}]).coalesce(1).write.json(f"{folder}/marks/{name}")
     for kind in ("marks", "versions"):
         for old in _Folder(spark, f"{folder}/{kind}").names():
@@ -74,14 +91,14 @@ def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def workspace(spark: SparkSession, root: str) -> DataFrame:
-    """(id, name, folder, model, n_chunks, built_at) of the complete indexes in the folders of ``root``."""
-    rows = []
-    for name in _Folder(spark, root).names():
-        if found := _versions(spark, f"{root}/{name}"):
-            meta = spark.read.json(f"{root}/{name}/marks/{found[-1]}").first().asDict()
-            rows.append((name, f"{root}/{name}", meta.get("model"), int(meta.get("n_chunks") or 0), meta.get("built_at")))
-    listed = spark.createDataFrame(rows, "name string, folder string, model string, n_chunks long, built_at string")
-    return catalog(listed).select("id", "name", "folder", "model", "n_chunks", "built_at")
+    """(id, name, folder, model, n_chunks, built_at) of the complete indexes in the folders of ``root``: their marks are read at once."""
+    newest = {f"{root}/{name}/marks/{found[-1]}": (name, f"{root}/{name}") for name in _Folder(spark, root).names() if (found := _versions(spark, f"{root}/{name}"))}
+    places = spark.createDataFrame([(name, folder, mark.rsplit("/", 1)[1]) for mark, (name, folder) in newest.items()], "name string, folder string, at string")
+    if not newest:
+        return catalog(places).select("id", "name", "folder", F.lit(None).cast("string").alias("model"), F.lit(0).cast("long").alias("n_chunks"), F.lit(None).cast("string").alias("built_at"))
+    marks = spark.read.schema("model string, n_chunks string, built_at string").json(list(newest))
+    marks = marks.select(F.regexp_extract(F.col("_metadata.file_path"), "/marks/([^/]+)/[^/]*$", 1).alias("at"), "model", F.coalesce(F.col("n_chunks").cast("long"), F.lit(0)).alias("n_chunks"), "built_at")
+    return catalog(places.join(marks, "at")).select("id", "name", "folder", "model", "n_chunks", "built_at")
 
 
 def append_log(rows: DataFrame, folder: str) -> None:
