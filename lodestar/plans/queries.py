@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import chunk, cite, context, dense, evaluate, graph, lexical, rank, scan, syntax
 from ..sources import files, store
 from ..streaming import logs
-from . import engine, oracle, samples
+from . import engine, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -394,81 +394,6 @@ def table_syntax_chunks(spark, sf_dir):
     return table_graph(spark, sf_dir)[1].select("path", "start_line", "end_line", "symbol", "kind")
 
 
-def sample_graph(spark):
-    """The sample sources as files, chunks, nodes and edges."""
-    sources = spark.createDataFrame(samples.FILES, "path string, text string").withColumn("file_ord", files.walk_order(F.col("path")))
-    parsed = syntax.parse_files(sources)
-    chunks = syntax.numbered(syntax.chunk_files(sources, parsed))
-    nodes = syntax.definitions(parsed, chunks)
-    edges, counts = graph.resolve(nodes, syntax.references(parsed, nodes), syntax.bases(nodes), syntax.imports(sources))
-    return sources, chunks, nodes, store.settle(edges), counts
-
-
-@query(samples.values("src, dst, kind, line, how", samples.EDGES))
-def call_graph_edges(spark, sf_dir):
-    _, _, nodes, edges, _ = sample_graph(spark)
-    name = lambda side: nodes.select(F.col("id").alias(side), F.col("qual").alias(f"{side}_name"))
-    return edges.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "kind", "line", "how")
-
-
-@query(samples.values("qual, pos, base", samples.ANCESTORS))
-def class_ancestry(spark, sf_dir):
-    _, _, nodes, _, _ = sample_graph(spark)
-    return graph.ancestry(syntax.bases(nodes), nodes.filter("kind = 'class'").select("qual", "name"))
-
-
-@query(samples.values("path, start_line, end_line, symbol, kind", samples.CHUNKS))
-def syntax_chunks(spark, sf_dir):
-    return sample_graph(spark)[1].select("path", "start_line", "end_line", "symbol", "kind")
-
-
-@query(samples.values("symbol, qual, tier", samples.FOUND))
-def symbol_find(spark, sf_dir):
-    nodes = sample_graph(spark)[2]
-    asked = spark.createDataFrame([(i, s) for i, s in enumerate(samples.SYMBOLS)], "qid long, symbol string")
-    found = graph.find(nodes, asked).join(nodes.select("id", "qual"), "id").join(asked, "qid")
-    return found.select("symbol", "qual", "tier")
-
-
-@query(samples.values("symbol, pos, name", samples.SIMILAR))
-def similar_names(spark, sf_dir):
-    asked = spark.createDataFrame([(i, s) for i, s in enumerate(samples.MISSPELT)], "qid long, symbol string")
-    return graph.similar(sample_graph(spark)[2], asked).join(asked, "qid").select("symbol", "pos", "name")
-
-
-def sample_questions(spark):
-    return spark.createDataFrame(samples.QUESTIONS, "qid long, text string")
-
-
-@query(samples.values("qid, pin, symbol", samples.PINS))
-def symbol_pins(spark, sf_dir):
-    _, chunks, nodes, _, _ = sample_graph(spark)
-    pins = rank.symbol_pins(sample_questions(spark), rank.symbol_table(chunks, nodes))
-    return pins.join(chunks.select("doc", "symbol"), "doc").select("qid", "pin", "symbol")
-
-
-def sample_search(spark, **more):
-    sources, chunks, nodes, edges, _ = sample_graph(spark)
-    source = rank.corpus(chunks, nodes)
-    return sources, chunks, nodes, edges, source, store.settle(rank.retrieve(source, sample_questions(spark), all_ranks=True, **more))
-
-
-@query(samples.values("qid, pos, symbol, reason", samples.EXPANDED))
-def graph_expand(spark, sf_dir):
-    _, chunks, nodes, edges, _, ranked = sample_search(spark)
-    more = graph.expand(sample_questions(spark), ranked, chunks, nodes, edges, k=2)
-    return more.join(chunks.select("doc", "symbol"), "doc").select("qid", "pos", "symbol", "reason")
-
-
-@query(samples.values("qid, node, hop, via, line", samples.IMPACT))
-def impact_first_edges(spark, sf_dir):
-    _, _, nodes, edges, _ = sample_graph(spark)
-    asked = spark.createDataFrame([(0, "resolve_host")], "qid long, symbol string")
-    found = graph.impact_edges(edges, nodes, graph.find(nodes, asked).select("qid", "id"))
-    name = lambda c, to: nodes.select(F.col("id").alias(c), F.col("qual").alias(to))
-    return found.join(name("id", "node"), "id").join(name("via", "via_name"), "via").select("qid", "node", "hop", F.col("via_name").alias("via"), "line")
-
-
 # ---- text ----
 
 
@@ -499,68 +424,18 @@ def windows_safe_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.windows_safe(F.regexp_replace("url", "^https?://", "")).alias("safe"))
 
 
-@query(samples.values("message, clean", [(m, c) for m, c in samples.SECRETS]))
-def secret_scrub(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m, _ in samples.SECRETS], "message string").select("message", T.scrub_keys("message").alias("clean"))
-
-
-@query(samples.values("qid, pos, rewrite", samples.REWRITES))
-def parse_rewrites(spark, sf_dir):
-    rows = spark.createDataFrame([(0, samples.REWRITE_ANSWER)], "qid long, text string")
-    return rows.select("qid", F.posexplode(T.rewrites("text")).alias("pos", "rewrite"))
-
-
-@query(samples.values("line_no, line", samples.NOTEBOOK_LINES))
-def notebook_view(spark, sf_dir):
-    rows = spark.createDataFrame([(samples.NOTEBOOK,)], "raw string").select(F.posexplode(T.lines(files.notebook_text("raw"))).alias("i", "line"))
-    return rows.select((F.col("i") + 1).alias("line_no"), "line")
-
-
 # ---- citations ----
 
 
-def sample_answers(spark):
-    shown = spark.createDataFrame(samples.SHOWN, "qid long, pos int, path string, start_line long, end_line long, text string, symbol string")
-    return spark.createDataFrame(samples.ANSWERS, "qid long, text string"), shown
-
-
-@query(samples.values("qid, path, first, last", samples.CITED))
-def citation_parse(spark, sf_dir):
-    answers, _ = sample_answers(spark)
-    return answers.select("qid", F.explode(T.citations(T.normalize_citations("text"))).alias("c")).select("qid", "c.*")
-
-
-_REPORT = ["qid", "n_citations", "invalid", "n_claims", "cited_claims", "unsupported", "uncited", "broad", "refusal", "penalty", "ok"]
-
-
-@query(samples.values(", ".join(_REPORT), samples.REPORTS))
-def citation_strict(spark, sf_dir):
-    reports = cite.check_answers(*sample_answers(spark))
-    joined = {c: F.array_join(c, "; ") for c in ("invalid", "unsupported", "uncited", "broad")}
-    return reports.withColumns(joined).select(*_REPORT)
-
-
-@query(samples.values("qid, n_citations, invalid", samples.RANGES))
-def citation_ranges(spark, sf_dir):
-    return cite.check_ranges(*sample_answers(spark)).select("qid", "n_citations", F.array_join("invalid", "; ").alias("invalid"))
-
-
-@query(samples.values("qid, repaired", samples.REPAIRED))
-def repair_choice(spark, sf_dir):
-    drafts, shown = sample_answers(spark)
-    revisions = spark.createDataFrame(samples.REVISIONS, "qid long, text string")
-    return cite.choose_repairs(cite.check_answers(drafts, shown), cite.check_answers(revisions, shown))
-
-
-_CITED = f"""{_WINDOWS}, shown AS (SELECT doc_id AS qid, chunk_no, path || '.txt' AS path, start_line AS a, end_line AS b FROM c WHERE chunk_no < 2 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+_CITED = f"""{_WINDOWS}, shown AS (SELECT doc_id AS qid, chunk_no, path || '.txt' AS path, start_line AS a, end_line AS b FROM c WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
 said AS (SELECT doc_id AS qid, doc_id % 7 + 1 AS first, doc_id % 7 + 1 + doc_id % 31 AS last, ls, CASE WHEN doc_id % 3 = 0 THEN 'absent_name' ELSE regexp_extract(array_to_string(ls, chr(10)), '[A-Za-z_][A-Za-z0-9_]{{2,}}') END AS name FROM l),
 inside AS (SELECT said.qid, max((a <= first AND last <= b)::INTEGER) AS one, count(*) FILTER (b >= first AND a <= last) AS n_over, min(a) FILTER (b >= first AND a <= last) AS low, max(b) FILTER (b >= first AND a <= last) AS high
   FROM said JOIN shown USING (qid) GROUP BY said.qid)"""
 
 
 def cited_documents(spark, sf_dir):
-    """An answer about each document, which names a word and cites lines, and the first two windows of the document as what it was shown."""
-    rows = windows(spark, sf_dir).filter("chunk_no < 2").select(F.col("doc_id").alias("qid"), F.col("chunk_no").alias("pos"), F.concat("path", F.lit(".txt")).alias("path"), "start_line", "end_line", "text", F.lit("").alias("symbol"))
+    """An answer about each document, which names a word and cites lines, and all windows of the document as what it was shown."""
+    rows = windows(spark, sf_dir).select(F.col("doc_id").alias("qid"), F.col("chunk_no").alias("pos"), F.concat("path", F.lit(".txt")).alias("path"), "start_line", "end_line", "text", F.lit("").alias("symbol"))
     d = table(spark, sf_dir, "documents").filter("text <> ''")
     first = F.col("doc_id") % 7 + 1
     name = F.when(F.col("doc_id") % 3 == 0, F.lit("absent_name")).otherwise(F.regexp_extract(F.array_join(T.lines("text"), "\n"), "[A-Za-z_][A-Za-z0-9_]{2,}", 0))
@@ -653,31 +528,6 @@ def latency_p50_p95(spark, sf_dir):
     return evaluate.latency(table(spark, sf_dir, "events"), "value", ["event_type"])
 
 
-@query(samples.values("type, n, mean_added, topk_recall, topk_all, baseline_recall, baseline_all, expand_recall, expand_all", samples.TRACE))
-def trace_eval(spark, sf_dir):
-    _, chunks, nodes, edges, source, ranked = sample_search(spark)
-    gold = spark.createDataFrame(samples.TRACE_GOLD, "qid long, type string, targets array<struct<path:string,line:int>>")
-    k = 2
-    hits = ranked.filter(F.col("pos") <= k).select("qid", "doc")
-    more = graph.expand(sample_questions(spark), ranked, chunks, nodes, edges, k=k).select("qid", "doc")
-    size = more.groupBy("qid").agg(F.count("*").alias("n"))
-    base = ranked.join(size, "qid", "left").filter(F.col("pos") <= k + F.coalesce("n", F.lit(0))).select("qid", "doc")
-    return evaluate.trace_metrics(gold, chunks, hits, base, hits.unionByName(more))
-
-
-@query(samples.values("n, gold_cited, valid_rate, claims_cited, unsupported_per_answer, mean_width, repaired", samples.ANSWER_METRICS))
-def answer_eval(spark, sf_dir):
-    answers, shown = sample_answers(spark)
-    gold = spark.createDataFrame(samples.ANSWER_GOLD, "qid long, type string, targets array<struct<path:string,line:int>>")
-    return evaluate.answer_metrics(gold, answers.withColumn("repaired", F.col("qid") == 1), cite.check_answers(answers, shown))
-
-
-@query(samples.values("qid, problem", samples.GOLD_PROBLEMS))
-def gold_validation(spark, sf_dir):
-    gold = spark.createDataFrame(samples.GOLD_TO_CHECK, "qid long, type string, targets array<struct<path:string,line:int>>")
-    return evaluate.validate_gold(gold, spark.createDataFrame(samples.FILES, "path string, text string"))
-
-
 # ---- stores and streams ----
 
 

@@ -131,20 +131,3 @@ ANSWER_GOLD = [(0, "why", [("a.py", 11)]), (1, "why", [("b.py", 2)]), (2, "why",
 ANSWER_METRICS = [(5, 0.4, 0.8, 0.75, 0.4, 18.888889, 1)]
 GOLD_TO_CHECK = [(0, "why", [("app.py", 4)]), (1, "why", [("nofile.py", 1)]), (2, "why", [("app.py", 2)]), (3, "why", [("app.py", 99)])]
 GOLD_PROBLEMS = [(1, "missing file nofile.py"), (2, "app.py:2 is out of range or blank"), (3, "app.py:99 is out of range or blank")]
-
-
-def _literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).upper()
-    if isinstance(v, float):
-        return f"{v!r}::DOUBLE"
-    if isinstance(v, int):
-        return f"{v}::BIGINT"
-    return "'" + v.replace("'", "''") + "'"
-
-
-def values(columns: str, rows: list[tuple]) -> str:
-    """SQL that gives ``rows`` under these column names."""
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) t({columns})"

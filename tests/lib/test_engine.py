@@ -1,10 +1,11 @@
 """Index, search, answers and stores end to end on the sample sources."""
 
 import pytest
+import samples
 from pyspark.sql import functions as F
 
 from lodestar.operators import chunk, context, dense, evaluate, graph, lexical, rank, scan, syntax
-from lodestar.plans import engine, prompts, samples
+from lodestar.plans import engine, prompts
 from lodestar.sources import files, store
 from lodestar.streaming import logs
 

@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare
 
-from lodestar.plans import queries
+from lodestar.plans import event_queries, queries, table_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
