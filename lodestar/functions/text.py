@@ -14,7 +14,12 @@ and or not no do does did how what where when why which who whom whose there her
 i we you they he she my our your their me us them if then than so such just also very about
 """.split()
 
-# Patterns of identifiers, citations and sentence ends.
+# Endings that a stem does without, in turn, and what is kept of a match (digits are groups).
+ENDINGS = [("^(.{2,})ies$", "1y"), ("^(.{3,})(?:ing|ed)$|^(.{2,}[^s])s$", "12"), ("^(.{4,})e$", "1")]
+
+# Patterns of identifiers, of dotted names and what file names end in, of citations and sentence ends.
+DOTTED = "(?U)\\b([A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+)\\b"
+FILE_ENDING = "\\.(py|md|txt|com|org)$"
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 PARTS = "[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"
 CITATION = "[\\[`]([^\\[\\]`\\s]+?\\.\\w+):([0-9]+)(?:-([0-9]+))?[\\]`]"
@@ -71,24 +76,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
 
 
-def _ending_off(token: Column) -> Column:
-    n = F.length(token)
-    return (
-        F.when((n > 4) & token.endswith("ies"), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
-        .when((n > 5) & token.endswith("ing"), F.substring(token, F.lit(1), n - 3))
-        .when((n > 4) & token.endswith("ed"), F.substring(token, F.lit(1), n - 2))
-        .when((n > 3) & token.endswith("s") & ~token.endswith("ss"), F.substring(token, F.lit(1), n - 1))
-        .otherwise(token)
-    )
-
-
-def _e_off(token: Column) -> Column:
-    return F.when(token.endswith("e") & (F.length(token) > 4), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
-
-
 def stem(token: Column) -> Column:
     """Plural and verb endings off, then a closing e: decode, decoded and decoding meet."""
-    return let(_ending_off(token), _e_off)
+    for ending, kept in ENDINGS:
+        token = F.regexp_replace(token, ending, "".join(f"${x}" if x.isdigit() else x for x in kept))
+    return token
 
 
 def parts(word: Column) -> Column:
@@ -109,7 +101,7 @@ def tokens(text: Column | str, drop_stop_words: bool = False) -> Column:
 
     found = F.flatten(F.transform(_all(_text(text), IDENTIFIER), spread))
     kept = F.filter(found, lambda t: (F.length(t) >= 2) & (~t.isin(STOP_WORDS) if drop_stop_words else F.lit(True)))
-    return F.transform(F.transform(kept, _ending_off), _e_off)
+    return F.transform(kept, stem)
 
 
 def hashing_tokens(text: Column | str) -> Column:
@@ -126,7 +118,7 @@ def identifier_terms(question: Column | str) -> Column:
     q = _text(question)
     words = _all(q, IDENTIFIER)
     ticked = _all(q, "`([A-Za-z_][A-Za-z0-9_.]*)`", 1)
-    dotted = F.filter(F.array_distinct(_all(F.replace(q, F.lit("`"), F.lit("")), "(?U)\\b([A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+)\\b", 1)), lambda d: ~d.rlike("\\.(py|md|txt|com|org)$"))
+    dotted = F.filter(F.array_distinct(_all(F.replace(q, F.lit("`"), F.lit("")), DOTTED, 1)), lambda d: ~d.rlike(FILE_ENDING))
     inner = F.flatten(F.transform(dotted, lambda d: F.split(d, "\\.")))
     looks = lambda w: F.regexp_replace(w, "^_+|_+$", "").contains("_") | w.rlike("[a-z0-9][A-Z]") | F.array_contains(ticked, w)
     plain = F.filter(words, lambda w: looks(w) & ~F.array_contains(inner, w))

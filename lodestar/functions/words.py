@@ -10,6 +10,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -25,24 +26,27 @@ _WORD, _PART = re.compile(T.IDENTIFIER), re.compile(T.PARTS)
 _STOP = frozenset(T.STOP_WORDS)
 
 
+_ENDINGS = [(re.compile(ending), "".join(f"\\{x}" if x.isdigit() else x for x in kept)) for ending, kept in T.ENDINGS]
+
+
 def stem(token: str) -> str:
-    n = len(token)
-    if n > 4 and token.endswith("ies"):
-        token = token[:-3] + "y"
-    elif n > 5 and token.endswith("ing"):
-        token = token[:-3]
-    elif n > 4 and token.endswith("ed"):
-        token = token[:-2]
-    elif n > 3 and token.endswith("s") and not token.endswith("ss"):
-        token = token[:-1]
-    return token[:-1] if token.endswith("e") and len(token) > 4 else token
+    """:func:`.text.stem` of one token, by the same table of endings."""
+    return reduce(lambda word, rule: rule[0].sub(rule[1], word), _ENDINGS, token)
+
+
+def pieces(word: str) -> Iterator[str]:
+    """An identifier in lower case, and behind it the words that it is made of, if they are others."""
+    whole = word.lower()
+    yield whole
+    inner = list(map(str.lower, _PART.findall(word)))
+    if "_" in word or len(inner) > 1:
+        yield from filter(whole.__ne__, inner)
 
 
 def search_tokens(word: str, drop_stop_words: bool = False) -> tuple[str, ...]:
     """What one identifier adds to :func:`.text.tokens`."""
-    low, parts = word.lower(), [p.lower() for p in _PART.findall(word)]
-    found = [low, *(p for p in parts if p != low)] if len(parts) > 1 or "_" in word else [low]
-    return tuple(stem(t) for t in found if len(t) >= 2 and not (drop_stop_words and t in _STOP))
+    dropped = _STOP if drop_stop_words else ()
+    return tuple(map(stem, (t for t in pieces(word) if t[1:] and t not in dropped)))
 
 
 def hashing_tokens(word: str) -> tuple[str, ...]:

@@ -336,14 +336,16 @@ def impact_of(index: Index, symbols: DataFrame, depth: int | None = None) -> Dat
     return hit.join(index.nodes.select("id", "qual", "path"), "id").orderBy("qid", "hop", "path")
 
 
-def suggested_questions(index: Index) -> list[str]:
-    """First questions about a source tree: its definitions with most callers."""
+def suggested_questions(index: Index, most: int = 3) -> DataFrame:
+    """(pos, text): questions to begin with, two about each of the ``most`` definitions with most callers; one about all of it without any."""
+    spark = index.chunks.sparkSession
+    overview = spark.createDataFrame([(0, "Which parts is this code made of, and how do they work together?")], "pos int, text string")
     if index.edges is None:
-        return ["Where is the main entry point?", "How are errors handled?"]
-    top = [r.qual for r in graph.suggestions(index.nodes, index.edges).orderBy("pos").collect()]
-    first = [f"What does {top[0]} do?"] if top else []
-    second = [f"What calls {top[1].split('.')[-1]}, and what would break if I changed it?"] if len(top) > 1 else []
-    return [*first, *second, "How are errors handled?"]
+        return overview
+    top = graph.suggestions(index.nodes, index.edges, most)
+    asked = F.array(F.concat(F.lit("How does `"), "qual", F.lit("` work?")), F.concat(F.lit("Who calls `"), "qual", F.lit("`, and with what?")))
+    rows = top.select("pos", F.posexplode(asked).alias("n", "text"))
+    return overview.unionByName(rows.select((2 * F.col("pos") + F.col("n") - 1).cast("int").alias("pos"), "text"))
 
 
 def evaluate_retrieval(index: Index, gold: DataFrame, settings: Settings | None = None, rewrites: DataFrame | None = None) -> DataFrame:

@@ -47,10 +47,11 @@ def _place(address: str):
 
 class _Tree:
     def __init__(self, options: dict):
-        self.root = options["path"]
-        self.suffixes = tuple(x for x in options.get("suffixes", ".py,.ipynb").split(",") if x)
-        self.most, self.each = int(options.get("maxBytes", 500_000)), int(options.get("partitionBytes", 4 << 20))
-        self.settle = int(options.get("settleMs", 1000))
+        given = {k.lower(): v for k, v in options.items()}
+        self.root = given["path"]
+        self.suffixes = tuple(x for x in given.get("suffixes", ".py,.ipynb").split(",") if x)
+        self.most, self.each = int(given.get("maxbytes", 500_000)), int(given.get("partitionbytes", 4 << 20))
+        self.settle = int(given.get("settlems", 1000))
 
     def listed(self) -> list[Found]:
         from pyarrow import fs
@@ -74,7 +75,9 @@ class _Tree:
             size += f.length
         return [Files(p) for p in parts]
 
-    def rows(self, partition: Files) -> Iterator[tuple]:
+    def rows(self, partition: Files | None) -> Iterator[tuple]:
+        if partition is None:  # nothing was listed
+            return
         files, root = _place(self.root)
         for f in partition.held:
             try:

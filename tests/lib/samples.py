@@ -95,13 +95,13 @@ REWRITES = [(0, 0, "open a listening port"), (0, 1, "Listener` bind address"), (
 NOTEBOOK = json.dumps(
     {
         "cells": [
-            {"cell_type": "markdown", "source": ["# Title\n", "text"]}, {"cell_type": "code", "source": ["%matplotlib inline\n", "x = 1"], "outputs": [{"data": "long"}]},
-            {"cell_type": "code", "source": ""}, {"cell_type": "raw", "source": "note"}, {"cell_type": "code", "source": "!ls\ny = 2"},
+            {"cell_type": "code", "source": ["import os\n", "%cd /tmp\n", "print(os.getcwd())"], "outputs": [{"text": "/tmp"}]}, {"cell_type": "markdown", "source": "Some *prose*  \nmore"},
+            {"cell_type": "code", "source": []}, {"cell_type": "code", "source": "   "}, {"cell_type": "markdown", "source": [""]}, {"cell_type": "raw", "source": ["a\n", "b"]}, {"cell_type": "code", "source": "!pip list"},
         ]
     }
 )
 NOTEBOOK_LINES = list(
-    enumerate(["# %% [markdown] cell 1", "# # Title", "# text", "", "# %% cell 2", "# %matplotlib inline", "x = 1", "", "# %% [raw] cell 4", "# note", "", "# %% cell 5", "# !ls", "y = 2"], 1)
+    enumerate(["# %% cell 1", "import os", "# %cd /tmp", "print(os.getcwd())", "", "# %% [markdown] cell 2", "# Some *prose*", "# more", "", "# %% [raw] cell 6", "# a", "# b", "", "# %% cell 7", "# !pip list"], 1)
 )
 
 LOAD = "def load(path):\n    data = read(path)\n    return data"
