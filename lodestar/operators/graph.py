@@ -114,14 +114,16 @@ def callees(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def impact(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(qid, id, hop): everything that reaches ``starts`` (qid, id) over at most ``depth`` edges, with its distance.
 
-    One join a hop, from the nodes that the hop before added; the start itself is left out.
+    One join a hop, from the nodes that the hop before added; the start itself is left out. Each hop is written before the next, so that
+    no hop plans those before it again, and the walk ends where nothing is added.
     """
     back = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
-    seen = starts.select("qid", "id").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    seen = front = settle(starts.select("qid", "id").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
         new = front.join(back, front.id == back._dst).select("qid", F.col("_src").alias("id")).distinct()
-        front = new.join(seen.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        front = settle(new.join(seen.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.filter("hop > 0")
 
@@ -140,7 +142,9 @@ def impact_edges(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: i
         turn = Window.partitionBy("qid", "_at").orderBy("_path", "_line", "src")
         met = met.withColumn("_k", F.row_number().over(turn))
         new = met.select("qid", F.col("src").alias("id"), F.lit(hop).alias("hop"), F.col("_at").alias("via"), F.col("_kind").alias("kind"), F.col("_line").cast("int").alias("line"), F.concat("_turn", F.array("_k")).alias("turn"))
-        front = new.join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
+        front = settle(new.join(seen.select("qid", "id"), ["qid", "id"], "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.filter("hop > 0").drop("turn")
 

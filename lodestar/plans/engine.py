@@ -20,6 +20,8 @@ from . import prompts
 PREFIX = "LODESTAR_"
 #: Bounds on what a question may ask for: hits, and characters of its text.
 MOST_HITS, LONGEST = 20, 1000
+#: Where a repair stands among an answer's events, behind all tokens.
+REPAIR = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -254,14 +256,22 @@ def gather(index: Index, questions: DataFrame, settings: Settings | None = None,
     return hits.unionByName(more)
 
 
-def answer(index: Index, questions: DataFrame, generator: Generator, settings: Settings | None = None, rewrites: DataFrame | None = None, repairer: Generator | None = None) -> DataFrame:
+#: What is told about a batch of answers while they are made: an event's name, its place, and rows (qid, body).
+Watcher = Callable[[str, int, DataFrame], None]
+
+
+def answer(
+    index: Index, questions: DataFrame, generator: Generator, settings: Settings | None = None, rewrites: DataFrame | None = None, repairer: Generator | None = None, watch: Watcher | None = None
+) -> DataFrame:
     """Answers (qid, question, text, repaired, draft, used, report, draft_report) checked against what was shown.
 
     A draft that fails the check is repaired once by ``repairer`` (the same generator if none is given) and replaced if the
     revision is better. Questions that cannot be asked have no answer. prompt_id and prompt_hash name the draft's prompt; t_retrieve,
-    t_generate and t_total are the batch's seconds a question.
+    t_generate and t_total are the batch's seconds a question. watch: told the sources before the model is asked, what is wrong with drafts before they
+    are repaired, and the answers at last.
     """
     s = settings or Settings()
+    tell = watch or (lambda event, place, rows: None)
     questions = store.settle(askable(questions))
     began, n = time.monotonic(), max(1, questions.count())
     hits = store.settle(gather(index, questions, s, rewrites))
@@ -271,6 +281,7 @@ def answer(index: Index, questions: DataFrame, generator: Generator, settings: S
     first = shown.filter("pos = 0").select("qid", chunk.citation(F.col("path"), F.col("start_line"), F.least(F.col("start_line") + 2, F.col("end_line"))).alias("example"))
     ready = questions.select("qid", F.col("text").alias("question")).join(packed, "qid", "left").join(first, "qid", "left")
     asked = prompts.requests(ready, s.answer_prompt, question=F.col("question"), context=F.coalesce("context", F.lit("")), example=F.coalesce("example", F.lit("path:start-end")))
+    tell("sources", 0, packed.select("qid", F.to_json("used").alias("body")))
     drafts = store.settle(generator(asked).select("qid", T.normalize_citations("text").alias("text")))
     written = time.monotonic()
     reports = store.settle(cite.check_answers(drafts, shown, s.broad_lines))
@@ -281,6 +292,7 @@ def answer(index: Index, questions: DataFrame, generator: Generator, settings: S
         paths = shown.groupBy("qid").agg(F.array_join(F.sort_array(F.collect_set("path")), ", ").alias("paths"))
         told = told.join(bad.select("qid", (F.size("invalid") > 0).alias("astray")), "qid").join(paths, "qid", "left")
         told = told.select("qid", F.when(F.col("astray"), F.concat("problems", F.lit("\n- These files alone can be cited: "), F.coalesce("paths", F.lit("none")))).otherwise(F.col("problems")).alias("problems"))
+        tell("repair", REPAIR, told.select("qid", F.col("problems").alias("body")))
         again = told.join(drafts.select("qid", F.col("text").alias("draft")), "qid")
         again = prompts.requests(again, s.repair_prompt, problems=F.col("problems"), draft=F.col("draft"))
         revised = store.settle((repairer or generator)(again).select("qid", T.normalize_citations("text").alias("text")))
@@ -294,6 +306,7 @@ def answer(index: Index, questions: DataFrame, generator: Generator, settings: S
     rows = rows.join(packed.select("qid", "used"), "qid", "left").join(packs(final_reports, "report"), "qid").join(packs(reports, "draft_report"), "qid")
     prompt = prompts.load(s.answer_prompt)
     rows = store.settle(rows.select("*", F.lit(prompt.id).alias("prompt_id"), F.lit(prompt.hash).alias("prompt_hash")))
+    tell("done", REPAIR + 1, rows.select("qid", F.col("text").alias("body")))
     each = {"t_retrieve": found - began, "t_generate": written - found, "t_total": time.monotonic() - began}
     return rows.select("*", *(F.lit(round(seconds / n, 6)).alias(name) for name, seconds in each.items()))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -40,21 +42,62 @@ class Model:
         return "/chat/completions", said | {"temperature": self.temperature, "seed": self.seed}
 
 
-def _calls(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def token_of(line: str, provider: str) -> str:
+    """:func:`.text.stream_token` of one line, in a task that reads it as it comes."""
+    try:
+        if provider == "ollama":
+            return json.loads(line)["message"]["content"] or ""
+        return json.loads(line.removeprefix("data:"))["choices"][0]["delta"]["content"] or "" if line.startswith("data:") else ""
+    except (ValueError, KeyError, IndexError, TypeError):
+        return ""
+
+
+class Telling:
+    """One question's events as lines of JSON in a file of its own, each written out at once; without a folder nothing is written."""
+
+    def __init__(self, folder: str | None, qid):
+        self.qid, self.seq, self.out = qid, 0, None
+        if folder:
+            from pyarrow import fs
+
+            files, place = fs.FileSystem.from_uri(folder)
+            files.create_dir(place, recursive=True)
+            self.out = files.open_output_stream(f"{place}/{qid}-{uuid.uuid4().hex}.json", compression=None, buffer_size=None)
+
+    def __enter__(self) -> Telling:
+        return self
+
+    def __exit__(self, *fault) -> None:
+        if self.out is not None:
+            self.out.close()
+
+    def token(self, body: str) -> None:
+        if self.out is not None and body:
+            self.seq += 1
+            self.out.write(json.dumps({"qid": self.qid, "seq": self.seq, "event": "token", "body": body}).encode() + b"\n")
+            self.out.flush()
+
+
+def _calls(model: Model, live: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls of a task's requests; with ``live``, a folder, their tokens are told there as they come."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
         import urllib.error
         import urllib.request
 
         head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {model.key}"} if model.key else {})
         for batch in batches:
             rows = []
-            for system, user in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for qid, system, user in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 path, body = model.request(system, user)
                 try:
                     call = urllib.request.Request(model.url.rstrip("/") + path, json.dumps(body).encode(), head)
-                    with urllib.request.urlopen(call, timeout=model.seconds) as reply:
-                        rows.append((reply.status, "", [line.decode("utf-8", "replace").rstrip("\r\n") for line in reply], ""))
+                    with urllib.request.urlopen(call, timeout=model.seconds) as reply, Telling(live, qid) as tell:
+                        lines = []
+                        for raw in reply:
+                            lines.append(raw.decode("utf-8", "replace").rstrip("\r\n"))
+                            tell.token(token_of(lines[-1], model.provider))
+                        rows.append((reply.status, "", lines, ""))
                 except urllib.error.HTTPError as fault:
                     rows.append((fault.code, fault.headers.get("Retry-After", ""), [], fault.read().decode("utf-8", "replace")[:500]))
                 except OSError as fault:
@@ -66,16 +109,17 @@ def _calls(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def generator(model: Model, failures: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame], DataFrame]:
+def generator(model: Model, failures: Callable[[DataFrame], None] | None = None, live: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """A generator: (qid, system, user) in, (qid, text) out. Requests that the server puts off are asked again after the longest time that it
-    names, up to ``tries`` times in all; those that fail have no row, and ``failures`` gets (qid, status, message) with keys hidden."""
+    names, up to ``tries`` times in all; those that fail have no row, and ``failures`` gets (qid, status, message) with keys hidden.
+    live: a folder where tokens are told while the model writes (:func:`.live.read`)."""
 
     def run(requests: DataFrame) -> DataFrame:
         left = store.settle(requests.select("qid", "system", "user"))
         kind = dict(left.dtypes)["qid"]
         done = None
         for turn in range(model.tries):
-            replies = left.repartition(model.tasks).mapInArrow(_calls(model), f"qid {kind}, status int, wait string, lines array<string>, fault string")
+            replies = left.repartition(model.tasks).mapInArrow(_calls(model, live), f"qid {kind}, status int, wait string, lines array<string>, fault string")
             replies = store.settle(replies)
             text = F.array_join(F.transform("lines", lambda x: T.stream_token(x, F.lit(model.provider))), "")
             good = replies.filter("status = 200").select("qid", text.alias("text"))
