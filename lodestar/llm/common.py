@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +47,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read from there: nothing of its plan, and so of its shuffles, is kept."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Delete the shuffle files of tables that nothing refers to any more, which Spark does when the driver's garbage is collected: first
+    that of Python, then that of the JVM, and again for what only the first round let go."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+
+
 def partitions_for(rows: int, rows_each: int, at_least: int) -> int:
     """Partitions that hold about ``rows_each`` rows, never fewer than ``at_least``."""
     return max(at_least, -(-rows // rows_each))

@@ -12,10 +12,11 @@ arcs are followed until an arc has the next word, and weights add up.
 
 Scale. The model grows with the corpus and fits nowhere whole, so each slice of texts (``SLICE`` tokens) walks on the part of it that its
 own n-grams name. A slice is written once, as numbers of its words. It sends its different n-grams with their counts in training texts,
-as sorted 64-bit fingerprints (single words as they are), packed, to the parts that own them; a part adds up what all slices sent and
+as sorted 56-bit fingerprints (single words as they are), packed, to the parts that own them; a part adds up what all slices sent and
 answers each with totals in the order it asked. So n-grams are merged before the shuffle, a frequent one is a number a slice, and no
 part depends on a key. Totals come back to the slice, which builds its automaton and walks all its texts at once, one step for each place.
-At 10^8 different n-grams the chance that any two share a fingerprint is 3 in 10,000; such two would add up their counts.
+Of 10^8 different n-grams 0.07 pairs are expected to share a fingerprint, of 10^11 one in a million has a partner; such two add up
+their counts. What was sent to the parts is let go before their answers are dealt, so that both never lie on the disks at once.
 
 Defined results: null texts are empty, which have the end token alone; rows with a null doc_id train and are not held out; repeated rows count
 as often as they occur; without training texts N and V are 0 and every token has probability 1; an empty table gives no rows.
@@ -34,14 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, partitions_for, spread_table
+from .common import cut_lineage, let_go, partitions_for, spread_table, written
 
-ORDER, PRIOR, SLICE, PART_TOKENS = 3, {2: 300.0, 3: 30.0}, 4_000_000, 2_000_000
+ORDER, PRIOR, SLICE, PART_TOKENS = 3, {2: 300.0, 3: 30.0}, 1_500_000, 2_000_000
+#: Bits of a fingerprint.
+PRINT = 56
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The end token; no word is empty. Its number is 0 in every slice.
 END = b""
 
-SLICES = "slice long, order int, part int, ids array<long>, train array<boolean>, sizes array<int>, words array<binary>, data binary"
+SLICES = "slice long, order int, part int, ids array<long>, train array<boolean>, sizes array<int>, words binary, data binary"
 
 
 def packed(numbers: np.ndarray, width: int) -> bytes:
@@ -55,13 +58,23 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
+def listed(words) -> bytes:
+    """Words, none of which holds a line end, compressed."""
+    data = b"\n".join(words)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unlisted(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
 def batch_of(rows: list[dict]) -> pa.RecordBatch:
     """Rows of ``SLICES``; columns that a row lacks are null."""
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     names = [c.split()[0] for c in SLICES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in zip(names, kinds, strict=True)], names=names)
 
@@ -78,7 +91,7 @@ def to_slices(docs: DataFrame, size: int = SLICE) -> DataFrame:
         ids, train, parts, total = [], [], [], 0
 
         def whole(name: int) -> pa.RecordBatch:
-            return batch_of([{"slice": name, "order": 0, "ids": ids, "train": train, "sizes": list(map(len, parts)), "words": list(number), "data": packed(np.concatenate(parts), 4)}])
+            return batch_of([{"slice": name, "order": 0, "ids": ids, "train": train, "sizes": list(map(len, parts)), "words": listed(number), "data": packed(np.concatenate(parts), 4)}])
 
         for batch in batches:
             for doc, text, learnt in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("train").to_pylist(), strict=True):
@@ -111,10 +124,10 @@ class Slice:
 
     def __init__(self, sizes: list[int], train: list[bool], words: list[bytes], data: bytes, order: int, parts: int):
         self.sizes, self.words = np.array(sizes, np.int64), words
-        self.x = unpacked(data, 4).astype(np.int64)
+        self.x = unpacked(data, 4).astype(np.int32)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(np.array(train, bool), self.sizes)
-        self.place = np.arange(len(self.x)) - np.repeat(self.starts, self.sizes)
+        place = np.arange(len(self.x), dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
         owner = np.array([zlib.crc32(w) for w in words], np.uint64) * np.uint64(parts) >> np.uint64(32)
         #: Words by the part that owns them, and where each part begins.
         self.by_part = np.argsort(owner, kind="stable")
@@ -126,15 +139,15 @@ class Slice:
         keys = prints
         for k in range(2, order + 1):
             keys = mixed(np.r_[np.uint64(0), keys[:-1]] * np.uint64(3) + prints)
-            at = np.flatnonzero(self.place >= k - 1)
-            found, number = np.unique(keys[at], return_inverse=True)
+            at = np.flatnonzero(place >= k - 1).astype(np.int32)
+            found, number = np.unique(keys[at] >> np.uint64(64 - PRINT), return_inverse=True)
             counts = np.bincount(number, self.train[at], len(found)).astype(np.int64)
-            self.grams[k] = found, counts, at, number
+            self.grams[k] = found, counts, at, number.astype(np.int32)
         self.parts = parts
 
     def cuts(self, k: int) -> np.ndarray:
         """Where each part's fingerprints begin: parts are ranges of them."""
-        return np.searchsorted((self.grams[k][0] >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32), np.arange(self.parts + 1))
+        return np.searchsorted((self.grams[k][0] >> np.uint64(PRINT - 32)) * np.uint64(self.parts) >> np.uint64(32), np.arange(self.parts + 1))
 
 
 def ranges(cuts: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -149,11 +162,11 @@ def asked(slices: DataFrame, order: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                s, name = Slice(r["sizes"], r["train"], r["words"], r["data"], order, parts), r["slice"]
+                s, name = Slice(r["sizes"], r["train"], unlisted(r["words"]), r["data"], order, parts), r["slice"]
                 rows = []
                 for part, start, end in ranges(s.word_cuts):
                     mine = s.by_part[start:end]
-                    rows.append({"slice": name, "order": 1, "part": part, "words": [s.words[i] for i in mine.tolist()], "data": packed(s.word_counts[mine], 4)})
+                    rows.append({"slice": name, "order": 1, "part": part, "words": listed(s.words[i] for i in mine.tolist()), "data": packed(s.word_counts[mine], 4)})
                 for k in range(2, order + 1):
                     found, counts = s.grams[k][:2]
                     for part, start, end in ranges(s.cuts(k)):
@@ -169,7 +182,6 @@ def answered(requests: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict[int, list[tuple[int, int, int]]] = {}
-        words: dict[bytes, int] = {}
         keys: dict[int, list[np.ndarray]] = {}
         counts: dict[int, list[np.ndarray]] = {}
         number = defaultdict(int)
@@ -178,7 +190,8 @@ def answered(requests: DataFrame, parts: int) -> DataFrame:
             for r in batch.select(["slice", "order", "part", "words", "data"]).to_pylist():
                 k, data = r["order"], r["data"]
                 if k == 1:
-                    found, n = np.fromiter(map(number.__getitem__, r["words"]), np.int64, len(r["words"])), unpacked(data, 4)
+                    n = unpacked(data, 4)
+                    found = np.fromiter(map(number.__getitem__, unlisted(r["words"])), np.int64, len(n))
                 else:
                     end = 8 + int.from_bytes(data[:8], "little")
                     found, n = np.cumsum(unpacked(data[8:end], 8), dtype=np.uint64), unpacked(data[end:], 4)
@@ -200,16 +213,20 @@ def answered(requests: DataFrame, parts: int) -> DataFrame:
         if known:
             yield batch_of([{"order": -1, "sizes": [known]}])
 
-    return cut_lineage(requests.repartition(parts, "part").mapInArrow(run, SLICES))
+    return written(requests.repartition(parts, "part").mapInArrow(run, SLICES))
 
 
 class Automaton:
-    """States, arcs and failure arcs of the n-grams of a slice; state 0 is the empty history."""
+    """States, arcs and failure arcs of the n-grams of a slice; state 0 is the empty history.
+
+    A state of k words has at most one arc that reads the word at a place: the n-gram of k + 1 words that ends there. So arcs are found
+    by place: ``arcs[k + 1]`` names, for each place, the arc that a state of k words takes there, or none.
+    """
 
     def __init__(self, s: Slice, totals: dict[int, np.ndarray], n: int, v: int, priors: dict[int, float]):
         words, top = len(s.words), max(totals)
         empty = (totals[1] + 1.0) / (n + v + 1.0)
-        self.words, self.first = words, np.log10(empty)
+        self.first = np.log10(empty)
         # a state for each word but the end, and for each longer n-gram below the order, that training texts hold
         state = {1: np.where((totals[1] > 0) & (np.arange(words) > 0), np.arange(words), 0)}
         size = words
@@ -217,10 +234,10 @@ class Automaton:
             state[k] = np.where(totals[k] > 0, size + np.arange(len(totals[k])), 0)
             size += len(totals[k])
         self.enter = state[1] if top > 1 else np.zeros(words, np.int64)
-        self.fail, self.fall = np.zeros(size, np.int64), np.zeros(size)
+        self.fail, self.fall, self.length = np.zeros(size, np.int64), np.zeros(size), np.zeros(size, np.int8)
         if top > 1:
-            self.fall[:words] = np.log10(priors[2] / (totals[1] + priors[2]))
-        keys, weights, targets = [], [], []
+            self.fall[:words], self.length[1:words] = np.log10(priors[2] / (totals[1] + priors[2])), 1
+        self.arcs, self.weights, self.targets = {}, {}, {}
         # of the (k-1)-gram that ends at each place: the probability of its last word, its state and its count
         chance, held, count = empty[s.x], state[1][s.x], totals[1][s.x]
         for k in range(2, top + 1):
@@ -230,22 +247,18 @@ class Automaton:
             seen = np.flatnonzero(totals[k] > 0)
             here, before = some[seen], some[seen] - 1
             p = (totals[k][seen] + priors[k] * chance[here]) / (count[before] + priors[k])
-            keys.append(held[before] * words + s.x[here])
-            weights.append(np.log10(p))
-            targets.append(state[k][seen] if k < top else held[here])
+            self.weights[k], self.targets[k] = np.zeros(len(found)), np.zeros(len(found), np.int64)
+            self.weights[k][seen], self.targets[k][seen] = np.log10(p), state[k][seen] if k < top else held[here]
+            self.arcs[k] = np.full(len(s.x), -1, np.int32)
+            self.arcs[k][at] = np.where(totals[k] > 0, np.arange(len(found)), -1)[number]
             if k < top:
-                self.fail[state[k][seen]] = held[here]
-                self.fall[state[k][seen]] = np.log10(priors[k + 1] / (totals[k][seen] + priors[k + 1]))
+                own = state[k][seen]
+                self.fail[own], self.length[own] = held[here], k
+                self.fall[own] = np.log10(priors[k + 1] / (totals[k][seen] + priors[k + 1]))
                 each = np.zeros(len(found))
                 each[seen] = p
                 chance, held, count = np.zeros(len(s.x)), np.zeros(len(s.x), np.int64), np.zeros(len(s.x), np.int64)
                 chance[at], held[at], count[at] = each[number], state[k][number], totals[k][number]
-        if keys:
-            keys = np.concatenate(keys)
-            order = np.argsort(keys)
-            self.keys, self.weights, self.targets = keys[order], np.concatenate(weights)[order], np.concatenate(targets)[order]
-        else:
-            self.keys = np.zeros(0, np.int64)
 
     def walk(self, s: Slice) -> np.ndarray:
         """The log10 probability of each text: all texts advance together, each from the state that it has reached."""
@@ -254,24 +267,25 @@ class Automaton:
         score, state = np.zeros(len(order)), np.zeros(len(order), np.int64)
         alive = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
         for step, n in enumerate(alive.tolist()):
-            word = s.x[starts[:n] + step]
-            left = np.flatnonzero(state[:n]) if len(self.keys) else np.zeros(0, np.int64)
-            done = np.zeros(n, bool)
-            while len(left):
-                key = state[left] * self.words + word[left]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                found = left[hit]
-                score[found] += self.weights[at[hit]]
-                state[found] = self.targets[at[hit]]
-                done[found] = True
-                left = left[~hit]
-                score[left] += self.fall[state[left]]
-                state[left] = self.fail[state[left]]
-                left = left[state[left] > 0]
-            rest = np.flatnonzero(~done)
-            score[rest] += self.first[word[rest]]
-            state[rest] = self.enter[word[rest]]
+            place = starts[:n] + step
+            left = np.arange(n)
+            for k in sorted(self.arcs, reverse=True):
+                mine = self.length[state[left]] == k - 1
+                if not mine.any():
+                    continue
+                at = left[mine]
+                arc = self.arcs[k][place[at]]
+                hit = arc >= 0
+                taken, arc = at[hit], arc[hit]
+                score[taken] += self.weights[k][arc]
+                state[taken] = self.targets[k][arc]
+                missed = at[~hit]
+                score[missed] += self.fall[state[missed]]
+                state[missed] = self.fail[state[missed]]
+                left = np.concatenate([left[~mine], missed])
+            word = s.x[place[left]]
+            score[left] += self.first[word]
+            state[left] = self.enter[word]
         out = np.zeros(len(order))
         out[order] = score
         return out
@@ -286,6 +300,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, priors: dict[int, float
     total, n = sums[0] or 0, sums[1] or 0
     parts = partitions_for(total, part_tokens, spark.sparkContext.defaultParallelism)
     answers = answered(asked(slices, order, parts), parts)
+    let_go(spark)
     v = answers.filter(F.col("order") == -1).agg(F.sum(F.get("sizes", 0))).first()[0] or 0
 
     def run(rows: pa.Table) -> pa.Table:
@@ -295,7 +310,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, priors: dict[int, float
                 heads = r
             else:
                 held.setdefault(r["order"], []).append((r["part"], r["data"]))
-        s = Slice(heads["sizes"], heads["train"], heads["words"], heads["data"], order, parts)
+        s = Slice(heads["sizes"], heads["train"], unlisted(heads["words"]), heads["data"], order, parts)
         totals = {k: np.concatenate([unpacked(data, 8) for _, data in sorted(held[k])]).astype(np.int64) if k in held else np.zeros(0, np.int64) for k in range(1, order + 1)}
         by_word = np.zeros(len(s.words), np.int64)
         by_word[s.by_part] = totals[1]
