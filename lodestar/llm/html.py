@@ -41,14 +41,18 @@ from .common import BROADCAST_ROWS, cut_lineage, small_side, spread_table
 RUN, LEAST, SHARE, SALT_ROWS, OUT_ROWS, PAGE_KEYS = 6, 3, 0.025, 100_000, 500, 1_000_000
 
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe svg math object embed canvas audio video textarea title select option datalist".split())
-#: Elements that are left out with all they hold.
-ASIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
+RAW = frozenset("script style noscript template iframe svg annotation annotation-xml object embed canvas audio video textarea title select option datalist".split())
+#: Those of them that reach to the end of the page where they are not closed; other ones without an end are passed over.
+ENDLESS = frozenset("script style noscript iframe textarea title".split())
+#: Elements that are left out with all they hold. A form is left out like a marked wrapper: not where it holds the page.
+ASIDE = frozenset("nav header footer aside menu dialog button fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of an article's own text: their ids are anchors, and names that a mark is only a part of ("notice-of-appeal") say nothing.
+PROSE = frozenset("p pre blockquote figure figcaption table section dl ol".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that end where another of the kind begins right inside them.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
@@ -111,14 +115,14 @@ def _opens(text: str, quote: str, at: int, close: int) -> int:
 
 
 @lru_cache(1 << 14)
-def _marks(attributes: str) -> frozenset[str]:
-    """Words of an element's class, id and role that mark boilerplate; "hidden" if it is not shown, "whole" if a name says nothing
+def _marks(attributes: str, ids: bool = True) -> frozenset[str]:
+    """Words of an element's class, role and (unless told otherwise) id that mark boilerplate; "hidden" if it is not shown, "whole" if a name says nothing
     else, "others" if such a name says that it is another text's."""
     found: set[str] = set()
     if attributes.strip("/ \t\n\r"):
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
-            if name in ("class", "id", "role"):
+            if name in ("class", "role") or ids and name == "id":
                 for one in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
                     words = set(_WORDS.findall(one))
                     found |= MARKS & words
@@ -145,13 +149,17 @@ def _level(name: str, marks: frozenset[str], parent: int, zone: str) -> int:
         if "others" in marks or parent == NAMED:
             return NAMED
         return max(parent, MARKED) if words and (parent or zone == "article") else SHOWN
-    if name in HEADING and parent == HEADINGS:
-        return MARKED if words - {"header"} else SHOWN
     inner = zone != "open"
+    if name in HEADING:
+        # what a heading is called hides its text nowhere; an article's own header shows its headings
+        return MARKED if "hidden" in words else SHOWN if parent == HEADINGS else parent
+    if inner and name in PROSE and not marks & {"whole", "hidden"}:
+        return parent
     if name == "header" or words == {"header"}:
         own = HEADINGS if inner else NAMED if name == "header" else MARKED
     else:
-        own = NAMED if name in ASIDE or words & OTHERS_TEXT else MARKED if words and name not in ("body", "html") else SHOWN
+        others = "others" in marks if inner else words & OTHERS_TEXT
+        own = NAMED if name in ASIDE or others else MARKED if (words or name == "form") and name not in ("body", "html") else SHOWN
     return max(parent, own)
 
 
@@ -178,7 +186,8 @@ def _read(page: str | None, shown_at: frozenset[int] = frozenset()) -> tuple[lis
     aside: list[str] = []
     stack = [Element("", SHOWN, "open", False)]
     names: Counter[str] = Counter()
-    weak: list[tuple[int, int]] = []  # depth and start of the weakly marked elements around
+    weak: list[list[int]] = []  # depth, start and characters of the weakly marked elements around
+    unclosed: set[str] = set()
     sure = n  # the depth of the outermost element that is left out for sure
     links = 0
     linked, written = [0, 0], [0, 0]  # characters of this block in links, and in all: left out, and shown
@@ -203,7 +212,14 @@ def _read(page: str | None, shown_at: frozenset[int] = frozenset()) -> tuple[lis
         del stack[depth:]
         sure = n if len(stack) <= sure else sure
         while weak and weak[-1][0] >= len(stack):
-            weak.pop()
+            leave()
+
+    def leave() -> None:
+        """Close a weakly marked element: what it holds counts for the one around it, too."""
+        _, began, size = weak.pop()
+        held[began] = size
+        if weak:
+            weak[-1][2] += size
 
     def place(name: str) -> int:
         """Where the innermost open element of that name lies."""
@@ -217,8 +233,8 @@ def _read(page: str | None, shown_at: frozenset[int] = frozenset()) -> tuple[lis
         if len(stack) <= sure:
             size = start - at - text.count(" ", at, start)
             total += size
-            for _, began in weak:
-                held[began] = held.get(began, 0) + size
+            if weak:
+                weak[-1][2] += size
         if start > at:
             (parts if shown else aside).append(text[at:start])
             size = start - at - text.count(" ", at, start)
@@ -243,8 +259,13 @@ def _read(page: str | None, shown_at: frozenset[int] = frozenset()) -> tuple[lis
         at = _end(text, tag.end())
         if name in RAW:
             if not closing and name not in VOID and not text[tag.end() : at].rstrip(">").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
-                at = n if end is None else end.end()
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
+                if end is not None:
+                    at = end.end()
+                elif name in ENDLESS:
+                    at = n
+                else:
+                    unclosed.add(name)
         elif name == "br":
             (parts if shown else aside).append("\n")
         elif name not in BLOCKS:
@@ -276,13 +297,20 @@ def _read(page: str | None, shown_at: frozenset[int] = frozenset()) -> tuple[lis
                     cut(len(stack) - 1)
                 parent = stack[-1]
                 zone = name if name in ("article", "main") and parent.zone != "article" else parent.zone
-                marks = frozenset() if start in shown_at else _marks(text[tag.end() : at - 1])
+                kind, anchor = name, name in HEADING or parent.zone != "open" and name in PROSE
+                marks = _marks(text[tag.end() : at - 1], not anchor)
+                if name in HEADING:
+                    marks &= {"hidden"}
+                if start in shown_at:
+                    kind, marks = "div", frozenset()
                 if name in ASIDE or marks & {"whole", "hidden"} and name not in ("body", "html"):
                     sure = min(sure, len(stack))
-                elif marks:
-                    weak.append((len(stack), start))
-                push(name, _level(name, marks, parent.level, parent.zone), zone, False)
+                elif marks or kind == "form":
+                    weak.append([len(stack), start, 0])
+                push(name, _level(kind, marks, parent.level, parent.zone), zone, False)
     close()
+    while weak:
+        leave()
     return found, frozenset(began for began, size in held.items() if 2 * size > total)
 
 
