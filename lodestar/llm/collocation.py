@@ -213,7 +213,7 @@ def routed(texts: DataFrame, table, parts: int, hot: int) -> DataFrame:
             rows, part, count = merged(rows, part, code)
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
             found: list[tuple[int, bytes, list[bytes]]] = []
-            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+            for start, end in zip(starts.tolist(), np.r_[starts, len(part)][1:].tolist(), strict=True):
                 some = rows[:, start:end]
                 extra = np.unique(some[some > n])
                 if len(extra):
@@ -222,6 +222,8 @@ def routed(texts: DataFrame, table, parts: int, hot: int) -> DataFrame:
                 named = [lang + b" " + others[i - n - 1] for i in extra.tolist()]
                 found.append((int(part[start]), block, named))
             kinds = [pa.int32(), pa.binary(), pa.list_(pa.binary())]
+            if not found:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=["part", "fragments", "words"])
 
     return texts.mapInArrow(run, "part int, fragments binary, words array<binary>")
