@@ -157,7 +157,7 @@ def test_graph_questions(spark, index):
     assert {r.qual for r in engine.calls_of(index, asked).collect()} == {"open_link", "resolve_host"}
     assert [(r.qual, r.hop) for r in engine.impact_of(index, asked).collect()] == [("main", 1), ("Link.dial", 1), ("app", 2)]
     first = engine.suggested_questions(index, 2).orderBy("pos").collect()
-    assert [r.pos for r in first] == [0, 1, 2, 3, 4] and first[1].text == "How does `connect` work?"
+    assert [r.pos for r in first] == [0, 1, 2, 3, 4] and first[1].text.startswith("How does `") and first[2].text.startswith("Who calls `")
     assert engine.suggested_questions(engine.replace(index, edges=None)).count() == 1
 
 
