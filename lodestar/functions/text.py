@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +78,24 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
 
 
+@cache
+def _capitals() -> tuple[str, str]:
+    """Characters that have a capital, and their capitals: one character each, so that ß is ẞ and ligatures stay."""
+    found = {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if c.upper() != c:
+            one = [x for x in (c.upper(), c.title()) if len(x) == 1]
+            found[c] = one[0] if one else c
+    found["ß"] = "ẞ"
+    kept = {c: u for c, u in found.items() if u != c}
+    return "".join(kept), "".join(kept.values())
+
+
+def capitals(text: Column | str) -> Column:
+    """Null or a text in capitals, character by character as in SQL's ``upper``; Spark's writes ß as two letters."""
+    return F.translate(text, *_capitals())
+
+
 def stem(token: Column) -> Column:
     """Plural and verb endings off, then a closing e: decode, decoded and decoding meet."""
     for ending, kept in ENDINGS:

@@ -105,7 +105,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS pos F
 def parse_rewrites(spark, sf_dir):
     """The turns of each conversation as a model's list of searches, with numbers, bullets, quotes and repeats: the first three."""
     rows = table(spark, sf_dir, "conversations").filter("text is not null")
-    one = F.when(F.col("turn") % 3 == 0, F.concat((F.col("turn") + 1).cast("string"), F.lit('. "'), "text", F.lit('"'))).when(F.col("turn") % 3 == 1, F.concat(F.lit("- `"), "text", F.lit("`"))).otherwise(F.concat(F.lit("line "), F.col("turn").cast("string"), F.lit(": "), F.upper("text")))
+    one = F.when(F.col("turn") % 3 == 0, F.concat((F.col("turn") + 1).cast("string"), F.lit('. "'), "text", F.lit('"'))).when(F.col("turn") % 3 == 1, F.concat(F.lit("- `"), "text", F.lit("`"))).otherwise(F.concat(F.lit("line "), F.col("turn").cast("string"), F.lit(": "), T.capitals("text")))
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", one.alias("x")))), lambda r: r["x"]), "\n")
     said = rows.groupBy("conv_id").agg(F.concat(listed, F.lit("\nno\n* "), F.min("text")).alias("said"))
     return said.select("conv_id", F.posexplode(T.rewrites("said")).alias("pos", "rewrite"))

@@ -83,3 +83,13 @@ def test_globs_cross_slashes():
 @given(st.text(alphabet="ab \n\r\t\x0b\x1c\x85 é", max_size=20))
 def test_lines_split_as_python_does(spark, text):
     assert value(spark, T.lines(F.lit(text))) == text.splitlines()
+
+
+def test_capitals_are_those_of_sql(spark):
+    """Character by character: ß has one capital, and ligatures none."""
+    import duckdb
+
+    every = "".join(chr(i) for i in range(1, 0x1F000) if not 0xD800 <= i < 0xE000)
+    found = spark.createDataFrame([(every, "Straße ﬁx")], "every string, few string").select(T.capitals("every"), T.capitals("few")).first()
+    assert found[1] == "STRAẞE ﬁX"
+    assert found[0] == duckdb.execute("SELECT upper(?)", [every]).fetchone()[0]
