@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,25 +58,86 @@ def cube(rows: DataFrame, columns: list[str], *measures: Column) -> DataFrame:
     return rows.cube(*columns).agg(F.grouping_id().alias("grouping"), *measures)
 
 
-def over_past(rows: DataFrame, keys: list[str], time: str, interval_seconds: float, piece_seconds: float | None = None, **measures: Column) -> DataFrame:
-    """``rows`` with ``measures`` over the rows of equal ``keys`` in the interval before each, the row's own time left out.
-
-    measures: functions of an array ``_past`` or plain aggregates over the frame. A key's rows are cut into pieces of time (as long as the
-    interval unless told otherwise) and each piece gets a copy of the interval before it, so that a key which holds a third of all
-    rows is many groups. Rows without a time get nulls.
-    """
+def _with_past(rows: DataFrame, time: str, interval_seconds: float, piece_seconds: float | None) -> tuple[DataFrame, int]:
+    """``rows`` with their time in microseconds and their piece of time, and ``_copy``: those of the interval before a piece once more; the
+    interval's length."""
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     length = round(interval_seconds * 1_000_000)
     piece = max(length, round((piece_seconds or interval_seconds) * 1_000_000))
     own = rows.withColumns({"_t": micros, "_piece": F.floor(micros / piece), "_copy": F.lit(False)})
     again = own.withColumn("_next", F.floor((F.col("_t") + length) / piece)).filter(F.col("_next") > F.col("_piece"))
     again = again.withColumns({"_piece": F.col("_next"), "_copy": F.lit(True)}).drop("_next")
+    return own.unionByName(again), length
+
+
+def over_past(rows: DataFrame, keys: list[str], time: str, interval_seconds: float, piece_seconds: float | None = None, **measures: Column) -> DataFrame:
+    """``rows`` with ``measures`` over the rows of equal ``keys`` in the interval before each, the row's own time left out.
+
+    measures: functions of an array ``_past`` or plain aggregates over the frame. A key's rows are cut into pieces of time (as long as the
+    interval unless told otherwise) and each piece gets a copy of the interval before it, so that a key which holds a third of all
+    rows is many groups. Rows without a time get nulls. Spark works out each frame by itself, which costs as much as the frames hold; where
+    they overlap a lot, :func:`percentile_of_past` does not.
+    """
+    found, length = _with_past(rows, time, interval_seconds, piece_seconds)
     frame = Window.partitionBy(*keys, "_piece").orderBy("_t").rangeBetween(-length, -1)
-    found = own.unionByName(again)
     found = found.withColumns({name: F.when(F.col("_t").isNotNull(), measure.over(frame)) for name, measure in measures.items()})
     return found.filter(~F.col("_copy")).drop("_t", "_piece", "_copy")
 
 
+def kth_smallest(values: np.ndarray, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest (from 0) of each ``values[low:high]``: a wavelet tree of the values' ranks, all ranges at once.
+
+    Each bit of the ranks is one step for all ranges, however long they are or how much they overlap.
+    """
+    different, ranks = np.unique(values, return_inverse=True)
+    found = np.zeros(len(k), np.int64)
+    for bit in reversed(range(max(len(different) - 1, 0).bit_length())):
+        one = (ranks >> bit & 1).astype(bool)
+        zeros = np.r_[0, np.cumsum(~one)]
+        from_, to = zeros[low], zeros[high]
+        up = k >= to - from_
+        k = np.where(up, k - (to - from_), k)
+        low, high = np.where(up, zeros[-1] + low - from_, from_), np.where(up, zeros[-1] + high - to, to)
+        found += up.astype(np.int64) << bit
+        ranks = np.concatenate([ranks[~one], ranks[one]])
+    return different[found]
+
+
+def percentile_of_past(rows: DataFrame, keys: list[str], time: str, value: str, interval_seconds: float, share: float, piece_seconds: float | None = None) -> DataFrame:
+    """``rows`` with ``n``, the number of rows of equal ``keys`` in the interval before each, and ``percentile``, the exact one of their
+    values, between neighbours in proportion; nulls count in ``n`` alone.
+
+    Pieces as in :func:`over_past`; a row costs the logarithm of its piece's rows and not the rows of its frame. Rows without a time get nulls.
+    """
+
+    def run(piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by("_t")
+        times, values = piece.column("_t").to_numpy(), piece.column("_v").to_numpy()
+        held = piece.column("_v").is_valid().to_numpy()
+        own = ~piece.column("_copy").to_numpy()
+        first, last = np.searchsorted(times, times[own] - length), np.searchsorted(times, times[own])
+        before = np.r_[0, np.cumsum(held)]
+        low, high = before[first], before[last]
+        some = high > low
+        low, high = low[some], high[some]
+        place = (high - low - 1) * share
+        lower, upper = np.floor(place).astype(np.int64), np.ceil(place).astype(np.int64)
+        at = kth_smallest(values[held], np.r_[low, low], np.r_[high, high], np.r_[lower, upper])
+        less, more = at[: len(low)], at[len(low) :]
+        with np.errstate(invalid="ignore"):
+            between = np.where((lower == upper) | (less == more), less, (upper - place) * less + (place - lower) * more)
+        found = np.zeros(len(some))
+        found[some] = between
+        kept = piece.select(names).filter(pa.array(own))
+        return kept.append_column("n", pa.array(last - first, pa.int64())).append_column("percentile", pa.array(found, pa.float64(), mask=~some))
+
+    parts, length = _with_past(rows.filter(F.col(time).isNotNull()), time, interval_seconds, piece_seconds)
+    parts, names = parts.withColumn("_v", F.col(value).cast("double")), rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n long, percentile double"
+    none = rows.filter(F.col(time).isNull()).withColumns({"n": F.lit(None).cast("long"), "percentile": F.lit(None).cast("double")})
+    return parts.groupBy(*keys, "_piece").applyInArrow(run, schema).unionByName(none)
+
+
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(columns, was, now): rows that two tables hold differently often, repeated rows counted; equal counts are left out.
 

@@ -128,7 +128,8 @@ WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000
 def p95_of_the_hour_before(spark, sf_dir):
     """Of each event, how many of its type came in the hour before, and the 95th percentile of their values."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    return summary.over_past(rows, ["event_type"], "ts", HOUR, n=F.count("*"), p95=F.percentile("value", 0.95)).select("event_id", "n", "p95")
+    found = summary.percentile_of_past(rows, ["event_type"], "ts", "value", HOUR, 0.95, 4 * HOUR)
+    return found.select("event_id", "n", F.col("percentile").alias("p95"))
 
 
 @query(

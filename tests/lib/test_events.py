@@ -79,6 +79,26 @@ def test_past_of_each_row(spark):
         assert got[i] == ((len(past), sum(past) if past else None) if t else (None, None))
 
 
+def test_percentile_of_the_past_equals_sparks(spark):
+    draw = random.Random(5)
+    rows = [(i, draw.choice(["a", "b", None]), None if i == 7 else START + timedelta(seconds=draw.randint(0, 90)), None if i % 9 == 0 else draw.choice([float("nan"), -1.5, i / 7])) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, k string, t timestamp, v double")
+    for piece in (None, 35):
+        want = summary.over_past(df, ["k"], "t", 10, piece, n=F.count("*"), percentile=F.percentile("v", 0.95)).select("i", "n", "percentile")
+        assert sorted(map(str, summary.percentile_of_past(df, ["k"], "t", "v", 10, 0.95, piece).select("i", "n", "percentile").collect())) == sorted(map(str, want.collect()))
+
+
+def test_percentile_of_the_past_costs_no_frames(spark):
+    """200,000 rows within an hour, whose frames hold 20 thousand million rows."""
+    rows = spark.range(200_000).select(F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 18_000).alias("t"), F.lit("a").alias("k"), (F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    found = summary.percentile_of_past(rows, ["k"], "t", "v", 3600, 0.95)
+    assert found.agg(F.max("n"), F.sum("n")).first()[:] == (199_999, 200_000 * 199_999 // 2)
+    last = found.orderBy(F.desc("n")).first().percentile
+    want = sorted(i * 7919 % 200_003 for i in range(199_999))
+    at = 199_998 * 0.95
+    assert last == pytest.approx(want[int(at)] + (at - int(at)) * (want[int(at) + 1] - want[int(at)]), abs=1e-6)
+
+
 def test_changes_of_versions_equal_multiset_operations(spark):
     before = spark.createDataFrame([("x", 1)] * 3 + [("y", None)] * 2 + [("z", 2)], "a string, b int")
     after = spark.createDataFrame([("x", 1)] * 5 + [("y", None)] + [("w", 2)], "a string, b int")
