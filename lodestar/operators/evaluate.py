@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import few
 
 ALL = "(all)"
 
@@ -17,7 +18,7 @@ def gold_targets(gold: DataFrame) -> DataFrame:
 
 def first_ranks(gold: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, type, rank): place of the first hit that holds a gold line, null for a miss."""
-    placed = hits.select("qid", "pos", "doc").join(chunks.select("doc", "path", "start_line", "end_line"), "doc")
+    placed = chunks.select("doc", "path", "start_line", "end_line").join(few(hits.select("qid", "pos", "doc")), "doc")
     met = gold_targets(gold).join(placed, ["qid", "path"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
     return gold.select("qid", "type").join(met.groupBy("qid").agg(F.min("pos").alias("rank")), "qid", "left")
 
@@ -67,7 +68,7 @@ def latency(rows: DataFrame, value: str, by: list[str], accuracy: int = 10_000)
 def covered(gold: DataFrame, hits: DataFrame, chunks: DataFrame, name: str) -> DataFrame:
     """(qid, name): share of a question's targets that lie in one of its hits."""
     targets = gold_targets(gold)
-    placed = hits.select("qid", "doc").distinct().join(chunks.select("doc", "path", "start_line", "end_line"), "doc").select("qid", "path", "start_line", "end_line")
+    placed = chunks.select("doc", "path", "start_line", "end_line").join(few(hits.select("qid", "doc").distinct()), "doc").select("qid", "path", "start_line", "end_line")
     met = targets.join(placed, ["qid", "path"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("qid", "n").distinct().withColumn("met", F.lit(1))
     return targets.join(met, ["qid", "n"], "left").groupBy("qid").agg((F.count("met") / F.count("*")).alias(name))
 

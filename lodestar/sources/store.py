@@ -15,6 +15,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that are broadcast to a larger one.
+FEW = 500_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` settled, and broadcast unless they are many: a table that meets a few hits or words is then not shuffled. Spark does not know
+    the size of what was settled."""
+    rows = settle(rows)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a session on this machine alone gets one of its own."""
     context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
