@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import few
 from .chunk import citation
 
 BUDGET = 6000
@@ -47,7 +48,7 @@ def assemble(hits: DataFrame, chunks: DataFrame, budget: int = BUDGET, line_numb
 
     A query's list is as long as its hits, a dozen or so, so it is folded in one row.
     """
-    rows = hits.join(chunks.select("doc", "path", "start_line", "end_line", "text", "kind", "symbol"), "doc")
+    rows = chunks.select("doc", "path", "start_line", "end_line", "text", "kind", "symbol").join(few(hits), "doc")
     block = excerpt(*(F.col(c) for c in ("path", "start_line", "end_line", "text", "kind", "symbol", "reason")), line_numbers)
     rows = rows.select("qid", F.struct("pos", "doc", block.alias("block")).alias("b"))
     lists = rows.groupBy("qid").agg(F.sort_array(F.collect_list("b")).alias("b"))
