@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import settle
+from ..sources.store import few, settle
 from . import dense, inverted, lexical
 from .chunk import embed_text
 
@@ -38,9 +38,10 @@ Reranker = Callable[["DataFrame", "Corpus"], DataFrame]
 
 def by_overlap(rows: DataFrame, source: Corpus) -> DataFrame:
     """Share of a question's different tokens that a chunk has, from the terms that the index holds."""
+    rows = few(rows)
     held = source.terms.select("doc", F.transform("terms", lambda t: t["term"]).alias("_held"))
     wanted = rows.select("qid", "question").distinct().select("qid", F.array_distinct(T.tokens("question", drop_stop_words=True)).alias("_wanted"))
-    both = rows.join(wanted, "qid").join(held, "doc")
+    both = held.join(rows, "doc").join(few(wanted), "qid")
     share = F.size(F.array_intersect("_wanted", "_held")) / F.greatest(F.size("_wanted"), F.lit(1))
     return both.withColumn("score", share).drop("_held", "_wanted")
 
@@ -49,7 +50,7 @@ def by_columns(score: Callable[[Column, Column], Column]) -> Reranker:
     """A reranker from a function of two text columns, the question and what is indexed of the chunk."""
 
     def run(rows: DataFrame, source: Corpus) -> DataFrame:
-        return rows.join(source.chunks.select("doc", "embedded"), "doc").withColumn("score", score(F.col("question"), F.col("embedded"))).drop("embedded")
+        return source.chunks.select("doc", "embedded").join(few(rows), "doc").withColumn("score", score(F.col("question"), F.col("embedded"))).drop("embedded")
 
     return run
 
@@ -73,7 +74,7 @@ class Corpus:
     """What retrieval reads. chunks: doc, path, start_line, end_line, text, symbol, kind (embedded: what is indexed).
 
     nodes: graph nodes with name, qual, kind, doc, id, or None. entries: vectors (doc, bucket, w) that ``embedder`` made, or None.
-    postings: the inverted index of ``terms``, or None: it is then made for each search.
+    postings: the inverted index of ``terms``, or None: a search then scans the terms.
     """
 
     chunks: DataFrame
@@ -150,8 +151,6 @@ def retrieve(
     pin, its reranked place. ``all_ranks`` keeps every place, numbered by ``pos``.
     """
     depth = max(k, depth, rerank_depth if rerank else 0)
-    if mode != "dense" and source.postings is None and rewrites is not None:
-        source = replace(source, postings=inverted.invert(source.terms))
     fused, rankings = first_stage(source, questions.select("qid", "text"), mode, depth, rrf_k)
     if rewrites is not None:
         again = rewrites.select(F.concat_ws(":", "qid", "pos").alias("qid"), F.col("qid").alias("of"), "pos", "text")
