@@ -359,7 +359,7 @@ def table_sources(spark, sf_dir) -> DataFrame:
     )
     customer = of("customer").select(text("customer_%d.py", "c_custkey").alias("path"), text("from nation_%d import make_%d\n\n\ndef of_%d():\n    return make_%d().go()\n", "c_nationkey", "c_nationkey", "c_custkey", "c_nationkey").alias("text"))
     rows = region.unionByName(nation).unionByName(customer)
-    return rows.withColumn("file_ord", files.walk_order(F.col("path")))
+    return files.spread(rows).withColumn("file_ord", files.walk_order(F.col("path")))
 
 
 def table_graph(spark, sf_dir):

@@ -1,6 +1,7 @@
 """The library's queries against their SQL."""
 
 import pytest
+from pyspark.sql import functions as F
 from oracle import compare
 
 from lodestar.plans import event_queries, queries, table_queries  # noqa: F401
@@ -16,3 +17,9 @@ def test_entry_without_a_driver(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sources_of_one_small_file_are_parsed_by_all_cores(spark):
+    parsed = queries.table_graph(spark, "/root/testdata/sf0.01")[3]
+    sizes = sorted(r["count"] for r in parsed.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == spark.sparkContext.defaultParallelism and sizes[-1] < 2 * sizes[0]
