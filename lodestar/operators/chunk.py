@@ -32,7 +32,8 @@ def fixed_windows(files: DataFrame, size: int = 60, overlap: int = 15) -> DataFr
     if overlap >= size:
         raise ValueError("overlap must be smaller than the window")
     step = size - overlap
-    rows = files.withColumn("_lines", T.lines("text")).withColumn("_n", F.size("_lines")).filter("_n > 0")
+    # no text, no line; a filter on the lines would work them out once more, below the shuffle that deals the files
+    rows = files.filter(F.coalesce(F.col("text"), F.lit("")) != "").withColumn("_lines", T.lines("text")).withColumn("_n", F.size("_lines"))
     last = F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / step)).cast("int")
     rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     start = F.col("chunk_no") * step

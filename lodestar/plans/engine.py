@@ -157,7 +157,8 @@ def build_index(sources: DataFrame, settings: Settings | None = None, previous:
     if settings.chunker == "syntax":
         python = sources.filter(F.col("path").endswith(".py") | F.col("path").endswith(".ipynb"))
         parsed = store.settle(syntax.parse_files(python, settings.max_lines, settings.min_lines))
-    chunks = syntax.numbered(syntax.chunk_files(sources, parsed, settings.chunk_lines, settings.chunk_overlap))
+    whole = sources if parsed is not None else sources.repartitionByRange("file_ord")
+    chunks = syntax.numbered(syntax.chunk_files(whole, parsed, settings.chunk_lines, settings.chunk_overlap), ranged=parsed is None)
     if chunks.isEmpty():
         raise ValueError("nothing to index: no source has any text")
     nodes = edges = vectors = imported = None
