@@ -9,6 +9,7 @@ for each query and task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,16 @@ SCORERS = 4
 Scorer = Callable[[pa.RecordBatch], np.ndarray]
 
 
-def _written(batch: pa.RecordBatch) -> bytes:
+@dataclass(frozen=True)
+class Dealt:
+    """Rows (doc, ...) that lie in blocks already: ``data`` has one column of that name, each value what :func:`packed` makes of some rows, and
+    ``doc`` is the type of their ids."""
+
+    data: DataFrame
+    doc: str
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
@@ -45,22 +55,22 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, size):
-                data = _written(whole.slice(at, size))
+                data = packed(whole.slice(at, size))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([data], pa.binary())], names=["part", "data"])
 
     return rows.mapInArrow(run, "part long, data binary")
 
 
-def meet(rows: DataFrame, queries: DataFrame) -> DataFrame:
+def meet(rows: DataFrame | Dealt, queries: DataFrame) -> DataFrame:
     """(part, asked, data): every block of ``rows`` beside every block of ``queries``; part names the queries' block."""
-    spark = rows.sparkSession
+    spark = queries.sparkSession
     queries = settle(queries)
     n = -(-queries.count() // CHUNK)
     if not n:
         return spark.createDataFrame([], "part long, asked binary, data binary")
     asked = blocks(queries.repartition(n), 1 << 31).select("part", F.col("data").alias("asked"))
     asked = settle(asked)
-    data = blocks(rows, ROWS * 8).select("data")
+    data = rows.data if isinstance(rows, Dealt) else blocks(rows, ROWS * 8).select("data")
     if asked.agg(F.sum(F.octet_length("asked"))).first()[0] <= BROADCAST:
         return data.crossJoin(F.broadcast(asked)).select("part", "asked", "data")
     each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n)
@@ -100,12 +110,12 @@ class Best:
         return self.held[0]
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, scorer: Callable[[list[Row]], Scorer]) -> DataFrame:
+def top_k(rows: DataFrame | Dealt, queries: DataFrame, k: int, scorer: Callable[[list[Row]], Scorer]) -> DataFrame:
     """(qid, doc, score, rank): the k best rows of ``rows`` (doc, ...) for each of ``queries`` (qid, ...), ties to the smaller doc.
 
     scorer: from a block of queries, in their order, to the function that scores a batch of rows. It runs in the tasks.
     """
-    types = [dict(queries.dtypes)["qid"], dict(rows.dtypes)["doc"]]
+    types = [dict(queries.dtypes)["qid"], rows.doc if isinstance(rows, Dealt) else dict(rows.dtypes)["doc"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers: dict[int, Scorer] = {}
@@ -129,6 +139,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, scorer: Callable[[list[Ro
             query, keys, scores = found.reduce()
             if len(query):
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array(query)), pa.array(keys, names), pa.array(scores)], names=["qid", "doc", "score"])
+        pa.default_memory_pool().release_unused()
 
     found = meet(rows, queries).mapInArrow(run, f"qid {types[0]}, doc {types[1]}, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")

@@ -154,8 +154,8 @@ def bm25_after_changes(spark, sf_dir):
     edited = F.pmod("doc", F.lit(10)) == 0
     older = now.filter(F.pmod("doc", F.lit(7)) != 0).withColumn("text", F.when(edited, F.concat(F.coalesce("text", F.lit("")), F.lit("\nan old last line"))).otherwise(F.col("text")))
     deleted = now.filter(F.pmod("doc", F.lit(13)) == 0).withColumn("doc", -1 - F.col("doc"))
-    terms = store.settle(lexical.documents_terms(older.unionByName(deleted)))
-    lost = store.settle(terms.filter((F.col("doc") < 0) | edited))
-    added = store.settle(lexical.documents_terms(now.filter((F.pmod("doc", F.lit(7)) == 0) | edited)))
-    index = inverted.update(inverted.invert(terms), lost, added)
+    before = older.unionByName(deleted)
+    lost, added = before.filter((F.col("doc") < 0) | edited), now.filter((F.pmod("doc", F.lit(7)) == 0) | edited)
+    # the old counts of what is lost are worked out again, which is less than to keep those of all documents
+    index = inverted.update(inverted.invert(lexical.uncounted(before)), lexical.uncounted(lost), lexical.uncounted(added))
     return inverted.top_k(index, lexical.query_terms(questions(spark, sf_dir)), TOP).select("qid", "doc", "rank", F.round("score", 6).alias("score"))

@@ -15,6 +15,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written into the cluster's shared folder as Parquet and read from there: a large table takes a small part of what :func:`settle`
+    writes, and a reader of some columns reads no others. It stays, as what is settled does."""
+    folder = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 #: Rows of a table that are broadcast to a larger one.
 FEW = 500_000
 

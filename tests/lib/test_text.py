@@ -93,3 +93,33 @@ def test_capitals_are_those_of_sql(spark):
     found = spark.createDataFrame([(every, "Straße ﬁx")], "every string, few string").select(T.capitals("every"), T.capitals("few")).first()
     assert found[1] == "STRAẞE ﬁX"
     assert found[0] == duckdb.execute("SELECT upper(?)", [every]).fetchone()[0]
+
+
+def test_runs_of_texts_hold_their_identifiers():
+    import pyarrow as pa
+
+    from lodestar.functions import words
+
+    texts = ["left out", "9abc 12 9_a é9b", None, "", "a\x00bb naïve x" + "y" * 80, "ends", "begins 7", "!", "parseURLs\tClasses is_of 3D"]
+    row, runs = words.word_runs(pa.array(texts, pa.string()).slice(1))
+    got = [[] for _ in texts[1:]]
+    for i, run in zip(row, runs.to_pylist(), strict=True):
+        if word := run.lstrip("0123456789"):
+            got[i].append(word)
+    assert got == [words._WORD.findall(t or "") for t in texts[1:]]
+    for nothing in ([], [None], ["", "é !"]):
+        assert len(words.word_runs(pa.array(nothing, pa.string()))[0]) == 0
+
+
+@given(st.from_regex("[A-Za-z_][A-Za-z0-9_]{0,12}", fullmatch=True))
+def test_words_without_inner_ones_and_endings_take_no_other_way(word):
+    from lodestar.functions import words
+
+    for drop in (False, True):
+        kept = [t for t in words.pieces(word) if t[1:] and not (drop and t in words._STOP)]
+        plain = []
+        for token in kept:
+            for ending, by in words._ENDINGS:
+                token = ending.sub(by, token)
+            plain.append(token)
+        assert list(words.search_tokens(word, drop)) == plain
